@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.functions.chunks import FOLD_CHUNK, fold_groups, next_rows, rank_in_groups
+from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import (blank, clean_recognised, positional_similarity, segment_id,
                                      strip, text_changed, tokens)
 from tierloom.functions.timecode import ms_to_frame
@@ -220,8 +221,8 @@ def build_alignment(inventory: DataFrame, poses: DataFrame, subtitles: DataFrame
 
 def alignment_totals(raw: DataFrame, merged: DataFrame) -> DataFrame:
     """Cues read and segments kept."""
-    return raw.agg(F.count(F.lit(1)).alias("raw_cues")).join(
-        merged.agg(F.count(F.lit(1)).alias("segments")), F.lit(True))
+    return side_by_side(raw.agg(F.count(F.lit(1)).alias("raw_cues")),
+                        merged.agg(F.count(F.lit(1)).alias("segments")))
 
 
 def import_single_signs(videos: DataFrame, known: DataFrame, split_words: bool = True,

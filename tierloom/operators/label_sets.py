@@ -107,19 +107,33 @@ def split_stratified(rows: DataFrame, identity: str, held: float = 0.3, seed: in
                      label: str = "label") -> DataFrame:
     """70/15/15 split. A cut is stratified only if the held-out part has a row per label.
 
-    Two counts (rows and labels) decide between one random order and one per label.
+    Where a stratified cut is due but some label has a single row, both cuts are random.
+    Only three counts per cut reach the driver.
     """
-    def cut(df: DataFrame, share: float, first: str, second: str, salt: int) -> DataFrame:
-        n, labels = df.agg(F.count(F.lit(1)), F.count_distinct(label)).first()
-        held_rows = -int(-n * share // 1)  # ceil
-        if n * share >= labels and labels:
-            return _stratified_cut(df, identity, n, held_rows, first, second, seed + salt, label)
+    def sizes(df: DataFrame) -> tuple[int, int, int]:
+        counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+        total, labels, rarest = counts.agg(F.sum("n"), F.count(F.lit(1)), F.min("n")).first()
+        return total or 0, labels, rarest or 0
+
+    def cut(df: DataFrame, share: float, names: tuple[str, str], salt: int, strata: bool) -> DataFrame | None:
+        n, labels, rarest = sizes(df)
+        held_rows = -int(-n * share // 1)  # rounded up
+        if strata and n * share >= labels:
+            if rarest < 2:
+                return None
+            return _stratified_cut(df, identity, n, held_rows, *names, seed + salt, label)
         ranked = _shuffled(df, [], identity, seed + salt)
-        return ranked.withColumn("split", F.when(F.col("_rank") < n - held_rows, first).otherwise(second)).drop("_rank")
-
-    top = cut(rows, held, "train", "rest", 0)
-    rest = top.filter("split = 'rest'").drop("split")
-    return top.filter("split = 'train'").unionByName(cut(rest, 0.5, "val", "test", 1))
+        return ranked.withColumn("split", F.when(F.col("_rank") < n - held_rows, names[0])
+                                 .otherwise(names[1])).drop("_rank")
+
+    for strata in (True, False):
+        top = cut(rows, held, ("train", "rest"), 0, strata)
+        if top is None:
+            continue
+        tail = cut(top.filter("split = 'rest'").drop("split"), 0.5, ("val", "test"), 1, strata)
+        if tail is not None:
+            return top.filter("split = 'train'").unionByName(tail)
+    raise AssertionError("a random cut always succeeds")
 
 
 def _stratified_cut(df: DataFrame, identity: str, n: int, held: int, first: str, second: str,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tierloom.fixed_values import AI_CONFIDENCE_TIER, AI_GLOSS_TIERS, HUMAN_GLOSS_TIERS
 from tierloom.functions.chunks import chunk_of, rank_in_groups
+from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import blank, normalise_word, pairing_id, parse_pairing_id, plain_label, strip, tokens
 from tierloom.functions.timecode import ms_to_frame
 from tierloom.operators.glossary import first_gloss, next_gloss_id, parse_gloss, reverse_index
@@ -65,9 +66,10 @@ def merge_harvest(existing: DataFrame, harvested: DataFrame, order: str = "item_
 
 def harvest_counts(files: DataFrame, harvested: DataFrame, new: DataFrame) -> DataFrame:
     """Files scanned, files with annotations, new signs and skipped repeats."""
-    total = harvested.agg(F.count_distinct("stem").alias("n_with_annotations"), F.count(F.lit(1)).alias("_all"))
-    one = files.agg(F.count(F.lit(1)).alias("n_files_scanned")).join(total, F.lit(True)).join(
-        new.agg(F.count(F.lit(1)).alias("n_new")), F.lit(True))
+    one = side_by_side(
+        files.agg(F.count(F.lit(1)).alias("n_files_scanned")),
+        harvested.agg(F.count_distinct("stem").alias("n_with_annotations"), F.count(F.lit(1)).alias("_all")),
+        new.agg(F.count(F.lit(1)).alias("n_new")))
     return one.withColumn("n_skipped_dupes", F.col("_all") - F.col("n_new")).drop("_all")
 
 
@@ -321,7 +323,7 @@ def manual_pairings(requests: DataFrame) -> DataFrame:
     than right or left have ``error`` set and no id."""
     ok = F.coalesce(F.col("hand").isin("right", "left"), F.lit(False))
     numbered = rank_in_groups(requests.withColumn("_ok", ok), ["_ok"], F.floor(F.col("item_no") / 65_536),
-                              [F.col("item_no")], "_n")
+                              [F.col("item_no"), F.col("start_ms"), F.col("hand")], "_n")
     tag = F.concat(F.lit("M"), (F.col("_n") + 1).cast("string"))
     return numbered.select(
         F.when(F.col("_ok"), pairing_id("stem", "start_ms", "hand", tag)).alias("pairing_id"), "item_no", "stem", "hand",
