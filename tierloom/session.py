@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +26,32 @@ def local_session(cores: str = "8", name: str = "tierloom") -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors can reach: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session that names none (a local test) gets a temporary one.
+    Only a session that names none and runs locally (a test) gets a temporary one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder of its own below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
