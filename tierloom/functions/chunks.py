@@ -48,7 +48,8 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], bucket: Column,
                    order: Sequence[Column], out: str = "pos") -> DataFrame:
     """``row_number() - 1`` per group without sorting a whole group in one task.
 
-    ``bucket`` must be non-decreasing along ``order``. Rows are numbered inside
+    ``bucket`` must be non-decreasing along ``order``; keys and bucket must not be null.
+    Rows are numbered inside
     ``(group, bucket)`` and shifted by the row count of earlier buckets, taken
     from a pre-aggregated table with one row per bucket.
     """
@@ -61,14 +62,12 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], bucket: Column,
         .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
+    # Same keys in the join and in the window: the rows are shuffled once.
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_bucket"]]
-    joined = tagged.alias("l").join(offsets.alias("r"), on)
-    columns = [F.col(f"l.{c}") for c in df.columns] + [F.col("l._bucket"), F.col("r._offset")]
     return (
-        joined.select(*columns)
+        tagged.join(offsets, [*keys, "_bucket"])
         .withColumn(out, F.row_number().over(inside).cast("long") - 1 + F.col("_offset"))
-        .drop("_bucket", "_offset")
+        .select(*df.columns, out)
     )
 
 
@@ -83,7 +82,7 @@ def next_rows(df: DataFrame, keys: Sequence[str], pos: str, columns: Sequence[st
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
                    out: str = "quantile") -> DataFrame:
-    """Exact interpolated quantile of a non-negative column per group.
+    """Exact interpolated quantile of a non-negative column and row count ``n`` per group.
 
     ``percentile`` keeps every distinct value of a group in one task. Here a
     histogram on the logarithm (partial aggregation, about a thousand steps per
@@ -106,10 +105,10 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
         .withColumn("_before", F.col("_upto") - F.col("_n"))
         .filter(((F.col("_lo") >= F.col("_before")) & (F.col("_lo") < F.col("_upto")))
                 | ((F.col("_hi") >= F.col("_before")) & (F.col("_hi") < F.col("_upto"))))
-        .select(*keys, "_step", "_before", "_rank", "_lo", "_hi")
+        .select(*keys, "_step", "_before", "_total", "_rank", "_lo", "_hi")
     )
     near = rows.join(hist, [*keys, "_step"]).groupBy(
-        *keys, "_step", "_before", "_rank", "_lo", "_hi", "_v").agg(F.count(F.lit(1)).alias("_m"))
+        *keys, "_step", "_before", "_total", "_rank", "_lo", "_hi", "_v").agg(F.count(F.lit(1)).alias("_m"))
     inside = Window.partitionBy(*keys, "_step").orderBy("_v")
     placed = (
         near.withColumn("_end", F.col("_before") + F.sum("_m").over(
@@ -122,9 +121,9 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
         return F.max(F.when(hit, F.col("_v")))
 
     return (
-        placed.groupBy(*keys, "_rank", "_lo").agg(at("_lo").alias("_a"), at("_hi").alias("_b"))
+        placed.groupBy(*keys, "_total", "_rank", "_lo").agg(at("_lo").alias("_a"), at("_hi").alias("_b"))
         .select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a"))
-                        * (F.col("_rank") - F.col("_lo"))).alias(out))
+                        * (F.col("_rank") - F.col("_lo"))).alias(out), F.col("_total").alias("n"))
     )
 
 
@@ -163,13 +162,12 @@ def fold_groups(df: DataFrame, keys: Sequence[str], pos: str, item: Sequence[str
         return folded.select(*keys, "chunk", F.col("_acc.out").alias("out"),
                              F.col("_acc.state").alias("state"), last.alias("is_last"))
 
-    first = fold(chunks, F.lit(None).cast(state_type))
-    if not chunks.select("chunk").filter("chunk > 0").limit(1).count():
-        return shaped(first, F.lit(True))
-
-    chunks = checkpointed(chunks)
-    current = checkpointed(fold(chunks, F.lit(None).cast(state_type))
-                           .select(*keys, "chunk", "_acc"))
+    # The first pass is written once; it tells whether any group has a second chunk.
+    current = checkpointed(fold(chunks, F.lit(None).cast(state_type)))
+    if not current.filter("chunk > 0").limit(1).count():
+        return shaped(current, F.lit(True))
+    chunks = current.drop("_acc")
+    current = current.select(*keys, "chunk", "_acc")
     while True:
         entry = current.select(*keys, (F.col("chunk") + 1).alias("chunk"),
                                F.col("_acc.state").alias("_entry"))

@@ -41,7 +41,7 @@ def plain_label(label: Column | str) -> Column:
 
 def normalise_word(word: Column | str) -> Column:
     """Lower case without edge punctuation; letters keep their accents."""
-    return F.regexp_replace(F.lower(strip(word)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.regexp_replace(F.lower(_col(word)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
 def tokens(text: Column | str) -> Column:

@@ -130,9 +130,9 @@ def detect_segments(signal: DataFrame, keys: Sequence[str] = ("clip",), sigma: f
     home = rows.filter(is_home("frame", chunk_rows))
     p99 = exact_quantile(home, by_clip, "smooth", 0.99, "p99").filter(F.col("p99") >= 1e-6)
     # One row per chunk, so that the signal keeps its partitioning in the join.
-    spans = home.groupBy(*by_clip).agg(F.max("chunk").alias("_to"))
-    per_chunk = p99.join(spans, by_clip).select(
-        *by_clip, "p99", F.explode(F.sequence(F.lit(0).cast("long"), "_to")).alias("chunk"))
+    last_chunk = chunk_of(F.col("n") - 1, chunk_rows)
+    per_chunk = p99.select(
+        *by_clip, "p99", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk"))
 
     w = Window.partitionBy(*by_clip, "chunk").orderBy("frame")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)

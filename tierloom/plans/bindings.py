@@ -15,13 +15,29 @@ from pyspark.sql import functions as F
 from tierloom.functions.chunks import rank_in_groups
 
 
+# Tables whose rows are expanded or parsed before the first shuffle.
+WIDE_WORK = ("documents", "embeddings", "lineitem", "pages")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Spread rows over the cores when the files have fewer splits than cores.
+
+    A file with a single row group is one split. Large inputs have many splits and pass
+    through unchanged, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows.repartition(cores) if splits < cores else rows
+
+
 class Bindings:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = str(sf_dir).rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(rows) if name in WIDE_WORK else rows
 
     @cached_property
     def signal(self) -> DataFrame:
