@@ -54,7 +54,7 @@ def webvtt_cues(b):
 @query("a05_annotation_documents", """SELECT CAST(stem AS VARCHAR) AS stem, CASE hand WHEN 'right' THEN 'S1_Gloss_RH' ELSE 'S1_Gloss_LH' END AS tier, start_ms, end_ms, word AS value FROM pairings WHERE stem % 10 <> 0 AND NOT (hand = 'left' AND stem % 3 = 0)""")
 def annotation_documents(b):
     tier = F.when(F.col("hand") == "right", "S1_Gloss_RH").when(F.col("stem") % 3 == 0, "S1_Mouthing").otherwise("S1_Gloss_LH")
-    p = b.pairings.withColumn("tier", tier).withColumn("aid", F.concat_ws("_", *[F.col(c).cast("string") for c in ("line_no", "partkey", "suppkey")]))
+    p = b.pairings.withColumn("tier", tier).withColumn("aid", F.concat_ws("_", *[F.col(c).cast("string") for c in ("line_no", "partkey", "suppkey", "start_ms", "price")]))
     slot = F.format_string('<TIME_SLOT TIME_SLOT_ID="s%s" TIME_VALUE="%d"/><TIME_SLOT TIME_SLOT_ID="e%s" TIME_VALUE="%d"/>', "aid", "start_ms", "aid", "end_ms")
     ann = F.format_string('<ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a%s" TIME_SLOT_REF1="s%s" TIME_SLOT_REF2="e%s"><ANNOTATION_VALUE>%s</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>',
                           "aid", "aid", "aid", "word")
