@@ -127,13 +127,18 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
     )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in several places of an expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_groups(df: DataFrame, keys: Sequence[str], pos: str, item: Sequence[str],
                 state_type: str, out_type: str,
-                step: Callable[[Column, Column, Column], tuple[Column, Column]],
+                step: Callable[[Column, Column, Column], Column],
                 chunk_rows: int = FOLD_CHUNK) -> DataFrame:
     """Left fold over each group in ``pos`` order; groups may have any length.
 
-    ``step(state, out, item)`` returns the new state and the new output array.
+    ``step(state, out, item)`` returns a struct of the new state and the new output array.
     Each chunk of ``chunk_rows`` positions is folded on its own from an entry
     state. Chunks are folded again with the exit state of the chunk before until
     no exit state changes, which gives exactly the sequential result: chunk 0 is
@@ -153,8 +158,7 @@ def fold_groups(df: DataFrame, keys: Sequence[str], pos: str, item: Sequence[str
         zero = F.struct(entry.alias("state"), F.array().cast(out_type).alias("out"))
 
         def merge(acc: Column, x: Column) -> Column:
-            state, out = step(acc["state"], acc["out"], x)
-            return F.struct(state.cast(state_type).alias("state"), out.cast(out_type).alias("out"))
+            return step(acc["state"], acc["out"], x).cast(f"struct<state:{state_type},out:{out_type}>")
 
         return source.withColumn("_acc", F.aggregate("items", zero, merge))
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.functions.chunks import FOLD_CHUNK, fold_groups, next_rows, rank_in_groups
+from tierloom.functions.chunks import FOLD_CHUNK, fold_groups, let, next_rows, rank_in_groups
 from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import (blank, clean_recognised, positional_similarity, segment_id,
                                      strip, text_changed, tokens)
@@ -34,15 +34,16 @@ def merge_near_duplicates(cues: DataFrame, max_gap_ms: int = 2000, threshold: fl
     The comparison is with the merged text (the longer one so far), so this is a fold
     and not a comparison of neighbours.
     """
-    def step(state: Column, out: Column, x: Column) -> tuple[Column, Column]:
-        same = (state.isNotNull() & (x["start_ms"] - state["end_ms"] <= max_gap_ms)
-                & (positional_similarity(state["text"], x["text"]) >= threshold))
+    def step(state: Column, out: Column, x: Column) -> Column:
+        near = state.isNotNull() & (x["start_ms"] - state["end_ms"] <= max_gap_ms)
+        agrees = F.when(near, positional_similarity(state["text"], x["text"]) >= threshold).otherwise(False)
         longer = F.when(F.length(x["text"]) > F.length(state["text"]), x["text"]).otherwise(state["text"])
         joined = F.struct(state["start_ms"].alias("start_ms"),
                           F.greatest(state["end_ms"], x["end_ms"]).alias("end_ms"), longer.alias("text"))
         fresh = F.struct(*[x[c].alias(c) for c in ("start_ms", "end_ms", "text")])
-        return (F.when(same, joined).otherwise(fresh),
-                F.when(same | state.isNull(), out).otherwise(F.concat(out, F.array(state))))
+        return let(agrees, lambda same: F.struct(
+            F.when(same, joined).otherwise(fresh).alias("state"),
+            F.when(same | state.isNull(), out).otherwise(F.concat(out, F.array(state))).alias("out")))
 
     folded = fold_groups(_positions(cues), ["stem"], "pos", ["start_ms", "end_ms", "text"],
                          CUE, f"array<{CUE}>", step, chunk_rows)
@@ -63,7 +64,7 @@ def merge_short(cues: DataFrame, min_ms: int = 1000, max_gap_ms: int = 500,
     """
     block = "struct<start_ms:bigint,end_ms:bigint,text:string,run:bigint,open:boolean>"
 
-    def step(state: Column, out: Column, x: Column) -> tuple[Column, Column]:
+    def step(state: Column, out: Column, x: Column) -> Column:
         cut = state.isNull() | (x["start_ms"] - state["end_ms"] > max_gap_ms)
         short = state["end_ms"] - state["start_ms"] < min_ms
         joins = ~cut & short
@@ -74,7 +75,8 @@ def merge_short(cues: DataFrame, min_ms: int = 1000, max_gap_ms: int = 500,
                           (cut & short).alias("open"))
         nxt = F.struct(start.alias("start_ms"), x["end_ms"].alias("end_ms"), text.alias("text"),
                        run.alias("run"), F.lit(False).alias("open"))
-        return nxt, F.when(state.isNull() | joins, out).otherwise(F.concat(out, F.array(closed)))
+        return F.struct(nxt.alias("state"), F.when(state.isNull() | joins, out).otherwise(
+            F.concat(out, F.array(closed))).alias("out"))
 
     folded = fold_groups(_positions(cues), ["stem"], "pos", ["start_ms", "end_ms", "text"],
                          block, f"array<{block}>", step, chunk_rows)
@@ -120,15 +122,15 @@ def cues_from_recognised_text(frames: DataFrame, ends: DataFrame, keys: Sequence
     kind = "struct<text:string,start_ms:bigint>"
     rows = rank_in_groups(frames, keys, F.floor(F.col("ts_ms") / BUCKET_MS), [F.col("ts_ms")], "pos")
 
-    def step(state: Column, out: Column, x: Column) -> tuple[Column, Column]:
+    def step(state: Column, out: Column, x: Column) -> Column:
         text = F.coalesce(state["text"], F.lit(""))
         start = F.coalesce(state["start_ms"], F.lit(0).cast("long"))
-        change = text_changed(text, x["text"], threshold)
-        ready = change & (text != "") & (x["ts_ms"] - start >= min_ms)
         cue = F.struct(start.alias("start_ms"), x["ts_ms"].alias("end_ms"), text.alias("text"))
-        nxt = F.struct(F.when(change, x["text"]).otherwise(text).alias("text"),
-                       F.when(change, x["ts_ms"]).otherwise(start).alias("start_ms"))
-        return nxt, F.when(ready, F.concat(out, F.array(cue))).otherwise(out)
+        ready = (text != "") & (x["ts_ms"] - start >= min_ms)
+        return let(text_changed(text, x["text"], threshold), lambda change: F.struct(
+            F.struct(F.when(change, x["text"]).otherwise(text).alias("text"),
+                     F.when(change, x["ts_ms"]).otherwise(start).alias("start_ms")).alias("state"),
+            F.when(change & ready, F.concat(out, F.array(cue))).otherwise(out).alias("out")))
 
     folded = fold_groups(rows, keys, "pos", ["ts_ms", "text"], kind, f"array<{CUE}>", step, chunk_rows)
     folded = folded.join(ends, keys)
@@ -340,12 +342,12 @@ def anchored_windows(items: DataFrame, window_ms: int = 5000, chunk_rows: int =
     rows = rank_in_groups(items, ["stem"], F.floor(F.col("start_ms") / BUCKET_MS),
                           [F.col("start_ms"), F.col("item_no")], "pos")
 
-    def step(state: Column, out: Column, x: Column) -> tuple[Column, Column]:
+    def step(state: Column, out: Column, x: Column) -> Column:
         stays = state.isNotNull() & (x["start_ms"] <= state["head"] + window_ms)
         head = F.when(stays, state["head"]).otherwise(x["start_ms"])
         item = F.struct(x["item_no"].alias("item_no"), x["start_ms"].alias("start_ms"),
                         head.alias("group_start"), (~stays).alias("is_head"))
-        return F.struct(head.alias("head")), F.concat(out, F.array(item))
+        return F.struct(F.struct(head.alias("head")).alias("state"), F.concat(out, F.array(item)).alias("out"))
 
     folded = fold_groups(rows, ["stem"], "pos", ["start_ms", "item_no"], "struct<head:bigint>",
                          "array<struct<item_no:bigint,start_ms:bigint,group_start:bigint,is_head:boolean>>",

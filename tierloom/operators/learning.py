@@ -19,6 +19,7 @@ from tierloom.operators.metrics import accuracy, per_class
 from tierloom.operators.progress import run_totals
 from tierloom.operators.search import build_index, classify
 from tierloom.operators.signal import detect_segments, frames_of_segments
+from tierloom.session import checkpointed
 
 
 @dataclass
@@ -51,7 +52,9 @@ def train_baseline(rows: DataFrame, identity: str = "id", penalties: Sequence[fl
 
     ``rows``: identity, label, vector, split.
     """
-    codes = label_codes(rows)
+    # Every fit reads the vectors many times: write them once instead of deriving them again.
+    rows = checkpointed(rows.select(identity, "label", "split", "vector"))
+    codes = checkpointed(label_codes(rows))
     data = rows.join(codes, "label").select(
         identity, "label", "split", F.col("code").cast("double").alias("code"),
         array_to_vector(F.transform("vector", lambda v: v.cast("double"))).alias("features"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -255,21 +257,24 @@ def prediction_clusters(predictions: DataFrame, max_gap_ms: int = 15_000, max_sp
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start_ms", "item_no"], kind="stable")
-        items = list(zip(pdf["start_ms"].tolist(), pdf["end_ms"].tolist()))
+        starts, ends = pdf["start_ms"].tolist(), pdf["end_ms"].tolist()
+        longest = list(accumulate(ends, max))
         home = (pdf["start_ms"] // chunk_ms == pdf["chunk"]).tolist()
         out = []
         for i, number in enumerate(pdf["item_no"].tolist()):
             if not home[i]:
                 continue
-            lo, hi = items[i]
-            for s, e in items:
-                if s > hi + max_gap_ms or e - lo > max_span_ms:
+            lo, hi = starts[i], ends[i]
+            # Items that end before this one starts cannot move the end of the span.
+            for j in range(bisect_right(longest, lo), len(starts)):
+                if starts[j] > hi + max_gap_ms or ends[j] - lo > max_span_ms:
                     break
-                hi = max(hi, e)
-            for s, e in reversed(items):
-                if e < lo - max_gap_ms or hi - s > max_span_ms:
+                hi = max(hi, ends[j])
+            # Items that start after it cannot move the start.
+            for j in range(bisect_left(starts, lo) - 1, -1, -1):
+                if ends[j] < lo - max_gap_ms or hi - starts[j] > max_span_ms:
                     break
-                lo = min(lo, s)
+                lo = min(lo, starts[j])
             out.append((pdf["stem"].iloc[0], number, lo, hi))
         return pd.DataFrame(out, columns=["stem", "item_no", "cluster_start_ms", "cluster_end_ms"])
 

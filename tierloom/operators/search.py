@@ -40,9 +40,11 @@ def centroids(rows: DataFrame, label: str = "label", vector: str = "vector") ->
     return mean.select(label, vector_to_array("_m").alias("centroid"))
 
 
-def with_blocks(rows: DataFrame, probes: DataFrame, key: str, vector: str) -> DataFrame:
+def with_blocks(rows: DataFrame, probes: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     """Attach the probe vectors in blocks: column ``block``, an array of (key, vector).
 
+    Also returns the number of blocks, which is how often each row appears.
+
     Probes (queries or class centres) are packed into rows of at most BLOCK_ROWS. If all
     of them together stay below SEND_BYTES (counted first), they go to every task.
     Beyond that the rows are spread over ``SPREAD`` copies of each block by a shuffle join.
@@ -54,10 +56,11 @@ def with_blocks(rows: DataFrame, probes: DataFrame, key: str, vector: str) -> Da
     blocks = probes.groupBy(slot.alias("_slot")).agg(F.sort_array(F.collect_list(F.struct(key, vector))).alias("block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     if n * width * 8 <= SEND_BYTES:
-        return rows.withColumn("_slot", every).join(F.broadcast(blocks), "_slot").drop("_slot")
+        return rows.withColumn("_slot", every).join(F.broadcast(blocks), "_slot").drop("_slot"), n_blocks
     salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     salt = F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(SPREAD)).cast("int")
-    return rows.withColumn("_slot", every).withColumn("_salt", salt).join(salted, ["_slot", "_salt"]).drop("_slot", "_salt")
+    return rows.withColumn("_slot", every).withColumn("_salt", salt).join(
+        salted, ["_slot", "_salt"]).drop("_slot", "_salt"), n_blocks
 
 
 def find_similar(index: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
@@ -67,7 +70,7 @@ def find_similar(index: DataFrame, queries: DataFrame, top: int = 5) -> DataFram
     index row is read once per query block; the best row per (query, label) is a partial
     aggregation, so what is shuffled does not grow with the index.
     """
-    scored = with_blocks(index, queries.select("query_id", unit_length("query").alias("query")), "query_id", "query")
+    scored, _ = with_blocks(index, queries.select("query_id", unit_length("query").alias("query")), "query_id", "query")
     scored = scored.select("id", "label", "vector", F.explode("block").alias("q")).select(
         F.col("q.query_id").alias("query_id"), "id", "label", dot(F.col("vector"), F.col("q.query")).alias("similarity"))
     best = scored.groupBy("query_id", "label").agg(
@@ -84,16 +87,18 @@ def classify(rows: DataFrame, centres: DataFrame, identity: str = "id", vector:
     ``centres``: label, centroid. Per block a row keeps its three best classes and the sum
     of exponentials; blocks are then combined per row.
     """
-    scored = with_blocks(rows.select(identity, vector), centres, "label", "centroid")
+    scored, n_blocks = with_blocks(rows.select(identity, vector), centres, "label", "centroid")
     scores = F.transform("block", lambda c: F.struct(
         dot(F.col(vector), c["centroid"]).alias("score"), c["label"].alias("label")))
     order = F.array_sort(F.transform(scores, lambda s: F.struct((-s["score"]).alias("loss"), s["label"].alias("label"))))
     part = scored.select(identity, F.slice(order, 1, 3).alias("best"),
                          F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s["score"])).alias("z"))
-    # One row per block and item: at most the number of blocks, which the class count bounds.
-    whole = part.groupBy(identity).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 3).alias("best"), F.sum("z").alias("z"))
+    if n_blocks > 1:
+        # One row per block and item: at most the number of blocks, which the class count bounds.
+        part = part.groupBy(identity).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 3).alias("best"),
+                                          F.sum("z").alias("z"))
     top3 = F.transform("best", lambda s: F.struct(s["label"].alias("gloss"), F.bround(F.exp(-s["loss"]) / F.col("z"), 4).alias("confidence")))
-    return whole.select(identity, top3.alias("top3")).select(
+    return part.select(identity, top3.alias("top3")).select(
         identity, F.col("top3")[0]["gloss"].alias("predicted"), F.col("top3")[0]["confidence"].alias("confidence"), "top3")
 
 

@@ -161,7 +161,11 @@ def detect_segments(signal: DataFrame, keys: Sequence[str] = ("clip",), sigma: f
     )
 
 
-def frames_of_segments(frames: DataFrame, segments: DataFrame, size: int = FRAME_CHUNK) -> DataFrame:
+# Frames per bucket of the range join: about ten seconds, so a bucket meets few segments.
+JOIN_FRAMES = 256
+
+
+def frames_of_segments(frames: DataFrame, segments: DataFrame, size: int = JOIN_FRAMES) -> DataFrame:
     """Frames inside ``[frame_start, frame_end)`` of each segment.
 
     The range condition becomes an equi join on ``(clip, chunk)``: a segment is

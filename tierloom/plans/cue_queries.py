@@ -135,7 +135,19 @@ def build_alignment(b):
     return C.build_alignment(inventory, clips(b), picked, cues, known, dedup=False, merge=False)
 
 
-@query("b06_build_alignment_merged")
+# The same two folds as above, one after the other, over the cues of the videos to align. Ends are
+# non-decreasing where cues follow closely, so one backward merge per run is enough here as well.
+_READY = f"""{CLIPS_SQL}, {FILES_SQL}, src0 AS (SELECT * FROM cues WHERE stem IN (SELECT stem FROM picked) AND stem IN (SELECT stem FROM clips WHERE bytes > 0) AND stem % 5 <> 0)"""
+MERGED_SQL = (
+    FOLD_SQL.replace("WITH RECURSIVE walk", f"WITH RECURSIVE {_READY}, walk").replace("noisy_cues", "src0")
+    + ", src AS (SELECT stem, start_ms, end_ms, text, row_number() OVER (PARTITION BY stem ORDER BY start_ms) - 1 AS cue_no FROM deduped), "
+    + SHORT_SQL[SHORT_SQL.index("walk AS"):].replace("walk", "walk2").replace(
+        "SELECT stem, s AS start_ms, CASE WHEN takes", "merged AS (SELECT stem, s AS start_ms, CASE WHEN takes", 1).replace(
+        "FROM ends)\n  merged", "FROM ends), merged", 1)
+    + f") SELECT {ALIGN_COLS} FROM merged JOIN clips USING (stem)")
+
+
+@query("b06_build_alignment_merged", MERGED_SQL)
 def build_alignment_merged(b):
     picked = C.pick_subtitles(subtitle_files(b))
     cues = b.cues.join(picked.select("stem", "path"), "stem")
@@ -185,7 +197,11 @@ def cues_from_recognised_text(b):
     return C.cues_from_recognised_text(frames, ends)
 
 
-@query("b10_cues_from_document_lines")
+LINES_SQL = RECOGNISED_SQL.replace("SELECT stem, cue_no AS n, cue_no * 200 AS ts, text AS t FROM noisy_cues", f"""SELECT doc_id AS stem, line_no AS n, line_no * 200 AS ts,
+    CASE WHEN length({CLEAN.format('line')}) < 2 THEN '' ELSE {CLEAN.format('line')} END AS t FROM lines""").replace(">= 500", ">= 200")
+
+
+@query("b10_cues_from_document_lines", f"{LINES_SQL} SELECT * FROM made WHERE trim(text) <> ''")
 def cues_from_document_lines(b):
     frames = b.lines.select(F.col("doc_id").alias("stem"), (F.col("line_no") * 200).alias("ts_ms"),
                             T.clean_recognised("line").alias("text"))

@@ -271,13 +271,37 @@ def overlap_candidates(b):
     return M.overlap_candidates(hand_predictions(b))
 
 
-@query("f09_two_hand_units")
+UNITS_SQL = f"""WITH RECURSIVE {PREDS_SQL}, cand AS (SELECT r.stem, r.item_no AS right_no, l.item_no AS left_no, least(r.end_ms, l.end_ms) - greatest(r.start_ms, l.start_ms) AS o
+      FROM preds r JOIN preds l ON r.stem = l.stem AND r.hand = 'right' AND l.hand = 'left' AND least(r.end_ms, l.end_ms) - greatest(r.start_ms, l.start_ms) >= 100),
+    best AS (SELECT stem, right_no, list(left_no ORDER BY o DESC, left_no) AS lefts FROM cand GROUP BY ALL),
+    rh AS (SELECT b.*, row_number() OVER (PARTITION BY b.stem ORDER BY p.start_ms, b.right_no) AS n FROM best b JOIN preds p ON p.stem = b.stem AND p.item_no = b.right_no),
+    walk AS (SELECT stem, n, right_no, lefts[1] AS taken, [lefts[1]] AS used FROM rh WHERE n = 1
+      UNION ALL SELECT stem, n, right_no, free, CASE WHEN free IS NULL THEN used ELSE list_append(used, free) END
+        FROM (SELECT r.stem, r.n, r.right_no, w.used, [x FOR x IN r.lefts IF NOT list_contains(w.used, x)][1] AS free FROM walk w JOIN rh r ON r.stem = w.stem AND r.n = w.n + 1)),
+    pairs AS (SELECT stem, right_no, taken AS left_no FROM walk WHERE taken IS NOT NULL)
+    SELECT p.stem, p.item_no, l.item_no AS left_no, CASE WHEN l.item_no IS NOT NULL THEN 'RH+LH' WHEN p.hand = 'right' THEN 'RH' ELSE 'LH' END AS hands,
+      least(p.start_ms, coalesce(l.start_ms, p.start_ms)) AS start_ms, greatest(p.end_ms, coalesce(l.end_ms, p.end_ms)) AS end_ms, p.predicted_gloss AS primary_gloss, p.confidence AS primary_confidence,
+      CASE WHEN l.item_no IS NULL OR p.review_status = l.review_status THEN p.review_status ELSE 'pending' END AS review_status
+    FROM preds p LEFT JOIN pairs q ON q.stem = p.stem AND q.right_no = p.item_no LEFT JOIN preds l ON l.stem = q.stem AND l.item_no = q.left_no
+    WHERE (p.stem, p.item_no) NOT IN (SELECT (stem, left_no) FROM pairs)"""
+
+
+@query("f09_two_hand_units", UNITS_SQL)
 def two_hand_units(b):
     preds = hand_predictions(b)
     return M.review_units(preds, M.pair_hands(preds))
 
 
-@query("f10_prediction_clusters")
+CLUSTER_SQL = f"""WITH RECURSIVE {PREDS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY start_ms, item_no) AS n FROM preds),
+    fwd AS (SELECT stem, item_no, CAST(0 AS BIGINT) AS n, start_ms AS lo, end_ms AS hi FROM o
+      UNION ALL SELECT f.stem, f.item_no, p.n, f.lo, greatest(f.hi, p.end_ms) FROM fwd f JOIN o p ON p.stem = f.stem AND p.n = f.n + 1 WHERE p.start_ms <= f.hi + 15000 AND p.end_ms - f.lo <= 45000),
+    grown AS (SELECT stem, item_no, max(lo) AS lo, max(hi) AS hi FROM fwd GROUP BY ALL), top AS (SELECT stem, max(n) AS last FROM o GROUP BY stem),
+    bwd AS (SELECT stem, item_no, last + 1 AS n, lo, hi FROM grown JOIN top USING (stem)
+      UNION ALL SELECT b.stem, b.item_no, p.n, least(b.lo, p.start_ms), b.hi FROM bwd b JOIN o p ON p.stem = b.stem AND p.n = b.n - 1 WHERE p.end_ms >= b.lo - 15000 AND b.hi - p.start_ms <= 45000)
+    SELECT stem, item_no, min(lo) AS cluster_start_ms, max(hi) AS cluster_end_ms FROM bwd GROUP BY ALL"""
+
+
+@query("f10_prediction_clusters", CLUSTER_SQL)
 def prediction_clusters(b):
     return M.prediction_clusters(hand_predictions(b))
 
