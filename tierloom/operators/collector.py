@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tierloom.functions.chunks import rank_in_groups
 from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import strip
 
@@ -119,3 +120,18 @@ def sync_with_training(words: DataFrame, labels: DataFrame, show: int = 30) -> D
     return side_by_side(ids.agg(F.count(F.lit(1)).alias("words")),
                         ids.join(known, "label", "left_semi").agg(F.count(F.lit(1)).alias("with_data")),
                         fresh.agg(F.count(F.lit(1)).alias("without_data")), sample)
+
+
+def add_words(words: DataFrame, new: DataFrame) -> DataFrame:
+    """Append words (gloss_id, word, theme_id, target) whose gloss id is new; ids follow the last one.
+
+    New words are numbered inside buckets of their hash, so a bulk import is not sorted in one task.
+    """
+    fresh = new.groupBy("gloss_id").agg(F.min(F.struct("word", "theme_id", "target")).alias("w")).select("gloss_id", "w.*")
+    fresh = fresh.join(words.select("gloss_id").distinct(), "gloss_id", "left_anti")
+    numbered = rank_in_groups(fresh, [], F.shiftright(F.xxhash64("gloss_id"), 52), [F.xxhash64("gloss_id"), F.col("gloss_id")], "_n")
+    last = words.agg(F.coalesce(F.max("word_id"), F.lit(-1).cast("long")).alias("_last"), F.lit(1).alias("_one"))
+    rows = numbered.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
+    columns = ["word_id", "gloss_id", "word", "theme_id", "target"]
+    return words.select(*columns).unionByName(
+        rows.withColumn("word_id", F.col("_last") + 1 + F.col("_n")).select(*columns))

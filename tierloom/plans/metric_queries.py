@@ -486,3 +486,13 @@ def add_themes(b):
 def sync_with_training(b):
     w = words(b)
     return K.sync_with_training(w, w.filter("word_id % 2 = 0").select(F.col("gloss_id").alias("label")))
+
+
+@query("k07_add_words", f"""WITH {WORDS_SQL}, w AS (SELECT * FROM words WHERE word_id % 2 = 0), f AS (SELECT gloss_id, min(word) AS word FROM words WHERE word_id % 2 = 1 AND gloss_id NOT IN (SELECT gloss_id FROM w) GROUP BY gloss_id)
+    SELECT gloss_id, word, true AS id_ok FROM w UNION ALL SELECT gloss_id, word, true FROM f""")
+def add_words(b):
+    w = words(b)
+    even = w.filter("word_id % 2 = 0")
+    out = K.add_words(even, w.filter("word_id % 2 = 1"))
+    unique = out.groupBy("word_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("word_id")
+    return out.join(unique, "word_id").select("gloss_id", "word", F.lit(True).alias("id_ok"))

@@ -237,3 +237,28 @@ def media_metadata(b):
     item = F.struct(F.col("p_partkey").alias("id"), F.struct(F.lit("t").alias("rendered")).alias("title"), F.concat(F.lit("http://m/"), "name").alias("source_url"))
     listing = rows.groupBy(F.floor(F.col("p_partkey") / 100).alias("page")).agg(F.to_json(F.collect_list(item)).alias("json"))
     return PG.media_metadata(listing, "fin-vocab", T.is_financial_vocabulary, "/videos", rows.filter("p_partkey % 3 = 0").select(F.col("name").alias("filename")))
+
+
+@query("a02_inventory_read_or_made", "SELECT '/v/' || o_orderkey || '.mp4' AS path, CAST(o_custkey % 50 AS DOUBLE) AS duration_sec, o_orderstatus = 'F' AS pose_extracted FROM orders")
+def inventory_read_or_made(b):
+    from tierloom.session import new_folder
+
+    path = new_folder(b.spark, "inventory")
+    name = F.format_string("%d.mp4", "o_orderkey")
+    made = b.table("orders").select(
+        F.concat(F.lit("/v/"), name).alias("path"), name.alias("filename"), (F.col("o_custkey") % 50).cast("double").alias("duration_sec"), F.lit(640).alias("width"), F.lit(480).alias("height"),
+        F.lit(25.0).alias("fps"), F.lit(1.0).alias("file_size_mb"), F.lit("h264").alias("codec"), (F.col("o_orderstatus") == "F").alias("pose_extracted"))
+    tables.load_or_create_inventory(b.spark, path, lambda: made)
+    again = tables.load_or_create_inventory(b.spark, path, lambda: made.filter("false"))
+    return again.select("path", "duration_sec", "pose_extracted")
+
+
+@query("a25_index_saved_and_loaded", f"WITH {MQ.SIM_SQL} SELECT vec_id AS id, 'L' || label AS label, round(list_sum([v[i] * i FOR i IN range(1, 65)]), 6) AS weighted FROM unit")
+def index_saved_and_loaded(b):
+    from tierloom.operators.search import build_index
+    from tierloom.session import new_folder
+
+    path = new_folder(b.spark, "index")
+    sinks.save_index(build_index(MQ.vectors(b)), path)
+    weighted = F.aggregate(F.transform("vector", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return sinks.load_index(b.spark, path).select("id", "label", F.round(weighted, 6).alias("weighted"))
