@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierloom.functions.chunks import rank_in_groups
+from tierloom.session import checkpointed
 
 
 # Tables whose rows are expanded or parsed before the first shuffle.
@@ -47,8 +48,7 @@ class Bindings:
             F.col("user_id").alias("clip"), "ts", "event_id", "event_type",
             F.col("value").alias("x"), k.cast("double").alias("y"),
             (k / 100).alias("conf"), k.cast("long").alias("k"), F.lit(25.0).alias("fps"))
-        day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400)
-        return rank_in_groups(rows, ["clip"], day, [F.col("ts"), F.col("event_id")], "frame") \
+        return rank_in_groups(rows, ["clip"], F.col("ts").cast("date"), [F.col("ts"), F.col("event_id")], "frame") \
             .drop("ts", "event_id")
 
     @property
@@ -56,6 +56,11 @@ class Bindings:
         hand = F.when(F.col("clip") % 2 == 0, "right").otherwise("left")
         return self.signal.withColumn("hand", hand)
 
+    @cached_property
+    def hand_signal_table(self) -> DataFrame:
+        """The numbered signal written once, for jobs that read it several times."""
+        return checkpointed(self.hand_signal)
+
     @cached_property
     def pose(self) -> DataFrame:
         """One clip per label and one frame per vector; 543 points read round the vector."""

@@ -43,7 +43,7 @@ INFER_SQL = f"""WITH {detect_sql('signal', 'clip', 1.0, 0.5)}, ok AS (SELECT cli
 
 
 def inference(b):
-    sig = b.hand_signal
+    sig = b.hand_signal_table
     feats = sig.select("clip", "frame", "event_type", F.array(F.col("x") / 100, F.col("y") / 100, F.col("conf")).alias("features"))
     centres = SE.centroids(feats.select(F.col("event_type").alias("label"), F.col("features").alias("vector")))
     files = sig.groupBy(F.col("clip").alias("stem")).agg((F.count(F.lit(1)) * 200).alias("bytes"))

@@ -126,7 +126,7 @@ SEGMENTS_SQL = """segs AS (SELECT clip, clip || '_' || n AS segment_id, n * 800
       f.score AS motion_confidence, 'pending' AS status, CAST(25 AS DOUBLE) AS fps
     FROM found f JOIN ranges r USING (segment_id) JOIN (SELECT DISTINCT clip, hand FROM hand_signal) USING (clip)""")
 def detect_in_segments(b):
-    sig = b.hand_signal
+    sig = b.hand_signal_table
     clips = sig.groupBy("clip").agg(F.max("fps").alias("fps"), F.count(F.lit(1)).alias("n_frames"))
     n = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")
     segs = clips.select("clip", n).select(
