@@ -58,6 +58,12 @@ def test_html(spark):
     assert values(spark, [page], T.strip_html) == [want]
 
 
+def test_entities(spark):
+    texts = ["&amp;amp; &amp", "&copy2024 &copyfoo; &notit; &notin; &unknown; &; & x", "&#65 &#x41; &#0; &#128; &#x9F; &#xD800; &#1114112;",
+             "&#99999999999; &#1; &#xFFFE; &#13;a", "&Eacute;&NotEqualTilde;&lt&gt;", "a&b&&c", "&#x;&#;", "no entity"]
+    assert values(spark, texts, T.decode_entities) == [html.unescape(t) for t in texts]
+
+
 def test_safe_names(spark):
     names = ["Čajník s mliekom!", "ﬁlm ½ №5", "a" * 100, "__x..", " tab\tnew ", "日本", "naïve-café.mp4", None]
 

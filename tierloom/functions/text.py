@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,21 +106,41 @@ def clean_recognised(text: Column | str) -> Column:
 
 # -- pages ------------------------------------------------------------------------
 
-def _entity(piece: Column) -> Column:
-    """Decode the entity at the start of a piece that followed an ampersand."""
-    name = F.regexp_extract(piece, r"^(#?[0-9A-Za-z]+);", 1)
-    rest = F.regexp_replace(piece, r"^#?[0-9A-Za-z]+;", "")
-    named = F.create_map(*[F.lit(v) for k, c in sorted(name2codepoint.items()) for v in (k, chr(c))])
-    code = (F.when(name.rlike("^#[xX][0-9A-Fa-f]+$"), F.conv(F.substring(name, 3, 12), 16, 10))
-            .when(name.rlike("^#[0-9]+$"), F.substring(name, 2, 12)).try_cast("int"))
+def _reference(code: Column) -> Column:
+    """Character of a numeric reference; invalid ones follow the HTML rules."""
+    windows = F.split(F.lit("\x00".join(
+        bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0))), "\x00")
+    broken = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    silent = (code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F)
+              | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE))
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    found = F.coalesce(F.try_element_at(named, name), F.when(code.between(1, 0x10FFFF), char))
-    return F.when((name != "") & found.isNotNull(), F.concat(found, rest)).otherwise(
-        F.concat(F.lit("&"), piece))
+    return (F.when(code.between(0x80, 0x9F), F.get(windows, (code - 0x80).cast("int")))
+            .when(broken, "\ufffd").when(silent, "").otherwise(char))
+
+
+def _entity(piece: Column) -> Column:
+    """Decode the entity at the start of a piece that followed an ampersand.
+
+    Names come from the HTML 5 table: with a semicolon any name, without one the longest
+    of the old names that may stand so.
+    """
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+    full = F.nullif(F.regexp_extract(piece, "^([0-9A-Za-z]{1,31};)", 1), F.lit(""))
+    short = F.nullif(F.regexp_extract(piece, f"^({old})", 1), F.lit(""))
+    number = F.regexp_extract(piece, "^#([xX][0-9A-Fa-f]+|[0-9]+);?", 1)
+    digits = F.when(number.rlike("^[xX]"), F.conv(F.substring(number, 2, 40), 16, 10)).otherwise(number)
+    # More digits than any code point has mean an invalid one.
+    code = F.when(F.length(digits) > 9, 0x110000).otherwise(digits.try_cast("long"))
+    by_full, by_short = F.try_element_at(named, full), F.try_element_at(named, short)
+    return (F.when(number != "", F.concat(_reference(code), F.regexp_replace(piece, "^#([xX][0-9A-Fa-f]+|[0-9]+);?", "")))
+            .when(by_full.isNotNull(), F.concat(by_full, F.substring(piece, F.length(full) + 1, F.length(piece))))
+            .when(by_short.isNotNull(), F.concat(by_short, F.substring(piece, F.length(short) + 1, F.length(piece))))
+            .otherwise(F.concat(F.lit("&"), piece)))
 
 
 def decode_entities(text: Column | str) -> Column:
-    """Named entities of HTML 4 and numeric ones."""
+    """Text with named and numeric HTML entities decoded."""
     text = _col(text)
     pieces = F.split(text, "&")
     decoded = F.concat(F.slice(pieces, 1, 1),
