@@ -44,30 +44,54 @@ def is_home(pos: str, size: int, chunk: str = "chunk") -> Column:
     return F.col(chunk) == chunk_of(pos, size)
 
 
-def rank_in_groups(df: DataFrame, keys: Sequence[str], bucket: Column,
-                   order: Sequence[Column], out: str = "pos") -> DataFrame:
+def join_per_chunk(rows: DataFrame, groups: DataFrame, keys: Sequence[str], last: str,
+                   size: int = FRAME_CHUNK, pos: str = "frame") -> DataFrame:
+    """Attach one row per group to the rows of that group, by (group, chunk).
+
+    A join on the group alone would bring a huge group to one task, and later steps that
+    only need (group, chunk) would keep it there. ``last`` is the last position of a group;
+    the group row is copied once per chunk.
+    """
+    keys = list(keys)
+    spread = F.sequence(F.lit(0).cast("long"), chunk_of(last, size))
+    copies = groups.withColumn("_c", F.explode(spread)).drop(last)
+    return rows.withColumn("_c", chunk_of(pos, size)).join(copies, [*keys, "_c"]).drop("_c")
+
+
+def rank_in_groups(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
+                   out: str = "pos", total: str | None = None,
+                   attach: DataFrame | None = None) -> DataFrame:
     """``row_number() - 1`` per group without sorting a whole group in one task.
 
     ``bucket`` must be non-decreasing along ``order``; keys and bucket must not be null.
     Rows are numbered inside
     ``(group, bucket)`` and shifted by the row count of earlier buckets, taken
-    from a pre-aggregated table with one row per bucket.
+    from a pre-aggregated table with one row per bucket. The same table can bring the size
+    of the group (``total``) and columns of a table with one row per group (``attach``),
+    so that a huge group needs no join of its own.
     """
     keys = list(keys)
     tagged = df.withColumn("_bucket", bucket)
     earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(
         "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+        tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     )
+    extra = []
+    if total is not None:
+        offsets = offsets.withColumn(total, F.sum("_rows").over(Window.partitionBy(*keys or [F.lit(0)])))
+        extra.append(total)
+    if attach is not None:
+        offsets = offsets.join(attach, keys)
+        extra += [c for c in attach.columns if c not in keys]
+    offsets = offsets.drop("_rows")
     # Same keys in the join and in the window: the rows are shuffled once.
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
         tagged.join(offsets, [*keys, "_bucket"])
         .withColumn(out, F.row_number().over(inside).cast("long") - 1 + F.col("_offset"))
-        .select(*df.columns, out)
+        .select(*df.columns, out, *extra)
     )
 
 

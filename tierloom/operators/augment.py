@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierloom.fixed_values import HAND_BLOCKS
-from tierloom.functions.chunks import FRAME_CHUNK, is_home, rank_in_groups, with_halo
+from tierloom.functions.chunks import FRAME_CHUNK, is_home, join_per_chunk, rank_in_groups, with_halo
 
 STEPS = ("crop", "speed", "noise", "scale", "mirror", "rotation", "dropout", "time_mask", "mixup")
 BETA = 0.3
@@ -135,6 +135,11 @@ def _partners(rows: DataFrame, clips: DataFrame, weight: Column, seed: int) -> D
         "weight", F.when(F.col("other").isNotNull(), F.col("_w"))).drop("_to", "_no", "_m", "_w")
 
 
+def with_parameters(pose: DataFrame, params: DataFrame) -> DataFrame:
+    """Frames of every variant with its parameters."""
+    return join_per_chunk(pose, params.withColumn("_last", F.col("t") - 1), ["clip"], "_last")
+
+
 def _points(fn) -> Column:
     return F.transform("pts", fn)
 
@@ -239,7 +244,7 @@ def mixup(frames: DataFrame, originals: DataFrame) -> DataFrame:
 
 def augment(pose: DataFrame, params: DataFrame, n_landmarks: int = 96, seed: int = 42) -> DataFrame:
     """All steps in order: clip, variant, frame, pts."""
-    frames = pose.select("clip", "frame", "pts").join(params, "clip")
+    frames = with_parameters(pose.select("clip", "frame", "pts"), params)
     frames = add_noise(change_speed(crop(frames)), seed)
     frames = mask_spans(drop_landmarks(rotate(mirror_hands(rescale(frames), n_landmarks))))
     if "weight" in params.columns:

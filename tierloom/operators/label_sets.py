@@ -76,13 +76,15 @@ def label_overlap(rows: DataFrame) -> DataFrame:
         "source_a", "source_b").agg(F.count(F.lit(1)).alias("shared_labels"))
 
 
-def _shuffled(rows: DataFrame, keys: Sequence[str], identity: str, seed: int) -> DataFrame:
-    """Add ``_rank``, a random order per group that depends only on seed and row identity."""
+def _shuffled(rows: DataFrame, keys: Sequence[str], identity: str, seed: int,
+              attach: DataFrame | None = None) -> DataFrame:
+    """Add ``_rank``, a random order per group that depends only on seed and row identity, and
+    the group size ``_n``."""
     draw = F.xxhash64(F.lit(seed), F.col(identity))
     rows = rows.withColumn("_draw", draw)
     # The leading bits of the draw cut even one huge label into many even pieces.
     return rank_in_groups(rows, keys, F.shiftright("_draw", 52), [F.col("_draw"), F.col(identity)],
-                          "_rank").drop("_draw")
+                          "_rank", "_n", attach).drop("_draw")
 
 
 def _int(x: Column) -> Column:
@@ -96,11 +98,10 @@ def split_per_label(rows: DataFrame, identity: str, train: float = 0.8, val: flo
     if abs(train + val + test - 1.0) >= 1e-6:
         raise ValueError("split ratios must sum to 1")
     rows = rows.filter(F.col(label).isNotNull())
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     n_train = F.greatest(F.lit(1), _int(F.col("_n") * train))
     n_val = F.greatest(F.lit(0), _int(F.col("_n") * val))
     part = F.when(F.col("_rank") < n_train, "train").when(F.col("_rank") < n_train + n_val, "val").otherwise("test")
-    return _shuffled(rows, [label], identity, seed).join(sizes, label).withColumn("split", part).drop("_rank", "_n")
+    return _shuffled(rows, [label], identity, seed).withColumn("split", part).drop("_rank", "_n")
 
 
 def split_stratified(rows: DataFrame, identity: str, held: float = 0.3, seed: int = 42,
@@ -124,7 +125,7 @@ def split_stratified(rows: DataFrame, identity: str, held: float = 0.3, seed: in
             return _stratified_cut(df, identity, n, held_rows, *names, seed + salt, label)
         ranked = _shuffled(df, [], identity, seed + salt)
         return ranked.withColumn("split", F.when(F.col("_rank") < n - held_rows, names[0])
-                                 .otherwise(names[1])).drop("_rank")
+                                 .otherwise(names[1])).drop("_rank", "_n")
 
     for strata in (True, False):
         top = cut(rows, held, ("train", "rest"), 0, strata)
@@ -145,8 +146,8 @@ def _stratified_cut(df: DataFrame, identity: str, n: int, held: int, first: str,
     missing = held - (sizes.agg(F.sum("_base")).first()[0] or 0)
     bucket = F.floor((1 - F.col("_left")) * 1024)
     sizes = rank_in_groups(sizes, [], bucket, [F.desc("_left"), F.col(label)], "_place")
-    sizes = sizes.select(label, "_n", (F.col("_base") + (F.col("_place") < missing).cast("long")).alias("_held"))
-    ranked = _shuffled(df, [label], identity, seed).join(sizes, label)
+    sizes = sizes.select(label, (F.col("_base") + (F.col("_place") < missing).cast("long")).alias("_held"))
+    ranked = _shuffled(df, [label], identity, seed, sizes)
     return ranked.withColumn("split", F.when(F.col("_rank") < F.col("_n") - F.col("_held"), first)
                              .otherwise(second)).drop("_rank", "_n", "_held")
 

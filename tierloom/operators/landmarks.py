@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierloom.fixed_values import BONES, MODE_WIDTH, N_LANDMARKS, PRESETS
-from tierloom.functions.chunks import FRAME_CHUNK, is_home, with_halo
+from tierloom.functions.chunks import FRAME_CHUNK, is_home, join_per_chunk, with_halo
 
 MAX_FRAMES = 300
 ZERO = "named_struct('x', 0.0D, 'y', 0.0D, 'z', 0.0D, 'c', 0.0D)"
@@ -84,7 +84,7 @@ def normalise_by_nose(pose: DataFrame, keys: Sequence[str] = ("clip",)) -> DataF
             F.sum(F.aggregate(values, zero, lambda a, v: a + v * v)).alias(f"q{axis}"),
             F.sum(F.size(values)).alias(f"n{axis}"),
         ]
-    total = pose.groupBy(*keys).agg(*parts)
+    total = pose.groupBy(*keys).agg(*parts, F.max("frame").alias("_last"))
     for axis in "xyz":
         total = total.withColumn(f"m{axis}", F.coalesce(f"m{axis}", F.lit(0.5)))
     count = F.col("nx") + F.col("ny") + F.col("nz")
@@ -92,11 +92,11 @@ def normalise_by_nose(pose: DataFrame, keys: Sequence[str] = ("clip",)) -> DataF
     square = sum((F.col(f"q{a}") - 2 * F.col(f"m{a}") * F.col(f"s{a}")
                   + F.col(f"n{a}") * F.col(f"m{a}") * F.col(f"m{a}") for a in "xyz"), F.lit(0.0)) / count
     spread = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-    total = total.select(*keys, "mx", "my", "mz",
+    total = total.select(*keys, "mx", "my", "mz", "_last",
                          F.when(spread > 1e-6, spread).otherwise(F.lit(1.0)).alias("_spread"))
     shifted = F.transform("pts", lambda p: F.struct(
         *[((p[a] - F.col(f"m{a}")) / F.col("_spread")).alias(a) for a in "xyz"], p["c"].alias("c")))
-    return (pose.join(total, list(keys)).withColumn("pts", shifted)
+    return (join_per_chunk(pose, total, keys, "_last").withColumn("pts", shifted)
             .drop("mx", "my", "mz", "_spread"))
 
 

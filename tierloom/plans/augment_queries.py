@@ -39,7 +39,7 @@ def frames(b):
     rows = clips.withColumn("variant", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     rows = rows.withColumns({k: F.expr(v) for k, v in PARAMS.items()})
     rows = rows.withColumn("crop_len", F.col("crop_len").cast("long")).withColumn("new_t", F.col("new_t").cast("long"))
-    return pose.join(rows, "clip")
+    return A.with_parameters(pose, rows)
 
 
 def flat(df, *keys):
@@ -151,7 +151,7 @@ def parameter_ranges(b):
 @query("c30_augmented_variants")
 def augmented_variants(b):
     params = A.parameters(clip_sizes(b), 3, 8, tuple(s for s in A.STEPS if s != "mirror"))
-    rows = small_clips(b).select("clip", "frame", "pts").join(params, "clip")
+    rows = A.with_parameters(small_clips(b).select("clip", "frame", "pts"), params)
     out = A.mask_spans(A.drop_landmarks(A.rotate(A.rescale(A.add_noise(A.change_speed(A.crop(rows)))))))
     return flat(A.mixup(out, small_clips(b)).select("clip", "variant", "frame", "pts"))
 
