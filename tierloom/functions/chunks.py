@@ -27,17 +27,18 @@ def chunk_of(pos: Column | str, size: int) -> Column:
     return F.floor(pos / F.lit(size)).cast("long")
 
 
-def with_halo(df: DataFrame, pos: str, size: int, before: int, after: int,
-              chunk: str = "chunk") -> DataFrame:
+def with_halo(df: DataFrame, keys: Sequence[str], pos: str, size: int, before: Column | int,
+              after: Column | int, chunk: str = "chunk") -> DataFrame:
     """Add ``chunk``; rows near a border are also copied into the neighbour chunk.
 
     Chunk ``c`` receives positions ``[c*size - before, (c+1)*size + after)``. Keep
     only rows with ``is_home`` after the ordered step. The copied share is about
-    ``(before + after) / size``.
+    ``(before + after) / size``. The result is partitioned by (keys, chunk) even where the
+    input was partitioned by the keys alone, which would keep a huge group in one task.
     """
     first = F.greatest(chunk_of(F.col(pos) - F.lit(after), size), F.lit(0).cast("long"))
     last = chunk_of(F.col(pos) + F.lit(before), size)
-    return df.withColumn(chunk, F.explode(F.sequence(first, last)))
+    return df.withColumn(chunk, F.explode(F.sequence(first, last))).repartition(*keys, chunk)
 
 
 def is_home(pos: str, size: int, chunk: str = "chunk") -> Column:

@@ -162,7 +162,7 @@ def change_speed(frames: DataFrame, chunk_rows: int = FRAME_CHUNK) -> DataFrame:
     one) they are a projection.
     """
     w = Window.partitionBy("clip", "variant", "chunk").orderBy("frame")
-    rows = with_halo(frames, "frame", chunk_rows, 0, 1).withColumn("_next", F.lead("pts").over(w)).filter(
+    rows = with_halo(frames, ["clip", "variant"], "frame", chunk_rows, 0, 1).withColumn("_next", F.lead("pts").over(w)).filter(
         is_home("frame", chunk_rows)).drop("chunk")
     n, t, f = F.coalesce("new_t", F.col("t")), F.col("t"), F.col("frame")
     ratio = F.when(t > 1, (n - 1) / F.greatest(t - 1, F.lit(1)))

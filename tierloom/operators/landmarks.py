@@ -104,7 +104,7 @@ def _later(rows: DataFrame, column: str, keys: Sequence[str], by: Sequence[int],
            chunk_rows: int) -> DataFrame:
     """Attach ``column`` of later frames; a halo of a few frames crosses chunk borders."""
     w = Window.partitionBy(*keys, "chunk").orderBy("frame")
-    out = with_halo(rows, "frame", chunk_rows, 0, max(by))
+    out = with_halo(rows, keys, "frame", chunk_rows, 0, max(by))
     for k in by:
         out = out.withColumn(f"{column}_{k}", F.lead(column, k).over(w))
     return out.filter(is_home("frame", chunk_rows)).drop("chunk")

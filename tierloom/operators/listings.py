@@ -17,7 +17,7 @@ def neighbourhoods(items: DataFrame, heads: DataFrame, radius_ms: int = 5000, sh
     """
     reach = radius_ms - 1
     w = Window.partitionBy("stem", "chunk").orderBy("start_ms").rangeBetween(-reach, reach)
-    rows = with_halo(items, "start_ms", chunk_ms, reach, reach).withColumn(
+    rows = with_halo(items, ["stem"], "start_ms", chunk_ms, reach, reach).withColumn(
         "near", F.collect_list(F.struct("start_ms", "item_no", "gloss")).over(w)).withColumn(
         "span_start_ms", F.min("start_ms").over(w)).withColumn("span_end_ms", F.max("end_ms").over(w))
     shown = F.transform(F.slice(F.array_sort("near"), 1, show), lambda n: n["gloss"])

@@ -75,7 +75,7 @@ def _chunked_speed(signal: DataFrame, keys: Sequence[str], sigma: float, size: i
     after = after + r if isinstance(after, int) else after + F.lit(r)
     w = Window.partitionBy(*keys, "chunk").orderBy("frame")
     return (
-        with_halo(signal, "frame", size, before, after)
+        with_halo(signal, keys, "frame", size, before, after)
         .withColumn("speed", _speed(w))
         .withColumn("smooth", _smooth("speed", sigma, w))
     )
@@ -118,26 +118,26 @@ def detect_segments(signal: DataFrame, keys: Sequence[str] = ("clip",), sigma: f
     a halo of that width decides every segment inside its own chunk.
     """
     keys = list(keys)
-    by_clip = [*keys, "fps"]  # fps depends on the clip; kept in the keys so it survives grouping
+    by_clip = [*keys, "fps"]  # fps depends on the clip; every branch reads the same columns
     limit = {
         "gap": F.greatest(F.lit(1), F.floor(F.lit(gap_ms) * F.col("fps") / 1000)),
         "min": F.greatest(F.lit(1), F.floor(F.lit(min_ms) * F.col("fps") / 1000)),
         "max": F.greatest(F.lit(2), F.floor(F.lit(max_ms) * F.col("fps") / 1000)),
     }
     rows = _chunked_speed(
-        signal.select(*by_clip, "frame", "x", "y", "conf"), by_clip, sigma, chunk_rows,
+        signal.select(*by_clip, "frame", "x", "y", "conf"), keys, sigma, chunk_rows,
         limit["gap"] + 1, limit["max"] + limit["gap"] + 2)
     home = rows.filter(is_home("frame", chunk_rows))
     p99 = exact_quantile(home, by_clip, "smooth", 0.99, "p99").filter(F.col("p99") >= 1e-6)
     # One row per chunk, so that the signal keeps its partitioning in the join.
     last_chunk = chunk_of(F.col("n") - 1, chunk_rows)
     per_chunk = p99.select(
-        *by_clip, "p99", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk"))
+        *keys, "p99", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk"))
 
-    w = Window.partitionBy(*by_clip, "chunk").orderBy("frame")
+    w = Window.partitionBy(*keys, "chunk").orderBy("frame")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
     marked = (
-        rows.join(per_chunk, [*by_clip, "chunk"])
+        rows.join(per_chunk, [*keys, "chunk"])
         .select(*by_clip, "chunk", "frame", (F.col("smooth") / F.col("p99")).alias("level"))
         .withColumn("on", F.when(F.col("level") > threshold, F.col("frame")))
         .withColumn("_last", F.max("on").over(so_far))
@@ -145,12 +145,12 @@ def detect_segments(signal: DataFrame, keys: Sequence[str] = ("clip",), sigma: f
             F.col("_last").isNull()
             | (F.col("frame") - F.col("_last") - 1 > limit["gap"]))).cast("int"))
         .withColumn("_seg", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_end", F.max("on").over(Window.partitionBy(*by_clip, "chunk", "_seg")))
+        .withColumn("_end", F.max("on").over(Window.partitionBy(*keys, "chunk", "_seg")))
         .filter((F.col("_seg") > 0) & (F.col("frame") <= F.col("_end")))
     )
     return (
-        marked.groupBy(*by_clip, "chunk", "_seg")
-        .agg(F.min("frame").alias("frame_start"), (F.max("frame") + 1).alias("frame_end"),
+        marked.groupBy(*keys, "chunk", "_seg")
+        .agg(F.max("fps").alias("fps"), F.min("frame").alias("frame_start"), (F.max("frame") + 1).alias("frame_end"),
              F.avg("level").alias("_mean"))
         .filter(chunk_of("frame_start", chunk_rows) == F.col("chunk"))
         .filter((F.col("frame_end") - F.col("frame_start")).between(limit["min"], limit["max"]))
