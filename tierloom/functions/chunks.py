@@ -105,24 +105,28 @@ def next_rows(df: DataFrame, keys: Sequence[str], pos: str, columns: Sequence[st
     return df.join(later, [*keys, pos], "left")
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
-                   out: str = "quantile") -> DataFrame:
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str = "quantile",
+                   carry: Sequence[str] = (), chunk_rows: int | None = None) -> DataFrame:
     """Exact interpolated quantile of a non-negative column and row count ``n`` per group.
 
     ``percentile`` keeps every distinct value of a group in one task. Here a
     histogram on the logarithm (partial aggregation, about a thousand steps per
     octave) finds the two steps that hold the wanted ranks, and only the rows of
-    those steps are ordered.
+    those steps are ordered. Where the rows already lie by (keys, ``chunk``) with dense
+    positions, ``chunk_rows`` lets the steps go to the rows per chunk instead of
+    shuffling the rows. ``carry`` names columns that are constant within a group.
     """
-    keys = list(keys)
+    keys, carry = list(keys), list(carry)
     step = F.when(F.col("_v") > 0, F.floor(F.log2("_v") * 1024)).otherwise(F.lit(-(1 << 40)))
+    place = ["chunk"] if chunk_rows else []
     rows = (
-        df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+        df.filter(F.col(value).isNotNull()).select(*keys, *place, *carry, F.col(value).alias("_v"))
         .withColumn("_step", step.cast("long"))
     )
+    kept = [F.max(c).alias(c) for c in carry]
     by_step = Window.partitionBy(*keys).orderBy("_step")
     hist = (
-        rows.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("_n"))
+        rows.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("_n"), *kept)
         .withColumn("_upto", F.sum("_n").over(by_step.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
         .withColumn("_rank", F.lit(q) * (F.col("_total") - 1))
@@ -132,8 +136,15 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
                 | ((F.col("_hi") >= F.col("_before")) & (F.col("_hi") < F.col("_upto"))))
         .select(*keys, "_step", "_before", "_total", "_rank", "_lo", "_hi")
     )
-    near = rows.join(hist, [*keys, "_step"]).groupBy(
-        *keys, "_step", "_before", "_total", "_rank", "_lo", "_hi", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    if chunk_rows:
+        spread = F.sequence(F.lit(0).cast("long"), chunk_of(F.col("_total") - 1, chunk_rows))
+        wanted = hist.withColumn("chunk", F.explode(spread)).withColumnRenamed("_step", "_wanted")
+        # A difference, not an equality: the step must not become a join key, which would shuffle.
+        joined = rows.join(wanted, [*keys, "chunk"]).filter(F.col("_step") - F.col("_wanted") == 0)
+    else:
+        joined = rows.join(hist, [*keys, "_step"])
+    near = joined.groupBy(*keys, "_step", "_before", "_total", "_rank", "_lo", "_hi", "_v").agg(
+        F.count(F.lit(1)).alias("_m"), *kept)
     inside = Window.partitionBy(*keys, "_step").orderBy("_v")
     placed = (
         near.withColumn("_end", F.col("_before") + F.sum("_m").over(
@@ -146,9 +157,10 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
         return F.max(F.when(hit, F.col("_v")))
 
     return (
-        placed.groupBy(*keys, "_total", "_rank", "_lo").agg(at("_lo").alias("_a"), at("_hi").alias("_b"))
+        placed.groupBy(*keys, "_total", "_lo").agg(
+            at("_lo").alias("_a"), at("_hi").alias("_b"), F.max("_rank").alias("_rank"), *kept)
         .select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a"))
-                        * (F.col("_rank") - F.col("_lo"))).alias(out), F.col("_total").alias("n"))
+                        * (F.col("_rank") - F.col("_lo"))).alias(out), F.col("_total").alias("n"), *carry)
     )
 
 

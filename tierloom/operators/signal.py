@@ -128,17 +128,17 @@ def detect_segments(signal: DataFrame, keys: Sequence[str] = ("clip",), sigma: f
         signal.select(*by_clip, "frame", "x", "y", "conf"), keys, sigma, chunk_rows,
         limit["gap"] + 1, limit["max"] + limit["gap"] + 2)
     home = rows.filter(is_home("frame", chunk_rows))
-    p99 = exact_quantile(home, by_clip, "smooth", 0.99, "p99").filter(F.col("p99") >= 1e-6)
+    p99 = exact_quantile(home, keys, "smooth", 0.99, "p99", ["fps"], chunk_rows).filter(F.col("p99") >= 1e-6)
     # One row per chunk, so that the signal keeps its partitioning in the join.
     last_chunk = chunk_of(F.col("n") - 1, chunk_rows)
     per_chunk = p99.select(
-        *keys, "p99", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk"))
+        *keys, "p99", F.col("fps").alias("_fps"), F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk"))
 
     w = Window.partitionBy(*keys, "chunk").orderBy("frame")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
     marked = (
         rows.join(per_chunk, [*keys, "chunk"])
-        .select(*by_clip, "chunk", "frame", (F.col("smooth") / F.col("p99")).alias("level"))
+        .select(*by_clip, "_fps", "chunk", "frame", (F.col("smooth") / F.col("p99")).alias("level"))
         .withColumn("on", F.when(F.col("level") > threshold, F.col("frame")))
         .withColumn("_last", F.max("on").over(so_far))
         .withColumn("_opens", (F.col("on").isNotNull() & (
@@ -150,7 +150,7 @@ def detect_segments(signal: DataFrame, keys: Sequence[str] = ("clip",), sigma: f
     )
     return (
         marked.groupBy(*keys, "chunk", "_seg")
-        .agg(F.max("fps").alias("fps"), F.min("frame").alias("frame_start"), (F.max("frame") + 1).alias("frame_end"),
+        .agg(F.max("_fps").alias("fps"), F.min("frame").alias("frame_start"), (F.max("frame") + 1).alias("frame_end"),
              F.avg("level").alias("_mean"))
         .filter(chunk_of("frame_start", chunk_rows) == F.col("chunk"))
         .filter((F.col("frame_end") - F.col("frame_start")).between(limit["min"], limit["max"]))
