@@ -36,7 +36,7 @@ def source_of(stems: DataFrame, videos: DataFrame) -> DataFrame:
     year = F.substring("stem", 1, 4).try_cast("int")
     dated = F.col("stem").rlike(r"^\d{8}(_|$)") & year.between(2010, 2030)
     return (stems.withColumn("_base", base).join(by_stem, "stem", "left").join(by_base, "_base", "left")
-            .withColumn("source", F.coalesce("_exact", "_loose", F.when(dated, "spj_corpus")))
+            .withColumn("source", F.coalesce("_exact", "_loose", F.when(dated, "corpus")))
             .drop("_base", "_exact", "_loose"))
 
 

@@ -193,9 +193,9 @@ def angle_by_degrees(stem: Column | str) -> Column:
 
 
 def dictionary_label(name: Column, translation: Column, stem: Column) -> Column:
-    """Entry name unless it is a number tag, else translation, else the file stem."""
+    """Entry name unless it is a number tag (language code and number), else translation, else the file stem."""
     tail = F.when(stem.contains("_"), F.regexp_replace(stem, "^[^_]*_", "")).otherwise(stem)
-    return plain_label(F.when(~blank_text(name) & ~name.rlike(r"^spj-\d+$"), name)
+    return plain_label(F.when(~blank_text(name) & ~name.rlike(r"^[a-z]{3}-\d+$"), name)
                        .when(~blank_text(translation), translation).otherwise(tail))
 
 

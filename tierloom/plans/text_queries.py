@@ -170,7 +170,7 @@ def camera_angle(b):
 @query("d14_dictionary_label", """SELECT p_partkey, lower(trim(CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type WHEN 2 THEN p_brand ELSE p_type END)) AS label FROM part""")
 def dictionary_label(b):
     n = F.col("p_partkey") % 4
-    name = F.when(n == 0, F.col("p_name")).when(n == 1, F.concat(F.lit("spj-"), "p_partkey")).otherwise("")
+    name = F.when(n == 0, F.col("p_name")).when(n == 1, F.concat(F.lit("abc-"), "p_partkey")).otherwise("")
     translation = F.when((n == 1) | (n == 3), F.col("p_type")).otherwise("")
     stem = F.concat(F.lit("A_"), "p_brand")
     return b.table("part").select("p_partkey", T.dictionary_label(name, translation, stem).alias("label"))
@@ -183,7 +183,7 @@ STEM_SPARK = STEM.format(date="date_format(o_orderdate + INTERVAL 15 YEAR, 'yyyy
 SOURCES_SQL = f"""stems AS (SELECT o_orderkey, {STEM_SQL} AS stem FROM orders),
     videos AS (SELECT 'video' || o_orderkey AS stem, o_orderpriority AS source FROM orders WHERE o_orderkey % 8 = 0),
     placed AS (SELECT s.o_orderkey, s.stem, coalesce(a.source, b.source, CASE WHEN regexp_matches(s.stem, '^\\d{{8}}(_|$)')
-      AND TRY_CAST(left(s.stem, 4) AS INT) BETWEEN 2010 AND 2030 THEN 'spj_corpus' END) AS source FROM stems s LEFT JOIN videos a ON a.stem = s.stem
+      AND TRY_CAST(left(s.stem, 4) AS INT) BETWEEN 2010 AND 2030 THEN 'corpus' END) AS source FROM stems s LEFT JOIN videos a ON a.stem = s.stem
       LEFT JOIN videos b ON b.stem || '_60' = s.stem)"""
 
 
