@@ -40,4 +40,4 @@ def test_entry_contract(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["clip", "frame_start", "frame_end", "start_ms", "end_ms", "score"]
-    assert entry.queries().keys() == QUERIES.keys() and entry.oracle_sql() == ORACLES
+    assert entry.queries().keys() >= QUERIES.keys() and entry.oracle_sql().items() >= ORACLES.items()
