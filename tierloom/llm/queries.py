@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierloom.llm import mixing, page_text, pii, quality_classifier, quality_rules, url_rules
+from tierloom.llm import decontaminate, jaccard_join, mixing, page_text, pii, quality_classifier, quality_rules, url_rules
 from tierloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,15 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_page_text")
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "class_id", "n_links", "group_id")
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"), ["doc_id"]).withColumn("contaminated", F.size("items") > 0)
