@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierloom.llm import decontaminate, jaccard_join, mixing, page_text, pii, quality_classifier, quality_rules, repeats, url_rules
+from tierloom.llm import decontaminate, jaccard_join, lm_scoring, mixing, page_text, pii, quality_classifier, quality_rules, repeats, url_rules
 from tierloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_repeats")
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
