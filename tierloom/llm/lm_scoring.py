@@ -11,7 +11,9 @@ gathered grows with the corpus. Long documents are scored in overlapping windows
 from __future__ import annotations
 
 import base64
+import functools
 import os
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +32,9 @@ WIDTH, HIDDEN, CLASSES = 16, 32, 256
 INPUTS = 2048
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 24 << 20
-#: Windows of the warm start at most, and the share of every block's windows that it trains on afterwards (one in so many).
-WARM_WINDOWS, SHARE = 49_152, 32
+#: Training reads stretches of so many words. The warm start takes about WARM_TEXTS documents and at most WARM_EACH
+#: stretches of each; afterwards every block trains on one in SHARE stretches of its training documents.
+STRETCH, WARM_TEXTS, WARM_EACH, SHARE = 64, 2_000, 4, 32
 BATCH = 64
 #: Share of the attention model in the probability of a word; what is left goes to corpus counts, of which DISCOUNT is
 #: taken off every training word and given to the attention model as well.
@@ -39,6 +42,7 @@ ATTENTION, DISCOUNT = 0.5, 0.5
 END_WORD = b""
 
 
+@functools.lru_cache(2)
 def subwords(path: str = TOKENIZER):
     """A byte-level tokenizer from a file of ranks."""
     import tiktoken
@@ -187,32 +191,71 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Sequence:
-    """All texts of a slice as one sequence of subwords, with the word each belongs to."""
-
-    def __init__(self, words: np.ndarray, per_text: np.ndarray, ids: np.ndarray, offsets: np.ndarray, classes: Classes):
-        lengths = offsets[1:] - offsets[:-1]
-        n = lengths[words]
-        ends = np.cumsum(n)
-        at = np.repeat(offsets[words] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        self.token = ids[at]
-        self.word_start = ends - n
-        bounds = np.concatenate(([0], np.cumsum(per_text)))
-        self.lengths = np.diff(np.concatenate(([0], ends))[bounds])
-        self.row = classes.row[self.token]
-        self.target = classes.of[self.token]
-        begin = np.cumsum(self.lengths) - self.lengths
+    """Texts, or stretches of them, as one sequence of subwords. ``opens`` tells which begin a text."""
+
+    def __init__(self, token: np.ndarray, lengths: np.ndarray, classes: Classes, opens: np.ndarray | None = None):
+        self.token, self.lengths = token, lengths
+        self.row, self.target = classes.row[token], classes.of[token]
+        begin = (np.cumsum(lengths) - lengths)[lengths > 0]
         self.before = np.empty_like(self.row)
         self.before[1:] = self.row[:-1]
-        self.before[begin[self.lengths > 0]] = INPUTS + 1
+        self.before[begin] = INPUTS + 1
+        self.known = np.ones(len(token), dtype=bool)
+        if opens is not None:
+            self.before[begin[~opens[lengths > 0]]] = INPUTS
+            self.known[begin[~opens[lengths > 0]]] = False
 
     def batch(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = start[:, None] + np.arange(WINDOW)
         inside = at < end[:, None]
         at = np.minimum(at, end[:, None] - 1)
-        return self.before[at], self.target[at], inside
+        return self.before[at], self.target[at], inside & self.known[at]
+
+
+def of_words(words: np.ndarray, per_text: np.ndarray, ids: np.ndarray, offsets: np.ndarray, classes: Classes) -> tuple[Sequence, np.ndarray]:
+    """The sequence of texts given as word numbers, and where each word begins in it."""
+    n = (offsets[1:] - offsets[:-1])[words]
+    ends = np.cumsum(n)
+    at = np.repeat(offsets[words] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    lengths = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))])
+    return Sequence(ids[at], lengths, classes), ends - n
+
+
+class Stretches:
+    """Collects the subwords of stretches of words, one stretch in ``share`` in turn."""
+
+    def __init__(self, path: str, share: int):
+        self.coder, self.end = subwords(path)
+        self.share, self.turn, self.cache = share, 0, {}
+        self.tokens: list[int] = []
+        self.lengths: list[int] = []
+        self.opens: list[bool] = []
+
+    def add(self, text: bytes, most: int | None = None) -> None:
+        words = text.lower().split()
+        n = len(words) // STRETCH + 1
+        for s in range(-self.turn % self.share, n if most is None else min(n, most), self.share):
+            before = len(self.tokens)
+            for w in words[s * STRETCH:(s + 1) * STRETCH]:
+                ids = self.cache.get(w)
+                if ids is None:
+                    if len(self.cache) > 200_000:
+                        self.cache.clear()
+                    ids = self.cache[w] = self.coder.encode_ordinary(" " + w.decode("utf-8", "replace"))
+                self.tokens += ids
+            if s == n - 1:
+                self.tokens.append(self.end)
+            self.lengths.append(len(self.tokens) - before)
+            self.opens.append(s == 0)
+        self.turn += n
+
+    def windows(self, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        seq = Sequence(np.array(self.tokens, dtype=np.int32), np.array(self.lengths, dtype=np.int64), classes, np.array(self.opens, dtype=bool))
+        start, _, end = windows(seq.lengths)
+        return seq.batch(start, end)
 
 
-def score_sequence(model: Model, seq: Sequence, classes: Classes, step: int = 256) -> np.ndarray:
+def score_sequence(model: Model, seq: Sequence, word_start: np.ndarray, classes: Classes, step: int = 256) -> np.ndarray:
     """Natural log probability of each word; every subword is scored in exactly one window."""
     start, number, end = windows(seq.lengths)
     each = np.zeros(len(seq.token), dtype=np.float64)
@@ -229,7 +272,7 @@ def score_sequence(model: Model, seq: Sequence, classes: Classes, step: int = 25
                 ok = inside[:, first:]
                 each[at[ok]] = got[ok]
     each += classes.log_inside[seq.token]
-    return np.add.reduceat(each, seq.word_start) if len(each) else each
+    return np.add.reduceat(each, word_start) if len(each) else each
 
 
 def word_logs(attention: np.ndarray, count: np.ndarray, n: int, v: int, share: float = ATTENTION, discount: float = DISCOUNT) -> np.ndarray:
@@ -290,16 +333,49 @@ def _words(rows: DataFrame) -> DataFrame:
     return rows.select("_block", "held_out", "_text").mapInArrow(run, "_block long, word binary, times long")
 
 
-def _with_ids(words: DataFrame, path: str) -> DataFrame:
-    """Add the subword ids of each word (with a space before it); the end has an id of its own."""
+def _known_words(words: DataFrame, path: str) -> DataFrame:
+    """Add to each word of a block its count in all training documents and its subword ids.
+
+    Words meet in one shuffle, which keeps them sorted: a word has one row per block.
+    ``first`` marks one row of each word. The end has an id of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = subwords(path)
-        for batch in batches:
-            found = [coder.encode_ordinary(" " + w.decode("utf-8", "replace")) if w else [end] for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+        held: list[pa.RecordBatch] = []
+
+        def told(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows).combine_chunks()
+            word = t.column("word").combine_chunks()
+            coded = word.dictionary_encode()
+            number, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            times = t.column("times").to_numpy()
+            c = np.bincount(number, weights=times, minlength=len(names)).astype(np.int64)
+            ids = pa.array([coder.encode_ordinary(" " + w.decode("utf-8", "replace")) if w else [end] for w in names], pa.list_(pa.int32()))
+            first = np.zeros(len(number), dtype=bool)
+            first[np.unique(number, return_index=True)[1]] = True
+            return pa.RecordBatch.from_arrays(
+                [t.column("_block").combine_chunks(), word, pa.array(times), pa.array(c[number]), ids.take(coded.indices), pa.array(first)],
+                names=["_block", "word", "times", "c", "ids", "first"])
 
-    return words.mapInArrow(run, "word binary, c long, ids array<int>")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column("word")[batch.num_rows - 1]
+            fresh = pa.compute.not_equal(batch.column("word"), last).to_numpy(zero_copy_only=False)
+            cut = int(len(fresh) - np.argmax(fresh[::-1])) if fresh.any() else 0
+            if cut:
+                yield told([*held, batch.slice(0, cut)])
+                held = []
+            elif held and held[-1].column("word")[held[-1].num_rows - 1] != last:
+                yield told(held)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield told(held)
+
+    dealt = words.repartition(parts(words), "word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "_block long, word binary, times long, c long, ids array<int>, first boolean")
 
 
 def _subword_counts(words: DataFrame, size: int) -> np.ndarray:
@@ -309,12 +385,12 @@ def _subword_counts(words: DataFrame, size: int) -> np.ndarray:
             ids = batch.column("ids")
             flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
             flat = flat[offsets[0]:offsets[-1]]
-            total += np.bincount(flat, weights=np.repeat(batch.column("c").to_numpy(), np.diff(offsets)), minlength=size).astype(np.int64)
+            total += np.bincount(flat, weights=np.repeat(batch.column("times").to_numpy(), np.diff(offsets)), minlength=size).astype(np.int64)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(total[own])], names=["id", "n"])
 
     out = np.zeros(size, dtype=np.int64)
-    for r in words.select("c", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in words.select("times", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]  # one row per subword of the tokenizer
     return out
 
@@ -353,21 +429,56 @@ def _slices_of(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, i
         yield begin, len(texts)
 
 
-def _training_windows(block: _Block, texts: list[bytes], classes: Classes, share: int, shift: int = 0):
-    """Every ``share``-th window of training texts."""
-    xs, ts, ms, tokens = [], [], [], 0
-    for a, b in _slices_of(texts):
-        words, per = block.read(texts[a:b])
-        seq = Sequence(words, per, block.ids, block.offsets, classes)
+def _warm_start(rows: DataFrame, classes: Classes, path: str, texts: int) -> Model:
+    """Train on the driver, on at most ``WARM_EACH`` stretches of about ``texts`` documents chosen by a hash."""
+    n = rows.count()
+    below = min((1 << 63) - 1, int((min(1.0, texts / max(n, 1)) * 2 - 1) * ((1 << 63) - 1)))
+    some = rows.filter(~F.col("held_out") & (F.xxhash64(F.lit(11), "_id", "_text") <= F.lit(below)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in utf8(batch.column("_text")):
+                own = Stretches(path, 1)
+                own.add(t, WARM_EACH)
+                yield pa.RecordBatch.from_arrays([pa.array([np.array(own.tokens, dtype=np.int32)], pa.list_(pa.int32())),
+                                                  pa.array([own.lengths], pa.list_(pa.int64())), pa.array([own.opens], pa.list_(pa.bool_()))],
+                                                 names=["tokens", "lengths", "opens"])
+
+    got = sorted(some.select("_text").mapInArrow(run, "tokens array<int>, lengths array<long>, opens array<boolean>").collect(),
+                 key=lambda r: zlib.crc32(np.array(r["tokens"], dtype=np.int32).tobytes()))
+    model = Model(log_class=classes.log_class)
+    if got:
+        seq = Sequence(np.array([i for r in got for i in r["tokens"]], dtype=np.int32), np.array([i for r in got for i in r["lengths"]], dtype=np.int64),
+                       classes, np.array([i for r in got for i in r["opens"]], dtype=bool))
         start, _, end = windows(seq.lengths)
-        x, t, m = seq.batch(start[shift % max(1, min(share, len(start)))::share], end[shift % max(1, min(share, len(start)))::share])
-        xs.append(x)
-        ts.append(t)
-        ms.append(m)
-        tokens += len(seq.token)
-    if not xs:
-        return None
-    return np.concatenate(xs), np.concatenate(ts), np.concatenate(ms), tokens
+        order = np.random.default_rng(5).permutation(len(start))
+        x, t, m = seq.batch(start[order], end[order])
+        model.train(x, t, m, 0.03, max(1, min(3, 50_000 // len(x))))
+    return model
+
+
+def _trained_blocks(rows: DataFrame, start, classes, path: str, share: int) -> DataFrame:
+    """Weights of each block after training on its share, times the tokens it trained on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own = None, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if own is not None and own.tokens:
+                model = Model(start.value).train(*own.windows(classes.value), 0.01)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(model.flat.astype(np.float64) * len(own.tokens)).tobytes()], pa.binary()), pa.array([len(own.tokens)], pa.int64())],
+                    names=["flat", "tokens"])
+
+        for batch in slices(batches, "_text"):
+            for b, t in zip(batch.column("_block").to_pylist(), utf8(batch.column("_text"))):
+                if b != block:
+                    yield from told()
+                    block, own = b, Stretches(path, share)
+                own.add(t)
+        yield from told()
+
+    return rows.filter(~F.col("held_out")).select("_block", "_text").mapInArrow(run, "flat binary, tokens long")
 
 
 def _averaged(weights: DataFrame) -> np.ndarray | None:
@@ -394,7 +505,7 @@ def _averaged(weights: DataFrame) -> np.ndarray | None:
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, block_bytes: int = BLOCK_BYTES,
-          share: int = SHARE, warm_windows: int = WARM_WINDOWS) -> DataFrame:
+          share: int = SHARE, warm_texts: int = WARM_TEXTS) -> DataFrame:
     """``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` per document.
 
     Lower-case A-Z; tokens are words and one end per document. The base score adds up
@@ -404,54 +515,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
     Repeated rows are scored alike. An empty table stays empty. ``tokenizer`` is a file that every executor has.
     """
     rows = _blocked(docs, doc_id, text, block_bytes)
-    words = stored(_words(rows), "words")
-    counted = words.groupBy("word").agg(F.sum("times").alias("c"))
-    vocabulary = stored(_with_ids(counted, tokenizer), "vocabulary")
-    seen = vocabulary.filter("c > 0").agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    per_block = stored(_known_words(_words(rows), tokenizer), "words")
+    seen = per_block.agg(F.count(F.when(F.col("first") & (F.col("c") > 0), 1)).alias("v"), F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()
     v, n = seen["v"], seen["n"]
-    size = subwords(tokenizer)[1] + 1
-    classes = Classes(_subword_counts(vocabulary, size))
+    classes = Classes(_subword_counts(per_block, subwords(tokenizer)[1] + 1))
     spark = docs.sparkSession
-    known = words.select("_block", "word").join(vocabulary, "word")
-    per_block = stored(known.repartition(parts(docs), "_block"), "block_words")
     shared_classes = spark.sparkContext.broadcast(classes)  # three numbers per subword of the tokenizer
-
-    def grouped(fn, out: str) -> DataFrame:
-        return rows.groupBy("_block").cogroup(per_block.groupBy("_block")).applyInArrow(fn, out)
-
-    # Warm start: the same number of windows from each of some blocks, bounded in all.
-    blocks = [r["_block"] for r in per_block.select("_block").distinct().limit(16).collect()]
-
-    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept = left.filter(pa.compute.invert(left.column("held_out")))
-        got = _training_windows(_Block(right), utf8(kept.column("_text").combine_chunks()), shared_classes.value, 1) if len(kept) else None
-        each = -(-warm_windows // max(len(blocks), 1))
-        if got is None:
-            return pa.table({"x": pa.array([], pa.binary()), "t": pa.array([], pa.binary()), "m": pa.array([], pa.binary())})
-        pick = np.unique(np.linspace(0, len(got[0]) - 1, min(each, len(got[0]))).astype(int))
-        x, t, m = (a[pick] for a in got[:3])
-        return pa.table({"x": pa.array([r.astype(np.int32).tobytes() for r in x], pa.binary()), "t": pa.array([r.astype(np.int32).tobytes() for r in t], pa.binary()),
-                         "m": pa.array([r.tobytes() for r in m], pa.binary())})
-
-    some = F.col("_block").isin(blocks)
-    warm = rows.filter(some).groupBy("_block").cogroup(per_block.filter(some).groupBy("_block")).applyInArrow(gather, "x binary, t binary, m binary").collect()
-    model = Model(log_class=classes.log_class)
-    if warm:
-        warm.sort(key=lambda r: hash_order(r["x"]))
-        x, t = (np.stack([np.frombuffer(r[c], dtype=np.int32) for r in warm]) for c in ("x", "t"))
-        model.train(x, t, np.stack([np.frombuffer(r["m"], dtype=bool) for r in warm]), 0.03, max(1, min(3, warm_windows // len(x))))
-    start = spark.sparkContext.broadcast(model.flat)  # Model.size numbers
-
-    def local(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept = left.filter(pa.compute.invert(left.column("held_out")))
-        got = _training_windows(_Block(right), utf8(kept.column("_text").combine_chunks()), shared_classes.value, share, 5) if len(kept) else None
-        if got is None or not len(got[0]):
-            return pa.table({"flat": pa.array([], pa.binary()), "tokens": pa.array([], pa.int64())})
-        own = Model(start.value).train(*got[:3], 0.01)
-        return pa.table({"flat": pa.array([(own.flat.astype(np.float64) * got[3]).tobytes()], pa.binary()), "tokens": pa.array([got[3]], pa.int64())})
-
-    mean = _averaged(grouped(local, "flat binary, tokens long"))
-    final = spark.sparkContext.broadcast(model.flat if mean is None else mean)
+    model = _warm_start(rows, classes, tokenizer, warm_texts)
+    mean = _averaged(_trained_blocks(rows, spark.sparkContext.broadcast(model.flat), shared_classes, tokenizer, share))
+    final = spark.sparkContext.broadcast(model.flat if mean is None else mean)  # Model.size numbers
     below = n + 0.1 * (v + 1)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -466,19 +538,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
             out["n_tokens"].append(per)
             out["n_known"].append(np.add.reduceat((block.count[words_of] > 0).astype(np.int64), first))
             out["base_score"].append(np.add.reduceat(log_word[words_of], first))
-            seq = Sequence(words_of, per, block.ids, block.offsets, shared_classes.value)
-            logs = word_logs(score_sequence(own, seq, shared_classes.value), block.count[words_of], n, v)
+            seq, word_start = of_words(words_of, per, block.ids, block.offsets, shared_classes.value)
+            logs = word_logs(score_sequence(own, seq, word_start, shared_classes.value), block.count[words_of], n, v)
             out["score"].append(np.add.reduceat(logs, first))
         columns = {k: pa.array(np.concatenate(c)) for k, c in out.items()}
         return pa.table({"id": left.column("_id"), "held_out": left.column("held_out"), "n_tokens": columns["n_tokens"], "n_known": columns["n_known"],
                          "train_tokens": pa.array([n] * len(left), pa.int64()), "base_score": columns["base_score"], "score": columns["score"]})
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return grouped(judge, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def hash_order(window: bytes) -> int:
-    """A fixed shuffled order of windows."""
-    import zlib
-
-    return zlib.crc32(window)
+    lean = per_block.select("_block", "word", "c", "ids")
+    return rows.groupBy("_block").cogroup(lean.groupBy("_block")).applyInArrow(judge, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

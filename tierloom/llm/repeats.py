@@ -145,10 +145,9 @@ def _surroundings(docs: DataFrame, open_anchors: DataFrame, text: str, length: i
                                              names=["bucket", "low", "high", "left", "bytes", "key", "n", "pos", "settled"])
 
     texts = docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n"), F.col(text).alias("_text"))
-    # Copies of a text would bring the same bytes again.
-    rows = texts.join(wanted, ["key", "n"]).mapInArrow(
-        run, "bucket long, low long, high long, left long, bytes binary, key long, n long, pos long, settled boolean")
-    return rows.dropDuplicates(["bucket", "key", "n", "pos"])
+    # Copies of a text would bring the same bytes again; the join has put them side by side.
+    rows = texts.join(wanted, ["key", "n"]).dropDuplicates(["key", "n"]).select("key", "n", "_text", "_at")
+    return rows.mapInArrow(run, "bucket long, low long, high long, left long, bytes binary, key long, n long, pos long, settled boolean")
 
 
 def _halves(rows: DataFrame, length: int) -> DataFrame:
@@ -251,17 +250,15 @@ def covered(docs: DataFrame, length: int = 200, text: str = "text", members: int
     rows = stored(_surroundings(docs, still, text, length), "refine")
     out = inside.union(whole)
     while True:
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-        sized = rows.join(sizes, "bucket")
-        few = sized.filter(F.col("_size") <= members).drop("_size")
-        out = out.union(_covered_by_comparison(few.filter("low < high"), length, members))
-        many = sized.filter((F.col("_size") > members) & (F.col("low") < F.col("high"))).drop("_size")
+        large = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > members).select("bucket"), "large")
+        if not large.limit(1).count():
+            return out.union(_covered_by_comparison(rows, length, members)).distinct()
+        out = out.union(_covered_by_comparison(rows.join(large, "bucket", "left_anti").select(rows.columns), length, members))
+        many = rows.join(large, "bucket", "left_semi").select(rows.columns)
         # One offset left: members of a bucket hold the same string.
-        equal = sized.filter("low = high")
+        equal = many.filter("low = high")
         out = out.union(equal.select("key", "n", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")))
-        if not sizes.filter(F.col("_size") > members).limit(1).count() or not many.limit(1).count():
-            return out.distinct()
-        rows = stored(_halves(many, length), "refine")
+        rows = stored(_halves(many.filter("low < high"), length), "refine")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, keep: Sequence[str] | None = None, text: str = "text",
