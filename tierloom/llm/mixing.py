@@ -46,9 +46,10 @@ def targets(sizes: DataFrame, weights: Sequence[int], repeats: int) -> DataFrame
         .withColumn("_caps", F.coalesce(F.sum("_cap").over(by_ratio), F.lit(0)))
         .withColumn("_below", F.coalesce(F.sum("_w").over(by_ratio), F.lit(0)))
         .withColumn("_level", level)
-        .withColumn("_level", F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(every))
+        # Levels rise while a cap is exceeded and fall from the first source whose share fits: the largest is the level.
+        .withColumn("_level", F.max("_level").over(every))
         .select("source", "source_size", "_all", F.least(
-            F.col("_cap").cast("double"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap").cast("double"))).alias("target"))
+            F.col("_cap").cast("double"), F.col("_level") * F.col("_w")).alias("target"))
     )
 
 

@@ -128,7 +128,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_labellers(patterns: dict[str, int], bad_votes: Sequence[tuple[float, float]], prior: float = 0.1,
                   rounds: int = 200) -> tuple[float, np.ndarray, dict[str, float]]:
-    """EM for a prior and each labeller's chances of voting bad, good or nothing per class.
+    """EM for each labeller's chances of voting bad, good or nothing per class; the share of bad is given.
+
+    The share is not estimated: most documents have no vote, and those that have one say nothing about the others.
 
     ``bad_votes`` has a starting chance (in good, in bad documents) of a bad vote for each labeller; good
     votes start as the mirror image. Votes are taken as independent given the class; abstaining says nothing, so a
@@ -148,7 +150,6 @@ def fit_labellers(patterns: dict[str, int], bad_votes: Sequence[tuple[float, flo
         for k, weight in enumerate((n * (1 - post), n * post)):
             counts = np.einsum("k,klv->lv", weight, one_hot) + 0.5
             tables[k] = counts / counts.sum(1, keepdims=True)
-        prior = float(np.clip((n * post).sum() / n.sum(), 1e-6, 1 - 1e-6))
         told = np.log(tables[1, :, 1:] / tables[0, :, 1:])
         odds = math.log(prior / (1 - prior)) + np.einsum("klv,lv->k", spoken, told)
         fresh = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))

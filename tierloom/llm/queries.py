@@ -56,8 +56,7 @@ leveled AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS everyt
   WINDOW o AS (ORDER BY (3 * source_size)::DOUBLE / w, 3 * source_size, source IS NULL, source
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, (everything - caps)::DOUBLE / (ws - below)::DOUBLE AS l FROM leveled),
-aim AS (SELECT source, source_size, everything, least(cap::DOUBLE, coalesce(
-    (min(CASE WHEN l * w <= cap THEN l END) OVER ()) * w, cap::DOUBLE)) AS target FROM levels),
+aim AS (SELECT source, source_size, everything, least(cap::DOUBLE, (max(l) OVER ()) * w) AS target FROM levels),
 placed AS (SELECT d.*, a.source_size, a.everything, a.target,
     sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM docs d JOIN aim a ON d.source IS NOT DISTINCT FROM a.source),
