@@ -207,3 +207,11 @@ def test_incremental_alignment(spark, folder):
 
     assert feed([(1, 0, 0, 500, "a")]) == ["1_00000000"]
     assert feed([(1, 0, 700, 900, "again"), (2, 0, 40, 80, "b")]) == ["1_00000000", "2_00000040"]
+
+
+def test_similarity_search_with_text_ids(spark):
+    from tierloom.operators.search import find_similar
+
+    index = spark.createDataFrame([("s_2", "a", [1.0, 0.0]), ("s_1", "a", [1.0, 0.0]), ("s_3", "b", [0.0, 1.0])], "id string, label string, vector array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0])], "query_id long, query array<double>")
+    assert [tuple(r) for r in find_similar(index, queries).orderBy("rank").collect()] == [(1, 1, "a", "s_1", 1.0), (1, 2, "b", "s_3", 0.0)]

@@ -64,7 +64,7 @@ def with_blocks(rows: DataFrame, probes: DataFrame, key: str, vector: str) -> tu
 
 
 def find_similar(index: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
-    """Most similar labels per query: best row of each label, ``top`` labels, 4 digits.
+    """Most similar labels per query: best row of each label (ties to the smallest id, of any type), ``top`` labels, 4 digits.
 
     ``index``: id, label, vector of unit length; ``queries``: query_id, query (vector). Each
     index row is read once per query block; the best row per (query, label) is a partial
@@ -74,11 +74,11 @@ def find_similar(index: DataFrame, queries: DataFrame, top: int = 5) -> DataFram
     scored = scored.select("id", "label", "vector", F.explode("block").alias("q")).select(
         F.col("q.query_id").alias("query_id"), "id", "label", dot(F.col("vector"), F.col("q.query")).alias("similarity"))
     best = scored.groupBy("query_id", "label").agg(
-        F.max(F.struct("similarity", (-F.col("id")).alias("neg"))).alias("b"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b.similarity"), "label"))
+        F.min(F.struct((-F.col("similarity")).alias("distance"), "id")).alias("b"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("b.distance", "label"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= top).select(
-        "query_id", F.col("rank").cast("long").alias("rank"), "label", (-F.col("b.neg")).alias("id"),
-        F.bround("b.similarity", 4).alias("similarity"))
+        "query_id", F.col("rank").cast("long").alias("rank"), "label", F.col("b.id").alias("id"),
+        F.bround(-F.col("b.distance"), 4).alias("similarity"))
 
 
 def classify(rows: DataFrame, centres: DataFrame, identity: str = "id", vector: str = "vector") -> DataFrame:
