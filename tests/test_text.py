@@ -113,3 +113,13 @@ def test_fixed_layouts(spark):
     df = spark.createDataFrame([(w,) for w in (288, 192, 864, 576, 444, 1332, 888, 296, 522, 7)], "w int")
     got = [r[0] for r in df.select(L.preset_for_width(F.col("w"))).collect()]
     assert got == ["compact"] * 4 + ["extended"] * 4 + ["full", None]
+
+
+def test_numeric_references_with_leading_zeros(spark):
+    import html
+
+    from tierloom.functions.text import decode_entities
+
+    given = ["&#0000000065;", "&#x000000000000000000000000000000000000000000041;", "&#0;", "&#x0;", "&#99999999999;", "&#xFFFFFFFFFF;", "&#xA9", "&#65"]
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", decode_entities("t").alias("d")).collect()
+    assert {r["t"]: r["d"] for r in rows} == {t: html.unescape(t) for t in given}

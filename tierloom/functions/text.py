@@ -129,7 +129,9 @@ def _entity(piece: Column) -> Column:
     full = F.nullif(F.regexp_extract(piece, "^([0-9A-Za-z]{1,31};)", 1), F.lit(""))
     short = F.nullif(F.regexp_extract(piece, f"^({old})", 1), F.lit(""))
     number = F.regexp_extract(piece, "^#([xX][0-9A-Fa-f]+|[0-9]+);?", 1)
-    digits = F.when(number.rlike("^[xX]"), F.conv(F.substring(number, 2, 40), 16, 10)).otherwise(number)
+    bare = F.regexp_replace(number, "^[xX]?0*(?=[0-9A-Fa-f])", "")
+    hexadecimal = F.when(F.length(bare) <= 8, F.conv(bare, 16, 10)).otherwise("9999999999")
+    digits = F.when(number.rlike("^[xX]"), hexadecimal).otherwise(bare)
     # More digits than any code point has mean an invalid one.
     code = F.when(F.length(digits) > 9, 0x110000).otherwise(digits.try_cast("long"))
     by_full, by_short = F.try_element_at(named, full), F.try_element_at(named, short)
