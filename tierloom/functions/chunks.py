@@ -221,5 +221,6 @@ def fold_groups(df: DataFrame, keys: Sequence[str], pos: str, item: Sequence[str
         current = again
         if settled:
             break
-    final = current.groupBy(*keys).agg(F.max("chunk").alias("_final"))
-    return shaped(current.join(final, keys), F.col("chunk") == F.col("_final"))
+    # By chunk as well, so that the arrays of a long group stay apart.
+    final = current.groupBy(*keys).agg(F.max("chunk").alias("chunk")).withColumn("_final", F.lit(True))
+    return shaped(current.join(final, [*keys, "chunk"], "left"), F.coalesce("_final", F.lit(False)))

@@ -194,10 +194,10 @@ def angle_by_degrees(stem: Column | str) -> Column:
     return F.when(stem.contains("_60_"), "front").when(stem.contains("_90_"), "side").otherwise("unknown")
 
 
-def dictionary_label(name: Column, translation: Column, stem: Column) -> Column:
-    """Entry name unless it is a number tag (language code and number), else translation, else the file stem."""
+def dictionary_label(name: Column, translation: Column, stem: Column, tag: str) -> Column:
+    """Entry name unless it is a number tag (``tag-123``), else translation, else the file stem."""
     tail = F.when(stem.contains("_"), F.regexp_replace(stem, "^[^_]*_", "")).otherwise(stem)
-    return plain_label(F.when(~blank_text(name) & ~name.rlike(r"^[a-z]{3}-\d+$"), name)
+    return plain_label(F.when(~blank_text(name) & ~name.rlike(rf"^{tag}-\d+$"), name)
                        .when(~blank_text(translation), translation).otherwise(tail))
 
 

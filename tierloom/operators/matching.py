@@ -489,12 +489,19 @@ def category_by_prefix(segments: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def videos_with_articles(videos: DataFrame, articles: DataFrame) -> DataFrame:
-    """Videos joined to the article whose video id is the second part of the file name; last article wins."""
+    """Videos that have an article, with the article whose video id is the second part of the file name; last article wins."""
     latest = last_per(articles.filter(F.col("youtube_id").isNotNull()), ["youtube_id"], "row_no", ["title", "date", "text"])
-    named = videos.withColumn("youtube_id", F.try_element_at(F.split("video_file", "_", 3), F.lit(2)))
-    named = named.withColumn("youtube_id", F.regexp_replace("youtube_id", r"\.mp4$", ""))
-    return named.filter(F.col("youtube_id").isNotNull()).join(latest, "youtube_id", "left").withColumn(
-        "text_len", F.length("text").cast("long"))
+    return _with_video_id(videos).join(latest, "youtube_id").withColumn("text_len", F.length("text").cast("long"))
+
+
+def _with_video_id(videos: DataFrame) -> DataFrame:
+    part = F.try_element_at(F.split("video_file", "_", 3), F.lit(2))
+    return videos.withColumn("youtube_id", F.regexp_replace(part, r"\.mp4$", "")).filter(F.col("youtube_id").isNotNull())
+
+
+def videos_without_article(videos: DataFrame, articles: DataFrame) -> DataFrame:
+    """Number of videos with an id that no article has."""
+    return _with_video_id(videos).join(articles.select("youtube_id"), "youtube_id", "left_anti").agg(F.count(F.lit(1)).alias("n_unmatched"))
 
 
 def prefer_extended(manifest: DataFrame, extended: DataFrame, source: str = "existing") -> DataFrame:

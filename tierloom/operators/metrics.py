@@ -23,12 +23,15 @@ def confusion(scored: DataFrame) -> DataFrame:
 
 
 def confusion_grid(scored: DataFrame, classes: DataFrame, most: int = MATRIX_CLASSES) -> DataFrame:
-    """All class pairs with zeros, for at most ``most`` classes; empty above that.
+    """All class pairs with zeros, the dense form of ``confusion``, for at most ``most`` classes.
 
-    The class list is one array of at most ``most + 1`` names, so the grid is bounded.
+    Above that it raises: the sparse counts of ``confusion`` hold for any number of classes. The class list is
+    one array of at most ``most`` names, so the grid is bounded.
     """
-    few = classes.select("label").distinct().orderBy("label").limit(most + 1)
-    names = few.agg(F.array_sort(F.collect_list("label")).alias("names")).filter(F.size("names") <= most)
+    few = classes.select("label").distinct().limit(most + 1)
+    if few.count() > most:
+        raise ValueError(f"more than {most} classes; use confusion()")
+    names = few.agg(F.array_sort(F.collect_list("label")).alias("names"))
     grid = names.select("names", F.explode("names").alias("truth")).select("truth", F.explode("names").alias("predicted"))
     return grid.join(confusion(scored), ["truth", "predicted"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0).cast("long")))

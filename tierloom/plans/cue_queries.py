@@ -235,7 +235,7 @@ def clean_recognised(b):
 
 @query("b13_import_single_signs", r"""WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_partkey || '_' || p_name END AS stem,
       p_name AS label, CAST(25 AS DOUBLE) AS fps, p_partkey % 120 AS n FROM part),
-    d AS (SELECT *, CAST(floor(n / fps * 1000) AS BIGINT) AS dur, string_split(label, ' ') AS words FROM v WHERE n > 0 AND p_partkey % 7 <> 0),
+    d AS (SELECT *, CAST(floor(n / fps * 1000) AS BIGINT) AS dur, string_split(label, ' ') AS words FROM v WHERE n > 0 AND (p_partkey % 7 <> 0 OR p_partkey % 3 = 0)),
     w AS (SELECT *, CAST(floor(dur * 0.10::DOUBLE) AS BIGINT) AS trim_ms FROM d),
     e AS (SELECT *, greatest(dur - 2 * trim_ms, 1) AS active, unnest(range(len(words))) AS i FROM w WHERE len(words) >= 2),
     p AS (SELECT *, trim_ms + active * i // len(words) AS s, trim_ms + active * (i + 1) // len(words) AS en FROM e)
@@ -251,8 +251,7 @@ def import_single_signs(b):
         key, F.when(key % 3 == 0, F.col("p_name")).otherwise(F.concat_ws("_", key.cast("string"), "p_name")).alias("stem"),
         F.lit(25.0).alias("fps"), (key % 120).alias("n_frames"))
     known = videos.filter("p_partkey % 7 = 0 and p_partkey % 3 <> 0")
-    dropped = videos.filter("not (p_partkey % 7 = 0 and p_partkey % 3 = 0)")
-    return C.import_single_signs(dropped.drop("p_partkey"), known)
+    return C.import_single_signs(videos.drop("p_partkey"), known)
 
 
 @query("b14_whole_video_cues", """SELECT stem, d AS duration_ms FROM (SELECT l_orderkey AS stem, count(*) AS n,

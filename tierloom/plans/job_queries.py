@@ -23,7 +23,7 @@ from tierloom.streaming import incremental as ST
 @query("j06_train_baseline")
 def train_baseline(b):
     rows = split_per_label(MQ.vectors(b), "id")
-    return LE.train_baseline(rows, iterations=10).classes
+    return LE.train_baseline(rows).classes
 
 
 @query("j07_retrain_cycle")

@@ -497,25 +497,32 @@ def category_by_prefix(b):
 
 
 ARTICLES_SQL = """art AS (SELECT 'v' || (doc_id // 2) AS youtube_id, arg_max(source, doc_id) AS title, arg_max(lang, doc_id) AS date, arg_max(text, doc_id) AS text FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1),
-    vid AS (SELECT '20240101_v' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '_Title_x' ELSE '' END || '.mp4' AS video_file, 'v' || o_orderkey AS youtube_id FROM orders WHERE o_orderkey < (SELECT count(*) FROM documents))"""
+    vid AS (SELECT '20240101_v' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '_Title_x' ELSE '' END || '.mp4' AS video_file, 'v' || o_orderkey AS youtube_id FROM orders)"""
 
 
-def article_videos(b):
+def videos_and_articles(b):
     articles = b.table("documents").select(F.col("doc_id").alias("row_no"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("v"), F.floor(F.col("doc_id") / 2).cast("string"))).alias("youtube_id"),
                                            F.col("source").alias("title"), F.col("lang").alias("date"), "text")
     key = F.col("o_orderkey")
-    n = b.table("documents").agg(F.count(F.lit(1)).alias("n"))
-    last = n.first()["n"]
-    videos = b.table("orders").filter(key < last).select(
+    videos = b.table("orders").select(
         F.concat(F.lit("20240101_v"), key.cast("string"), F.when(key % 2 == 0, "_Title_x").otherwise(""), F.lit(".mp4")).alias("video_file"))
-    return M.videos_with_articles(videos, articles)
+    return videos, articles
+
+
+def article_videos(b):
+    return M.videos_with_articles(*videos_and_articles(b))
 
 
-@query("f19_videos_with_articles", f"WITH {ARTICLES_SQL} SELECT video_file, youtube_id, title, date, length(text) AS text_len FROM vid LEFT JOIN art USING (youtube_id)")
+@query("f19_videos_with_articles", f"WITH {ARTICLES_SQL} SELECT video_file, youtube_id, title, date, length(text) AS text_len FROM vid JOIN art USING (youtube_id)")
 def videos_with_articles(b):
     return article_videos(b).select("video_file", "youtube_id", "title", "date", "text_len")
 
 
+@query("f19_unmatched_videos", f"WITH {ARTICLES_SQL} SELECT count(*) AS n_unmatched FROM vid ANTI JOIN art USING (youtube_id)")
+def unmatched_videos(b):
+    return M.videos_without_article(*videos_and_articles(b))
+
+
 @query("f20_prefer_extended", """SELECT p_partkey AS segment_id, CASE WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN '/ext/' || p_partkey ELSE '/small/' || p_partkey END AS npz_path,
       CASE WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN 148 WHEN p_size > 40 THEN 174 ELSE 96 END AS n_landmarks FROM part""")
 def prefer_extended(b):

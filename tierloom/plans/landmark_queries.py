@@ -108,7 +108,7 @@ def wrist_position(b):
 
 
 SEGMENTS_SQL = """segs AS (SELECT clip, clip || '_' || n AS segment_id, n * 800 AS start_ms,
-      n * 800 + 760 AS end_ms FROM (SELECT DISTINCT clip FROM signal), (SELECT unnest(range(4)) AS n)),
+      n * 800 + 760 AS end_ms FROM (SELECT clip, unnest(range((count(*) - 1) // 20 + 1)) AS n FROM signal GROUP BY clip)),
     ranges AS (SELECT segment_id, s.clip, start_ms AS seg_start, t,
         least(CAST(floor(start_ms * 25.0 / 1000) AS BIGINT), t - 1) AS fs,
         least(CAST(floor(end_ms * 25.0 / 1000) AS BIGINT), t - 1) AS fe
@@ -128,7 +128,7 @@ SEGMENTS_SQL = """segs AS (SELECT clip, clip || '_' || n AS segment_id, n * 800
 def detect_in_segments(b):
     sig = b.hand_signal_table
     clips = sig.groupBy("clip").agg(F.max("fps").alias("fps"), F.count(F.lit(1)).alias("n_frames"))
-    n = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")
+    n = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_frames") - 1) / 20).cast("int"))).alias("n")
     segs = clips.select("clip", n).select(
         F.concat_ws("_", F.col("clip").cast("string"), F.col("n").cast("string")).alias("segment_id"), "clip",
         (F.col("n") * 800).cast("long").alias("start_ms"), (F.col("n") * 800 + 760).cast("long").alias("end_ms"))
@@ -265,13 +265,13 @@ def visible_box(b):
 CUTS_SQL = """cuts AS (SELECT clip, clip || '_' || lpad(CAST(n * 400 AS VARCHAR), 8, '0') AS segment_id,
       least(CAST(floor(n * 400 * 25.0 / 1000) AS BIGINT), t - 1) AS fs,
       least(CAST(floor((n * 400 + 350) * 25.0 / 1000) AS BIGINT), t - 1) AS fe, t
-    FROM (SELECT clip, count(DISTINCT frame) AS t FROM pose GROUP BY clip), (SELECT unnest(range(5)) AS n))"""
+    FROM (SELECT clip, t, unnest(range((t - 1) // 10 + 1)) AS n FROM (SELECT clip, count(DISTINCT frame) AS t FROM pose GROUP BY clip)))"""
 
 
 def clip_segments(b):
-    """Five time ranges per clip with frames cut to the clip."""
+    """Time ranges over the whole clip, one every ten frames, with frames cut to the clip."""
     clips = b.pose.groupBy("clip").agg(F.count(F.lit(1)).alias("t"))
-    n = clips.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    n = clips.withColumn("n", F.explode(F.sequence(F.lit(0), F.floor((F.col("t") - 1) / 10).cast("int"))))
 
     def frame(ms):
         return F.least(F.floor(ms * 25.0 / 1000).cast("long"), F.col("t") - 1)

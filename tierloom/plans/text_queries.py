@@ -173,7 +173,7 @@ def dictionary_label(b):
     name = F.when(n == 0, F.col("p_name")).when(n == 1, F.concat(F.lit("abc-"), "p_partkey")).otherwise("")
     translation = F.when((n == 1) | (n == 3), F.col("p_type")).otherwise("")
     stem = F.concat(F.lit("A_"), "p_brand")
-    return b.table("part").select("p_partkey", T.dictionary_label(name, translation, stem).alias("label"))
+    return b.table("part").select("p_partkey", T.dictionary_label(name, translation, stem, "abc").alias("label"))
 
 
 STEM = """CASE o_orderkey % 4 WHEN 0 THEN concat('video', o_orderkey) WHEN 1 THEN concat('video', o_orderkey - 1, '_60')
