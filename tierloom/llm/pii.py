@@ -120,14 +120,17 @@ def disclosures(docs: DataFrame, bits: float = 6.0, chance: float = 0.5, context
     """``entity``, ``term``, ``chance`` and ``bits`` of the pairs above the thresholds.
 
     Chances are counted over distinct texts, so plain copies prove nothing. A term needs ``contexts``
-    different surroundings of the entity. How often a term occurs at all is counted over every
-    document, for the terms that pass the first test.
+    different surroundings of the entity. Texts that hold a term near any entity bound its number of
+    texts from below, so terms that already fail the chance by them need no look at the corpus. How often the
+    others occur at all is counted over every document.
     """
     pairs = stored(_mentions(docs, text).distinct(), "mentions")
     per_pair = (
         pairs.groupBy("entity", "term").agg(F.approx_count_distinct("around", 0.02).alias("contexts"), F.countDistinct("_key").alias("both"))
         .filter(F.col("contexts") >= contexts)
     )
+    near = pairs.groupBy("term").agg(F.countDistinct("_key").alias("near"))
+    per_pair = per_pair.join(near, "term").filter(F.col("both") >= chance * F.col("near"))
     candidates = stored(per_pair, "pairs")
     n = docs.select(F.xxhash64(text).alias("_key")).distinct().count()
     terms = candidates.select("term").distinct()
@@ -138,7 +141,7 @@ def disclosures(docs: DataFrame, bits: float = 6.0, chance: float = 0.5, context
             .groupBy("term").agg(F.countDistinct("_key").alias("of_term"))
         )
         of_entity = pairs.groupBy("entity").agg(F.countDistinct("_key").alias("of_entity"))
-        p = F.col("both") / F.greatest("of_term", "both")
+        p = F.col("both") / F.greatest("of_term", "near")
         return (
             candidates.join(seen, "term").join(of_entity, "entity")
             .withColumn("chance", p).withColumn("bits", F.log2(p * n / F.col("of_entity")))
