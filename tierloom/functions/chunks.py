@@ -180,7 +180,8 @@ def fold_groups(df: DataFrame, keys: Sequence[str], pos: str, item: Sequence[str
     state. Chunks are folded again with the exit state of the chunk before until
     no exit state changes, which gives exactly the sequential result: chunk 0 is
     right after the first pass, and a chunk is right one pass after its
-    predecessor. Folds that forget their past quickly settle in two or three passes.
+    predecessor. A state that carries a start
+    or a phase moves one chunk a pass, so a long group takes up to as many passes as it has chunks.
 
     Result: keys, ``chunk``, ``out`` (array), ``state`` (exit state), ``is_last``.
     """
