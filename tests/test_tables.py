@@ -35,6 +35,18 @@ def test_webvtt_round_trip(spark, folder):
     assert [(r["stem"], r["start_ms"], r["end_ms"], r["text"]) for r in got] == [("a", 0, 1500, "one"), ("a", 2000, 2500, "two\nlines")]
 
 
+def test_webvtt_documents_stay_whole(spark, folder):
+    rows = [(f"v{v}", i, i * 1000, i * 1000 + 500, f"t{i}") for v in range(30) for i in range(40)]
+    cues = spark.createDataFrame(rows, "stem string, cue_no bigint, start_ms bigint, end_ms bigint, text string").repartition(8)
+    subtitles.write_webvtt(cues, f"{folder}/out")
+    files = spark.read.text(f"{folder}/out", wholetext=True).groupBy("stem", "piece").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("text")).collect()
+    assert len(files) == 30 and all(r["n"] == 1 and r["piece"] == 0 and r["text"].startswith("WEBVTT\n\n1\n00:00:00.000") for r in files)
+    assert all([int(x) for x in re.findall(r"(?m)^t(\d+)$", r["text"])] == list(range(40)) for r in files)
+    subtitles.write_webvtt(cues, f"{folder}/cut", most=16)
+    cut = spark.read.text(f"{folder}/cut", wholetext=True).groupBy("stem", "piece").count().collect()
+    assert len(cut) == 90 and all(r["count"] == 1 for r in cut)
+
+
 def test_webvtt_pattern_is_that_of_the_format(spark, folder):
     text = ("WEBVTT\n\n00:01.000 --> 00:02.000\nshort hour\n\n00:00:01.000 --> 00:00:02.000\n  \n\n"
             "00:00:03.000 -->  00:00:04.250\nlast\n\n\n1\n00:01:03.000 --> 00:01:04.250 \na\nb\n")

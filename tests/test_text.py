@@ -101,6 +101,9 @@ def test_next_id_and_edits(spark):
     bases = spark.createDataFrame([("a",), ("b",), ("",), ("new",)], "base string")
     got = {r["base"]: r["gloss_id"] for r in G.next_gloss_id(bases, "base", g).collect()}
     assert got == {"a": "A-2", "b": "B-1", "": "SIGN-1", "new": "NEW-1"}
+    many = spark.createDataFrame([(f"A-{n}",) for n in range(1, 1201)] + [("B-1000000",), ("C-01",)], "gloss_id string")
+    got = {r["base"]: r["gloss_id"] for r in G.next_gloss_id(bases, "base", many).collect()}
+    assert got == {"a": "A-1201", "b": "B-1", "": "SIGN-1", "new": "NEW-1"}
     entry = spark.createDataFrame([(" c-1 ", "lemma", ["lemma", "form", " "])], "gloss_id string, lemma string, forms array<string>")
     rows = G.add_glosses(G.remove_glosses(g, spark.createDataFrame([("A-1",)], "gloss_id string")), entry).collect()
     assert sorted((r["gloss_id"], r["form"], r["form_no"]) for r in rows) == [

@@ -96,6 +96,16 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], bucket: Column, order: Se
     )
 
 
+def rank_by_range(df: DataFrame, order: Sequence[Column], out: str = "pos") -> DataFrame:
+    """``row_number() - 1`` over a whole table without sorting it in one task.
+
+    Rows are dealt by ranges of the whole order, so a common prefix or a value that many rows share
+    does not fill one task. The ranges are sampled, hence checkpointed: a retry must not deal them anew.
+    """
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return rank_in_groups(dealt, [], F.col("_range"), order, out).drop("_range")
+
+
 def next_rows(df: DataFrame, keys: Sequence[str], pos: str, columns: Sequence[str],
               step: int = 1, prefix: str = "next_") -> DataFrame:
     """Attach ``columns`` of the row ``step`` places later, by an equi join on position."""

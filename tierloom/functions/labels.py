@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.functions.chunks import rank_in_groups
+from tierloom.functions.chunks import rank_by_range
 
 
 def label_codes(labels: DataFrame, label: str = "label") -> DataFrame:
     """Distinct labels numbered from 0 in code-point order.
 
-    Distinct labels are ranked inside their three-character prefix, so no task sorts
-    all of them.
+    Distinct labels are ranked inside ranges of themselves, so no task sorts all of them,
+    however alike they begin.
     """
     distinct = labels.select(label).filter(F.col(label).isNotNull()).distinct()
-    return rank_in_groups(distinct, [], F.substring(label, 1, 3), [F.col(label)], "code")
+    return rank_by_range(distinct, [F.col(label)], "code")
 
 
 def encode(rows: DataFrame, codes: DataFrame, label: str = "label") -> DataFrame:

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tierloom.functions.chunks import rank_in_groups
+from tierloom.functions.chunks import rank_by_range, rank_in_groups
 from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import strip
 
@@ -100,12 +99,13 @@ def leaderboard(recordings: DataFrame, limit: int = 10) -> DataFrame:
 def add_themes(themes: DataFrame, new: DataFrame) -> DataFrame:
     """Append themes (name, emoji, sort_order); sort order 0 means after the last one.
 
-    Names that exist are found, not created again. A request is a short list.
+    Names that exist are found, not created again. New ones are numbered in the order of their names.
     """
     fresh = new.dropDuplicates(["name"]).join(themes.select("name"), "name", "left_anti")
-    last = themes.agg(F.max("theme_id").alias("_id"), F.max("sort_order").alias("_so"))
-    place = F.row_number().over(Window.partitionBy("_one").orderBy("name")).cast("long")
-    tagged = fresh.withColumn("_one", F.lit(1)).join(last.withColumn("_one", F.lit(1)), "_one").withColumn("_n", place)
+    last = themes.agg(F.max("theme_id").alias("_id"), F.max("sort_order").alias("_so"), F.lit(1).alias("_one"))
+    numbered = rank_by_range(fresh, [F.col("name")], "_place")
+    # One row is broadcast.
+    tagged = numbered.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").withColumn("_n", F.col("_place") + 1)
     rows = tagged.select((F.coalesce("_id", F.lit(0)) + F.col("_n")).alias("theme_id"), "name", "emoji",
                          F.when(F.col("sort_order") == 0, F.coalesce("_so", F.lit(0)) + F.col("_n")).otherwise(F.col("sort_order")).alias("sort_order"))
     return themes.select("theme_id", "name", "emoji", "sort_order").unionByName(rows)

@@ -99,19 +99,26 @@ def forms_from_input(resolved: DataFrame, raw: str) -> DataFrame:
 
 
 def next_gloss_id(bases: DataFrame, base: str, glossary: DataFrame) -> DataFrame:
-    """Smallest free ``BASE-n``; a blank base gives SIGN-1. At most 999 numbers per base are kept."""
+    """Smallest free ``BASE-n`` of any size; a blank base gives SIGN-1.
+
+    The smallest free number is 1 or follows a used one, so an anti join of these with the
+    used ones finds it: a base with many numbers is spread over tasks.
+    """
+    numbered = r"^(.*)-([1-9]\d{0,17})$"
     used = (
-        glossary.select("gloss_id").distinct()
-        .select(F.regexp_extract("gloss_id", r"^(.*)-([1-9]\d{0,2})$", 1).alias("_base"),
-                F.regexp_extract("gloss_id", r"^(.*)-([1-9]\d{0,2})$", 2).try_cast("int").alias("_n"))
-        .filter(F.col("_n").isNotNull())
-        .groupBy("_base").agg(F.collect_set("_n").alias("_used")))
-    numbers = F.sequence(F.lit(1), F.lit(999))
-    free = F.coalesce(F.array_min(F.array_except(numbers, F.coalesce("_used", F.expr("array()")))), F.lit(999))
+        glossary.select(F.regexp_extract("gloss_id", numbered, 1).alias("_base"),
+                        F.regexp_extract("gloss_id", numbered, 2).try_cast("long").alias("_n"))
+        .filter(F.col("_n").isNotNull()).distinct())
     upper = F.upper(strip(F.coalesce(F.col(base), F.lit(""))))
-    return (bases.withColumn("_base", upper).join(used, "_base", "left")
+    rows = bases.withColumn("_base", upper)
+    wanted = used.join(rows.select("_base").distinct(), "_base", "left_semi")
+    ones = wanted.select("_base").distinct().withColumn("_n", F.lit(1).cast("long"))
+    free = (
+        wanted.withColumn("_n", F.col("_n") + 1).unionByName(ones).join(wanted, ["_base", "_n"], "left_anti")
+        .groupBy("_base").agg(F.min("_n").alias("_free")))
+    return (rows.join(free, "_base", "left")
             .withColumn("gloss_id", F.when(F.col("_base") == "", "SIGN-1").otherwise(
-                F.concat_ws("-", "_base", free.cast("string")))).drop("_base", "_used"))
+                F.concat_ws("-", "_base", F.coalesce("_free", F.lit(1)).cast("string")))).drop("_base", "_free"))
 
 
 def glossary_totals(glossary: DataFrame) -> DataFrame:

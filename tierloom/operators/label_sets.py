@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.functions.chunks import rank_in_groups
+from tierloom.functions.chunks import rank_by_range, rank_in_groups
 from tierloom.functions.text import blank, derive_label, normalise_label, plain_label
 
 
@@ -144,8 +144,8 @@ def _stratified_cut(df: DataFrame, identity: str, n: int, held: int, first: str,
     exact = F.col("_n") * F.lit(held) / F.lit(n)
     sizes = sizes.withColumn("_base", F.floor(exact)).withColumn("_left", exact - F.col("_base"))
     missing = held - (sizes.agg(F.sum("_base")).first()[0] or 0)
-    bucket = F.floor((1 - F.col("_left")) * 1024)
-    sizes = rank_in_groups(sizes, [], bucket, [F.desc("_left"), F.col(label)], "_place")
+    # Labels of equal size have equal remainders: the label is part of the range.
+    sizes = rank_by_range(sizes, [F.desc("_left"), F.col(label)], "_place")
     sizes = sizes.select(label, (F.col("_base") + (F.col("_place") < missing).cast("long")).alias("_held"))
     ranked = _shuffled(df, [label], identity, seed, sizes)
     return ranked.withColumn("split", F.when(F.col("_rank") < F.col("_n") - F.col("_held"), first)

@@ -6,24 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierloom.functions.chunks import is_home, with_halo
+from tierloom.functions.chunks import chunk_of
 
 
-def neighbourhoods(items: DataFrame, heads: DataFrame, radius_ms: int = 5000, show: int = 8,
-                   chunk_ms: int = 600_000) -> DataFrame:
+def neighbourhoods(items: DataFrame, heads: DataFrame, radius_ms: int = 5000, show: int = 8) -> DataFrame:
     """Glosses and span of the items strictly within ``radius_ms`` of each head.
 
-    ``items``: stem, item_no, start_ms, end_ms, gloss; ``heads``: stem, item_no.
+    ``items``: stem, item_no, start_ms, end_ms, gloss; ``heads``: stem, item_no. Only heads look around:
+    they meet the items of their time bucket and its neighbours, and the glosses shown are the
+    only ones collected.
     """
     reach = radius_ms - 1
-    w = Window.partitionBy("stem", "chunk").orderBy("start_ms").rangeBetween(-reach, reach)
-    rows = with_halo(items, ["stem"], "start_ms", chunk_ms, reach, reach).withColumn(
-        "near", F.collect_list(F.struct("start_ms", "item_no", "gloss")).over(w)).withColumn(
-        "span_start_ms", F.min("start_ms").over(w)).withColumn("span_end_ms", F.max("end_ms").over(w))
-    shown = F.transform(F.slice(F.array_sort("near"), 1, show), lambda n: n["gloss"])
-    rows = rows.filter(is_home("start_ms", chunk_ms)).select(
-        "stem", "item_no", F.array_join(shown, " ").alias("glosses"), "span_start_ms", "span_end_ms")
-    return rows.join(heads.select("stem", "item_no"), ["stem", "item_no"], "left_semi")
+    at = items.join(heads.select("stem", "item_no").distinct(), ["stem", "item_no"], "left_semi").select(
+        "stem", F.col("item_no").alias("_head"), F.col("start_ms").alias("_at"))
+    at = at.withColumn("_bucket", F.explode(F.sequence(
+        chunk_of(F.col("_at") - reach, radius_ms), chunk_of(F.col("_at") + reach, radius_ms))))
+    near = items.withColumn("_bucket", chunk_of("start_ms", radius_ms)).join(at, ["stem", "_bucket"]).filter(
+        F.abs(F.col("start_ms") - F.col("_at")) <= reach)
+    in_order = Window.partitionBy("stem", "_head").orderBy("start_ms", "item_no", "gloss")
+    shown = F.collect_list(F.when(F.col("_r") <= show, F.struct("_r", "gloss")))
+    # Grouped like the window, so the rows are shuffled once.
+    return near.withColumn("_r", F.row_number().over(in_order)).groupBy("stem", "_head").agg(
+        F.array_join(F.transform(F.array_sort(shown), lambda n: n["gloss"]), " ").alias("glosses"),
+        F.min("start_ms").alias("span_start_ms"), F.max("end_ms").alias("span_end_ms")).withColumnRenamed("_head", "item_no")
 
 
 def next_pending(units: DataFrame, current: DataFrame) -> DataFrame:

@@ -504,3 +504,12 @@ def add_words(b):
     out = K.add_words(even, w.filter("word_id % 2 = 1"))
     unique = out.groupBy("word_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("word_id")
     return out.join(unique, "word_id").select("gloss_id", "word", F.lit(True).alias("id_ok"))
+
+
+@query("k07_new_word_ids", f"""WITH {WORDS_SQL}, w AS (SELECT * FROM words WHERE word_id % 2 = 0), f AS (SELECT DISTINCT gloss_id FROM words WHERE word_id % 2 = 1 AND gloss_id NOT IN (SELECT gloss_id FROM w))
+    SELECT count(*) AS n, count(*) AS n_ids, (SELECT max(word_id) FROM w) + 1 AS first_id, (SELECT max(word_id) FROM w) + count(*) AS last_id FROM f""")
+def new_word_ids(b):
+    w = words(b)
+    even = w.filter("word_id % 2 = 0")
+    new = K.add_words(even, w.filter("word_id % 2 = 1")).join(even.select("gloss_id").distinct(), "gloss_id", "left_anti")
+    return new.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word_id").alias("n_ids"), F.min("word_id").alias("first_id"), F.max("word_id").alias("last_id"))

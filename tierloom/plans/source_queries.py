@@ -117,6 +117,16 @@ def split_rows(b):
     return b.table("part").withColumn("split", F.when(n == 0, "train").when(n == 1, "val").otherwise("test")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a12_splits_written", "SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM part")
+def splits_written(b):
+    from tierloom.session import new_folder
+
+    path, n = new_folder(b.spark, "splits"), F.col("p_partkey") % 3
+    rows = b.table("part").select("p_partkey", "p_name", F.when(n == 0, "train").when(n == 1, "val").otherwise("test").alias("split"))
+    sinks.write_splits(rows, path)
+    return b.spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
+
+
 @query("a13_glossary_json", "SELECT gloss_id, form, form_no, form AS lemma, 'n' AS pos FROM glossary UNION ALL SELECT gloss_id, form || 's', 1, form, 'n' FROM glossary")
 def glossary_json(b):
     g = b.glossary.select("gloss_id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("form_no"), F.col("form").alias("f")), F.struct(F.lit(1).cast("long").alias("form_no"), F.concat("form", F.lit("s")).alias("f")))).alias("x"),
@@ -262,3 +272,15 @@ def index_saved_and_loaded(b):
     sinks.save_index(build_index(MQ.vectors(b)), path)
     weighted = F.aggregate(F.transform("vector", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return sinks.load_index(b.spark, path).select("id", "label", F.round(weighted, 6).alias("weighted"))
+
+
+@query("a04_webvtt_read_back", "SELECT stem, start_ms, end_ms, trim(text) AS text FROM cues WHERE trim(text) <> ''")
+def webvtt_read_back(b):
+    from tierloom.session import new_folder
+    from tierloom.sources.subtitles import cues_of_text, write_webvtt
+
+    path = new_folder(b.spark, "webvtt")
+    write_webvtt(b.cues, path)
+    files = b.spark.read.schema("value string, stem string, piece long").text(path, wholetext=True)
+    cues = cues_of_text(files.select(F.concat("stem", F.lit(".vtt")).alias("path"), F.col("value").alias("content")))
+    return cues.select(F.col("stem").cast(b.cues.schema["stem"].dataType), "start_ms", "end_ms", "text")

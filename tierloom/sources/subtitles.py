@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierloom.functions.chunks import rank_in_groups
+from tierloom.functions.chunks import chunk_of, rank_in_groups
 from tierloom.functions.text import file_stem, strip
 from tierloom.functions.timecode import ms_to_stamp, stamp_to_ms
 
@@ -52,7 +52,12 @@ def webvtt_blocks(cues: DataFrame) -> DataFrame:
     return head.unionByName(rows.select("stem", n, block.alias("block")))
 
 
-def write_webvtt(cues: DataFrame, folder: str) -> None:
-    """Write ``stem=.../part-*.vtt`` in block order; only a video above the range size has several parts."""
-    blocks = webvtt_blocks(cues).repartitionByRange("stem", "n").sortWithinPartitions("stem", "n")
-    blocks.select("stem", "block").write.partitionBy("stem").option("lineSep", "\n").mode("overwrite").text(folder)
+def write_webvtt(cues: DataFrame, folder: str, most: int = 1_000_000) -> None:
+    """Write ``stem=.../piece=0/part-*`` in block order: one document per video.
+
+    A video of more than ``most`` blocks goes on in ``piece=1`` and so on, in numeric order, so that it is
+    not sorted in one task; the header is in the first piece.
+    """
+    blocks = webvtt_blocks(cues).withColumn("piece", chunk_of("n", most))
+    dealt = blocks.repartition("stem", "piece").sortWithinPartitions("stem", "piece", "n")
+    dealt.select("stem", "piece", "block").write.partitionBy("stem", "piece").option("lineSep", "\n").mode("overwrite").text(folder)
