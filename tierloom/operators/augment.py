@@ -124,9 +124,8 @@ def _partners(rows: DataFrame, clips: DataFrame, weight: Column, seed: int) -> D
     """Another clip of the same label: clips of a label are numbered and a drawn step leads from
     one number to another, so no pairs of clips are listed."""
     numbered = rank_in_groups(clips.select("clip", "label"), ["label"], F.shiftright(F.xxhash64("clip"), 52),
-                              [F.xxhash64("clip"), F.col("clip")], "_no")
-    sizes = numbered.groupBy("label").agg(F.count(F.lit(1)).alias("_m"))
-    own = numbered.join(sizes, "label").select("clip", "_no", "_m")
+                              [F.xxhash64("clip"), F.col("clip")], "_no", "_m")
+    own = numbered.select("clip", "_no", "_m")
     step = whole(F.greatest(F.col("_m") - 1, F.lit(1)), "partner", seed) + 1
     rows = rows.withColumn("_w", weight).join(own, "clip").withColumn(
         "_to", F.when(F.col("_m") > 1, (F.col("_no") + step) % F.col("_m")))

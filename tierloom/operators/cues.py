@@ -133,7 +133,8 @@ def cues_from_recognised_text(frames: DataFrame, ends: DataFrame, keys: Sequence
             F.when(change & ready, F.concat(out, F.array(cue))).otherwise(out).alias("out")))
 
     folded = fold_groups(rows, keys, "pos", ["ts_ms", "text"], kind, f"array<{CUE}>", step, chunk_rows)
-    folded = folded.join(ends, keys)
+    # By chunk as well, so that the arrays of a long video stay apart.
+    folded = folded.join(folded.select(*keys, "chunk").join(ends, keys), [*keys, "chunk"])
     last = F.struct(F.col("state.start_ms").alias("start_ms"), F.col("last_ms").cast("long").alias("end_ms"),
                     F.col("state.text").alias("text"))
     final = (F.col("is_last") & (F.col("state.text") != "")
