@@ -138,6 +138,40 @@ def test_personal_data(spark, docs, none, texts):
     assert pii.find(none).count() == 0
 
 
+def test_disclosures_brute_force(spark):
+    """Terms far from the entity, entities of one text, hosts and prefixes, and copies in several partitions."""
+    rng = random.Random(8)
+    rows = [sentence(rng, 12) for _ in range(400)]
+    rows += [f"Quillon {sentence(rng, 30)} lone@solo.example.org {sentence(rng, 9)}"] * 5
+    rows += [f"{sentence(rng, 25)} m{k}@guild.example.com {sentence(rng, 25)} Guildhall." for k in range(4)]
+    rows += [f"Ring +49 30 12345{k:02} {sentence(rng, 20)} (Kontor)" for k in range(4)]
+    docs = spark.createDataFrame([(t,) for t in rows], "text string").repartition(7)
+    got = {(r["entity"], r["term"]): (r["chance"], r["bits"]) for r in pii.disclosures(docs).collect()}
+
+    texts = set(rows)
+    words = {t: {w.strip(pii.EDGE).lower() for w in t.split()} - {""} for t in texts}
+    of_term = Counter(w for t in texts for w in words[t])
+    named, both, arounds = Counter(), {}, {}
+    for t in texts:
+        spans = pii.base_spans(t)
+        inside = {w.strip(pii.EDGE).lower() for a, b, _ in spans for w in t[a:b].split()}
+        for e in {e for a, b, k in spans for e in pii.general(k, t[a:b])}:
+            named[e] += 1
+            arounds.setdefault(e, set()).add(t)
+            for w in words[t] - inside:
+                both.setdefault((e, w), set()).add(t)
+    want = {}
+    for (e, w), held in both.items():
+        p = len(held) / of_term[w]
+        bits = np.log2(p * len(texts) / named[e])
+        if p >= 0.5 and bits >= 6 and len(held) >= (3 if len(arounds[e]) >= 3 else 1):
+            want[e, w] = (p, bits)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert {("email:lone@solo.example.org", "quillon"), ("email:@guild.example.com", "guildhall"), ("phone:493012-", "kontor")} <= got.keys()
+    spans = {s for r in pii.find(docs).collect() for s in r["spans"].split(",") if r["text"].startswith("Quillon")}
+    assert "term:0:7" in spans
+
+
 def test_page_text(spark):
     page = ("<html><head><title>t</title><style>p{}</style></head><body><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies</div>"
             "<div id=main class=post-12><h1>Head &amp; more</h1><p>First <b>bold</b>\n text<br>next<p>Second &#233;&nbsp;x</p><form>sign <input></form><script>var a='</p>';</script>"

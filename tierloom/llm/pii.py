@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
 Addresses, card and phone numbers are found by pattern and are the protected entities. Beyond
-them, a term that stands near an entity reveals it when seeing the term makes the entity far more
+them, a term anywhere in a document reveals an entity when seeing the term makes the entity far more
 likely than it is in the corpus: the disclosure of term t about entity e is
-``log2(P(e | t) / P(e))`` over documents, and the chance itself is ``P(e | t)``. Terms above both thresholds, with
+``log2(P(e | t) / P(e))`` over documents, and the chance itself is ``P(e | t)``. Mail hosts, networks, number
+prefixes and the four kinds count as entities too. Terms above both thresholds, with
 enough separate contexts behind them, are sensitive in the documents that hold the entity.
 """
 
@@ -11,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -29,10 +32,13 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&"
 
-#: Words on either side of an entity that are looked at.
+#: Any text with an entity matches; for the filter before the patterns.
+MAYBE = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}"
+
+#: Words on either side of a mention that make up its surroundings.
 NEAR = 4
-#: Longest word, in characters, that may count as a term.
-LONGEST = 64
+#: Leading digits that numbers of one issuer or area share.
+PREFIX = 6
 
 Span = tuple[int, int, str]
 
@@ -73,96 +79,175 @@ def told(spans: Sequence[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def _protected(spans: Sequence[Span], a: int, b: int) -> bool:
-    return any(a < e and s < b for s, e, _ in spans)
+def general(kind: str, value: str) -> tuple[str, str, str]:
+    """An entity, what it has in common with its like (mail host, network, number prefix), and its kind."""
+    if kind == "email":
+        value = value.lower()
+        return f"email:{value}", "email:@" + value.rsplit("@", 1)[1], "email"
+    if kind == "ip":
+        numbers = [str(int(x)) for x in value.split(".")]
+        return "ip:" + ".".join(numbers), "ip:" + ".".join(numbers[:3]) + ".", "ip"
+    digits = "".join(c for c in value if "0" <= c <= "9")
+    return f"{kind}:{digits}", f"{kind}:{digits[:PREFIX]}-", kind
+
+
+def _term(word: str) -> str:
+    """A word without its punctuation, lower case; empty if nothing is left."""
+    return word.strip(EDGE).lower()
+
+
+def _free_words(text: str, spans: Sequence[Span]) -> Iterator[tuple[int, int, str]]:
+    """Begin, end and term of the words that touch no span; spans are in order of their starts."""
+    i, reach = 0, 0
+    for m in WORD.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            reach = max(reach, spans[i][1])
+            i += 1
+        term = _term(m.group())
+        if term and reach <= m.start():
+            core = m.group().strip(EDGE)
+            a = m.start() + m.group().index(core)
+            yield a, a + len(core), term
+
+
+def _around(words: Sequence[Span], starts: Sequence[int], ends: Sequence[int], span: Span) -> int:
+    """A hash of the NEAR words on either side of a mention."""
+    before, after = bisect_right(ends, span[0]), bisect_left(starts, span[1])
+    near = [*(w for *_, w in words[max(0, before - NEAR):before]), "", *(w for *_, w in words[after:after + NEAR])]
+    return int.from_bytes(hashlib.blake2b(" ".join(near).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _terms_near(text: str, span: Span, spans: Sequence[Span]) -> list[str]:
-    """Up to NEAR words on either side, without their punctuation, lower case, entities left out."""
-    a, b, _ = span
-    left_from = max(0, a - NEAR * (LONGEST + 1))
-    left = [(m.start() + left_from, m.end() + left_from) for m in WORD.finditer(text[left_from:a])][-NEAR:]
-    right = [(m.start() + b, m.end() + b) for m in WORD.finditer(text[b:b + NEAR * (LONGEST + 1)])][:NEAR]
-    out = []
-    for x, y in left + right:
-        term = text[x:y].strip(EDGE).lower()
-        if len(term) > 1 and len(term) <= LONGEST and not _protected(spans, x, y):
-            out.append(term)
-    return out
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
 
 
-def _mentions(docs: DataFrame, text: str) -> DataFrame:
-    """Per distinct text and entity: the entity, a term near it, and a hash of the surroundings."""
+def _entity_texts(docs: DataFrame, text: str) -> DataFrame:
+    """Distinct texts that mention an entity: ``_key``, each entity with its surroundings, and all terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches, "_text"):
-            keys, entities, terms, contexts = [], [], [], []
+            keys, entities, terms = [], [], []
             for key, t in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist()):
-                spans = base_spans(t or "")
+                if key in seen:
+                    continue
+                seen.add(key)
+                spans = base_spans(t)
+                if not spans:
+                    continue
+                words = [(m.start(), m.end(), _term(m.group())) for m in WORD.finditer(t)]
+                starts, ends = [w[0] for w in words], [w[1] for w in words]
+                own: dict[str, set[int]] = {}
                 for span in spans:
-                    near = _terms_near(t, span, spans)
-                    entity = f"{span[2]}:{t[span[0]:span[1]].lower()}"
-                    around = hashlib.blake2b(" ".join(near).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-                    for term in dict.fromkeys(near):
-                        keys.append(key)
-                        entities.append(entity)
-                        terms.append(term)
-                        contexts.append(around)
+                    around = _around(words, starts, ends, span)
+                    for entity in general(span[2], t[span[0]:span[1]]):
+                        own.setdefault(entity, set()).add(around)
+                keys.append(key)
+                entities.append([{"entity": e, "arounds": sorted(x)} for e, x in own.items()])
+                terms.append(list(dict.fromkeys(x for *_, x in _free_words(t, spans))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(entities, pa.string()), pa.array(terms, pa.string()), pa.array(contexts, pa.string())],
-                names=["_key", "entity", "term", "around"])
+                [pa.array(keys, pa.int64()), pa.array(entities, pa.list_(pa.struct([("entity", pa.string()), ("arounds", pa.list_(pa.int64()))]))),
+                 pa.array(terms, pa.list_(pa.string()))], names=["_key", "entities", "terms"])
 
-    return docs.select(F.xxhash64(text).alias("_key"), F.col(text).alias("_text")).mapInArrow(
-        run, "_key long, entity string, term string, around string")
+    return _keyed(docs.filter(F.col(text).rlike(MAYBE)), text).mapInArrow(
+        run, "_key long, entities array<struct<entity: string, arounds: array<long>>>, terms array<string>").dropDuplicates(["_key"])
 
 
-def disclosures(docs: DataFrame, bits: float = 6.0, chance: float = 0.5, contexts: int = 3, text: str = "text") -> DataFrame:
-    """``entity``, ``term``, ``chance`` and ``bits`` of the pairs above the thresholds.
+def _texts_per_term(docs: DataFrame, text: str) -> DataFrame:
+    """``term`` and ``of_term``, the number of distinct texts that hold it, over every document.
 
-    Chances are counted over distinct texts, so plain copies prove nothing. A term needs ``contexts``
-    different surroundings of the entity. Texts that hold a term near any entity bound its number of
-    texts from below, so terms that already fail the chance by them need no look at the corpus. How often the
-    others occur at all is counted over every document.
+    Tasks count their own distinct texts and tell each once. A text told by several tasks is
+    counted too often, so what is too much is taken off again from one copy of it.
     """
-    pairs = stored(_mentions(docs, text).distinct(), "mentions")
-    per_pair = (
-        pairs.groupBy("entity", "term").agg(F.approx_count_distinct("around", 0.02).alias("contexts"), F.countDistinct("_key").alias("both"))
-        .filter(F.col("contexts") >= contexts)
-    )
-    near = pairs.groupBy("term").agg(F.countDistinct("_key").alias("near"))
-    per_pair = per_pair.join(near, "term").filter(F.col("both") >= chance * F.col("near"))
-    candidates = stored(per_pair, "pairs")
-    n = docs.select(F.xxhash64(text).alias("_key")).distinct().count()
-    terms = candidates.select("term").distinct()
-    words = docs.select(F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
-    if terms.limit(1).count():
-        seen = (
-            _distinct_words(words).join(terms, "term", "left_semi")
-            .groupBy("term").agg(F.countDistinct("_key").alias("of_term"))
-        )
-        of_entity = pairs.groupBy("entity").agg(F.countDistinct("_key").alias("of_entity"))
-        p = F.col("both") / F.greatest("of_term", "near")
-        return (
-            candidates.join(seen, "term").join(of_entity, "entity")
-            .withColumn("chance", p).withColumn("bits", F.log2(p * n / F.col("of_entity")))
-            .filter((F.col("chance") >= chance) & (F.col("bits") >= bits)).select("entity", "term", "chance", "bits")
-        )
-    return candidates.select("entity", "term", F.lit(0.0).alias("chance"), F.lit(0.0).alias("bits")).limit(0)
-
-
-def _distinct_words(rows: DataFrame) -> DataFrame:
-    """``_key`` and each distinct term of its text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        seen: set[int] = set()
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.nulls(len(counts), pa.int64()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                             names=["_key", "term", "n"])
+            counts.clear()
+            return out
+
         for batch in slices(batches, "_text", 1 << 20):
-            keys, terms = [], []
+            fresh = []
             for key, t in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist()):
-                own = {x for x in (w.strip(EDGE) for w in set((t or "").lower().split())) if 1 < len(x) <= LONGEST}
-                keys += [key] * len(own)
-                terms += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.string())], names=["_key", "term"])
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(key)
+                    counts.update(_terms(t))
+            yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.nulls(len(fresh), pa.string()), pa.array([1] * len(fresh), pa.int64())],
+                                             names=["_key", "term", "n"])
+            if len(counts) > 200_000:
+                yield told()
+        yield told()
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "_text", 1 << 20):
+            rows = []
+            for key, n, t in zip(*(batch.column(c).to_pylist() for c in ("_key", "n", "_text"))):
+                if key not in seen:
+                    seen.add(key)
+                    rows.append((key, n, list(_terms(t))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                                              pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["_key", "n", "terms"])
+
+    told_rows = stored(_keyed(docs, text).mapInArrow(count, "_key long, term string, n long"), "words")
+    again = told_rows.filter("_key is not null").groupBy("_key").agg(F.sum("n").alias("n")).filter("n > 1")
+    over = _keyed(docs, text).join(again, "_key").mapInArrow(terms, "_key long, n long, terms array<string>").dropDuplicates(["_key"])
+    parts_of = told_rows.filter("term is not null").select("term", "n").unionByName(over.select(F.explode("terms").alias("term"), (1 - F.col("n")).alias("n")))
+    return parts_of.groupBy("term").agg(F.sum("n").alias("of_term"))
+
+
+def _terms(text: str | None) -> set[str]:
+    return {x for x in map(_term, set(WORD.findall(text or ""))) if x}
+
+
+def _risky(docs: DataFrame, bits: float, chance: float, contexts: int, text: str) -> tuple[DataFrame, DataFrame] | None:
+    """The pairs above the thresholds, and every (text, entity, term) that can be one; nothing if no entity is rare enough."""
+    held = stored(_entity_texts(docs, text), "mentions")
+    n = docs.select(F.xxhash64(text).alias("_key")).distinct().count()
+    per_text = held.select("_key", F.explode("entities").alias("e")).select("_key", "e.*")
+    of_entity = per_text.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    # A chance is at most one, so entities of more texts cannot reach the bits.
+    entities = stored(of_entity.filter(F.col("of_entity") <= F.lit(n * 2.0 ** -bits * (1 + 1e-9))), "entities")
+    most = entities.agg(F.max("of_entity")).first()[0]
+    if most is None:
+        return None
+    surroundings = per_text.select("entity", F.explode("arounds").alias("around")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_around"))
+    named = per_text.join(entities.join(surroundings, "entity"), "entity")
+    # A term of more texts than an entity has, over the chance, cannot reach the chance for it.
+    rare = stored(_texts_per_term(docs, text).filter(F.col("of_term") * chance <= most * (1 + 1e-9)), "terms")
+    terms = held.select("_key", F.explode("terms").alias("term")).join(rare, "term")
+    pairs = stored(terms.join(named, "_key").filter(F.col("of_term") * chance <= F.col("of_entity") * (1 + 1e-9)), "pairs")
+    p = F.count(F.lit(1)) / F.first("of_term")
+    strong = stored(
+        pairs.groupBy("entity", "term").agg(p.alias("chance"), F.log2(p * n / F.first("of_entity")).alias("bits"), F.first("of_around").alias("of_around"))
+        .filter((F.col("chance") >= chance) & (F.col("bits") >= bits)), "strong")
+    asked = strong.filter(F.col("of_around") >= contexts)
+    enough = (
+        pairs.join(asked.select("entity", "term"), ["entity", "term"]).select("entity", "term", F.explode("arounds").alias("around")).distinct()
+        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= contexts)
+    )
+    columns = ["entity", "term", "chance", "bits"]
+    risky = strong.filter(F.col("of_around") < contexts).select(*columns).unionByName(
+        asked.join(enough.select("entity", "term"), ["entity", "term"], "left_semi").select(*columns))
+    return risky, pairs
+
+
+def disclosures(docs: DataFrame, bits: float = 6.0, chance: float = 0.5, contexts: int = 3, text: str = "text") -> DataFrame:
+    """``entity``, ``term``, ``chance`` and ``bits`` of the pairs above the thresholds.
 
-    return rows.mapInArrow(run, "_key long, term string")
+    Chances are counted over distinct texts, so plain copies prove nothing, and over all terms of a text.
+    A term of an entity that stands in ``contexts`` different surroundings or more needs as many of them;
+    an entity with fewer sets no such bar.
+    """
+    found = _risky(docs, bits, chance, contexts, text)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "entity string, term string, chance double, bits double")
+    return found[0]
 
 
 def find(docs: DataFrame, keep: Sequence[str] | None = None, doc_id: str = "doc_id", text: str = "text", bits: float = 6.0,
@@ -176,12 +261,7 @@ def find(docs: DataFrame, keep: Sequence[str] | None = None, doc_id: str = "doc_
     """
     added = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     carried = [c for c in (keep or docs.columns) if c not in added]
-    risky = disclosures(docs, bits, chance, contexts, text)
-    # Revealing terms of a text: the pairs whose entity it mentions.
-    per_text = (
-        _mentions(docs, text).select("_key", "entity").distinct().join(risky, "entity")
-        .groupBy("_key").agg(F.collect_set("term").alias("_terms"))
-    )
+    found = _risky(docs, bits, chance, contexts, text)
     out = [c for c in carried if c != cleaned] + ([cleaned] if cleaned else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,20 +281,19 @@ def find(docs: DataFrame, keep: Sequence[str] | None = None, doc_id: str = "doc_
     types = {f.name: f.dataType.simpleString() for f in docs.schema} | ({cleaned: "string"} if cleaned else {})
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in out), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"])
     given = docs.select(*[c for c in out if c in docs.columns], F.col(text).alias("_text"), F.xxhash64(text).alias("_key"))
-    return given.join(per_text, "_key", "left").drop("_key").mapInArrow(run, schema)
+    none = F.lit(None).cast("array<string>").alias("_terms")
+    if found is None:
+        return given.drop("_key").select("*", none).mapInArrow(run, schema)
+    risky, pairs = found
+    # Revealing terms of a text: the pairs that it holds. Texts without an entity need no look.
+    per_text = pairs.select("_key", "entity", "term").join(risky, ["entity", "term"]).groupBy("_key").agg(F.collect_set("term").alias("_terms"))
+    maybe = F.coalesce(F.col("_text").rlike(MAYBE), F.lit(False))
+    rows = given.filter(maybe).join(per_text, "_key", "left").drop("_key").unionByName(given.filter(~maybe).drop("_key").select("*", none))
+    return rows.mapInArrow(run, schema)
 
 
 def _term_spans(text: str, spans: Sequence[Span], terms: set[str]) -> list[Span]:
-    if not terms:
-        return []
-    found = []
-    for m in WORD.finditer(text):
-        word = m.group()
-        core = word.strip(EDGE)
-        if core.lower() in terms and not _protected(spans, m.start(), m.end()):
-            a = m.start() + word.index(core)
-            found.append((a, a + len(core), "term"))
-    return found
+    return [(a, b, "term") for a, b, x in _free_words(text, spans) if x in terms] if terms else []
 
 
 def replaced(text: str | None, spans: Sequence[Span]) -> str | None:
