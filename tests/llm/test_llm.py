@@ -304,3 +304,13 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert set(docs.columns) <= set(out.columns) and 0 < out.count() <= docs.count()
+
+
+def test_attention_trains_on_all_training_texts(spark):
+    rng = random.Random(4)
+    rows = lm_scoring._blocked(spark.createDataFrame([(i, sentence(rng, 300)) for i in range(30)], "doc_id long, text string"), "doc_id", "text", 1 << 20)
+    coder, end = lm_scoring.subwords(lm_scoring.TOKENIZER)
+    want = sum(len(coder.encode_ordinary(" " + w)) for r in rows.filter("not held_out").collect() for w in r["_text"].split()) + rows.filter("not held_out").count()
+    share = spark.sparkContext.broadcast
+    got = lm_scoring._trained_blocks(rows, share(lm_scoring.Model().flat), share(lm_scoring.Classes(np.ones(end + 1))), lm_scoring.TOKENIZER, lm_scoring.SHARE)
+    assert got.agg(F.sum("tokens")).first()[0] == want

@@ -4,8 +4,8 @@ Words and their counts over all training documents give the base model and the v
 self-attention network, trained in numpy, predicts the class of the next subword; inside a class the
 corpus counts of subwords decide. A word's probability mixes the attention model's probability of its
 subwords with its discounted share of the corpus. Training has a warm start on the driver from a bounded number of windows; then
-every block of documents trains on a fixed share of its own windows and the weights are averaged, so what is
-gathered grows with the corpus. Long documents are scored in overlapping windows, each token once.
+every block of documents trains on all its training texts and the weights are averaged, so no text is
+left out. Long documents are scored in overlapping windows, each token once.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ INPUTS = 2048
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 24 << 20
 #: Training reads stretches of so many words. The warm start takes about WARM_TEXTS documents and at most WARM_EACH
-#: stretches of each; afterwards every block trains on one in SHARE stretches of its training documents.
-STRETCH, WARM_TEXTS, WARM_EACH, SHARE = 64, 2_000, 4, 32
+#: stretches of each, for a common start only; afterwards every block trains on one in SHARE stretches, that is on all, of
+#: its training documents, in pieces of about PIECE subwords.
+STRETCH, WARM_TEXTS, WARM_EACH, SHARE, PIECE = 64, 2_000, 4, 1, 1 << 20
 BATCH = 64
 #: Share of the attention model in the probability of a word; what is left goes to corpus counts, of which DISCOUNT is
 #: taken off every training word and given to the attention model as well.
@@ -458,25 +459,39 @@ def _warm_start(rows: DataFrame, classes: Classes, path: str, texts: int) -> Mod
 
 
 def _trained_blocks(rows: DataFrame, start, classes, path: str, share: int) -> DataFrame:
-    """Weights of each block after training on its share, times the tokens it trained on."""
+    """Weights of each block after training on its share, times the tokens it trained on.
+
+    A block trains piece by piece, so what is held at once does not grow with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own = None, None
+        block, own, model, n = None, None, None, 0
+
+        def trained() -> int:
+            held = len(own.tokens)
+            if held:
+                model.train(*own.windows(classes.value), 0.01)
+            own.tokens, own.lengths, own.opens = [], [], []
+            return held
 
         def told() -> Iterator[pa.RecordBatch]:
-            if own is not None and own.tokens:
-                model = Model(start.value).train(*own.windows(classes.value), 0.01)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(model.flat.astype(np.float64) * len(own.tokens)).tobytes()], pa.binary()), pa.array([len(own.tokens)], pa.int64())],
-                    names=["flat", "tokens"])
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([(model.flat.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([n], pa.int64())],
+                                                 names=["flat", "tokens"])
 
         for batch in slices(batches, "_text"):
             for b, t in zip(batch.column("_block").to_pylist(), utf8(batch.column("_text"))):
                 if b != block:
-                    yield from told()
-                    block, own = b, Stretches(path, share)
+                    if own is not None:
+                        n += trained()
+                        yield from told()
+                    block, own, model, n = b, Stretches(path, share), Model(start.value), 0
                 own.add(t)
-        yield from told()
+                if len(own.tokens) >= PIECE:
+                    n += trained()
+        if own is not None:
+            n += trained()
+            yield from told()
 
     return rows.filter(~F.col("held_out")).select("_block", "_text").mapInArrow(run, "flat binary, tokens long")
 
