@@ -184,6 +184,16 @@ def test_page_text(spark):
     assert page_text.extract(pages.limit(0)).count() == 0
 
 
+def test_page_text_keeps_all_sections_and_the_headline(spark):
+    word = "several words of prose that fill a section "
+    rows = [(k, "http://h/", f"<html><body><div><section>{word * 4}{k}</section></div></body></html>") for k in range(4)]
+    rows.append((9, "http://h/", "<html><body><div>" + "".join(f"<section>{word * 4}part{k}</section>" for k in range(3)) + "</div></body></html>"))
+    rows.append((10, "http://g/", f"<html><body><h1>Headline</h1><div><p>{word * 90}</p></div></body></html>"))
+    got = {r["page_id"]: r["text"] for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "\n".join((word * 4 + f"part{k}") for k in range(3))
+    assert got[10].startswith("Headline\n")
+
+
 def brute_repeats(texts, length):
     raws = [(t or "").encode() for t in texts]
     count = Counter(r[i:i + length] for r in raws for i in range(len(r) - length + 1))

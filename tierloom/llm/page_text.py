@@ -188,14 +188,33 @@ def best_container(pieces: list[Piece], nodes: list[Node]) -> Node:
             continue
         share = node.text / max(nodes[0].text, 1)
         density = node.text / (node.text + 2 * node.links)
-        favour = 1.0 if node.tag in ("article", "main") else 0.6 if node.tag in ("section", "div", "td") else 0.4
-        depth = node.path.count(">")
-        score = share * density + 0.3 * favour + 0.01 * depth
-        if score > best_score:
+        favour = 1.0 if node.tag in ("article", "main") else 0.4 if node.tag == "blockquote" else 0.6
+        score = share * density + 0.3 * favour
+        # Nodes come outer ones first: a deeper one wins a tie, so depth alone never leaves prose outside.
+        if score >= best_score:
             best, best_score = node, score
     return best
 
 
+def chosen_containers(own: Node, named: list[Node]) -> list[Node]:
+    """What to extract: the containers on the winning path that lie in the page's own choice or around it, else all of them.
+
+    Where the ones inside do not hold all the prose of the own choice, it stays whole. Nodes of one path
+    never lie in each other.
+    """
+    inside = [x for x in named if _lies_in(x, own)]
+    if inside:
+        return inside if sum(x.text for x in inside) == own.text else [own]
+    return [x for x in named if _lies_in(own, x)] or named or [own]
+
+
+def _lies_in(node: Node, outer: Node) -> bool:
+    up: Node | None = node
+    while up is not None and up is not outer:
+        up = up.inside
+    return up is outer
+
+
 def text_of(pieces: list[Piece], node: Node) -> str:
     """Blocks of the kept text of a container, in page order."""
     blocks: list[str] = []
@@ -256,9 +275,8 @@ def extract(pages: DataFrame, keep: list[str] | None = None, url: str = "url", p
                 pieces, nodes = parse(source or "")
                 own = best_container(pieces, nodes)
                 named = [x for x in nodes if x.path == path and not x.dropped and x.text]
-                # Several containers on the winning path: the one around the page's own choice, else the fullest.
-                node = own if own in named or not named else max(named, key=lambda x: x.text)
-                out.append(text_of(pieces, node) if not node.dropped else "")
+                chosen = chosen_containers(own, named)
+                out.append("\n".join(t for t in (text_of(pieces, x) for x in chosen if not x.dropped) if t))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in carried] + [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=[*carried, "text", "n_chars"])
