@@ -5,11 +5,14 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+import tierloom.plans  # noqa: F401
 from tierloom.fixed_values import BONES, PRESETS
 from tierloom.functions import text as T
 from tierloom.functions import timecode as TC
 from tierloom.operators import glossary as G
 from tierloom.operators import landmarks as L
+from tierloom.plans.registry import QUERIES
+from tierloom.plans.source_queries import articles
 
 
 def values(spark, texts, fn):
@@ -126,3 +129,20 @@ def test_numeric_references_with_leading_zeros(spark):
     given = ["&#0000000065;", "&#x000000000000000000000000000000000000000000041;", "&#0;", "&#x0;", "&#99999999999;", "&#xFFFFFFFFFF;", "&#xA9", "&#65"]
     rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", decode_entities("t").alias("d")).collect()
     assert {r["t"]: r["d"] for r in rows} == {t: html.unescape(t) for t in given}
+
+
+def test_articles_of_all_posts(spark):
+    """Documents with markup and character references are articles too, against brute force."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {}
+    for i, t in docs.items():
+        frame = f'<p><iframe src="https://www.youtube.com/embed/{str(i).rjust(11, "x")[:11]}"></iframe>' if i % 2 == 0 else "<p>"
+        page = re.sub(r"(?i)<(?:br|/p|/div|/h[1-6]|/li)[^>]*>", "\n", f"{frame}{t}</p>")
+        lines = (x.strip() for x in html.unescape(re.sub("<[^>]+>", "", page)).splitlines())
+        want[i] = "\n".join(x for x in lines if x)
+    got = {r["post_id"]: r["text"] for r in QUERIES["a16_articles_of_all_posts"](spark, sf).collect()}
+    assert got == want
+    assert any(re.search("[<>&]", t) for t in docs.values())
+    made = articles(spark.createDataFrame([(1, "a &lt;b&gt; <i>c</i> &amp; d<br>e &#233;", "en", "s")], "doc_id long, text string, lang string, source string"))
+    assert made.first()["text"] == "a <b> c & d\ne é"

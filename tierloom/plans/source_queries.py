@@ -154,11 +154,20 @@ def sidecar_rows(b):
       array_to_string([t FOR t IN [regexp_replace(l, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') FOR l IN regexp_split_to_array(text, '[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')] IF t <> ''], chr(10)) AS text, 'http://p/' || doc_id AS url,
       doc_id % 4 || ',' || doc_id % 7 AS categories FROM documents WHERE NOT regexp_matches(text, '[<>&]')""")
 def articles_of_posts(b):
+    return articles(b.table("documents").filter(~F.col("text").rlike("[<>&]")))
+
+
+@query("a16_articles_of_all_posts")
+def articles_of_all_posts(b):
+    return articles(b.table("documents"))
+
+
+def articles(docs):
     frame = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<p><iframe src="https://www.youtube.com/embed/'), F.lpad(F.col("doc_id").cast("string"), 11, "x"), F.lit('"></iframe>'))).otherwise("<p>")
     post = F.to_json(F.struct(F.col("doc_id").alias("id"), F.struct(F.concat(F.lit("<b>"), "source", F.lit("</b>")).alias("rendered")).alias("title"),
                               F.struct(F.concat(frame, "text", F.lit("</p>")).alias("rendered")).alias("content"), F.lit("2024-01-02T10:00:00").alias("date"), F.col("lang").alias("slug"),
                               F.concat(F.lit("http://p/"), "doc_id").alias("link"), F.array(F.col("doc_id") % 4, F.col("doc_id") % 7).alias("categories")))
-    return PG.articles_of_posts(b.table("documents").filter(~F.col("text").rlike("[<>&]")).select(post.alias("json")))
+    return PG.articles_of_posts(docs.select(post.alias("json")))
 
 
 ENTRY_PAGE = """concat(html, CASE WHEN page_id % 3 <> 0 THEN concat('<a href="//files/videoabc/A_', page_id, '.mp4"><a href="//files/videoabc/B_', page_id, '.mp4"><img src="/fsw/sign/png/M', page_id, '-CG_white_1">') ELSE '' END,
