@@ -6,7 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+from pyspark.sql.window import Window
 
 from tierloom.session import new_folder
 
@@ -26,11 +29,38 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: StructType, more: str) -> StructType:
+    """A schema with more fields behind its own, all of which may be null."""
+    return StructType([StructField(f.name, f.dataType) for f in (*schema.fields, *StructType.fromDDL(more).fields)])
+
+
 def parts(df: DataFrame) -> int:
     """Number of shuffle partitions to ask for where one is named explicitly."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_order(df: DataFrame, order: list[Column], keys: list[str] | None = None, out: str = "place", total: str | None = None) -> DataFrame:
+    """Add the place (0, 1, 2 ...) of every row in ``order``, within ``keys`` if any, without a global sort.
+
+    ``total`` names a column for the number of rows of the key.
+
+    Rows are dealt by ranges of the whole order and written in order; a place is the number of rows in
+    earlier ranges plus the place inside the range. ``order`` starts with ``keys`` (not null) and should
+    be total. A key of any size spreads over as many ranges as it fills; one row per range and key is summed.
+    """
+    keys = keys or []
+    dealt = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "_at", F.monotonically_increasing_id()), "ordered").withColumn("_range", F.shiftright("_at", 33))
+    ranges = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first"))
+    extra = [total] if total else []
+    if total:
+        ranges = ranges.withColumn(total, F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)]))))
+    ranges = ranges.drop("_n", "_first")
+    return dealt.join(ranges, [*keys, "_range"]).withColumn(out, F.col("_at") + F.col("_shift")).select(*df.columns, out, *extra)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Values of an Arrow string column as bytes, null as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
