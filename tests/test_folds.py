@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tierloom.functions import blocks as B
 from tierloom.operators import cues as C
 from tierloom.operators import matching as M
 
@@ -125,12 +127,11 @@ def test_recognised_text(spark, chunk_rows):
         assert got.get(k, []) == recognised(fs, len(fs) * 200), k
 
 
-@pytest.mark.parametrize("chunk_rows", [2, 256])
-def test_anchored_windows(spark, chunk_rows):
+def test_anchored_windows(spark):
     rng = random.Random(5)
     starts = {f"s{n}": sorted(rng.randrange(0, 400 * n) * 10 for _ in range(n)) for n in (1, 2, 30, 77)}
     df = spark.createDataFrame([(k, i, s) for k, ss in starts.items() for i, s in enumerate(ss)], "stem string, item_no bigint, start_ms bigint")
-    got = {(r["stem"], r["item_no"]): (r["group_start"], r["is_head"]) for r in C.anchored_windows(df, chunk_rows=chunk_rows).collect()}
+    got = {(r["stem"], r["item_no"]): (r["group_start"], r["is_head"]) for r in C.anchored_windows(df).collect()}
     for k, ss in starts.items():
         head = None
         for i, s in enumerate(ss):
@@ -139,6 +140,50 @@ def test_anchored_windows(spark, chunk_rows):
             assert got[(k, i)] == (head, first)
 
 
+def counted(monkeypatch):
+    calls = []
+    for module in (B, C):
+        real = module.checkpointed
+        monkeypatch.setattr(module, "checkpointed", lambda df, real=real: (calls.append(1), real(df))[1])
+    return calls
+
+
+def test_anchored_windows_take_logarithmic_rounds(spark, monkeypatch):
+    calls = counted(monkeypatch)
+    n = 6000
+    df = spark.range(n).select(F.lit("v").alias("stem"), F.col("id").alias("item_no"), (F.col("id") * 1000).alias("start_ms"))
+    got = C.anchored_windows(df).collect()
+    assert all(r["group_start"] == r["item_no"] // 6 * 6000 and r["is_head"] == (r["item_no"] % 6 == 0) for r in got) and len(got) == n
+    # 1,000 groups: ten doublings of two tables each, and the points, pointers and ranges.
+    assert len(calls) <= 2 * 11 + 5
+
+
+def test_anchored_windows_with_equal_starts(spark):
+    rows = [("v", i, 0) for i in range(50)] + [("v", 50 + i, 5001) for i in range(50)]
+    got = C.anchored_windows(spark.createDataFrame(rows, "stem string, item_no bigint, start_ms bigint")).collect()
+    assert sorted(r["item_no"] for r in got if r["is_head"]) == [0, 50]
+    assert {r["group_start"] for r in got} == {0, 5001}
+
+
+@pytest.mark.parametrize("texts, most", [(["same line"], 9), (["a line here", "a line herE", "wholly different"], 12)])
+def test_long_groups_take_few_passes(spark, monkeypatch, texts, most):
+    calls = counted(monkeypatch)
+    rows = [("v", i, i * 900, i * 900 + 850, texts[i % len(texts)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "stem string, cue_no bigint, start_ms bigint, end_ms bigint, text string")
+    got = sorted((r["start_ms"], r["end_ms"], r["text"]) for r in C.merge_near_duplicates(df, chunk_rows=10).collect())
+    assert got == dedup([r[2:] for r in rows]) and len(calls) <= most  # 200 chunks
+
+
+def test_phases_are_told_apart_by_doubling(spark, monkeypatch):
+    calls = counted(monkeypatch)
+    # Three cues make a block of at least a second; a chunk of ten can be left in three phases.
+    rows = [("v", i, i * 400, i * 400 + 390, f"t{i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "stem string, cue_no bigint, start_ms bigint, end_ms bigint, text string")
+    got = sorted((r["start_ms"], r["end_ms"], r["text"]) for r in C.merge_short(df, chunk_rows=10).collect())
+    assert got == short_merge([r[2:] for r in rows])
+    assert len(calls) <= 2 + 2 * 4 + 2 * 9  # 150 chunks: first and last pass, a pass per phase, eight doublings
+
+
 def greedy_pairs(preds):
     free, out = {p[0] for p in preds if p[1] == "left"}, set()
     for r in (p for p in preds if p[1] == "right"):
@@ -192,3 +237,21 @@ def test_clusters(predictions, chunk_ms):
                     break
                 lo = min(lo, s)
             assert got[(k, i)] == (lo, hi), (k, i)
+
+
+def test_sweep_forms_only_pairs_that_count(spark, monkeypatch):
+    rows = [("v", i, "right" if i % 2 else "left", i * 6, i * 6 + 105) for i in range(10_000)]  # one minute, overlaps of 99 ms
+    df = spark.createDataFrame(rows, "stem string, item_no bigint, hand string, start_ms bigint, end_ms bigint")
+    assert M.overlap_candidates(df).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sweep_over_range_borders(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["v", "w"]), i, rng.choice(["right", "left"]), s, s + rng.choice([50, 120, 400, 9000]))
+            for i, s in enumerate(sorted(rng.randrange(0, 20_000) for _ in range(400)))]
+    df = spark.createDataFrame(rows, "stem string, item_no bigint, hand string, start_ms bigint, end_ms bigint")
+    got = sorted(tuple(r) for r in M.overlap_candidates(df).collect())
+    want = sorted((r[0], r[1], l[1], r[3], min(r[4], l[4]) - max(r[3], l[3])) for r in rows if r[2] == "right" for l in rows
+                  if l[2] == "left" and l[0] == r[0] and min(r[4], l[4]) - max(r[3], l[3]) >= 100)
+    assert got == want

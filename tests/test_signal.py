@@ -147,3 +147,19 @@ def test_detection_inside_segments_uses_clip_times(spark, clips):
             assert rows == [a * 40 + w[2] for w in want]
     assert not [r for r in got if r["segment_id"] == "s3"]
     assert all(r["pairing_id"] == f"c_{r['sign_start_ms']:08d}_{r['hand'][0]}" for r in got)
+
+
+def test_normalisation_far_from_zero(spark):
+    from tierloom.operators import landmarks as L
+
+    rng = np.random.default_rng(4)
+    pose = rng.normal(0, 0.3, (50, 4, 3))
+    pose[5, 2, 1] = np.nan
+    for offset in (0.0, 1e8):
+        moved = pose + offset
+        rows = [(1, t, [(float(p[0]), float(p[1]), float(p[2]), 1.0) for p in moved[t]]) for t in range(50)]
+        df = spark.createDataFrame(rows, "clip bigint, frame bigint, pts array<struct<x:double,y:double,z:double,c:double>>")
+        shifted = moved - np.nanmean(moved[:, :1], axis=0)
+        want = shifted / np.nanstd(shifted)
+        got = {r["frame"]: np.array([p[:3] for p in r["pts"]]) for r in L.normalise_by_nose(df).collect()}
+        assert all(np.allclose(got[t], want[t], rtol=1e-6, atol=1e-6, equal_nan=True) for t in range(50))

@@ -1,6 +1,7 @@
 """Readers, writers, splits and incremental jobs."""
 
 import json
+import os
 import re
 import tempfile
 
@@ -25,26 +26,37 @@ def folder():
 
 
 def test_webvtt_round_trip(spark, folder):
-    cues = spark.createDataFrame([("a", 0, 0, 1500, "one"), ("a", 1, 2000, 2500, "two\nlines"), ("b", 0, 5, 10, "x")],
-                                 "stem string, cue_no bigint, start_ms bigint, end_ms bigint, text string")
-    subtitles.write_webvtt(cues, f"{folder}/out")
-    lines = [r[0] for r in spark.read.text(f"{folder}/out/stem=a").collect()]
-    with open(f"{folder}/a.vtt", "w") as fh:
-        fh.write("\n".join(lines) + "\n")
-    got = subtitles.read_webvtt(spark, folder).orderBy("cue_no").collect()
-    assert [(r["stem"], r["start_ms"], r["end_ms"], r["text"]) for r in got] == [("a", 0, 1500, "one"), ("a", 2000, 2500, "two\nlines")]
+    rows = [("a", 0, 0, 1500, "one"), ("a", 1, 2000, 2500, "two\nlines"), ("b", 0, 5, 10, "x"), ("ä b%20+", 0, 7, 9, "é ~from1"), ("v.sk", 0, 1, 2, "z")]
+    cues = spark.createDataFrame(rows, "stem string, cue_no bigint, start_ms bigint, end_ms bigint, text string")
+    subtitles.write_webvtt(cues, folder)
+    assert sorted(f for f in os.listdir(folder) if not f.startswith((".", "_"))) == sorted(f"{r[0]}.vtt" for r in rows if r[1] == 0)
+    with open(f"{folder}/a.vtt") as fh:
+        assert fh.read() == "WEBVTT\n\n1\n00:00:00.000 --> 00:00:01.500\none\n\n2\n00:00:02.000 --> 00:00:02.500\ntwo\nlines\n"
+    got = subtitles.read_webvtt(spark, folder).drop("path").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+    subtitles.write_webvtt(cues.filter("stem = 'b'"), folder)
+    assert [r["stem"] for r in subtitles.read_webvtt(spark, folder).collect()] == ["b"]
 
 
 def test_webvtt_documents_stay_whole(spark, folder):
-    rows = [(f"v{v}", i, i * 1000, i * 1000 + 500, f"t{i}") for v in range(30) for i in range(40)]
+    rows = [(f"v{v}", i, i * 1000, i * 1000 + 500, f"t{i}\n\nmore") for v in range(30) for i in range(40)]
     cues = spark.createDataFrame(rows, "stem string, cue_no bigint, start_ms bigint, end_ms bigint, text string").repartition(8)
+    want = sorted((*r[:4], r[4].replace("\n\n", "\n")) for r in rows)
     subtitles.write_webvtt(cues, f"{folder}/out")
-    files = spark.read.text(f"{folder}/out", wholetext=True).groupBy("stem", "piece").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("text")).collect()
-    assert len(files) == 30 and all(r["n"] == 1 and r["piece"] == 0 and r["text"].startswith("WEBVTT\n\n1\n00:00:00.000") for r in files)
-    assert all([int(x) for x in re.findall(r"(?m)^t(\d+)$", r["text"])] == list(range(40)) for r in files)
+    assert len([f for f in os.listdir(f"{folder}/out") if f.endswith(".vtt")]) == 30
+    assert sorted(map(tuple, subtitles.read_webvtt(spark, f"{folder}/out").drop("path").collect())) == want
     subtitles.write_webvtt(cues, f"{folder}/cut", most=16)
-    cut = spark.read.text(f"{folder}/cut", wholetext=True).groupBy("stem", "piece").count().collect()
-    assert len(cut) == 90 and all(r["count"] == 1 for r in cut)
+    assert len([f for f in os.listdir(f"{folder}/cut") if f.endswith(".vtt")]) == 90
+    assert sorted(map(tuple, subtitles.read_webvtt(spark, f"{folder}/cut").drop("path").collect())) == want
+
+
+def test_webvtt_job_that_fails_leaves_nothing(spark, folder):
+    cues = spark.createDataFrame([("a", 0, 0, 1500, "one"), ("b", 0, 0, 1500, "two")], "stem string, cue_no bigint, start_ms bigint, end_ms bigint, text string")
+    subtitles.write_webvtt(cues, f"{folder}/out")
+    broken = cues.withColumn("text", F.when(F.col("stem") == "b", F.raise_error(F.lit("no"))).otherwise(F.col("text")))
+    with pytest.raises(Exception):
+        subtitles.write_webvtt(broken, f"{folder}/out")
+    assert sorted(os.listdir(f"{folder}/out")) == ["a.vtt", "b.vtt"]
 
 
 def test_webvtt_pattern_is_that_of_the_format(spark, folder):
@@ -209,18 +221,98 @@ def test_merge_with_next_chain(spark):
     assert got["s2"]["end_ms"] == 350 and got["s4"]["text"] == "t4"
 
 
+VTT = "WEBVTT\n\n1\n00:00:00.000 --> 00:00:02.000\n{0}\n\n2\n00:00:02.100 --> 00:00:03.000\n{0}!\n\n3\n00:00:20.000 --> 00:00:20.400\nshort\n\n4\n00:00:20.500 --> 00:00:23.000\nnext\n"
+FILES = "stem string, path string, kind string, lang string, content string"
+
+
+def start_alignment(spark, folder, files, ready, inventory=("a", "b", "c", "d", "e")):
+    spark.createDataFrame(files, FILES).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(FILES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    poses = spark.createDataFrame([(s, 10, 25.0, 1000) for s in ready] + [("d", 0, 25.0, 1000)], "stem string, bytes bigint, fps double, n_frames bigint")
+    stems = spark.createDataFrame([(s,) for s in inventory], "stem string")
+    return ST.align_new_files(stream, stems, poses, f"{folder}/out", f"{folder}/ckpt")
+
+
+def vtt_file(stem, kind="soft", lang="sk", text="a longer line of text"):
+    return (stem, f"/{lang}/{kind}/{stem}.vtt", kind, lang, VTT.format(text))
+
+
 def test_incremental_alignment(spark, folder):
-    clips = spark.createDataFrame([(1, 25.0, 1000), (2, 25.0, 1000)], "stem bigint, fps double, n_frames bigint")
-    schema = "stem bigint, cue_no bigint, start_ms bigint, end_ms bigint, text string"
+    def found():
+        return sorted((r["segment_id"], r["end_ms"], r["text"]) for r in ST.aligned(spark, f"{folder}/out").collect())
+
+    def rows(stem, text="a longer line of text"):
+        return [(f"{stem}_00000000", 3000, text + "!"), (f"{stem}_00020000", 23000, "short\nnext")]
+
+    # b has no pose yet, d an empty one, x is not listed, e has a file without cues; the better file of a is taken.
+    start_alignment(spark, folder, [vtt_file("a", "ocr", "sk", "recognised words"), vtt_file("a", "soft", "en"), vtt_file("b"), vtt_file("d"), vtt_file("x"),
+                                    ("e", "/e.vtt", "soft", "sk", "WEBVTT\n")], "ae").awaitTermination()
+    assert found() == rows("a")
+    # Known stems are ignored; waiting files come up again with the next batch.
+    start_alignment(spark, folder, [vtt_file("a", text="something else"), vtt_file("c")], "abce").awaitTermination()
+    assert found() == rows("a") + rows("b") + rows("c")
+    start_alignment(spark, folder, [vtt_file("e")], "abce").awaitTermination()
+    assert found() == rows("a") + rows("b") + rows("c") + rows("e")
+    log = sorted(tuple(r) for r in ST.committed(spark, f"{folder}/out").select("batch", "stems", "segments", "waiting").collect())
+    assert log == [(0, 1, 2, 4), (1, 2, 4, 3), (2, 1, 2, 2)]
+
+
+@pytest.mark.parametrize("fails", ["rows", "manifest"])
+def test_batch_that_failed_half_way_runs_again(spark, folder, monkeypatch, fails):
+    real, state = ST._align_batch, {"left": 1}
+
+    def broken(*args):
+        out = real(*args)
+        if state["left"] and fails == "rows":
+            state["left"] = 0
+            out.coalesce(1).write.partitionBy("part").parquet(f"{folder}/out/batches/batch=0")  # what a lost driver leaves behind
+            raise RuntimeError("lost")
+        if state["left"]:
+            state["left"] = 0
+            monkeypatch.setattr(ST, "BATCH", "part bigint")
+        return out
+
+    monkeypatch.setattr(ST, "_align_batch", broken)
+    batch = ST.BATCH
+    with pytest.raises(Exception):
+        start_alignment(spark, folder, [vtt_file("a"), vtt_file("b")], "abc").awaitTermination()
+    monkeypatch.setattr(ST, "BATCH", batch)
+    assert ST.aligned(spark, f"{folder}/out").count() == 0
+    start_alignment(spark, folder, [vtt_file("c")], "abc").awaitTermination()
+    assert sorted(r["segment_id"] for r in ST.aligned(spark, f"{folder}/out").collect()) == [f"{s}_{t:08d}" for s in "abc" for t in (0, 20000)]
+
+
+def test_incremental_signs_keep_the_first(spark, folder):
+    schema = "stem bigint, sign_start_ms bigint, hand string, word string, item_no bigint"
 
     def feed(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        ST.align_new_cues(stream, clips, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
-        return sorted(r["segment_id"] for r in spark.read.parquet(f"{folder}/out").collect())
-
-    assert feed([(1, 0, 0, 500, "a")]) == ["1_00000000"]
-    assert feed([(1, 0, 700, 900, "again"), (2, 0, 40, 80, "b")]) == ["1_00000000", "2_00000040"]
+        ST.merge_new_signs(stream, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
+        return sorted(tuple(r) for r in spark.read.schema(schema).parquet(f"{folder}/out").collect())
+
+    assert feed([(1, 0, "right", "b", 5), (1, 0, "right", "a", 3), (1, 0, "left", "c", 9), (2, 0, "right", None, 1)]) == [
+        (1, 0, "left", "c", 9), (1, 0, "right", "a", 3), (2, 0, "right", None, 1)]
+    assert len(feed([(1, 0, "right", "later", 0), (1, 1, "right", "new", 7)])) == 4
+
+
+def test_bulk_import(spark):
+    from tierloom.operators import collector as K
+
+    words = spark.createDataFrame([(7, "OLD", "old", 1, 40)], "word_id bigint, gloss_id string, word string, theme_id bigint, target bigint")
+    themes = spark.createDataFrame([(1, "animals", "", 4)], "theme_id bigint, name string, emoji string, sort_order bigint")
+    lines = ["one column", '"quoted, comma"', " ,x", "A,", "OLD,again", "A,first,http://p", 'B,"two, three",,http://d', "A,second", *[f"OLD,{i}" for i in range(6)], "C , c "]
+    table = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
+    for name, theme, count in (("plants", 2, 2), ("animals", 1, 1)):
+        got = K.bulk_import(table, words, themes, name)
+        assert got.themes.count() == count
+        new = [tuple(r) for r in got.words.orderBy("word_id").collect()]
+        assert new == [(7, "OLD", "old", 1, 40, None, None), (8, "A", "first", theme, 50, "http://p", None), (9, "B", "two, three", theme, 50, None, "http://d"),
+                       (10, "C", "c", theme, 50, None, None)]
+        assert tuple(got.totals.first()) == (3, 10, theme, ["OLD: already there", "A: already there", *["OLD: already there"] * 3])
+        assert got.rejected.count() == 10
+    empty = K.bulk_import(table.limit(0), words, themes, theme_id=9)
+    assert tuple(empty.totals.first()) == (0, 0, 9, []) and empty.words.count() == 1
 
 
 def test_similarity_search_with_text_ids(spark):

@@ -177,61 +177,3 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it in several places of an expression."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def fold_groups(df: DataFrame, keys: Sequence[str], pos: str, item: Sequence[str],
-                state_type: str, out_type: str,
-                step: Callable[[Column, Column, Column], Column],
-                chunk_rows: int = FOLD_CHUNK) -> DataFrame:
-    """Left fold over each group in ``pos`` order; groups may have any length.
-
-    ``step(state, out, item)`` returns a struct of the new state and the new output array.
-    Each chunk of ``chunk_rows`` positions is folded on its own from an entry
-    state. Chunks are folded again with the exit state of the chunk before until
-    no exit state changes, which gives exactly the sequential result: chunk 0 is
-    right after the first pass, and a chunk is right one pass after its
-    predecessor. A state that carries a start
-    or a phase moves one chunk a pass, so a long group takes up to as many passes as it has chunks.
-
-    Result: keys, ``chunk``, ``out`` (array), ``state`` (exit state), ``is_last``.
-    """
-    keys = list(keys)
-    chunks = (
-        df.withColumn("chunk", chunk_of(pos, chunk_rows))
-        .groupBy(*keys, "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct(pos, *item))).alias("items"))
-    )
-
-    def fold(source: DataFrame, entry: Column) -> DataFrame:
-        zero = F.struct(entry.alias("state"), F.array().cast(out_type).alias("out"))
-
-        def merge(acc: Column, x: Column) -> Column:
-            return step(acc["state"], acc["out"], x).cast(f"struct<state:{state_type},out:{out_type}>")
-
-        return source.withColumn("_acc", F.aggregate("items", zero, merge))
-
-    def shaped(folded: DataFrame, last: Column) -> DataFrame:
-        return folded.select(*keys, "chunk", F.col("_acc.out").alias("out"),
-                             F.col("_acc.state").alias("state"), last.alias("is_last"))
-
-    # The first pass is written once; it tells whether any group has a second chunk.
-    current = checkpointed(fold(chunks, F.lit(None).cast(state_type)))
-    if not current.filter("chunk > 0").limit(1).count():
-        return shaped(current, F.lit(True))
-    chunks = current.drop("_acc")
-    current = current.select(*keys, "chunk", "_acc")
-    while True:
-        entry = current.select(*keys, (F.col("chunk") + 1).alias("chunk"),
-                               F.col("_acc.state").alias("_entry"))
-        again = checkpointed(
-            fold(chunks.join(entry, [*keys, "chunk"], "left"), F.col("_entry"))
-            .select(*keys, "chunk", "_acc"))
-        moved = again.join(current.withColumnRenamed("_acc", "_old"), [*keys, "chunk"]).filter(
-            ~F.col("_acc.state").eqNullSafe(F.col("_old.state")))
-        settled = not moved.limit(1).count()
-        current = again
-        if settled:
-            break
-    # By chunk as well, so that the arrays of a long group stay apart.
-    final = current.groupBy(*keys).agg(F.max("chunk").alias("chunk")).withColumn("_final", F.lit(True))
-    return shaped(current.join(final, [*keys, "chunk"], "left"), F.coalesce("_final", F.lit(False)))

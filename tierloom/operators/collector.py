@@ -6,12 +6,15 @@ recordings: recording_id, word_id, user_id, status, day.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.functions.chunks import rank_by_range, rank_in_groups
 from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import strip
+from tierloom.session import checkpointed
 
 
 def status(words: DataFrame, themes: DataFrame, recordings: DataFrame, today: Column) -> DataFrame:
@@ -57,10 +60,11 @@ def parse_import(lines: DataFrame, line: str = "line") -> DataFrame:
 
     Lines of fewer than two columns are ignored, a blank id or word is skipped.
     """
-    parsed = F.from_csv(F.col(line), "gloss_id string, word string, link_a string, link_b string", {"mode": "PERMISSIVE"})
+    parsed = F.from_csv(F.col(line), "gloss_id string, word string, link_a string, link_b string", {"mode": "PERMISSIVE", "escape": '"'})
     rows = lines.withColumn("c", parsed)
     gloss, word = (strip(F.coalesce(F.col(f"c.{c}"), F.lit(""))) for c in ("gloss_id", "word"))
-    state = (F.when(~F.col(line).contains(","), "ignored").when((gloss == "") | (word == ""), "skipped").otherwise("ok"))
+    # A comma inside quotes does not part columns.
+    state = (F.when(~F.regexp_replace(F.col(line), r'"(?:[^"]|"")*"', "").contains(","), "ignored").when((gloss == "") | (word == ""), "skipped").otherwise("ok"))
     return rows.select(*lines.columns, gloss.alias("gloss_id"), word.alias("word"),
                        F.nullif(strip("c.link_a"), F.lit("")).alias("link_a"),
                        F.nullif(strip("c.link_b"), F.lit("")).alias("link_b"), state.alias("state"))
@@ -76,6 +80,61 @@ def import_counts(parsed: DataFrame, known: DataFrame) -> DataFrame:
     return one.select("imported", (F.col("_ok") - F.col("imported") + F.col("_blank")).alias("skipped"))
 
 
+@dataclass
+class Import:
+    """What a bulk import leaves behind: both tables with the new rows, the rejected lines and one row of totals."""
+
+    words: DataFrame
+    themes: DataFrame
+    rejected: DataFrame
+    totals: DataFrame
+
+
+def find_or_create_theme(themes: DataFrame, name: str) -> DataFrame:
+    """The table with a theme of that name, appended if there is none: next id, next place in the order."""
+    return add_themes(themes, themes.sparkSession.createDataFrame([(name, "", 0)], "name string, emoji string, sort_order int"))
+
+
+def bulk_import(lines: DataFrame, words: DataFrame, themes: DataFrame, theme_name: str | None = None,
+                theme_id: int | None = None, line_no: str = "line_no", show: int = 5, target: int = 50) -> Import:
+    """Import lines ``gloss,word[,link[,link]]`` (``line_no``, ``line``) as words of a theme.
+
+    The theme is ``theme_id``, else the one called ``theme_name``, which is created if need be, else none. The
+    first line of a new gloss id becomes a word; blank ids or words and ids that exist or came before are
+    rejected, with a reason. Lines of fewer than two columns are ignored. New ids follow the last one in the
+    order of the lines. ``totals`` has imported, skipped, theme_id and the first ``show`` reasons for ids that
+    were there, from a bounded top of the rejected lines. A line is one record: quotes do not span lines.
+
+    ``words`` has word_id, gloss_id, word, theme_id, target and may have link_a and link_b.
+    """
+    if theme_name and not theme_id:
+        themes = checkpointed(find_or_create_theme(themes, theme_name))
+        # One row, found by name; the first if several are called so.
+        theme = themes.filter(F.col("name") == theme_name).agg(F.min("theme_id").alias("_theme"))
+    else:
+        theme = lines.sparkSession.range(1).select(F.lit(theme_id).cast("long").alias("_theme"))
+    parsed = parse_import(lines.select(line_no, "line")).filter("state <> 'ignored'")
+    firsts = parsed.filter("state = 'ok'").groupBy("gloss_id").agg(F.min(line_no).alias("_first"))
+    known = words.select("gloss_id").distinct().withColumn("_known", F.lit(True))
+    # One row per id, so an id that many lines share meets the known ids once; lines find their row by (id, line).
+    winners = firsts.join(known, "gloss_id", "left").filter("_known is null").select("gloss_id", F.col("_first").alias(line_no), F.lit(True).alias("_wins"))
+    judged = checkpointed(parsed.join(winners, ["gloss_id", line_no], "left"))
+    ok = F.col("state") == "ok"
+    reason = F.when(~ok, "blank gloss or word").otherwise(F.concat("gloss_id", F.lit(": already there")))
+    rejected = judged.filter(~ok | F.col("_wins").isNull()).select(line_no, "gloss_id", "word", reason.alias("reason"), ok.alias("_clash"))
+    new = rank_by_range(judged.filter("_wins").select(line_no, "gloss_id", "word", "link_a", "link_b"), [F.col(line_no)], "_place")
+    last = words.agg(F.coalesce(F.max("word_id"), F.lit(0).cast("long")).alias("_last"))
+    one = side_by_side(last, theme)
+    added = new.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").select(
+        (F.col("_last") + 1 + F.col("_place")).alias("word_id"), "gloss_id", "word", F.col("_theme").alias("theme_id"),
+        F.lit(target).cast("long").alias("target"), "link_a", "link_b")
+    top = rejected.filter("_clash").orderBy(line_no).limit(show).agg(
+        F.sort_array(F.collect_list(F.struct(line_no, "reason"))).alias("_top"))
+    totals = side_by_side(new.agg(F.count(F.lit(1)).alias("imported")), rejected.agg(F.count(F.lit(1)).alias("skipped")), theme, top)
+    return Import(words.unionByName(added, allowMissingColumns=True), themes, rejected.drop("_clash"), totals.select(
+        "imported", "skipped", F.col("_theme").alias("theme_id"), F.transform("_top", lambda t: t["reason"]).alias("sample_errors")))
+
+
 def coverage(words: DataFrame, recordings: DataFrame) -> DataFrame:
     """Words per number of recordings: 50+, 20-49, 10-19 and below 10."""
     n = F.coalesce("recordings", F.lit(0))

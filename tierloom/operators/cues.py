@@ -10,15 +10,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tierloom.functions.chunks import FOLD_CHUNK, fold_groups, let, next_rows, rank_in_groups
+from tierloom.functions.blocks import block_heads, by_range, last_before, next_after, orbit
+from tierloom.functions.chunks import FOLD_CHUNK, let, next_rows, rank_in_groups
 from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import (blank, clean_recognised, positional_similarity, segment_id,
                                      strip, text_changed, tokens)
 from tierloom.functions.timecode import ms_to_frame
+from tierloom.session import checkpointed
 
 BUCKET_MS = 600_000
-CUE = "struct<start_ms:bigint,end_ms:bigint,text:string>"
 
 
 def _positions(cues: DataFrame, order: Sequence[str] = ("start_ms", "cue_no")) -> DataFrame:
@@ -31,25 +33,24 @@ def merge_near_duplicates(cues: DataFrame, max_gap_ms: int = 2000, threshold: fl
                           chunk_rows: int = FOLD_CHUNK) -> DataFrame:
     """Join a cue to the merged cue before it when the gap is short and the texts agree.
 
-    The comparison is with the merged text (the longer one so far), so this is a fold
-    and not a comparison of neighbours.
+    The comparison is with the merged text (the longer one so far), so this is a walk and not a comparison of
+    neighbours. What a walk remembers is the end and the text of the merged cue; where it began does not matter
+    for what joins, so walks that entered a chunk differently soon agree.
     """
-    def step(state: Column, out: Column, x: Column) -> Column:
+    def step(state: Column, x: Column) -> Column:
         near = state.isNotNull() & (x["start_ms"] - state["end_ms"] <= max_gap_ms)
         agrees = F.when(near, positional_similarity(state["text"], x["text"]) >= threshold).otherwise(False)
         longer = F.when(F.length(x["text"]) > F.length(state["text"]), x["text"]).otherwise(state["text"])
-        joined = F.struct(state["start_ms"].alias("start_ms"),
-                          F.greatest(state["end_ms"], x["end_ms"]).alias("end_ms"), longer.alias("text"))
-        fresh = F.struct(*[x[c].alias(c) for c in ("start_ms", "end_ms", "text")])
-        return let(agrees, lambda same: F.struct(
-            F.when(same, joined).otherwise(fresh).alias("state"),
-            F.when(same | state.isNull(), out).otherwise(F.concat(out, F.array(state))).alias("out")))
+        return let(F.coalesce(agrees, F.lit(False)), lambda same: F.struct(
+            F.struct(F.when(same, F.greatest(state["end_ms"], x["end_ms"])).otherwise(x["end_ms"]).alias("end_ms"),
+                     F.when(same, longer).otherwise(x["text"]).alias("text")).alias("state"),
+            F.when(same, 0).otherwise(1).alias("mark")))
 
-    folded = fold_groups(_positions(cues), ["stem"], "pos", ["start_ms", "end_ms", "text"],
-                         CUE, f"array<{CUE}>", step, chunk_rows)
-    done = F.when(F.col("is_last"), F.concat("out", F.array("state"))).otherwise(F.col("out"))
-    merged = folded.select("stem", "chunk", F.posexplode(done).alias("_i", "c"))
-    return merged.select("stem", (F.col("chunk") * chunk_rows + F.col("_i")).alias("cue_no"), "c.*")
+    rows = _positions(cues).select("stem", "pos", "start_ms", "end_ms", "text")
+    marked = block_heads(rows, ["stem"], "pos", "struct<end_ms:bigint,text:string>", step, chunk_rows=chunk_rows)
+    return marked.groupBy("stem", "head").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+        F.max_by("text", F.struct(F.length("text"), -F.col("pos"))).alias("text")).withColumnRenamed("head", "cue_no")
 
 
 def merge_short(cues: DataFrame, min_ms: int = 1000, max_gap_ms: int = 500,
@@ -58,35 +59,29 @@ def merge_short(cues: DataFrame, min_ms: int = 1000, max_gap_ms: int = 500,
 
     Merging never changes the start of the following cue or the end of the last cue
     absorbed, so a gap above the limit separates cues for good and cuts a video into
-    runs. Inside a run, cues join forward until the block is long enough (a fold). Only
+    runs. Inside a run, cues join forward until the block is long enough (a walk, which
+    remembers the end of the block and its start while it is short). Only
     the last block of a run can stay short; it joins backward with the blocks whose
     start lies within ``min_ms`` of its end, and with one block before them.
     """
-    block = "struct<start_ms:bigint,end_ms:bigint,text:string,run:bigint,open:boolean>"
-
-    def step(state: Column, out: Column, x: Column) -> Column:
+    def step(state: Column, x: Column) -> Column:
         cut = state.isNull() | (x["start_ms"] - state["end_ms"] > max_gap_ms)
-        short = state["end_ms"] - state["start_ms"] < min_ms
-        joins = ~cut & short
-        run = F.when(cut, x["pos"]).otherwise(state["run"])
-        text = F.when(joins, F.concat_ws("\n", state["text"], x["text"])).otherwise(x["text"])
+        joins = ~cut & (state["end_ms"] - state["start_ms"] < min_ms)
         start = F.when(joins, state["start_ms"]).otherwise(x["start_ms"])
-        closed = F.struct(*[state[c].alias(c) for c in ("start_ms", "end_ms", "text", "run")],
-                          (cut & short).alias("open"))
-        nxt = F.struct(start.alias("start_ms"), x["end_ms"].alias("end_ms"), text.alias("text"),
-                       run.alias("run"), F.lit(False).alias("open"))
-        return F.struct(nxt.alias("state"), F.when(state.isNull() | joins, out).otherwise(
-            F.concat(out, F.array(closed))).alias("out"))
-
-    folded = fold_groups(_positions(cues), ["stem"], "pos", ["start_ms", "end_ms", "text"],
-                         block, f"array<{block}>", step, chunk_rows)
-    tail = F.struct(*[F.col(f"state.{c}").alias(c) for c in ("start_ms", "end_ms", "text", "run")],
-                    (F.col("state.end_ms") - F.col("state.start_ms") < min_ms).alias("open"))
-    done = F.when(F.col("is_last"), F.concat("out", F.array(tail))).otherwise(F.col("out"))
-    blocks = folded.select("stem", "chunk", F.posexplode(done).alias("_i", "b")).select(
-        "stem", (F.col("chunk") * chunk_rows + F.col("_i")).alias("cue_no"), "b.*")
-
-    short_end = blocks.filter("open").select("stem", "run", F.col("end_ms").alias("_tail_end"))
+        # Any start that is early enough closes the block, so the latest such start stands for all.
+        start = F.greatest(start, x["end_ms"] - min_ms)
+        return F.struct(F.struct(start.alias("start_ms"), x["end_ms"].alias("end_ms")).alias("state"),
+                        F.when(cut, 2).when(joins, 0).otherwise(1).alias("mark"))
+
+    rows = _positions(cues).select("stem", "pos", "start_ms", "end_ms", "text")
+    marked = block_heads(rows, ["stem"], "pos", "struct<start_ms:bigint,end_ms:bigint>", step, ("head", "run"), chunk_rows)
+    line = F.sort_array(F.collect_list(F.struct("pos", "text")))
+    blocks = marked.groupBy("stem", "head", "run").agg(
+        F.min_by("start_ms", "pos").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"),
+        F.concat_ws("\n", F.transform(line, lambda p: p["text"])).alias("text"))
+    blocks = blocks.withColumnRenamed("head", "cue_no")
+    # Only the last block of a run can be short.
+    short_end = blocks.filter(F.col("end_ms") - F.col("start_ms") < min_ms).select("stem", "run", F.col("end_ms").alias("_tail_end"))
     tagged = blocks.join(short_end, ["stem", "run"], "left")
     limit = F.col("_tail_end") - min_ms
     head = (
@@ -116,31 +111,28 @@ def cues_from_recognised_text(frames: DataFrame, ends: DataFrame, keys: Sequence
                               chunk_rows: int = FOLD_CHUNK) -> DataFrame:
     """Cues from sampled frame texts (keys, ts_ms, text); ``ends`` gives ``last_ms`` per video.
 
-    A new cue starts when the text differs enough from the text of the current cue.
+    A new cue starts when the text differs enough from the text of the current cue, and ends where the next one
+    starts or the video ends. Frames before the first text belong to no cue.
     """
     keys = list(keys)
-    kind = "struct<text:string,start_ms:bigint>"
-    rows = rank_in_groups(frames, keys, F.floor(F.col("ts_ms") / BUCKET_MS), [F.col("ts_ms")], "pos")
+    rows = rank_in_groups(frames.select(*keys, "ts_ms", "text"), keys, F.floor(F.col("ts_ms") / BUCKET_MS), [F.col("ts_ms")], "pos")
 
-    def step(state: Column, out: Column, x: Column) -> Column:
+    def step(state: Column, x: Column) -> Column:
         text = F.coalesce(state["text"], F.lit(""))
-        start = F.coalesce(state["start_ms"], F.lit(0).cast("long"))
-        cue = F.struct(start.alias("start_ms"), x["ts_ms"].alias("end_ms"), text.alias("text"))
-        ready = (text != "") & (x["ts_ms"] - start >= min_ms)
-        return let(text_changed(text, x["text"], threshold), lambda change: F.struct(
-            F.struct(F.when(change, x["text"]).otherwise(text).alias("text"),
-                     F.when(change, x["ts_ms"]).otherwise(start).alias("start_ms")).alias("state"),
-            F.when(change & ready, F.concat(out, F.array(cue))).otherwise(out).alias("out")))
-
-    folded = fold_groups(rows, keys, "pos", ["ts_ms", "text"], kind, f"array<{CUE}>", step, chunk_rows)
-    # By chunk as well, so that the arrays of a long video stay apart.
-    folded = folded.join(folded.select(*keys, "chunk").join(ends, keys), [*keys, "chunk"])
-    last = F.struct(F.col("state.start_ms").alias("start_ms"), F.col("last_ms").cast("long").alias("end_ms"),
-                    F.col("state.text").alias("text"))
-    final = (F.col("is_last") & (F.col("state.text") != "")
-             & (F.col("last_ms") - F.col("state.start_ms") >= min_ms))
-    done = F.when(final, F.concat("out", F.array(last))).otherwise(F.col("out"))
-    return folded.select(*keys, F.explode(done).alias("c")).select(*keys, "c.*").filter(~blank("text"))
+        return let(F.coalesce(text_changed(text, x["text"], threshold), F.lit(False)), lambda change: F.struct(
+            F.struct(F.when(change, x["text"]).otherwise(text).alias("text")).alias("state"),
+            F.when(change, 1).otherwise(0).alias("mark")))
+
+    marked = block_heads(rows, keys, "pos", "struct<text:string>", step, chunk_rows=chunk_rows).filter("head is not null")
+    made = marked.groupBy(*keys, "head").agg(
+        F.min_by("ts_ms", "pos").alias("start_ms"), F.min_by("text", "pos").alias("text"), (F.max("pos") + 1).alias("_next"))
+    follow = made.select(*keys, F.col("head").alias("_next"), F.col("start_ms").alias("_until"))
+    made = made.join(follow, [*keys, "_next"], "left")
+    # Only the last cue of a video has no next one, so this join has one row per video.
+    last = made.filter("_until is null").join(ends, keys).withColumn("_until", F.col("last_ms").cast("long"))
+    columns = [*keys, "start_ms", F.col("_until").alias("end_ms"), "text"]
+    every = made.filter("_until is not null").select(*columns).unionByName(last.select(*columns))
+    return every.filter((F.col("text") != "") & (F.col("end_ms") - F.col("start_ms") >= min_ms) & ~blank("text"))
 
 
 def split_bilingual(fragments: DataFrame, frame: str = "frame", min_gap: float = 0.15) -> DataFrame:
@@ -335,22 +327,25 @@ def merge_with_next(alignment: DataFrame, merges: DataFrame) -> DataFrame:
                         for c in alignment.columns])
 
 
-def anchored_windows(items: DataFrame, window_ms: int = 5000, chunk_rows: int = FOLD_CHUNK) -> DataFrame:
+def anchored_windows(items: DataFrame, window_ms: int = 5000) -> DataFrame:
     """Group items (stem, item_no, start_ms): a group spans ``window_ms`` from its first start.
 
-    Adds ``group_start`` and ``is_head``. The window does not slide, so this is a fold.
+    Adds ``group_start`` and ``is_head``. The window does not slide. The start that follows a group is a function
+    of the group's own start, so the starts of groups are the orbit of the first start of a video under this
+    pointer, found by doubling; the number of rounds grows with the logarithm of the number of groups of a video.
+    Items of equal start are one point here, the head is the one with the smallest number.
     """
-    rows = rank_in_groups(items, ["stem"], F.floor(F.col("start_ms") / BUCKET_MS),
-                          [F.col("start_ms"), F.col("item_no")], "pos")
-
-    def step(state: Column, out: Column, x: Column) -> Column:
-        stays = state.isNotNull() & (x["start_ms"] <= state["head"] + window_ms)
-        head = F.when(stays, state["head"]).otherwise(x["start_ms"])
-        item = F.struct(x["item_no"].alias("item_no"), x["start_ms"].alias("start_ms"),
-                        head.alias("group_start"), (~stays).alias("is_head"))
-        return F.struct(F.struct(head.alias("head")).alias("state"), F.concat(out, F.array(item)).alias("out"))
-
-    folded = fold_groups(rows, ["stem"], "pos", ["start_ms", "item_no"], "struct<head:bigint>",
-                         "array<struct<item_no:bigint,start_ms:bigint,group_start:bigint,is_head:boolean>>",
-                         step, chunk_rows)
-    return folded.select("stem", F.explode("out").alias("i")).select("stem", "i.*")
+    points = checkpointed(items.groupBy("stem", "start_ms").agg(F.min("item_no").alias("_first_no")))
+    probes = points.select("stem", (F.col("start_ms") + window_ms).alias("start_ms"), F.col("start_ms").alias("node"))
+    pointers = checkpointed(next_after(points, probes, ["stem"], "start_ms", "to").filter("to is not null").select("stem", "node", "to"))
+    begun = points.groupBy("stem").agg(F.min("start_ms").alias("node"))
+    heads = orbit(pointers, begun, ["stem"]).select("stem", F.col("node").alias("start_ms"), F.lit(True).alias("_head"))
+    dealt = by_range(points.join(heads, ["stem", "start_ms"], "left"), [F.col("stem"), F.col("start_ms")]).withColumnRenamed("_range", "chunk")
+    head_at = F.when(F.col("_head"), F.col("start_ms"))
+    before = last_before(dealt.groupBy("stem", "chunk").agg(F.max(head_at).alias("_earlier")), ["stem"], ["_earlier"])
+    upto = Window.partitionBy("stem", "chunk").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(before, ["stem", "chunk"]).select(
+        "stem", "start_ms", "_first_no", F.coalesce(F.max(head_at).over(upto), "_earlier").alias("group_start"))
+    is_head = (F.col("start_ms") == F.col("group_start")) & (F.col("item_no") == F.col("_first_no"))
+    return items.select("stem", "item_no", "start_ms").join(placed, ["stem", "start_ms"]).select(
+        "stem", "item_no", "start_ms", "group_start", is_head.alias("is_head"))

@@ -8,7 +8,7 @@ only normalisation needs clip totals.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from tierloom.fixed_values import BONES, MODE_WIDTH, N_LANDMARKS, PRESETS
 from tierloom.functions.chunks import FRAME_CHUNK, is_home, join_per_chunk, with_halo
+from tierloom.session import checkpointed
 
 MAX_FRAMES = 300
 ZERO = "named_struct('x', 0.0D, 'y', 0.0D, 'z', 0.0D, 'c', 0.0D)"
@@ -63,40 +64,42 @@ def pad_to_extended(pose: DataFrame) -> DataFrame:
     return pose.withColumn("pts", F.when(compact, _in_extended_layout()).otherwise(F.col("pts")))
 
 
-def normalise_by_nose(pose: DataFrame, keys: Sequence[str] = ("clip",)) -> DataFrame:
-    """Subtract the mean position of landmark 0 over the clip, divide by the spread.
+def nose_frame(pose: DataFrame, keys: Sequence[str] = ("clip",)) -> DataFrame:
+    """Per clip the mean position of landmark 0 (``mx``, ``my``, ``mz``), the spread and the last frame.
 
-    The spread is the population deviation of all shifted coordinates. It follows from
-    sums and squares, so one partial aggregation per clip gives both. Missing
-    coordinates (null or NaN) do not count; a clip without any nose uses 0.5.
+    The spread is the population deviation of all coordinates about the nose. Every axis is summed up as count,
+    mean and squared deviations, which merge without loss however far the clip is from zero; the three axes
+    are merged at the end. Missing coordinates (null or NaN) do not count; a clip without any nose uses 0.5, and
+    a spread of nearly nothing counts as 1.
     """
-    def clean(c: Column) -> Column:
-        return F.when(~F.isnan(c), c)
-
-    nose = F.get("pts", F.lit(0))
-    parts = []
-    for axis in "xyz":
-        values = F.filter(F.transform("pts", lambda p: clean(p[axis])), lambda v: v.isNotNull())
-        zero = F.lit(0.0)
-        parts += [
-            F.avg(clean(nose[axis])).alias(f"m{axis}"),
-            F.sum(F.aggregate(values, zero, lambda a, v: a + v)).alias(f"s{axis}"),
-            F.sum(F.aggregate(values, zero, lambda a, v: a + v * v)).alias(f"q{axis}"),
-            F.sum(F.size(values)).alias(f"n{axis}"),
-        ]
-    total = pose.groupBy(*keys).agg(*parts, F.max("frame").alias("_last"))
+    points = pose.select(*keys, "frame", F.posexplode("pts").alias("_lm", "_p"))
+    parts = [F.max("frame").alias("_last")]
     for axis in "xyz":
-        total = total.withColumn(f"m{axis}", F.coalesce(f"m{axis}", F.lit(0.5)))
-    count = F.col("nx") + F.col("ny") + F.col("nz")
-    mean = sum((F.col(f"s{a}") - F.col(f"n{a}") * F.col(f"m{a}") for a in "xyz"), F.lit(0.0)) / count
-    square = sum((F.col(f"q{a}") - 2 * F.col(f"m{a}") * F.col(f"s{a}")
-                  + F.col(f"n{a}") * F.col(f"m{a}") * F.col(f"m{a}") for a in "xyz"), F.lit(0.0)) / count
-    spread = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-    total = total.select(*keys, "mx", "my", "mz", "_last",
-                         F.when(spread > 1e-6, spread).otherwise(F.lit(1.0)).alias("_spread"))
+        value = F.when(~F.isnan(f"_p.{axis}"), F.col(f"_p.{axis}").cast("double"))
+        parts += [F.avg(F.when(F.col("_lm") == 0, value)).alias(f"m{axis}"), F.count(value).alias(f"n{axis}"),
+                  F.avg(value).alias(f"a{axis}"), F.var_pop(value).alias(f"v{axis}")]
+    total = points.groupBy(*keys).agg(*parts)
+    total = total.select(*keys, "_last", *[F.coalesce(f"m{a}", F.lit(0.5)).alias(f"m{a}") for a in "xyz"],
+                         *[F.coalesce(f"{c}{a}", F.lit(0)).alias(f"{c}{a}") for c in "nav" for a in "xyz"])
+
+    def weighed(value: Callable[[str], Column]) -> Column:
+        return sum((F.col(f"n{a}") * value(a) for a in "xyz"), F.lit(0.0)) / (F.col("nx") + F.col("ny") + F.col("nz"))
+
+    total = total.withColumn("_mean", weighed(lambda a: F.col(f"a{a}") - F.col(f"m{a}")))
+    spread = F.sqrt(weighed(lambda a: F.col(f"v{a}") + F.pow(F.col(f"a{a}") - F.col(f"m{a}") - F.col("_mean"), 2)))
+    return total.select(*keys, "mx", "my", "mz", "_last", F.when(spread > 1e-6, spread).otherwise(F.lit(1.0)).alias("_spread"))
+
+
+def normalise_by_nose(pose: DataFrame, keys: Sequence[str] = ("clip",)) -> DataFrame:
+    """Subtract the mean position of landmark 0 over the clip, divide by the spread (see ``nose_frame``).
+
+    The chosen landmarks are written once and read for the totals and for the shift. Frames meet the totals by
+    chunk.
+    """
+    kept = checkpointed(pose)
     shifted = F.transform("pts", lambda p: F.struct(
         *[((p[a] - F.col(f"m{a}")) / F.col("_spread")).alias(a) for a in "xyz"], p["c"].alias("c")))
-    return (join_per_chunk(pose, total, keys, "_last").withColumn("pts", shifted)
+    return (join_per_chunk(kept, nose_frame(kept, keys), keys, "_last").withColumn("pts", shifted)
             .drop("mx", "my", "mz", "_spread"))
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from heapq import heappop, heappush
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tierloom.fixed_values import AI_CONFIDENCE_TIER, AI_GLOSS_TIERS, HUMAN_GLOSS_TIERS
+from tierloom.functions.blocks import by_range
 from tierloom.functions.chunks import chunk_of, rank_in_groups
 from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import blank, normalise_word, pairing_id, parse_pairing_id, plain_label, strip, tokens
@@ -159,23 +162,44 @@ def tier_counts(annotations: DataFrame, tiers: Sequence[str]) -> DataFrame:
 
 # -- two hands ----------------------------------------------------------------------
 
-def overlap_candidates(predictions: DataFrame, least_ms: int = 100, bucket_ms: int = 60_000) -> DataFrame:
-    """Right and left predictions of one stem that overlap by at least ``least_ms``.
+def overlap_candidates(predictions: DataFrame, least_ms: int = 100) -> DataFrame:
+    """Right and left predictions of one stem that overlap by at least ``least_ms`` (1 or more).
 
-    Overlap becomes an equi join on time buckets; a pair counts in the bucket where its
-    overlap starts, so no pair appears twice.
+    A sweep over starts keeps, per hand, the intervals that can still overlap enough with what starts now or
+    later, so no pair is formed that does not count. Starts are dealt by ranges of equal size; an interval
+    that reaches into later ranges is carried into each of them, where it is active from the beginning.
     """
-    spread = F.explode(F.sequence(chunk_of("start_ms", bucket_ms), chunk_of("end_ms", bucket_ms)))
-    rows = predictions.select("stem", "item_no", "hand", "start_ms", "end_ms", spread.alias("bucket"))
-    right = rows.filter("hand = 'right'").select("stem", "bucket", F.col("item_no").alias("right_no"),
-                                                 F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"))
-    left = rows.filter("hand = 'left'").select("stem", "bucket", F.col("item_no").alias("left_no"),
-                                               F.col("start_ms").alias("ls"), F.col("end_ms").alias("le"))
-    overlap = F.least("re", "le") - F.greatest("rs", "ls")
-    return (right.join(left, ["stem", "bucket"]).withColumn("overlap_ms", overlap)
-            .filter((F.col("overlap_ms") >= least_ms)
-                    & (chunk_of(F.greatest("rs", "ls"), bucket_ms) == F.col("bucket")))
-            .select("stem", "right_no", "left_no", "rs", "overlap_ms"))
+    rows = predictions.filter(F.col("hand").isin("right", "left") & (F.col("end_ms") - F.col("start_ms") >= least_ms)).select(
+        "stem", "item_no", "hand", "start_ms", "end_ms")
+    dealt = by_range(rows, [F.col("stem"), F.col("start_ms")])
+    firsts = dealt.groupBy("stem", "_range").agg(F.min("start_ms").alias("_from"))
+    later = firsts.select("stem", F.col("_range").alias("_to"), "_from")
+    ahead = Window.partitionBy("stem").orderBy("_range")
+    reach = firsts.select("stem", "_range", F.lead("_from").over(ahead).alias("_next"))
+    carried = (dealt.join(reach, ["stem", "_range"]).filter(F.col("end_ms") - least_ms >= F.col("_next"))
+               .join(later, "stem").filter((F.col("_to") > F.col("_range")) & (F.col("end_ms") - least_ms >= F.col("_from")))
+               .select("stem", "item_no", "hand", "start_ms", "end_ms", F.col("_to").alias("_range"), F.lit(True).alias("_old")))
+    every = dealt.withColumn("_old", F.lit(False)).unionByName(carried)
+    kind = predictions.schema["stem"].dataType.simpleString()
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_old", "start_ms", "item_no"], ascending=[False, True, True], kind="stable")
+        active: dict[str, list[tuple[int, int, int]]] = {"right": [], "left": []}
+        out = []
+        for number, hand, start, end, old in zip(*(pdf[c].tolist() for c in ("item_no", "hand", "start_ms", "end_ms", "_old"))):
+            if not old:
+                others = active["left" if hand == "right" else "right"]
+                while others and others[0][0] - start < least_ms:
+                    heappop(others)
+                for until, other, began in others:
+                    right, left, rs = (number, other, start) if hand == "right" else (other, number, began)
+                    out.append((right, left, rs, min(end, until) - start))
+            heappush(active[hand], (end, number, start))
+        found = pd.DataFrame(out, columns=["right_no", "left_no", "rs", "overlap_ms"], dtype="int64")
+        return found.assign(stem=pdf["stem"].iloc[0])
+
+    pairs = every.groupBy("stem", "_range").applyInPandas(sweep, f"right_no bigint, left_no bigint, rs bigint, overlap_ms bigint, stem {kind}")
+    return pairs.select("stem", "right_no", "left_no", "rs", "overlap_ms")
 
 
 def pair_hands(predictions: DataFrame, least_ms: int = 100, chunk_ms: int = 600_000) -> DataFrame:

@@ -9,15 +9,19 @@ long clip is spread over many tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tierloom.fixed_values import WRISTS
 from tierloom.functions.chunks import FRAME_CHUNK, chunk_of, exact_quantile, is_home, with_halo
 from tierloom.functions.timecode import frame_to_ms, ms_to_frame
+from tierloom.session import checkpointed
 
 MIN_CONF = 0.2
 HAND_CONF = 0.3
@@ -106,6 +110,54 @@ def motion_energy(signal: DataFrame, sigma: float = 2.0, keys: Sequence[str] = (
     return rows.join(per_chunk, [*keys, "chunk"]).select(*keys, "frame", energy.alias("energy"))
 
 
+def packed_speed(signal: DataFrame, keys: Sequence[str], sigma: float, size: int, before: Column, after: Column) -> DataFrame:
+    """Smoothed speed of whole chunks: keys, chunk, fps, ``first`` (frame of the first value) and ``smooth`` (array).
+
+    A row holds at most ``size`` frames and their halo. Speed and smoothing are one array computation per
+    chunk; the result is written, so that the quantile and the marking of segments read it and do not work it
+    out again. Values within the kernel radius of a halo edge are not used. A frame of a missing position has
+    speed 0 to both sides.
+    """
+    keys = list(keys)
+    kernel = np.array(gaussian_kernel(sigma) if sigma > 0 else [1.0])
+    r = len(kernel) // 2
+    frames = F.array_sort(F.collect_list(F.struct("frame", "x", "y", "conf")))
+    chunks = with_halo(signal, keys, "frame", size, before + F.lit(r + 1), after + F.lit(r)).groupBy(*keys, "chunk").agg(
+        F.max("fps").alias("fps"), frames.alias("frames"))
+    schema = StructType([*chunks.drop("frames").schema.fields, *StructType.fromDDL("first bigint, smooth array<double>").fields])
+
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("frames")
+            ends = rows.offsets.to_numpy().astype(np.int64)
+            flat = rows.flatten()
+            frame, x, y, conf = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("frame", "x", "y", "conf"))
+            ends = ends - ends[0]
+            speed = np.zeros(len(x))
+            step = np.hypot(np.diff(x), np.diff(y))
+            speed[1:] = np.where((np.minimum(conf[:-1], conf[1:]) > MIN_CONF) & ~np.isnan(step), step, 0.0)
+            speed[ends[:-1]] = 0.0
+            speed[frame == 0] = 0.0
+            out = np.empty_like(speed)
+            for a, b in zip(ends[:-1], ends[1:]):
+                out[a:b] = np.convolve(speed[a:b], kernel)[r:r + b - a]
+            arrays = [batch.column(c) for c in (*keys, "chunk", "fps")]
+            yield pa.RecordBatch.from_arrays(
+                [*arrays, pa.array(frame[ends[:-1]], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))],
+                names=[*keys, "chunk", "fps", "first", "smooth"])
+
+    return checkpointed(chunks.mapInArrow(smooth, schema))
+
+
+def _active_stretches(level: np.ndarray, threshold: float, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of values above the threshold, with pauses of at most ``gap`` inside."""
+    on = np.flatnonzero(level > threshold)
+    if not len(on):
+        return on, on
+    breaks = np.flatnonzero(np.diff(on) - 1 > gap)
+    return on[np.concatenate(([0], breaks + 1))], on[np.concatenate((breaks, [len(on) - 1]))] + 1
+
+
 def detect_segments(signal: DataFrame, keys: Sequence[str] = ("clip",), sigma: float = 3.0,
                     threshold: float = 0.15, min_ms: int = 150, max_ms: int = 4000,
                     gap_ms: int = 80, chunk_rows: int = FRAME_CHUNK) -> DataFrame:
@@ -118,47 +170,44 @@ def detect_segments(signal: DataFrame, keys: Sequence[str] = ("clip",), sigma: f
     a halo of that width decides every segment inside its own chunk.
     """
     keys = list(keys)
-    by_clip = [*keys, "fps"]  # fps depends on the clip; every branch reads the same columns
-    limit = {
-        "gap": F.greatest(F.lit(1), F.floor(F.lit(gap_ms) * F.col("fps") / 1000)),
-        "min": F.greatest(F.lit(1), F.floor(F.lit(min_ms) * F.col("fps") / 1000)),
-        "max": F.greatest(F.lit(2), F.floor(F.lit(max_ms) * F.col("fps") / 1000)),
-    }
-    rows = _chunked_speed(
-        signal.select(*by_clip, "frame", "x", "y", "conf"), keys, sigma, chunk_rows,
-        limit["gap"] + 1, limit["max"] + limit["gap"] + 2)
-    home = rows.filter(is_home("frame", chunk_rows))
-    p99 = exact_quantile(home, keys, "smooth", 0.99, "p99", ["fps"], chunk_rows).filter(F.col("p99") >= 1e-6)
-    # One row per chunk, so that the signal keeps its partitioning in the join.
-    last_chunk = chunk_of(F.col("n") - 1, chunk_rows)
-    per_chunk = p99.select(
-        *keys, "p99", F.col("fps").alias("_fps"), F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk"))
 
-    w = Window.partitionBy(*keys, "chunk").orderBy("frame")
-    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    marked = (
-        rows.join(per_chunk, [*keys, "chunk"])
-        .select(*by_clip, "_fps", "chunk", "frame", (F.col("smooth") / F.col("p99")).alias("level"))
-        .withColumn("on", F.when(F.col("level") > threshold, F.col("frame")))
-        .withColumn("_last", F.max("on").over(so_far))
-        .withColumn("_opens", (F.col("on").isNotNull() & (
-            F.col("_last").isNull()
-            | (F.col("frame") - F.col("_last") - 1 > limit["gap"]))).cast("int"))
-        .withColumn("_seg", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_end", F.max("on").over(Window.partitionBy(*keys, "chunk", "_seg")))
-        .filter((F.col("_seg") > 0) & (F.col("frame") <= F.col("_end")))
-    )
-    return (
-        marked.groupBy(*keys, "chunk", "_seg")
-        .agg(F.max("_fps").alias("fps"), F.min("frame").alias("frame_start"), (F.max("frame") + 1).alias("frame_end"),
-             F.avg("level").alias("_mean"))
-        .filter(chunk_of("frame_start", chunk_rows) == F.col("chunk"))
-        .filter((F.col("frame_end") - F.col("frame_start")).between(limit["min"], limit["max"]))
-        .select(*by_clip, "frame_start", "frame_end",
-                frame_to_ms("frame_start", "fps").alias("start_ms"),
-                frame_to_ms("frame_end", "fps").alias("end_ms"),
-                F.bround(F.least(F.lit(1.0), "_mean"), 3).alias("score"))
-    )
+    def frames_of(ms: int, least: int) -> Column:
+        return F.greatest(F.lit(least), F.floor(F.lit(ms) * F.col("fps") / 1000)).cast("long")
+
+    gap, longest = frames_of(gap_ms, 1), frames_of(max_ms, 2)
+    chunks = packed_speed(signal.select(*keys, "fps", "frame", "x", "y", "conf"), keys, sigma, chunk_rows, gap + 1, longest + gap + 2)
+    own = F.greatest(F.col("chunk") * chunk_rows - F.col("first"), F.lit(0)).cast("int") + 1
+    home = chunks.select(*keys, "chunk", "fps", F.explode(F.slice("smooth", own, F.lit(chunk_rows))).alias("smooth"))
+    p99 = exact_quantile(home, keys, "smooth", 0.99, "p99", ["fps"], chunk_rows).filter(F.col("p99") >= 1e-6)
+    # One row per chunk, so that a long clip is not brought to one task.
+    per_chunk = p99.select(*keys, "p99", F.explode(F.sequence(F.lit(0).cast("long"), chunk_of(F.col("n") - 1, chunk_rows))).alias("chunk"))
+    marked = chunks.join(per_chunk, [*keys, "chunk"]).select(
+        *keys, "chunk", "fps", "first", "smooth", "p99", gap.alias("gap"), frames_of(min_ms, 1).alias("least"), longest.alias("most"))
+    fields = [f for f in marked.schema.fields if f.name in (*keys, "fps")]
+    schema = StructType([*fields, *StructType.fromDDL("frame_start bigint, frame_end bigint, mean double").fields])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, starts, ends, means = [], [], [], []
+            columns = {c: batch.column(c).to_pylist() for c in ("chunk", "first", "p99", "gap", "least", "most")}
+            smooth = batch.column("smooth")
+            for i in range(batch.num_rows):
+                level = smooth[i].values.to_numpy() / columns["p99"][i]
+                s, e = _active_stretches(level, threshold, columns["gap"][i])
+                mine = ((s + columns["first"][i]) // chunk_rows == columns["chunk"][i]) & (e - s >= columns["least"][i]) & (e - s <= columns["most"][i])
+                for a, b in zip(s[mine], e[mine]):
+                    at.append(i)
+                    starts.append(int(a) + columns["first"][i])
+                    ends.append(int(b) + columns["first"][i])
+                    means.append(float(level[a:b].mean()))
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(f.name).take(place) for f in fields], pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(means, pa.float64())],
+                names=[*[f.name for f in fields], "frame_start", "frame_end", "mean"])
+
+    return marked.mapInArrow(mark, schema).select(
+        *keys, "fps", "frame_start", "frame_end", frame_to_ms("frame_start", "fps").alias("start_ms"),
+        frame_to_ms("frame_end", "fps").alias("end_ms"), F.bround(F.least(F.lit(1.0), "mean"), 3).alias("score"))
 
 
 # Frames per bucket of the range join: about ten seconds, so a bucket meets few segments.

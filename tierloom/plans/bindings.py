@@ -87,6 +87,18 @@ class Bindings:
             (start + 300 + F.col("k") * 13 % 1500).cast("long").alias("end_ms"),
             F.concat("event_type", bangs).alias("text"))
 
+    @property
+    def long_cues(self) -> DataFrame:
+        """The same kind of cues in few and long groups: one video per kind of event, texts by user."""
+        k = F.regexp_extract("props", r"(\d+)", 1).cast("long")
+        rows = rank_in_groups(self.table("events").select(F.col("event_type").alias("stem"), "ts", "event_id", "user_id", k.alias("k")),
+                              ["stem"], F.col("ts").cast("date"), [F.col("ts"), F.col("event_id")], "cue_no")
+        start = F.col("cue_no") * 900 + F.floor(F.col("cue_no") / 40) * 3000
+        return rows.select(
+            "stem", "cue_no", start.cast("long").alias("start_ms"),
+            (start + 300 + F.col("k") * 13 % 1500).cast("long").alias("end_ms"),
+            F.concat(F.lit("a line of user "), (F.col("user_id") % 3).cast("string"), F.expr("repeat('!', cast(k % 3 as int))")).alias("text"))
+
     @property
     def cues(self) -> DataFrame:
         start = F.col("turn") * 1500
@@ -150,6 +162,11 @@ TABLES_SQL: dict[str, str] = {
     "noisy_cues": """SELECT clip AS stem, frame AS cue_no, s AS start_ms,
         s + 300 + k * 13 % 1500 AS end_ms, event_type || repeat('!', CAST(k % 3 AS INT)) AS text
       FROM (SELECT *, frame * 900 + (frame // 10) * 3000 AS s FROM signal)""",
+    "long_cues": r"""SELECT stem, cue_no, s AS start_ms, s + 300 + k * 13 % 1500 AS end_ms,
+        'a line of user ' || u || repeat('!', CAST(k % 3 AS INT)) AS text
+      FROM (SELECT *, cue_no * 900 + (cue_no // 40) * 3000 AS s FROM (
+        SELECT event_type AS stem, user_id % 3 AS u, CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) AS k,
+          row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS cue_no FROM events))""",
     "cues": """SELECT conv_id AS stem, turn AS cue_no, role, turn * 1500 AS start_ms,
         turn * 1500 + 1000 + length(text) * 37 % 900 AS end_ms, text FROM conversations""",
     "lines": """SELECT doc_id, lang, source, i - 1 AS line_no, parts[i] AS line

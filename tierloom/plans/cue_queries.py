@@ -83,6 +83,17 @@ def merge_short(b):
     return C.merge_short(b.noisy_cues.withColumn("end_ms", end.cast("long"))).drop("cue_no")
 
 
+@query("b03_merge_in_long_groups", f"{FOLD_SQL.replace('noisy_cues', 'long_cues')} SELECT * FROM deduped")
+def merge_in_long_groups(b):
+    return C.merge_near_duplicates(b.long_cues).drop("cue_no")
+
+
+@query("b04_merge_short_in_long_groups", SHORT_SQL.replace("noisy_cues", "long_cues"))
+def merge_short_in_long_groups(b):
+    end = F.col("start_ms") + 200 + F.floor((F.col("end_ms") - F.col("start_ms")) / 4)
+    return C.merge_short(b.long_cues.withColumn("end_ms", end.cast("long"))).drop("cue_no")
+
+
 ALIGN = """least(CAST(floor({0} * fps / 1000) AS BIGINT), n - 1)"""
 CLIPS_SQL = """clips AS (SELECT o_orderkey AS stem, CAST(20 + o_orderkey % 11 AS DOUBLE) AS fps,
     100 + o_orderkey % 200 AS n, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_custkey + 1 END AS bytes FROM orders)"""
@@ -197,6 +208,13 @@ def cues_from_recognised_text(b):
     return C.cues_from_recognised_text(frames, ends)
 
 
+@query("b10_recognised_in_long_groups", f"""{RECOGNISED_SQL.replace('noisy_cues', "(SELECT * REPLACE (CASE WHEN (cue_no // 7) % 2 = 0 THEN reverse(text) ELSE text END AS text) FROM long_cues) c")} SELECT * FROM made WHERE trim(text) <> ''""")
+def recognised_in_long_groups(b):
+    text = F.when(F.floor(F.col("cue_no") / 7) % 2 == 0, F.reverse("text")).otherwise(F.col("text"))
+    frames = b.long_cues.select("stem", (F.col("cue_no") * 200).alias("ts_ms"), text.alias("text"))
+    return C.cues_from_recognised_text(frames, frames.groupBy("stem").agg((F.max("ts_ms") + 200).alias("last_ms")))
+
+
 LINES_SQL = RECOGNISED_SQL.replace("SELECT stem, cue_no AS n, cue_no * 200 AS ts, text AS t FROM noisy_cues", f"""SELECT doc_id AS stem, line_no AS n, line_no * 200 AS ts,
     CASE WHEN length({CLEAN.format('line')}) < 2 THEN '' ELSE {CLEAN.format('line')} END AS t FROM lines""").replace(">= 500", ">= 200")
 

@@ -9,14 +9,16 @@ from tierloom.operators import learning as LE
 from tierloom.operators import matching as M
 from tierloom.operators import progress as P
 from tierloom.operators import search as SE
+from tierloom.functions.text import file_stem
 from tierloom.operators.label_sets import split_per_label
 from tierloom.plans import metric_queries as MQ
 from tierloom.plans.augment_queries import small_clips
-from tierloom.plans.cue_queries import ALIGN_COLS, CLIPS_SQL, clips
+from tierloom.plans.cue_queries import MERGED_SQL, clips
 from tierloom.plans.join_queries import HARVEST_SQL, harvested
 from tierloom.plans.registry import query
 from tierloom.plans.signal_queries import detect_sql
 from tierloom.session import new_folder
+from tierloom.sources.subtitles import vtt_files, write_webvtt
 from tierloom.streaming import incremental as ST
 
 
@@ -60,25 +62,41 @@ def batch_totals(b):
     return inference(b)[2]
 
 
-@query("l01_incremental_alignment", f"WITH {CLIPS_SQL} SELECT {ALIGN_COLS} FROM cues JOIN clips USING (stem)")
+# The batch build over all files at once: trimmed cues of videos with a pose, both merges, alignment.
+ALL_AT_ONCE_SQL = MERGED_SQL.replace(
+    MERGED_SQL[MERGED_SQL.index("src0 AS ("):MERGED_SQL.index(", walk AS")],
+    "src0 AS (SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY start_ms, cue_no) - 1 AS cue_no, start_ms, end_ms, trim(text) AS text "
+    "FROM cues WHERE trim(text) <> '' AND stem IN (SELECT stem FROM clips WHERE bytes > 0))")
+
+
+@query("l01_incremental_alignment", f"SELECT * REPLACE (CAST(stem AS VARCHAR) AS stem) FROM ({ALL_AT_ONCE_SQL})")
 def incremental_alignment(b):
-    out, work = new_folder(b.spark, "aligned"), new_folder(b.spark, "stream")
-    turns = b.table("conversations")
-    stream = b.spark.readStream.schema(turns.schema).option("pathGlobFilter", "conversations.parquet").parquet(b.sf_dir)
-    start = F.col("turn") * 1500
-    cues = stream.select(F.col("conv_id").alias("stem"), F.col("turn").alias("cue_no"), start.alias("start_ms"),
-                         (start + 1000 + F.length("text").cast("long") * 37 % 900).alias("end_ms"), "text")
-    for _ in range(2):  # a restart on the same checkpoint finds nothing new
-        ST.align_new_cues(cues, clips(b).drop("bytes"), out, work).awaitTermination()
-    return b.spark.read.parquet(out).drop("batch")
-
-
-@query("l02_incremental_signs", f"""WITH {HARVEST_SQL} SELECT DISTINCT stem, start_ms AS sign_start_ms, hand FROM harvested""")
+    out, work, feed = (new_folder(b.spark, n) for n in ("aligned", "stream", "feed"))
+    poses = clips(b).withColumn("stem", F.col("stem").cast("string"))
+    inventory = poses.select("stem")
+    at_once = max(1, b.cues.select("stem").distinct().count() // 3)
+    # The first start meets half of the files and half of the poses; files without a pose wait for the second.
+    for name, half, ready in (("one", 0, poses.filter(F.pmod(F.xxhash64("stem"), F.lit(2)) == 0)), ("two", 1, poses)):
+        write_webvtt(b.cues.filter(F.pmod(F.hash("stem"), F.lit(2)) == half), f"{feed}/{name}")
+        found = b.spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.vtt").option(
+            "maxFilesPerTrigger", at_once).load(f"{feed}/*")
+        files = vtt_files(found).select(file_stem("path").alias("stem"), "path", F.lit("soft").alias("kind"), F.lit("sk").alias("lang"), "content")
+        ST.align_new_files(files, inventory, ready, out, work).awaitTermination()
+    return ST.aligned(b.spark, out)
+
+
+# The first wave adds the first line of every key; of the second, which has other words, only new keys are added.
+SIGN_WAVES_SQL = f"""WITH {HARVEST_SQL}, w AS (SELECT *, stem % 3 AS third, row_number() OVER (PARTITION BY stem, start_ms, hand ORDER BY item_no) AS rn FROM harvested)
+    SELECT stem, start_ms AS sign_start_ms, hand, item_no, CASE WHEN third = 2 THEN 'late ' ELSE '' END || w2 AS word FROM w WHERE rn = 1"""
+
+
+@query("l02_incremental_signs", SIGN_WAVES_SQL)
 def incremental_signs(b):
     out, work, feed = (new_folder(b.spark, n) for n in ("signs", "stream", "feed"))
-    rows = harvested(b).select("stem", "sign_start_ms", "hand", "pairing_id", "word", "gloss_id", "item_no")
-    rows.withColumn("part", F.pmod(F.xxhash64("stem", "sign_start_ms"), F.lit(2))).write.partitionBy("part").parquet(feed)
-    stream = b.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{feed}/part=*")
-    schema = "stem bigint, sign_start_ms bigint, hand string, pairing_id string, word string, gloss_id string"
-    ST.merge_new_signs(stream, out, work, schema).awaitTermination()
-    return b.spark.read.parquet(out).select("stem", "sign_start_ms", "hand")
+    rows = harvested(b).select("stem", "sign_start_ms", "hand", "word", "item_no")
+    late = rows.withColumn("word", F.concat(F.lit("late "), "word"))
+    for number, wave in enumerate((rows.filter("stem % 3 < 2"), late)):
+        wave.repartition(4, "stem").write.parquet(f"{feed}/wave={number}")
+        stream = b.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{feed}/wave=*")
+        ST.merge_new_signs(stream, out, work).awaitTermination()
+    return b.spark.read.schema(rows.schema).parquet(out)

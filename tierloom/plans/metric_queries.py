@@ -269,6 +269,17 @@ def anchored(b):
     return anchored_windows(hand_predictions(b))
 
 
+LONG_ANCHOR_SQL = """WITH RECURSIVE o AS (SELECT stem, cue_no AS item_no, start_ms, row_number() OVER (PARTITION BY stem ORDER BY start_ms, cue_no) AS n FROM long_cues),
+    walk AS (SELECT stem, item_no, n, start_ms, start_ms AS head, true AS is_head FROM o WHERE n = 1
+      UNION ALL SELECT o.stem, o.item_no, o.n, o.start_ms, CASE WHEN o.start_ms <= w.head + 5000 THEN w.head ELSE o.start_ms END, o.start_ms > w.head + 5000 FROM walk w JOIN o ON o.stem = w.stem AND o.n = w.n + 1)
+    SELECT stem, item_no, start_ms, head AS group_start, is_head FROM walk"""
+
+
+@query("h01_anchored_in_long_groups", LONG_ANCHOR_SQL)
+def anchored_in_long_groups(b):
+    return anchored_windows(b.long_cues.select("stem", F.col("cue_no").alias("item_no"), "start_ms"))
+
+
 @query("h02_neighbourhood", f"""{ANCHOR_SQL}, n AS (SELECT h.stem, h.item_no, p.start_ms, p.end_ms, p.item_no AS pn, predicted_gloss AS g, row_number() OVER (PARTITION BY h.stem, h.item_no ORDER BY p.start_ms, p.item_no) AS r
       FROM walk h JOIN preds p ON p.stem = h.stem AND abs(p.start_ms - h.start_ms) < 5000 WHERE is_head)
     SELECT stem, item_no, string_agg(g, ' ' ORDER BY r) FILTER (r <= 8) AS glosses, min(start_ms) AS span_start_ms, max(end_ms) AS span_end_ms FROM n GROUP BY stem, item_no""")
@@ -461,6 +472,55 @@ def bulk_import(b):
     return K.import_counts(parsed, words(b).filter("word_id % 2 = 0"))
 
 
+# Lines in the order of their keys against every second word; a gloss that is there or came before clashes.
+IMPORT_SQL = f"""{WORDS_SQL}, l AS (SELECT p_partkey AS n, p_partkey % 5 AS m, p_name AS w, CASE WHEN p_partkey % 5 = 2 THEN 'NEW-' || p_size ELSE upper(replace(p_name, ' ', '-')) || '-' || p_size END AS g FROM part),
+    old AS (SELECT * FROM words WHERE word_id % 2 = 0),
+    ok AS (SELECT *, g IN (SELECT gloss_id FROM old) OR row_number() OVER (PARTITION BY g ORDER BY n) > 1 AS clash FROM l WHERE m >= 2)"""
+NEW_THEME = "(SELECT max(theme_id) + 1 FROM themes)"
+OLD_THEME = "(SELECT theme_id FROM themes WHERE name = 'ECONOMY')"
+
+
+def imported(b, theme):
+    lines = b.table("part").select(F.col("p_partkey").alias("line_no"), F.expr(LINE).alias("line"))
+    return K.bulk_import(lines, words(b).filter("word_id % 2 = 0"), themes(b), theme)
+
+
+def import_totals(b, theme):
+    return imported(b, theme).totals.withColumn("sample_errors", F.array_join("sample_errors", "; "))
+
+
+def totals_sql(theme):
+    return f"""WITH {IMPORT_SQL} SELECT (SELECT count(*) FROM ok WHERE NOT clash) AS imported, (SELECT count(*) FROM l WHERE m = 1) + (SELECT count(*) FROM ok WHERE clash) AS skipped,
+      {theme} AS theme_id, (SELECT string_agg(g || ': already there', '; ' ORDER BY n) FROM (SELECT * FROM ok WHERE clash ORDER BY n LIMIT 5)) AS sample_errors"""
+
+
+@query("k04_import_totals_new_theme", totals_sql(NEW_THEME))
+def import_totals_new_theme(b):
+    return import_totals(b, "From a list")
+
+
+@query("k04_import_totals_old_theme", totals_sql(OLD_THEME))
+def import_totals_old_theme(b):
+    return import_totals(b, "ECONOMY")
+
+
+@query("k04_imported_words", f"""WITH {IMPORT_SQL} SELECT word_id, gloss_id, word, theme_id, target, NULL::VARCHAR AS link_a FROM old UNION ALL
+    SELECT (SELECT max(word_id) FROM old) + row_number() OVER (ORDER BY n), g, w, {NEW_THEME}, 50, CASE WHEN m = 2 THEN 'http://x' END FROM ok WHERE NOT clash""")
+def imported_words(b):
+    return imported(b, "From a list").words.drop("link_b")
+
+
+@query("k04_imported_themes", f"WITH {THEMES_SQL} SELECT * FROM themes UNION ALL SELECT max(theme_id) + 1, 'From a list', '', max(sort_order) + 1 FROM themes")
+def imported_themes(b):
+    return imported(b, "From a list").themes
+
+
+@query("k04_rejected_lines", f"""WITH {IMPORT_SQL} SELECT n AS line_no, g AS gloss_id, w AS word, g || ': already there' AS reason FROM ok WHERE clash
+    UNION ALL SELECT n, '', w, 'blank gloss or word' FROM l WHERE m = 1""")
+def rejected_lines(b):
+    return imported(b, "From a list").rejected
+
+
 @query("k04_import_lines", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'ignored' WHEN 1 THEN 'skipped' ELSE 'ok' END AS state, CASE p_partkey % 5 WHEN 0 THEN '' ELSE p_name END AS word, CASE p_partkey % 5 WHEN 2 THEN 'http://x' END AS link_a FROM part""")
 def import_lines(b):
     return K.parse_import(b.table("part").select("p_partkey", F.expr(LINE).alias("line"))).select("p_partkey", "state", "word", "link_a")

@@ -286,10 +286,8 @@ def index_saved_and_loaded(b):
 @query("a04_webvtt_read_back", "SELECT stem, start_ms, end_ms, trim(text) AS text FROM cues WHERE trim(text) <> ''")
 def webvtt_read_back(b):
     from tierloom.session import new_folder
-    from tierloom.sources.subtitles import cues_of_text, write_webvtt
 
     path = new_folder(b.spark, "webvtt")
-    write_webvtt(b.cues, path)
-    files = b.spark.read.schema("value string, stem string, piece long").text(path, wholetext=True)
-    cues = cues_of_text(files.select(F.concat("stem", F.lit(".vtt")).alias("path"), F.col("value").alias("content")))
+    subtitles.write_webvtt(b.cues, path)
+    cues = subtitles.read_webvtt(b.spark, path)
     return cues.select(F.col("stem").cast(b.cues.schema["stem"].dataType), "start_ms", "end_ms", "text")

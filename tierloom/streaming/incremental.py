@@ -1,64 +1,136 @@
 """Incremental ingest with Structured Streaming.
 
-Both jobs write one ``batch`` folder per micro-batch and overwrite only that folder,
-so a batch that is run again after a failure gives the same table. What counts as
-known is read from the earlier batches.
+Alignment works on subtitle files and writes one folder per micro-batch, with segments, aligned stems and files
+that still wait together in one job; a row of a manifest then commits the batch. A batch that is run again after
+a failure replaces its own folder, so the table is what a single build over all files gives. The sign merge keeps
+its known keys in the state store, so a batch reads its own rows and the state of its own keys only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from tierloom.operators.cues import align_to_frames
-from tierloom.operators.matching import SIGN_KEY, merge_harvest, skip_known
+from tierloom.operators.cues import build_alignment, pick_subtitles
+from tierloom.operators.matching import SIGN_KEY
+from tierloom.session import checkpointed
+from tierloom.sources.subtitles import cues_of_text
 
-
-def earlier_batches(spark: SparkSession, table: str, batch: int, schema: str) -> DataFrame:
-    """Rows of the table written by batches before this one."""
-    if not any_batch(spark, table):
+SEGMENT = ("segment_id string, stem string, start_ms bigint, end_ms bigint, frame_start bigint, frame_end bigint, "
+           "text string, fps double, n_frames bigint, status string, reviewed_text string, "
+           "reviewed_start_ms bigint, reviewed_end_ms bigint")
+FILE = "stem string, path string, kind string, lang string, content string"
+BATCH = f"part string, stem string, segment struct<{SEGMENT.replace(' ', ':').replace(',:', ',')}>, file struct<{FILE.replace(' ', ':').replace(',:', ',')}>"
+MANIFEST = "batch int, stems bigint, segments bigint, waiting bigint"
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table of a folder, or no rows while there is no folder."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, batch int").parquet(table)
-    return rows.filter(F.col("batch") < batch).drop("batch")
 
 
-def any_batch(spark: SparkSession, table: str) -> bool:
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/batch=*")
-    found = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jpath)
-    return found is not None and len(found) > 0
+def committed(spark: SparkSession, table: str) -> DataFrame:
+    """Manifest of an alignment table: one row per finished batch."""
+    return read_or_empty(spark, f"{table}/manifest", MANIFEST)
 
 
-def run_batches(stream: DataFrame, table: str, checkpoint: str,
-                work: Callable[[DataFrame, DataFrame], DataFrame], schema) -> StreamingQuery:
-    """Run ``work(batch, known)`` for all data available now and append its result to ``table``."""
-    def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        result = work(batch, earlier_batches(spark, table, number, schema))
-        result.write.mode("overwrite").parquet(f"{table}/batch={number}")
+def _parts(spark: SparkSession, table: str, part: str, before: int | None = None) -> DataFrame:
+    """Rows of one kind in committed batches, in those before a number if given; other kinds are not read."""
+    rows = read_or_empty(spark, f"{table}/batches", f"{BATCH}, batch int").filter(F.col("part") == part)
+    if before is not None:
+        return rows.filter(F.col("batch") < before)
+    return rows.join(F.broadcast(committed(spark, table).select("batch")), "batch", "left_semi")
 
-    return (stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
 
+def aligned(spark: SparkSession, table: str) -> DataFrame:
+    """All segments of committed batches."""
+    return _parts(spark, table, "segment").select("segment.*")
 
-ALIGNED = ("segment_id string, stem bigint, start_ms bigint, end_ms bigint, frame_start bigint, frame_end bigint, "
-           "text string, fps double, n_frames bigint, status string, reviewed_text string, "
-           "reviewed_start_ms bigint, reviewed_end_ms bigint")
 
+def _align_batch(files: DataFrame, inventory: DataFrame, poses: DataFrame, known: DataFrame) -> DataFrame:
+    """Segments, stems and waiting files of a batch, told apart by ``part``.
+
+    A file whose video is listed and has a non-empty pose is settled now; the others wait. Files of known
+    stems are dropped.
+    """
+    ready = inventory.select("stem").distinct().join(poses.filter("bytes > 0").select("stem").distinct(), "stem", "left_semi")
+    fresh = files.join(known.select("stem").distinct(), "stem", "left_anti")
+    now = fresh.join(ready, "stem", "left_semi")
+    picked = checkpointed(pick_subtitles(now))
+    chosen = now.join(picked.select("stem", "path"), ["stem", "path"], "left_semi").dropDuplicates(["stem", "path"])
+    cues = cues_of_text(chosen).drop("stem").join(chosen.select("path", "stem"), "path")
+    segments = build_alignment(inventory.select("stem").distinct(), poses, picked, cues, known)
+    columns = [c.split()[0] for c in SEGMENT.split(", ")]
+    part = segments.select(F.lit("segment").alias("part"), "stem", F.struct(*columns).alias("segment"))
+    part = part.unionByName(picked.select(F.lit("stem").alias("part"), "stem"), allowMissingColumns=True)
+    # A video whose files hold no cue yet waits like one without a pose: a better file may come.
+    waits = fresh.join(picked.select("stem"), "stem", "left_anti").select(
+        F.lit("waiting").alias("part"), "stem", F.struct(*[c.split()[0] for c in FILE.split(", ")]).alias("file"))
+    return part.unionByName(waits, allowMissingColumns=True)
 
-def align_new_cues(cues: DataFrame, clips: DataFrame, table: str, checkpoint: str, schema: str = ALIGNED) -> StreamingQuery:
-    """Align each stem once: cues of stems aligned by an earlier batch are ignored."""
-    def work(batch: DataFrame, known: DataFrame) -> DataFrame:
-        return align_to_frames(skip_known(batch, known), clips)
 
-    return run_batches(cues, table, checkpoint, work, schema)
+def align_new_files(files: DataFrame, inventory: DataFrame, poses: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Align the videos of new subtitle files, each video once.
 
+    ``files`` is a stream of stem, path, kind (soft or ocr), lang and content. Every batch builds its alignment like
+    a build over all files does (best file per video, near-duplicate and short cues merged, non-empty pose), for
+    videos that no earlier batch settled. Files whose video is not ready are kept with the batch and come up again
+    with the next one. Read the table with ``aligned``.
+    """
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        waiting = _parts(spark, table, "waiting", number).filter(F.col("batch") == number - 1).select("file.*")
+        columns = [c.split()[0] for c in FILE.split(", ")]
+        given = checkpointed(batch.select(*columns).unionByName(waiting))
+        known = _parts(spark, table, "stem", number).select("stem")
+        rows = _align_batch(given, inventory, poses, known)
+        place = f"{table}/batches/batch={number}"
+        rows.write.mode("overwrite").partitionBy("part").parquet(place)
+        counted = read_or_empty(spark, place, BATCH).agg(
+            F.count_if(F.col("part") == "stem").alias("stems"), F.count_if(F.col("part") == "segment").alias("segments"),
+            F.count_if(F.col("part") == "waiting").alias("waiting"))
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/batch={number}")
+
+    return (files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
-def merge_new_signs(signs: DataFrame, table: str, checkpoint: str, schema: str, order: str = "item_no") -> StreamingQuery:
-    """Add signs whose (stem, start, hand) is new; repeats inside a batch keep the first."""
-    def work(batch: DataFrame, known: DataFrame) -> DataFrame:
-        return merge_harvest(known.select(*SIGN_KEY), batch, order)
 
-    return run_batches(signs, table, checkpoint, work, schema)
+def merge_new_signs(signs: DataFrame, table: str, checkpoint: str, order: str = "item_no",
+                    keys: Sequence[str] = SIGN_KEY) -> StreamingQuery:
+    """Add signs whose (stem, start, hand) is new; of several in a batch the one of smallest ``order`` is added.
+
+    Keys that have been added are kept in the state store, one flag each, dealt by key: what a batch reads does
+    not grow with the table. The file sink notes the files of every batch, so one that is run again adds nothing.
+    Use the RocksDB provider of state stores where the keys outgrow the memory of the executors.
+    """
+    keys = list(keys)
+    schema = signs.schema
+    names = schema.names
+
+    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        best = None
+        for part in parts:
+            row = part.nsmallest(1, order) if best is None else pd.concat([best, part]).nsmallest(1, order)
+            best = row
+        state.update((True,))
+        if best is not None:
+            yield best[names]
+
+    added = signs.groupBy(*keys).applyInPandasWithState(
+        first, StructType(schema.fields), "added boolean", "append", GroupStateTimeout.NoTimeout)
+    return (added.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())
