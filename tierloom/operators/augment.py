@@ -11,18 +11,21 @@ Frames: clip, variant, frame, pts, t (frames of the clip) and the parameter colu
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierloom.fixed_values import HAND_BLOCKS
-from tierloom.functions.chunks import FRAME_CHUNK, is_home, join_per_chunk, rank_in_groups, with_halo
+from tierloom.functions.chunks import FRAME_CHUNK, is_home, join_per_chunk, let, rank_in_groups, with_halo
+from tierloom.functions.draws import bucket, fraction, hashed
 
 STEPS = ("crop", "speed", "noise", "scale", "mirror", "rotation", "dropout", "time_mask", "mixup")
 BETA = 0.3
-BETA_TRIES = 24
+#: Intervals of the table of quantiles, an even number; they cost less than 1e-3 anywhere.
+BETA_STEPS = 512
 
 # Combinations of steps in the augmentation search, with the variants per clip.
 BASIC = ("crop", "speed", "noise", "scale")
@@ -52,8 +55,7 @@ SEARCH_GRID = {
 
 def uniform(name: str, seed: int = 42, *more: Column) -> Column:
     """Draw in [0, 1) for (clip, variant, name)."""
-    bits = F.xxhash64(F.lit(seed), F.lit(name), F.col("clip"), F.col("variant"), *more)
-    return F.shiftrightunsigned(bits, 11) / F.lit(float(1 << 53))
+    return fraction(hashed(seed, name, F.col("clip"), F.col("variant"), *more))
 
 
 def between(low: float, high: float, name: str, seed: int) -> Column:
@@ -65,13 +67,26 @@ def whole(n: Column, name: str, seed: int, *more: Column) -> Column:
     return F.least(F.floor(uniform(name, seed, *more) * n), n - 1).cast("long")
 
 
+def beta_quantiles(a: float = BETA, steps: int = BETA_STEPS) -> list[float]:
+    """Quantiles of Beta(a, a) at 0, 1/steps ... 1.
+
+    With x = s^(1/a) the density near zero becomes smooth, so its integral up to one half is summed by
+    Simpson's rule; the upper half mirrors the lower one.
+    """
+    grid = np.linspace(0.0, 0.5 ** a, 40_001)
+    density = (1 - grid ** (1 / a)) ** (a - 1)
+    pieces = (density[:-2:2] + 4 * density[1:-1:2] + density[2::2]) / 6
+    mass = np.concatenate(([0.0], np.cumsum(pieces)))
+    lower = np.interp(np.linspace(0, 0.5, steps // 2 + 1), mass / (2 * mass[-1]), grid[::2] ** (1 / a))
+    return [float(x) for x in np.concatenate((lower, 1 - lower[-2::-1]))]
+
+
 def _beta(seed: int) -> Column:
-    """Beta(a, a) draw: the first pair with u^(1/a) + v^(1/a) <= 1 gives x / (x + y)."""
-    tries = F.transform(F.sequence(F.lit(1), F.lit(BETA_TRIES)), lambda i: F.struct(
-        F.pow(uniform("beta_u", seed, i), F.lit(1 / BETA)).alias("x"), F.pow(uniform("beta_v", seed, i), F.lit(1 / BETA)).alias("y")))
-    good = F.filter(tries, lambda p: (p["x"] + p["y"] <= 1) & (p["x"] + p["y"] > 0))
-    first = F.get(good, F.lit(0))
-    return F.coalesce(first["x"] / (first["x"] + first["y"]), F.lit(0.5))
+    """Beta(a, a) draw: the quantile of one uniform draw, interpolated between the entries of a table."""
+    table = F.lit(beta_quantiles())
+    at = uniform("beta", seed) * BETA_STEPS
+    low = F.floor(at).cast("int")
+    return F.get(table, low) + (F.get(table, low + 1) - F.get(table, low)) * (at - low)
 
 
 def parameters(clips: DataFrame, n_variants: int, n_landmarks: int, steps: Sequence[str] = STEPS[:-1],
@@ -81,10 +96,19 @@ def parameters(clips: DataFrame, n_variants: int, n_landmarks: int, steps: Seque
     ``clips``: clip, t and, for mixup, label.
     """
     rows = clips.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(n_variants - 1))))
+    rows = _drawn(rows, n_landmarks, {s: F.lit(s in steps) for s in STEPS}, seed)
+    if "mixup" in steps:
+        chosen = (F.col("variant") > 0) & (uniform("mixup_chance", seed) < 0.3)
+        rows = _partners(rows, clips, F.when(chosen, F.greatest(F.lit(0.5), _beta(seed))), seed)
+    return rows
+
+
+def _drawn(rows: DataFrame, n_landmarks: int, wanted: Mapping[str, Column], seed: int) -> DataFrame:
+    """Parameters of all steps but mixup for rows (clip, t, variant); ``wanted`` tells which steps a row takes."""
     changed = F.col("variant") > 0
 
     def on(step: str, value: Column, chance: float = 1.0) -> Column:
-        drawn = changed & F.lit(step in steps)
+        drawn = changed & wanted[step]
         if chance < 1:
             drawn = drawn & (uniform(f"{step}_chance", seed) < chance)
         return F.when(drawn, value)
@@ -114,17 +138,14 @@ def parameters(clips: DataFrame, n_variants: int, n_landmarks: int, steps: Seque
         return F.struct(start.alias("s"), (start + n).alias("e"))
 
     count = (whole(F.lit(3), "spans", seed) + 1).cast("int")
-    rows = rows.withColumn("spans", on("time_mask", F.transform(F.sequence(F.lit(1), count), span), 0.3))
-    if "mixup" in steps:
-        rows = _partners(rows, clips, on("mixup", F.greatest(F.lit(0.5), _beta(seed)), 0.3), seed)
-    return rows
+    return rows.withColumn("spans", on("time_mask", F.transform(F.sequence(F.lit(1), count), span), 0.3))
 
 
 def _partners(rows: DataFrame, clips: DataFrame, weight: Column, seed: int) -> DataFrame:
     """Another clip of the same label: clips of a label are numbered and a drawn step leads from
     one number to another, so no pairs of clips are listed."""
-    numbered = rank_in_groups(clips.select("clip", "label"), ["label"], F.shiftright(F.xxhash64("clip"), 52),
-                              [F.xxhash64("clip"), F.col("clip")], "_no", "_m")
+    numbered = rank_in_groups(clips.select("clip", "label"), ["label"], bucket(hashed(seed, F.col("clip"))),
+                              [hashed(seed, F.col("clip")), F.col("clip")], "_no", "_m")
     own = numbered.select("clip", "_no", "_m")
     step = whole(F.greatest(F.col("_m") - 1, F.lit(1)), "partner", seed) + 1
     rows = rows.withColumn("_w", weight).join(own, "clip").withColumn(
@@ -182,13 +203,14 @@ def change_speed(frames: DataFrame, chunk_rows: int = FRAME_CHUNK) -> DataFrame:
 
 
 def add_noise(frames: DataFrame, seed: int = 42) -> DataFrame:
-    """Normal noise per coordinate from two hash draws."""
-    def normal(i: Column, axis: str) -> Column:
-        u = F.greatest(uniform(f"noise_u{axis}", seed, F.col("frame"), i), F.lit(1e-300))
-        return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(f"noise_v{axis}", seed, F.col("frame"), i))
+    """Normal noise per coordinate; one hash per landmark gives the two draws of each of its three coordinates."""
+    def normal(digest: Column, place: int) -> Column:
+        u = fraction(digest, 1 + 10 * place, 5) + F.lit(0.5 / 16 ** 5)
+        return F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * math.pi) * fraction(digest, 6 + 10 * place, 5))
 
     def moved(p: Column, i: Column) -> Column:
-        return _point(p, **{a: p[a] + normal(i, a) * F.col("noise_std") for a in "xyz"})
+        digest = hashed(seed, "noise", F.col("clip"), F.col("variant"), F.col("frame"), i)
+        return let(digest, lambda d: _point(p, **{a: p[a] + normal(d, k) * F.col("noise_std") for k, a in enumerate("xyz")}))
 
     return frames.withColumn("pts", F.when(F.col("noise_std").isNotNull(), F.transform("pts", moved)).otherwise(F.col("pts")))
 
@@ -252,9 +274,13 @@ def augment(pose: DataFrame, params: DataFrame, n_landmarks: int = 96, seed: int
 
 
 def search_parameters(clips: DataFrame, n_landmarks: int, grid=None, seed: int = 42) -> DataFrame:
-    """Parameters of every combination of steps; ``combo`` names it and is part of the result key."""
-    rows = None
-    for name, (steps, n_variants) in (grid or SEARCH_GRID).items():
-        part = parameters(clips, n_variants, n_landmarks, steps, seed).withColumn("combo", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    return rows
+    """Parameters of every combination of steps; ``combo`` names it and is part of the result key.
+
+    Combinations and variants of a clip come from one explode, so clips are read once; which steps a row takes
+    is a column.
+    """
+    combos = F.array(*[F.struct(F.lit(name).alias("combo"), F.lit(n).alias("n"), F.struct(*[F.lit(s in steps).alias(s) for s in STEPS]).alias("takes"))
+                       for name, (steps, n) in (grid or SEARCH_GRID).items()])
+    rows = clips.withColumn("_g", F.explode(combos)).withColumn("variant", F.explode(F.sequence(F.lit(0), F.col("_g.n") - 1)))
+    rows = _drawn(rows, n_landmarks, {s: F.col(f"_g.takes.{s}") for s in STEPS}, seed)
+    return rows.withColumn("combo", F.col("_g.combo")).drop("_g")

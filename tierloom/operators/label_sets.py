@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.functions.chunks import rank_by_range, rank_in_groups
+from tierloom.functions.draws import bucket, hashed
 from tierloom.functions.text import blank, derive_label, normalise_label, plain_label
+from tierloom.session import checkpointed
 
 
 def keep_supported(rows: DataFrame, n: int = 3, label: str = "label") -> DataFrame:
@@ -80,10 +82,9 @@ def _shuffled(rows: DataFrame, keys: Sequence[str], identity: str, seed: int,
               attach: DataFrame | None = None) -> DataFrame:
     """Add ``_rank``, a random order per group that depends only on seed and row identity, and
     the group size ``_n``."""
-    draw = F.xxhash64(F.lit(seed), F.col(identity))
-    rows = rows.withColumn("_draw", draw)
+    rows = rows.withColumn("_draw", hashed(seed, F.col(identity)))
     # The leading bits of the draw cut even one huge label into many even pieces.
-    return rank_in_groups(rows, keys, F.shiftright("_draw", 52), [F.col("_draw"), F.col(identity)],
+    return rank_in_groups(rows, keys, bucket(F.col("_draw")), [F.col("_draw"), F.col(identity)],
                           "_rank", "_n", attach).drop("_draw")
 
 
@@ -104,52 +105,73 @@ def split_per_label(rows: DataFrame, identity: str, train: float = 0.8, val: flo
     return _shuffled(rows, [label], identity, seed).withColumn("split", part).drop("_rank", "_n")
 
 
+def _apportioned(counts: DataFrame, column: str, share: int, total: int, out: str, label: str) -> DataFrame:
+    """Deal ``share`` of ``total`` rows to labels in proportion to ``column`` by largest remainders.
+
+    Labels of equal remainder are taken in their order, so the label is part of the range.
+    """
+    exact = F.col(column) * F.lit(share) / F.lit(total)
+    parts = counts.withColumn("_base", F.floor(exact)).withColumn("_left", exact - F.col("_base"))
+    missing = share - (parts.agg(F.sum("_base")).first()[0] or 0)
+    placed = rank_by_range(parts, [F.desc("_left"), F.col(label)], "_place")
+    return placed.withColumn(out, F.col("_base") + (F.col("_place") < missing).cast("long")).select(*counts.columns, out)
+
+
 def split_stratified(rows: DataFrame, identity: str, held: float = 0.3, seed: int = 42,
                      label: str = "label") -> DataFrame:
     """70/15/15 split. A cut is stratified only if the held-out part has a row per label.
 
-    Where a stratified cut is due but some label has a single row, both cuts are random.
-    Only three counts per cut reach the driver.
+    Where a stratified cut is due but some label has a single row, both cuts are random. Both cuts are
+    dealt out on the table of label counts, and one random order per label then tells which rows go where; a
+    second order is needed only for a random cut next to a stratified one. Counts alone reach the driver.
     """
-    def sizes(df: DataFrame) -> tuple[int, int, int]:
-        counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-        total, labels, rarest = counts.agg(F.sum("n"), F.count(F.lit(1)), F.min("n")).first()
+    counts = checkpointed(rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
+
+    def sizes(df: DataFrame, column: str = "n") -> tuple[int, int, int]:
+        total, labels, rarest = df.filter(F.col(column) > 0).agg(F.sum(column), F.count(F.lit(1)), F.min(column)).first()
         return total or 0, labels, rarest or 0
 
-    def cut(df: DataFrame, share: float, names: tuple[str, str], salt: int, strata: bool) -> DataFrame | None:
-        n, labels, rarest = sizes(df)
-        held_rows = -int(-n * share // 1)  # rounded up
-        if strata and n * share >= labels:
-            if rarest < 2:
-                return None
-            return _stratified_cut(df, identity, n, held_rows, *names, seed + salt, label)
+    def part(test: Column, val: Column) -> Column:
+        at = F.col("_rank") + test
+        return F.when(at >= F.col("_n"), "test").when(at + val >= F.col("_n"), "val").otherwise("train")
+
+    def at_random(df: DataFrame, out: int, names: tuple[str, str], salt: int) -> DataFrame:
         ranked = _shuffled(df, [], identity, seed + salt)
-        return ranked.withColumn("split", F.when(F.col("_rank") < n - held_rows, names[0])
-                                 .otherwise(names[1])).drop("_rank", "_n")
-
-    for strata in (True, False):
-        top = cut(rows, held, ("train", "rest"), 0, strata)
-        if top is None:
-            continue
-        tail = cut(top.filter("split = 'rest'").drop("split"), 0.5, ("val", "test"), 1, strata)
-        if tail is not None:
-            return top.filter("split = 'train'").unionByName(tail)
-    raise AssertionError("a random cut always succeeds")
-
-
-def _stratified_cut(df: DataFrame, identity: str, n: int, held: int, first: str, second: str,
-                    seed: int, label: str) -> DataFrame:
-    """Largest-remainder share of the held rows per label, in a random order inside each label."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    exact = F.col("_n") * F.lit(held) / F.lit(n)
-    sizes = sizes.withColumn("_base", F.floor(exact)).withColumn("_left", exact - F.col("_base"))
-    missing = held - (sizes.agg(F.sum("_base")).first()[0] or 0)
-    # Labels of equal size have equal remainders: the label is part of the range.
-    sizes = rank_by_range(sizes, [F.desc("_left"), F.col(label)], "_place")
-    sizes = sizes.select(label, (F.col("_base") + (F.col("_place") < missing).cast("long")).alias("_held"))
-    ranked = _shuffled(df, [label], identity, seed, sizes)
-    return ranked.withColumn("split", F.when(F.col("_rank") < F.col("_n") - F.col("_held"), first)
-                             .otherwise(second)).drop("_rank", "_n", "_held")
+        return ranked.withColumn("split", F.when(F.col("_rank") < F.col("_n") - out, names[0]).otherwise(names[1])).drop("_rank", "_n")
+
+    n, labels, rarest = sizes(counts)
+    n_held = -int(-n * held // 1)  # rounded up
+    n_test = -int(-n_held * 0.5 // 1)
+    strata = n * held >= labels
+    if strata and rarest >= 2:
+        dealt = checkpointed(_apportioned(counts, "n", n_held, n, "_held", label))
+        _, left, least = sizes(dealt, "_held")
+        if n_held * 0.5 >= left and least >= 2:
+            dealt = _apportioned(dealt, "_held", n_test, n_held, "_test", label).select(label, "_held", "_test")
+            ranked = _shuffled(rows, [label], identity, seed, dealt)
+            return ranked.withColumn("split", part(F.col("_test"), F.col("_held") - F.col("_test"))).drop("_rank", "_n", "_held", "_test")
+        if n_held * 0.5 < left:
+            ranked = _shuffled(rows, [label], identity, seed, dealt.select(label, "_held"))
+            held_out = F.col("_rank") >= F.col("_n") - F.col("_held")
+            train = ranked.filter(~held_out).withColumn("split", F.lit("train"))
+            rest = at_random(ranked.filter(held_out).drop("_rank", "_n", "_held"), n_test, ("val", "test"), 1)
+            return train.select(*rows.columns, "split").unionByName(rest.select(*rows.columns, "split"))
+    elif not strata:
+        top = checkpointed(at_random(rows, n_held, ("train", "rest"), 0))
+        rest = top.filter("split = 'rest'").drop("split")
+        counts = checkpointed(rest.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
+        _, left, least = sizes(counts)
+        if n_held * 0.5 < left:
+            rest = at_random(rest, n_test, ("val", "test"), 1)
+            return top.filter("split = 'train'").unionByName(rest)
+        if least >= 2:
+            dealt = _apportioned(counts, "n", n_test, n_held, "_test", label).select(label, "_test")
+            ranked = _shuffled(rest, [label], identity, seed + 1, dealt)
+            rest = ranked.withColumn("split", part(F.col("_test"), F.col("_n"))).drop("_rank", "_n", "_test")
+            return top.filter("split = 'train'").unionByName(rest)
+    # A label with a single row: one random order, cut twice.
+    ranked = _shuffled(rows, [], identity, seed)
+    return ranked.withColumn("split", part(F.lit(n_test), F.lit(n_held - n_test))).drop("_rank", "_n")
 
 
 def unified_variants(rows: DataFrame, single: str, smallest: int = 20) -> DataFrame:

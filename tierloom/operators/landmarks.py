@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from tierloom.fixed_values import BONES, MODE_WIDTH, N_LANDMARKS, PRESETS
 from tierloom.functions.chunks import FRAME_CHUNK, is_home, join_per_chunk, with_halo
+from tierloom.functions.draws import hashed
 from tierloom.session import checkpointed
 
 MAX_FRAMES = 300
@@ -217,12 +218,12 @@ def mask_frames(windowed: DataFrame, ratio: float, seed: int = 42,
 
     A window holds at most its fixed length of frames, so ranking inside it is bounded.
     """
-    draw = F.xxhash64(F.lit(seed), *keys, "rel")
+    draw = hashed(seed, *[F.col(k) for k in keys], F.col("rel"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(draw, "rel"))
     wanted = F.greatest(F.lit(1), F.floor(F.col("n_frames") * ratio))
     masked = (rank <= wanted) & (F.col("n_frames") >= 2)
     return windowed.withColumn("masked", masked).withColumn(
-        "features", F.when(F.col("masked"), F.transform("features", lambda v: v * 0.0))
+        "features", F.when(F.col("masked"), F.transform("features", lambda v: F.abs(v * 0.0)))
         .otherwise(F.col("features")))
 
 

@@ -6,9 +6,12 @@ that SQL can repeat them; drawn parameters are checked by their ranges.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tierloom.fixed_values import HAND_BLOCKS
+from tierloom.functions.draws import fraction_sql, hashed_sql
 from tierloom.operators import augment as A
 from tierloom.operators import landmarks as L
 from tierloom.plans.landmark_queries import COMPACT, digest, digest_sql
@@ -113,7 +116,19 @@ def mixup(b):
     return flat(A.mixup(frames(b), L.select_landmarks(b.pose)))
 
 
-@query("c23_gaussian_noise")
+def noisy_sql(source: str, std: str) -> str:
+    """Rows of ``source`` with normal noise; six numbers of five digits from one hash per landmark."""
+    def normal(place: int) -> str:
+        u, v = fraction_sql("d", 1 + 10 * place, 5), fraction_sql("d", 6 + 10 * place, 5)
+        return f"sqrt(-2 * ln({u} + {0.5 / 16 ** 5!r}::DOUBLE)) * cos({2 * math.pi!r}::DOUBLE * {v})"
+
+    moved = ", ".join(f"CASE WHEN {std} IS NULL THEN {a} ELSE {a} + {normal(k)} * {std} END AS {a}" for k, a in enumerate("xyz"))
+    d = hashed_sql("'42'", "'noise'", "clip", "variant", "frame", "idx")
+    return f"SELECT * REPLACE ({moved}) FROM (SELECT *, {d} AS d FROM {source})"
+
+
+@query("c23_gaussian_noise", f"""WITH {PRM}, noisy AS ({noisy_sql('(SELECT *, CASE WHEN variant > 0 THEN 0.003::DOUBLE END AS std FROM base)', 'std')}),
+    {flat_sql().replace('FROM base', 'FROM noisy')}""")
 def gaussian_noise(b):
     rows = frames(b).withColumn("noise_std", F.when(F.col("variant") > 0, F.lit(0.003)))
     return flat(A.add_noise(rows))
@@ -148,12 +163,59 @@ def parameter_ranges(b):
         ok((F.col("variant") > 0) | F.coalesce("crop_len", "new_t", "scale", "angle", "weight").isNull()).alias("first_plain"))
 
 
-@query("c30_augmented_variants")
+def u(name: str, *more: str) -> str:
+    return fraction_sql(hashed_sql("'42'", f"'{name}'", "clip", "variant", *more))
+
+
+def whole(n: str, name: str, *more: str) -> str:
+    return f"least(CAST(floor({u(name, *more)} * ({n})) AS BIGINT), ({n}) - 1)"
+
+
+def between(low: float, high: float, name: str) -> str:
+    return f"({low!r}::DOUBLE + {high - low!r}::DOUBLE * {u(name)})"
+
+
+_AT = f"{u('beta')} * {A.BETA_STEPS}"
+_BETA = f"(q[CAST(floor({_AT}) AS INT) + 1] + (q[CAST(floor({_AT}) AS INT) + 2] - q[CAST(floor({_AT}) AS INT) + 1]) * ({_AT} - floor({_AT})))"
+# Drawn parameters in the order of the steps; each level uses those before it.
+DRAWN_SQL = f"""{COMPACT}, quantiles AS (SELECT {[x for x in A.beta_quantiles()]!r}::DOUBLE[] AS q),
+  d0 AS (SELECT clip, clip % 3 AS label, t, variant FROM (SELECT clip, count(DISTINCT frame) AS t FROM small GROUP BY clip), (SELECT unnest(range(3)) AS variant)),
+  d1 AS (SELECT *, CASE WHEN variant > 0 THEN CAST(least(t, greatest(5, floor(t * {between(0.75, 1.0, 'crop')}))) AS BIGINT) END AS crop_len FROM d0),
+  d2 AS (SELECT *, CASE WHEN variant > 0 THEN {whole('greatest(1, t - crop_len)', 'crop_start')} END AS crop_start,
+    CASE WHEN variant > 0 THEN CAST(greatest(5, floor(crop_len / {between(0.8, 1.2, 'speed')})) AS BIGINT) END AS new_t,
+    CASE WHEN variant > 0 THEN {between(0.001, 0.005, 'noise')} END AS noise_std, CASE WHEN variant > 0 THEN {between(0.9, 1.1, 'scale')} END AS scale,
+    CASE WHEN variant > 0 AND {u('mirror_chance')} < 0.5 THEN true END AS mirror, CASE WHEN variant > 0 THEN {between(-0.26, 0.26, 'rotation')} END AS angle,
+    variant > 0 AND {u('dropout_chance')} < 0.3 AS drops, greatest(1, CAST(floor(96 * {between(0.05, 0.15, 'drop_ratio')}) AS BIGINT)) AS n_drop,
+    variant > 0 AND {u('time_mask_chance')} < 0.3 AS masks, {whole('3', 'spans')} + 1 AS n_spans,
+    CASE WHEN variant > 0 AND {u('mixup_chance')} < 0.3 THEN greatest(0.5, {_BETA}) END AS w FROM d1, quantiles),
+  numbered AS (SELECT clip, label, row_number() OVER (PARTITION BY label ORDER BY {hashed_sql("'42'", 'clip')}, clip) - 1 AS no, count(*) OVER (PARTITION BY label) AS m FROM d0 WHERE variant = 0),
+  prm AS (SELECT d2.*, coalesce(new_t, t) AS n, o.clip AS other, CASE WHEN o.clip IS NOT NULL THEN w END AS weight
+    FROM d2 JOIN numbered USING (clip, label) LEFT JOIN numbered o ON o.label = d2.label AND numbered.m > 1 AND o.no = (numbered.no + {whole('greatest(numbered.m - 1, 1)', 'partner').replace('clip, variant', 'd2.clip, variant')} + 1) % numbered.m),
+  gone AS (SELECT clip, variant, i AS idx FROM (SELECT clip, variant, n_drop, i, row_number() OVER (PARTITION BY clip, variant ORDER BY {u('drop', 'i')}, i) AS r
+    FROM d2, (SELECT unnest(range(96)) AS i) WHERE drops) WHERE r <= n_drop),
+  lens AS (SELECT clip, variant, n, i, {whole('least(6, greatest(3, CAST(floor(n / 5) AS BIGINT))) - 2', 'span_len', 'i')} + 2 AS len FROM prm, (SELECT unnest([1, 2, 3]) AS i) WHERE masks AND i <= n_spans),
+  hidden AS (SELECT DISTINCT clip, variant, unnest(range(s, s + len)) AS frame FROM (SELECT *, {whole('greatest(1, n - len)', 'span_start', 'i')} AS s FROM lens)),
+  cut AS (SELECT s.clip, p.variant, s.frame - coalesce(crop_start, 0) AS frame, idx, x, y, z FROM small s JOIN prm p USING (clip)
+    WHERE variant = 0 OR (s.frame >= crop_start AND s.frame < crop_start + crop_len)),
+  news AS (SELECT clip, variant, j, n, t1, CASE WHEN n = t1 THEN j ELSE least(CAST(floor(j * (t1 - 1) / (n - 1)) AS BIGINT), t1 - 2) END AS lo,
+      CASE WHEN n = t1 THEN 0 ELSE j * (t1 - 1) / (n - 1) - least(CAST(floor(j * (t1 - 1) / (n - 1)) AS BIGINT), t1 - 2) END AS fr
+    FROM (SELECT clip, variant, coalesce(crop_len, t) AS t1, n FROM prm), LATERAL (SELECT unnest(range(n)) AS j)),
+  sped AS (SELECT w.clip, w.variant, w.j AS frame, a.idx, {', '.join(f'a.{a} * (1 - fr) + coalesce(b.{a}, 0) * fr AS {a}' for a in 'xyz')}
+    FROM news w JOIN cut a ON a.clip = w.clip AND a.variant = w.variant AND a.frame = lo LEFT JOIN cut b ON b.clip = w.clip AND b.variant = w.variant AND b.frame = lo + 1 AND b.idx = a.idx),
+  noisy AS ({noisy_sql('(SELECT s.*, noise_std, scale, mirror, angle, weight, other FROM sped s JOIN prm USING (clip, variant))', 'noise_std')}),
+  turned AS (SELECT * REPLACE ({SWAP} AS idx, CASE WHEN coalesce(mirror, false) THEN -x ELSE x END * coalesce(scale, 1) AS x, y * coalesce(scale, 1) AS y, z * coalesce(scale, 1) AS z) FROM noisy),
+  rotated AS (SELECT * REPLACE (x * {_COS} - z * {_SIN} AS x, x * {_SIN} + z * {_COS} AS z) FROM turned),
+  zeroed AS (SELECT r.* REPLACE ({', '.join(f'CASE WHEN g.idx IS NOT NULL OR h.frame IS NOT NULL THEN 0 ELSE r.{a} END AS {a}' for a in 'xyz')})
+    FROM rotated r LEFT JOIN gone g ON g.clip = r.clip AND g.variant = r.variant AND g.idx = r.idx LEFT JOIN hidden h ON h.clip = r.clip AND h.variant = r.variant AND h.frame = r.frame),
+  mixed AS (SELECT r.clip, r.variant, r.frame, r.idx, {', '.join(f'CASE WHEN weight IS NULL OR o.{a} IS NULL THEN r.{a} ELSE weight * r.{a} + (1 - weight) * o.{a} END AS {a}' for a in 'xyz')}
+    FROM zeroed r LEFT JOIN small o ON o.clip = r.other AND o.frame = r.frame AND o.idx = r.idx)"""
+
+
+@query("c30_augmented_variants", f"WITH {DRAWN_SQL}, {flat_sql().replace('FROM base', 'FROM mixed')}")
 def augmented_variants(b):
-    params = A.parameters(clip_sizes(b), 3, 8, tuple(s for s in A.STEPS if s != "mirror"))
-    rows = A.with_parameters(small_clips(b).select("clip", "frame", "pts"), params)
-    out = A.mask_spans(A.drop_landmarks(A.rotate(A.rescale(A.add_noise(A.change_speed(A.crop(rows)))))))
-    return flat(A.mixup(out, small_clips(b)).select("clip", "variant", "frame", "pts"))
+    pose = L.select_landmarks(b.pose).select("clip", "frame", "pts")
+    clips = pose.groupBy("clip").agg(F.count(F.lit(1)).alias("t")).withColumn("label", F.col("clip") % 3)
+    return flat(A.augment(pose, A.parameters(clips, 3, 96, A.STEPS)))
 
 
 GRID_ROWS = ", ".join(f"('{name}', {n})" for name, (_, n) in A.SEARCH_GRID.items())

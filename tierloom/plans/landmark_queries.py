@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tierloom.fixed_values import BONES, PRESETS
 from tierloom.operators import landmarks as L
 from tierloom.operators import signal as S
+from tierloom.functions.draws import hashed_sql
 from tierloom.plans.registry import query
 from tierloom.plans.signal_queries import detect_sql
 
@@ -228,7 +229,10 @@ def sliding_windows(b):
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x") * (F.col("rel") + 1)), 4).alias("weighted"))
 
 
-@query("c18_frame_masking")
+@query("c18_frame_masking", f"""WITH {WINDOWS_SQL}, f AS (SELECT clip, start, n_frames, frame - start AS rel, x, y, row_number() OVER (PARTITION BY clip, start
+      ORDER BY {hashed_sql("'42'", 'clip', 'start', 'frame - start')}, frame - start) AS r FROM wins JOIN signal USING (clip) WHERE frame >= start AND frame < start + 30)
+    SELECT clip, start, rel, m AS masked, CASE WHEN m THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE [x, y] END AS features
+    FROM (SELECT *, n_frames >= 2 AND r <= greatest(1, CAST(floor(n_frames * 0.15::DOUBLE) AS BIGINT)) AS m FROM f)""")
 def frame_masking(b):
     rows = L.window_frames(b.signal, L.sliding_windows(b.signal, 30, 15), 30, 15)
     rows = rows.withColumn("features", F.array("x", "y"))

@@ -13,6 +13,7 @@ from tierloom.operators import progress as P
 from tierloom.operators import search as SE
 from tierloom.operators.cues import anchored_windows
 from tierloom.plans.join_queries import FILES_SQL, PREDS_SQL, ACTION, article_videos, ARTICLES_SQL, hand_predictions, pose_files
+from tierloom.functions.draws import hashed_sql
 from tierloom.plans.registry import query
 
 # -- counts ---------------------------------------------------------------------------
@@ -346,12 +347,26 @@ def split_sizes(b):
     return split_members(b).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("i04_split_members")
+@query("i04_split_members", f"""SELECT p_partkey, label, CASE WHEN r <= t THEN 'train' WHEN r <= t + v THEN 'val' ELSE 'test' END AS split FROM (
+      SELECT p_partkey, p_name AS label, row_number() OVER (PARTITION BY p_name ORDER BY {hashed_sql("'42'", 'p_partkey')}, p_partkey) AS r,
+        greatest(1, CAST(floor(count(*) OVER (PARTITION BY p_name) * 0.8::DOUBLE) AS BIGINT)) AS t, CAST(floor(count(*) OVER (PARTITION BY p_name) * 0.1::DOUBLE) AS BIGINT) AS v FROM part)""")
 def split_members(b):
     return LS.split_per_label(b.table("part").select("p_partkey", F.col("p_name").alias("label")), "p_partkey")
 
 
-@query("i05_stratified_split")
+def _dealt_sql(source: str, column: str, share: str, out: str) -> str:
+    """Largest remainders: ``share`` of all rows of a column dealt to labels, ties in label order."""
+    exact = f"{column} * {share} / (sum({column}) OVER ())"
+    return f"""SELECT * EXCLUDE (base, rest, short), base + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= short THEN 1 ELSE 0 END AS {out}
+      FROM (SELECT *, {exact} - base AS rest, {share} - sum(base) OVER () AS short FROM (SELECT *, CAST(floor({exact}) AS BIGINT) AS base FROM {source}))"""
+
+
+# Labels have enough rows here for both cuts to be stratified.
+@query("i05_stratified_split", f"""WITH c AS (SELECT p_name AS label, count(*) AS n FROM part GROUP BY 1),
+    s AS (SELECT CAST(ceil(count(*) * 0.3::DOUBLE) AS BIGINT) AS h, CAST(ceil(ceil(count(*) * 0.3::DOUBLE) * 0.5) AS BIGINT) AS q FROM part),
+    one AS ({_dealt_sql('(SELECT c.*, h, q FROM c, s)', 'n', 'h', 'held')}), two AS ({_dealt_sql('one', 'held', 'q', 'test')})
+    SELECT p_partkey, label, CASE WHEN r + test > n THEN 'test' WHEN r + held > n THEN 'val' ELSE 'train' END AS split FROM (
+      SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY {hashed_sql("'42'", 'p_partkey')}, p_partkey) AS r FROM part) JOIN two ON label = p_name""")
 def stratified_split(b):
     return LS.split_stratified(b.table("part").select("p_partkey", F.col("p_name").alias("label")), "p_partkey")
 
