@@ -3,8 +3,9 @@
 Sets are embedded as minhash tokens (position, value), whose share of equal tokens estimates the Jaccard
 similarity. A run sends each set to the children of a node for the tokens the node chooses, each with chance
 ``1 / (threshold * tokens)``, so that a pair at the threshold shares one child in expectation. Sets that share
-a node are split again while the node is large; small nodes are searched by brute force. Runs are
-repeated, round by round, until a round finds hardly a pair that was not connected before. Pairs of candidates
+a node are split again while the node is large and not a group of near copies around a pivot; small nodes
+are searched by brute force. Runs are repeated, round by round, until a round finds hardly a pair that was not
+connected before. Pairs of candidates
 are then verified on their whole shingle sets, in blocks, which also counts every link.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.llm.common import PrefixHash, joined, mixed, parts, slices, stored, utf8, word_bounds
@@ -25,14 +26,16 @@ TOKENS = 64
 SHINGLE = 5
 MULTIPLIERS = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) + np.uint64(1 << 40)) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Sets that a node may hold for brute force; larger nodes are split.
-SMALL = 256
+#: Sets that a node may hold for brute force; larger nodes are settled by a pivot or split.
+SMALL = 1024
 #: Splits of a path at most; a node that is still large is then searched in pairs of blocks.
 DEPTH = 4
-#: Runs of a round, and rounds at most.
-RUNS, ROUNDS = 8, 4
-#: Members of a block when candidates are verified.
-BLOCK = 96
+#: Runs of a round, and rounds after which a search that has not reached its recall is an error.
+RUNS, ROUNDS = 8, 16
+#: Members of a block when candidates are verified, and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Parts of a large node that tasks work off apart.
+SALTS = 16
 
 
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -202,31 +205,90 @@ def _by_brute_force(buckets: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _blocks(rows: DataFrame, key: str, member: str, size: str, most: int) -> DataFrame:
-    """Add ``i``, ``j`` so that every pair of members of a key meets in a pair of blocks of about ``most`` members."""
-    n = F.ceil(F.col(size) / F.lit(most)).cast("int")
+def _blocks(rows: DataFrame, member: str, blocks: Column) -> DataFrame:
+    """Add ``i``, ``j`` so that every pair of members of a key meets in a pair of the key's ``blocks``."""
+    n = F.greatest(blocks, F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(member), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
     return rows.withColumn("half", own).select("*", F.inline(pairs))
 
 
+def _per_node(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Attach one row per node to the sets of that node, which are dealt to parts so that a large node is not one task."""
+    copies = nodes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(copies, ["node", "_part"]).drop("_part")
+
+
+def _near_pivots(rows: DataFrame, least: float) -> DataFrame:
+    """``near``: whether a row's sketch agrees with ``pivot_sketch`` in a share of ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                share = (_matrix(batch.column("sketch")) == _matrix(batch.column("pivot_sketch"))).mean(1)
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "class", "pivot", "size", "sketch")] + [pa.array(share >= least)],
+                                                 names=["node", "class", "pivot", "size", "sketch", "near"])
+
+    return rows.mapInArrow(run, "node long, class long, pivot long, size long, sketch binary, near boolean")
+
+
+def _rest_with_all(rows: DataFrame, least: float) -> DataFrame:
+    """Edges of the sets of a node that are not near its pivot, with all sets of the node.
+
+    Sets near the pivot are linked to it already, so one link into them is enough for each of the rest. The near
+    sets lie in blocks, the rest (few) is copied into every block.
+    """
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    dealt = rows.withColumn("block", F.explode(F.when(F.col("near"), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))))
+    dealt = dealt.select("node", "block", "class", "sketch", "near").repartition(parts(rows), "node", "block").sortWithinPartitions("node", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["node", "block"]):
+            sketch, own = _matrix(group.column("sketch").combine_chunks()), group.column("class").to_numpy()
+            near = group.column("near").to_numpy()
+            close, far = np.flatnonzero(near), np.flatnonzero(~near)
+            edges = [(far[x], far[y]) for x, y in forest(lambda i, others: (sketch[far[others]] == sketch[far[i]]).mean(1) >= least, len(far))]
+            for r in far:
+                hit = np.flatnonzero((sketch[close] == sketch[r]).mean(1) >= least)
+                edges += [(r, close[hit[0]])] if len(hit) else []
+            pairs = np.array([(own[x], own[y]) for x, y in edges], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def candidate_edges(reps: DataFrame, threshold: float, least: float, first_run: int, runs: int = RUNS,
                     small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Edges (a, b) between classes that one round of runs finds."""
+    """Edges (a, b) between classes that one round of runs finds; they connect all pairs that meet in a node.
+
+    A large node is first held against a pivot, its class of smallest hash: sets near the pivot are connected
+    through it, and where few are left over, these are compared with all and the node is done. That
+    settles groups of near copies, which no token parts, with rows in proportion to their members. Other
+    large nodes are split.
+    """
     nodes = _paths(reps, threshold, list(range(first_run + 1, first_run + runs + 1)))
     found = []
     for level in range(depth + 1):
         nodes = stored(nodes, "nodes")
-        counted = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        counted = nodes.groupBy("node").agg(
+            F.count(F.lit(1)).alias("size"), F.min_by("class", F.xxhash64("node", "class")).alias("pivot")).filter("size > 1")
         shared = stored(nodes.join(counted, "node").join(reps.select("class", "sketch"), "class"), "shared")
-        ready = shared if level == depth else shared.filter(F.col("size") <= small)
-        found.append(_by_brute_force(_blocks(ready, "node", "class", "size", small), least))
-        if level == depth:
-            break
+        found.append(_by_brute_force(_blocks(shared.filter(F.col("size") <= small).drop("pivot"), "class", F.lit(1)), least))
         large = shared.filter(F.col("size") > small)
         if not large.limit(1).count():
             break
-        nodes = _paths(large, threshold, None)
+        pivots = large.filter("class = pivot").select("node", F.col("sketch").alias("pivot_sketch")).dropDuplicates(["node"])
+        judged = stored(_near_pivots(_per_node(large, pivots), least), "judged")
+        found.append(judged.filter("near and class <> pivot").select(
+            F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")))
+        rest = judged.groupBy("node").agg(F.count_if(~F.col("near")).alias("far"))
+        found.append(_rest_with_all(_per_node(judged, rest.filter(F.col("far").between(1, small)).select("node")), least))
+        open_ = _per_node(judged, rest.filter(F.col("far") > small).select("node"))
+        if level == depth:
+            found.append(_by_brute_force(_blocks(open_.drop("pivot", "near"), "class", F.ceil(F.col("size") / F.lit(small))), least))
+            break
+        nodes = _paths(open_, threshold, None)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -238,7 +300,8 @@ def connected(reps: DataFrame, threshold: float, recall: float, runs: int = RUNS
     """Candidate components: ``v`` (class) and ``label``, after as many rounds as the recall asks for.
 
     A round is an independent search. The share of its edges that earlier rounds had connected
-    already estimates the recall of those; when it reaches ``recall`` no further round is needed.
+    already estimates the recall of those; when it reaches ``recall`` no further round is needed. A search that
+    does not get there in ``rounds`` is an error.
     """
     least = max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / TOKENS))
     edges = labels = None
@@ -256,8 +319,8 @@ def connected(reps: DataFrame, threshold: float, recall: float, runs: int = RUNS
         if seen["known"] < seen["n"]:
             labels = components(edges)
         if seen["known"] >= recall * seen["n"]:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"recall {recall} not reached in {rounds} rounds")
 
 
 def _verified(members: DataFrame, threshold: float) -> DataFrame:
@@ -275,13 +338,19 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
             order = np.argsort(code, kind="stable")
             ranked = code[order]
             rank = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1]))) if len(ranked) else np.empty(0, dtype=np.int64)
-            both = np.zeros((len(own), len(own)), dtype=np.float64)
+            # A shingle of a single member is in no intersection.
+            often = np.bincount(rank, minlength=1) > 1
+            kept = often[rank]
+            rank, holder = (np.cumsum(often) - 1)[rank[kept]], owner[order[kept]]
+            both = np.zeros((len(own), len(own)), dtype=np.float32)
             for low in range(0, int(rank[-1]) + 1 if len(rank) else 0, 4096):
                 a, b = np.searchsorted(rank, [low, low + 4096])
-                hot = np.zeros((len(own), 4096), dtype=np.float32)
-                hot[owner[order[a:b]], rank[a:b] - low] = 1
+                hot = np.zeros((len(own), int(rank[b - 1]) - low + 1), dtype=np.float32)
+                hot[holder[a:b], rank[a:b] - low] = 1
                 both += hot @ hot.T
-            alike = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
+            alike = np.empty(both.shape, dtype=bool)
+            for x in range(len(own)):
+                alike[x] = both[x] >= threshold * (n[x] + n - both[x].astype(np.float64)) - 1e-9
             np.fill_diagonal(alike, False)
             if i != j:
                 alike &= half[:, None] != half[None, :]
@@ -303,10 +372,10 @@ def _sets(members: DataFrame) -> DataFrame:
         for batch in slices(batches, "_text"):
             code, offsets = shingles(utf8(batch.column("_text")))
             codes = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(code.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("label"), batch.column("size"), codes],
-                                             names=["class", "label", "size", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("label"), batch.column("blocks"), codes],
+                                             names=["class", "label", "blocks", "codes"])
 
-    return members.mapInArrow(run, "class long, label long, size long, codes array<long>")
+    return members.mapInArrow(run, "class long, label long, blocks int, codes array<long>")
 
 
 def similar(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, doc_id: str = "doc_id", text: str = "text",
@@ -320,15 +389,16 @@ def similar(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, doc_i
     """
     base = stored(sketched(docs, doc_id, text), "sketches")
     full = base.filter("n > 0")
-    reps = stored(full.groupBy("class").agg(F.min("id").alias("class_id"), F.min_by(F.struct("key", "sketch"), "key").alias("_one")).select(
-        "class", "class_id", "_one.key", "_one.sketch"), "classes")
+    reps = stored(full.groupBy("class").agg(F.min("id").alias("class_id"), F.min_by(F.struct("key", "sketch", "n"), "key").alias("_one")).select(
+        "class", "class_id", "_one.key", "_one.sketch", "_one.n"), "classes")
     labels = connected(reps, threshold, recall, runs, rounds, small)
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    wanted = labels.join(sizes, "label").withColumnRenamed("v", "class").join(reps.select("class", "key"), "class")
+    placed = labels.withColumnRenamed("v", "class").join(reps.select("class", "key", "n"), "class")
+    need = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n") / F.lit(BLOCK_SHINGLES)))
+    wanted = placed.join(placed.groupBy("label").agg(need.cast("int").alias("blocks")), "label").drop("n")
     texts = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("_text"))
     # One text per class; copies of it fall away after the join.
-    members = texts.join(wanted, "key").groupBy("class", "label", "size").agg(F.min("_text").alias("_text"))
-    verified = stored(_verified(_blocks(_sets(members), "label", "class", "size", block), threshold), "verified")
+    members = texts.join(wanted, "key").groupBy("class", "label", "blocks").agg(F.min("_text").alias("_text"))
+    verified = stored(_verified(_blocks(_sets(members), "class", F.col("blocks")), threshold), "verified")
     groups = components(verified.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     least = groups.join(reps.select(F.col("class").alias("v"), "class_id"), "v").groupBy("label").agg(F.min("class_id").alias("group_id"))
     grouped = groups.join(least, "label").select(F.col("v").alias("class"), "group_id")
