@@ -146,3 +146,19 @@ def test_articles_of_all_posts(spark):
     assert any(re.search("[<>&]", t) for t in docs.values())
     made = articles(spark.createDataFrame([(1, "a &lt;b&gt; <i>c</i> &amp; d<br>e &#233;", "en", "s")], "doc_id long, text string, lang string, source string"))
     assert made.first()["text"] == "a <b> c & d\ne é"
+
+
+def test_file_names_of_every_code_point(spark):
+    import re
+    import unicodedata
+
+    def plain(name):
+        text = re.sub(r"[^\w\s\-.]", "", unicodedata.normalize("NFKD", name.strip()), flags=re.ASCII)
+        return re.sub(r"\s+", "_", text).strip("_.")[:80]
+
+    names = [f"{chr(a)}x{chr(a + 1)}" for a in range(1, 0x110000, 2) if not 0xD800 <= a <= 0xDFFF and not 0xD800 <= a + 1 <= 0xDFFF]
+    names += ["Ａ①Ⅰ㎏ b", "  .a. ", "é" * 100, "", "½ ﬁ"]
+    df = spark.createDataFrame(list(enumerate(names)), "i long, name string")
+    got = {r["i"]: r["n"] for r in df.select("i", T.safe_file_name("name").alias("n")).collect()}
+    wrong = [(n, got[i], plain(n)) for i, n in enumerate(names) if got[i] != plain(n)]
+    assert not wrong, wrong[:5]

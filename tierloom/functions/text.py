@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import reduce
 from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 GLOSS_PATTERN = "^[A-Z][A-Z0-9_-]+$"
 
@@ -152,17 +155,15 @@ def decode_entities(text: Column | str) -> Column:
 
 def strip_html(html: Column | str) -> Column:
     """Text of a page: block ends become new lines, tags go, blank lines go."""
-    text = F.regexp_replace(_col(html), r"(?i)<(?:br|/p|/div|/h[1-6]|/li)[^>]*>", "\n")
-    text = decode_entities(F.regexp_replace(text, "<[^>]+>", ""))
+    text = F.regexp_replace(_col(html), LINE_ENDS, "\n")
+    text = decode_entities(F.regexp_replace(text, ANY_TAG, ""))
     lines = F.transform(F.split(text, r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"), strip)
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
 def video_id(html: Column | str) -> Column:
     """First video id: embedded player, then watch link, then short link."""
-    forms = (r"youtube\.com/embed/([A-Za-z0-9_-]{11})", r"youtube\.com/watch\?v=([A-Za-z0-9_-]{11})",
-             r"youtu\.be/([A-Za-z0-9_-]{11})")
-    return F.coalesce(*[F.nullif(F.regexp_extract(_col(html), p, 1), F.lit("")) for p in forms])
+    return F.coalesce(*[F.nullif(F.regexp_extract(_col(html), p, 1), F.lit("")) for p in VIDEO_LINKS])
 
 
 def repair_latin2(text: Column | str) -> Column:
@@ -221,26 +222,39 @@ ENGLISH = [
     "active-income", "Household-"]
 ITALIAN = ["_FS_", "Potere-dacquisto"]
 SLOVAK_LETTERS = "áéíóúýčďľňřšťžô"
+# Shapes of numbered file names outside the financial vocabulary.
+NUMBERED_NAMES = [r"^\d+_\d+_", r"^\d+_\d+\.mp4$", r"^\d{2}-[A-Z]"]
+# Marks, beginnings and trades of file names outside the career vocabulary, and what precedes its words.
+CAREER_MARKS = ["_DGS", "_dgs"]
+CAREER_BEGINNINGS = ["Video-"]
+CAREER_TRADES = ["gastgewerbe", "tourismus"]
+CAREER_PREFIX = r"^(\d+|0[^-]*)(-|$)"
+# Tags that end a line of a page, any tag, and the links that name a video, in the order they are tried.
+LINE_ENDS = r"(?i)<(?:br|/p|/div|/h[1-6]|/li)[^>]*>"
+ANY_TAG = "<[^>]+>"
+VIDEO_LINKS = [r"youtube\.com/embed/([A-Za-z0-9_-]{11})", r"youtube\.com/watch\?v=([A-Za-z0-9_-]{11})", r"youtu\.be/([A-Za-z0-9_-]{11})"]
 
 
 def is_financial_vocabulary(name: Column | str) -> Column:
     """A Slovak video of the financial vocabulary, judged by its file name."""
     name = _col(name)
     foreign = "|".join(p.lower() for p in HUNGARIAN + GERMAN + ENGLISH + ITALIAN)
-    return ~(F.lower(name).rlike(foreign) | name.rlike(r"^\d+_\d+_")
-             | name.rlike(r"^\d+_\d+\.mp4$") | name.rlike(r"^\d{2}-[A-Z]"))
+    return ~(F.lower(name).rlike(foreign) | name.rlike("|".join(NUMBERED_NAMES)))
 
 
 def is_career_vocabulary(name: Column | str) -> Column:
-    """A Slovak video of the career vocabulary: dashes, and a Slovak word after the English one."""
+    """A Slovak video of the career vocabulary: its name has dashes and none of the signs of another video.
+
+    Those are the marks and beginnings of other series, underscores alone, trades of another course, and at most
+    two dashes before a final 1 without a Slovak letter, which is an English name.
+    """
     name = _col(name)
     stem = F.replace(name, F.lit(".mp4"), F.lit(""))
-    english_only = (stem.endswith("1") & ~stem.rlike(f"[{SLOVAK_LETTERS}]")
-                    & (F.size(F.split(stem, "-")) <= 3))
-    excluded = (name.contains("_DGS") | name.contains("_dgs")
-                | (name.contains("_") & ~name.contains("-")) | name.startswith("Video-")
-                | F.lower(name).rlike("gastgewerbe|tourismus") | english_only)
-    return ~excluded & name.contains("-")
+    english = stem.rlike(rf"^(?!.*[{SLOVAK_LETTERS}])[^-]*(-[^-]*){{0,2}}(?<=1)$")
+    signs = [*[name.contains(m) for m in CAREER_MARKS], *[name.startswith(b) for b in CAREER_BEGINNINGS],
+             F.lower(name).rlike("|".join(CAREER_TRADES)), english]
+    # Without a dash a name is out in any case, underscores or not.
+    return reduce(lambda seen, sign: seen & ~sign, signs, name.contains("-"))
 
 
 def label_from_file(name: Column | str, source: Column | str, title: Column | str) -> Column:
@@ -249,33 +263,22 @@ def label_from_file(name: Column | str, source: Column | str, title: Column | st
     stem = F.replace(name, F.lit(".mp4"), F.lit(""))
     spaced = strip(F.replace(stem, F.lit("-"), F.lit(" ")))
     parts = F.split(F.replace(title, F.lit("&#8211;"), F.lit("–")), "–")
-    words = F.regexp_replace(stem, r"^(\d+|0[^-]*)(-|$)", "")
+    words = F.regexp_replace(stem, CAREER_PREFIX, "")
     career = F.when(F.size(parts) >= 2, strip(F.element_at(parts, -1))).otherwise(
         strip(F.replace(words, F.lit("-"), F.lit(" "))))
     return (F.when(source.isin("fin-vocab", "climate-vocabaction"), spaced)
             .when(source == "career-vocab", career).otherwise(stem))
 
 
-def _decompositions() -> tuple[str, str, list[tuple[str, str]]]:
-    """ASCII rest of each compatible decomposition: one-letter ones and longer ones."""
-    single, target, longer = "", "", []
-    for start, end in ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2150), (0xFB00, 0xFB07)):
-        for code in range(start, end):
-            char = chr(code)
-            rest = "".join(c for c in unicodedata.normalize("NFKD", char) if c < "\x80")
-            if len(rest) == 1:
-                single, target = single + char, target + rest
-            elif rest:
-                longer.append((char, rest))
-    return single, target, longer
+@F.pandas_udf(StringType())
+def _ascii_rest(texts: pd.Series) -> pd.Series:
+    """ASCII part of the compatible decomposition; Spark has no such function of its own."""
+    return texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
 
 
 def safe_file_name(name: Column | str) -> Column:
-    """ASCII file name: accents off, spaces as underscores, at most 80 characters."""
-    single, target, longer = _decompositions()
-    text = F.translate(strip(name), single, target)
-    for char, rest in longer:
-        text = F.replace(text, F.lit(char), F.lit(rest))
-    text = F.regexp_replace(text, r"[^A-Za-z0-9_\s\-.]", "")
+    """ASCII file name: accents off, full-width and other compatible letters plain, spaces as underscores, at
+    most 80 characters."""
+    text = F.regexp_replace(_ascii_rest(strip(name)), r"[^A-Za-z0-9_\s\-.]", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", "_"), r"^[_.]+|[_.]+$", "")
     return F.coalesce(F.substring(text, 1, 80), F.lit(""))

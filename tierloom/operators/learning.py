@@ -76,9 +76,9 @@ def pooled_vectors(frames: DataFrame, keys: Sequence[str], mode: str = "raw", le
 
 
 def embedding_index(frames: DataFrame, manifest: DataFrame, mode: str = "raw") -> DataFrame:
-    """Unit vectors of exported segments with a label; ``frames``: segment_id, frame, pts."""
-    vectors = pooled_vectors(frames, ["segment_id"], mode)
-    return build_index(vectors.join(manifest.select("segment_id", "label"), "segment_id"), "segment_id")
+    """Index of exported segments with a label: id, label, unit vector; ``frames``: segment_id, frame, pts."""
+    vectors = pooled_vectors(frames, ["segment_id"], mode).withColumnRenamed("segment_id", "id")
+    return build_index(vectors.join(manifest.select(F.col("segment_id").alias("id"), "label"), "id"))
 
 
 def retrain_cycle(pairings: DataFrame, pose: DataFrame, mode: str = "raw", min_samples: int = 3) -> Trained:

@@ -125,9 +125,15 @@ def predictions_of_tiers(annotations: DataFrame) -> DataFrame:
                     F.coalesce("_exact", "_near", F.lit(0.0)).alias("confidence")))
 
 
+def _ai_tier(hand: Column) -> Column:
+    """Gloss tier of a hand; anything but the right hand goes to the left one."""
+    right, left = (next(t for t, h in AI_GLOSS_TIERS.items() if h == side) for side in ("right", "left"))
+    return F.when(hand == "right", right).otherwise(left)
+
+
 def tier_rows(predictions: DataFrame) -> DataFrame:
     """Tier annotations of predictions: a gloss row on the tier of its hand and a confidence row."""
-    tier = F.when(F.col("hand") == "right", "AI_Gloss_RH").otherwise("AI_Gloss_LH")
+    tier = _ai_tier(F.col("hand"))
     rows = F.array(F.struct(tier.alias("tier"), F.col("predicted_gloss").alias("value")),
                    F.struct(F.lit(AI_CONFIDENCE_TIER).alias("tier"),
                             F.bround("confidence", 3).cast("string").alias("value")))
@@ -136,7 +142,7 @@ def tier_rows(predictions: DataFrame) -> DataFrame:
 
 def detection_tier_rows(found: DataFrame) -> DataFrame:
     """Tier annotations of detected segments: "?" on both hands, confidence for the right hand only."""
-    tier = F.when(F.col("hand") == "right", "AI_Gloss_RH").otherwise("AI_Gloss_LH")
+    tier = _ai_tier(F.col("hand"))
     mark = F.struct(tier.alias("tier"), F.lit("?").alias("value"))
     conf = F.struct(F.lit(AI_CONFIDENCE_TIER).alias("tier"), F.col("score").cast("string").alias("value"))
     rows = F.filter(F.array(mark, F.when(F.col("hand") == "right", conf)), lambda r: r.isNotNull())

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tierloom.functions.text import blank
@@ -63,16 +68,58 @@ def with_blocks(rows: DataFrame, probes: DataFrame, key: str, vector: str) -> tu
         salted, ["_slot", "_salt"]).drop("_slot", "_salt"), n_blocks
 
 
+def _scored(index: DataFrame, sent: DataFrame) -> DataFrame:
+    """Best row per query and label of every Arrow batch, from one matrix product; ``sent`` goes to every task."""
+    rows = sent.collect()  # callers have counted them
+    names, matrix = [r["query_id"] for r in rows], np.array([r["query"] for r in rows], dtype=np.float64)
+    carried = index.sparkSession.sparkContext.broadcast(matrix)
+    schema = StructType([StructField("_q", IntegerType()), index.schema["label"], index.schema["id"], StructField("similarity", DoubleType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).filter(pa.compute.is_valid(batch.column("label")))
+            if not len(table):
+                continue
+            table = table.sort_by([("label", "ascending"), ("id", "ascending")])
+            vectors = table.column("vector").combine_chunks()
+            product = carried.value @ vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1).T
+            # What differs in the last bits only is a tie.
+            product = np.round(product, 12)
+            labels = table.column("label").combine_chunks()
+            starts = np.concatenate(([0], np.flatnonzero(pa.compute.not_equal(labels[1:], labels[:-1]).to_numpy(zero_copy_only=False)) + 1))
+            top = np.maximum.reduceat(product, starts, axis=1)
+            segment = np.repeat(np.arange(len(starts)), np.diff([*starts, len(table)]))
+            # The first row of a label that reaches its maximum has the smallest id.
+            place = np.where(product >= top[:, segment], np.arange(len(table)), len(table))
+            at = np.minimum.reduceat(place, starts, axis=1)
+            take = pa.array(at.ravel())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(len(product)), len(starts)), pa.int32()), labels.take(take),
+                 table.column("id").combine_chunks().take(take), pa.array(top.ravel())], names=["_q", "label", "id", "similarity"])
+
+    found = index.select("id", "label", "vector").mapInArrow(best, schema)
+    keys = index.sparkSession.createDataFrame(
+        [(i, n) for i, n in enumerate(names)], StructType([StructField("_q", IntegerType()), StructField("query_id", sent.schema["query_id"].dataType)]))
+    # As many rows as queries, which were counted.
+    return found.join(F.broadcast(keys), "_q").select("query_id", "id", "label", "similarity")
+
+
 def find_similar(index: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """Most similar labels per query: best row of each label (ties to the smallest id, of any type), ``top`` labels, 4 digits.
 
-    ``index``: id, label, vector of unit length; ``queries``: query_id, query (vector). Each
-    index row is read once per query block; the best row per (query, label) is a partial
-    aggregation, so what is shuffled does not grow with the index.
+    ``index``: id, label, vector of unit length; ``queries``: query_id, query (vector). Queries that stay below
+    ``SEND_BYTES`` (counted first) go to every task, which multiplies its batches with them; more are spread by a
+    shuffle join. The best row per (query, label) is a partial aggregation, so what is shuffled does not grow with
+    the index.
     """
-    scored, _ = with_blocks(index, queries.select("query_id", unit_length("query").alias("query")), "query_id", "query")
-    scored = scored.select("id", "label", "vector", F.explode("block").alias("q")).select(
-        F.col("q.query_id").alias("query_id"), "id", "label", dot(F.col("vector"), F.col("q.query")).alias("similarity"))
+    probes = queries.select("query_id", unit_length("query").alias("query"))
+    sized = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query")).alias("w")).first()
+    if 0 < sized["n"] * (sized["w"] or 0) * 8 <= SEND_BYTES:
+        scored = _scored(index, probes)
+    else:
+        scored, _ = with_blocks(index, probes, "query_id", "query")
+        scored = scored.select("id", "label", "vector", F.explode("block").alias("q")).select(
+            F.col("q.query_id").alias("query_id"), "id", "label", F.round(dot(F.col("vector"), F.col("q.query")), 12).alias("similarity"))
     best = scored.groupBy("query_id", "label").agg(
         F.min(F.struct((-F.col("similarity")).alias("distance"), "id")).alias("b"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("b.distance", "label"))

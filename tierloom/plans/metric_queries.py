@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tierloom.functions.chunks import rank_in_groups
 from tierloom.operators import collector as K
 from tierloom.operators import label_sets as LS
+from tierloom.operators import learning as LE
 from tierloom.operators import listings as LI
 from tierloom.operators import metrics as ME
 from tierloom.operators import progress as P
@@ -15,6 +16,7 @@ from tierloom.operators.cues import anchored_windows
 from tierloom.plans.join_queries import FILES_SQL, PREDS_SQL, ACTION, article_videos, ARTICLES_SQL, hand_predictions, pose_files
 from tierloom.functions.draws import hashed_sql
 from tierloom.plans.registry import query
+from tierloom.session import checkpointed
 
 # -- counts ---------------------------------------------------------------------------
 
@@ -392,6 +394,26 @@ def embedding_index(b):
     return SE.build_index(vectors(b)).select("id", "label", total(lambda v: v).alias("total"), total(lambda v, i: v * (i + 1)).alias("weighted"))
 
 
+# Segments of ten frames and four landmarks, ids as text; the first segment of every label is looked up.
+FRAMES_SQL = """p AS (SELECT 's' || clip || '_' || lpad(CAST(frame // 10 AS VARCHAR), 4, '0') AS id, 'L' || clip % 4 AS label, frame, lm, x, y, z FROM pose WHERE lm < 4),
+    m AS (SELECT id, label, lm * 3 + j AS i, avg(CASE j WHEN 0 THEN x WHEN 1 THEN y ELSE z END) AS v FROM p, (SELECT unnest(range(3)) AS j) GROUP BY ALL),
+    idx AS (SELECT id, label, i, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-8) AS v FROM m)"""
+
+
+@query("j01_search_own_index", f"""WITH {FRAMES_SQL}, qs AS (SELECT label AS query_id, min(id) AS q FROM idx GROUP BY 1),
+    s AS (SELECT query_id, b.id, b.label, sum(a.v * b.v) AS sim FROM qs JOIN idx a ON a.id = q JOIN idx b ON b.i = a.i GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(sim, 12) DESC, id) AS r FROM s)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, label) AS rank, label, id, round_even(sim, 4) AS similarity FROM t WHERE r = 1""")
+def search_own_index(b):
+    piece = F.lpad(F.floor(F.col("frame") / 10).cast("string"), 4, "0")
+    frames = b.pose.select(F.concat(F.lit("s"), F.col("clip").cast("string"), F.lit("_"), piece).alias("segment_id"), "clip",
+                           (F.col("frame") % 10).alias("frame"), F.slice("pts", 1, 4).alias("pts"))
+    manifest = frames.groupBy("segment_id").agg(F.concat(F.lit("L"), (F.max("clip") % 4).cast("string")).alias("label"))
+    index = checkpointed(LE.embedding_index(frames.drop("clip"), manifest))
+    first = index.groupBy(F.col("label").alias("query_id")).agg(F.min_by("vector", "id").alias("query"))
+    return SE.find_similar(index, first)
+
+
 @query("j01_class_centroids", """SELECT 'L' || label AS label, round(sum(v * i), 6) AS weighted FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY label""")
 def class_centroids(b):
     weighted = F.aggregate(F.transform("centroid", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)

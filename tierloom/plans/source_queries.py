@@ -15,6 +15,7 @@ from tierloom.plans.cue_queries import ALIGN_COLS, CLIPS_SQL, STAMP, clips
 from tierloom.plans.join_queries import PREDS_SQL, hand_predictions
 from tierloom.plans.landmark_queries import clip_segments
 from tierloom.plans.registry import query
+from tierloom.plans.text_queries import DECODED
 from tierloom.plans.signal_queries import detect_sql
 from tierloom.plans.text_queries import FILE_NAME
 from tierloom.sources import annotations as AN
@@ -157,7 +158,9 @@ def articles_of_posts(b):
     return articles(b.table("documents").filter(~F.col("text").rlike("[<>&]")))
 
 
-@query("a16_articles_of_all_posts")
+@query("a16_articles_of_all_posts", rf"""SELECT doc_id AS post_id, source AS title, '2024-01-02' AS date, lang AS slug, CASE WHEN doc_id % 2 = 0 THEN lpad(CAST(doc_id AS VARCHAR), 11, 'x') END AS youtube_id,
+      array_to_string([t FOR t IN [regexp_replace(l, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g') FOR l IN regexp_split_to_array(d, '[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')] IF t <> ''], chr(10)) AS text, 'http://p/' || doc_id AS url,
+      doc_id % 4 || ',' || doc_id % 7 AS categories FROM (SELECT *, {DECODED} AS d FROM (SELECT *, '<p>' || text || '</p>' AS html FROM documents))""")
 def articles_of_all_posts(b):
     return articles(b.table("documents"))
 
