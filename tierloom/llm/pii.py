@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -39,6 +40,8 @@ MAYBE = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}"
 NEAR = 4
 #: Leading digits that numbers of one issuer or area share.
 PREFIX = 6
+#: Bits of the filter of words that can matter (4 MB); a multiple of 32,768.
+FILTER_BITS = 1 << 25
 
 Span = tuple[int, int, str]
 
@@ -153,15 +156,47 @@ def _entity_texts(docs: DataFrame, text: str) -> DataFrame:
         run, "_key long, entities array<struct<entity: string, arounds: array<long>>>, terms array<string>").dropDuplicates(["_key"])
 
 
-def _texts_per_term(docs: DataFrame, text: str) -> DataFrame:
-    """``term`` and ``of_term``, the number of distinct texts that hold it, over every document.
+def _word_filter(words: DataFrame) -> bytes:
+    """A bit per hash value of the words of a table (``term``): FILTER_BITS in all, however many words there are."""
+    place = F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    rows = words.select(place.alias("n")).groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+    out = bytearray(FILTER_BITS // 8)
+    for row in rows.collect():  # at most FILTER_BITS / 32,768 rows
+        at = (row["bucket"] - 1) * len(row["bits"])
+        out[at:at + len(row["bits"])] = row["bits"]
+    return bytes(out)
+
+
+def _texts_per_term(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """``term`` and ``of_term``, the number of distinct texts that hold it, over every document, for at least
+    the terms of ``words``.
+
+    A filter of fixed size with the hashes of these terms goes to the tasks; a term that only shares a hash is counted
+    as well, none is missed. Counts are whole.
 
     Tasks count their own distinct texts and tell each once. A text told by several tasks is
     counted too often, so what is too much is taken off again from one copy of it.
     """
 
+    wanted = docs.sparkSession.sparkContext.broadcast(_word_filter(words))
+
+    def asked(found: set[str], known: dict[str, bool]) -> list[str]:
+        out = []
+        for x in found:
+            hit = known.get(x)
+            if hit is None:
+                place = zlib.crc32(x.encode("utf-8", "surrogatepass")) & (FILTER_BITS - 1)
+                if len(known) > 200_000:
+                    known.clear()
+                known[x] = hit = bool(wanted.value[place >> 3] >> (place & 7) & 1)
+            if hit:
+                out.append(x)
+        return out
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+        known: dict[str, bool] = {}
         seen: set[int] = set()
 
         def told() -> pa.RecordBatch:
@@ -176,7 +211,7 @@ def _texts_per_term(docs: DataFrame, text: str) -> DataFrame:
                 if key not in seen:
                     seen.add(key)
                     fresh.append(key)
-                    counts.update(_terms(t))
+                    counts.update(asked(_terms(t), known))
             yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.nulls(len(fresh), pa.string()), pa.array([1] * len(fresh), pa.int64())],
                                              names=["_key", "term", "n"])
             if len(counts) > 200_000:
@@ -185,12 +220,13 @@ def _texts_per_term(docs: DataFrame, text: str) -> DataFrame:
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        known: dict[str, bool] = {}
         for batch in slices(batches, "_text", 1 << 20):
             rows = []
             for key, n, t in zip(*(batch.column(c).to_pylist() for c in ("_key", "n", "_text"))):
                 if key not in seen:
                     seen.add(key)
-                    rows.append((key, n, list(_terms(t))))
+                    rows.append((key, n, asked(_terms(t), known)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                                               pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["_key", "n", "terms"])
 
@@ -219,7 +255,8 @@ def _risky(docs: DataFrame, bits: float, chance: float, contexts: int, text: str
     surroundings = per_text.select("entity", F.explode("arounds").alias("around")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_around"))
     named = per_text.join(entities.join(surroundings, "entity"), "entity")
     # A term of more texts than an entity has, over the chance, cannot reach the chance for it.
-    rare = stored(_texts_per_term(docs, text).filter(F.col("of_term") * chance <= most * (1 + 1e-9)), "terms")
+    told_of = held.select(F.explode("terms").alias("term"))
+    rare = stored(_texts_per_term(docs, text, told_of).filter(F.col("of_term") * chance <= most * (1 + 1e-9)), "terms")
     terms = held.select("_key", F.explode("terms").alias("term")).join(rare, "term")
     pairs = stored(terms.join(named, "_key").filter(F.col("of_term") * chance <= F.col("of_entity") * (1 + 1e-9)), "pairs")
     p = F.count(F.lit(1)) / F.first("of_term")
