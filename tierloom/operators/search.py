@@ -158,13 +158,18 @@ def kmeans(rows: DataFrame, k: int, identity: str = "id", vector: str = "vector"
 
 
 def pca_2d(rows: DataFrame, identity: str = "id", vector: str = "vector") -> DataFrame:
-    """First two principal components of the centred vectors; the sign of an axis is arbitrary."""
+    """First two principal components of the centred vectors.
+
+    An axis points where its entry of largest size is positive, so reruns agree on the signs.
+    """
     data = rows.select(identity, array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("features"))
     centre = data.agg(Summarizer.mean(F.col("features")).alias("m")).select(vector_to_array("m").alias("m")).first()["m"]
     shifted = rows.select(identity, array_to_vector(F.zip_with(vector, F.lit(centre), lambda v, c: v.cast("double") - c)).alias("features"))
     model = PCA(k=2, inputCol="features", outputCol="pc").fit(shifted)
+    axes = model.pc.toArray()
+    x_sign, y_sign = (float(np.sign(a[np.abs(a).argmax()])) for a in axes.T)
     pc = vector_to_array("pc")
-    return model.transform(shifted).select(identity, pc[0].alias("x"), pc[1].alias("y"))
+    return model.transform(shifted).select(identity, (pc[0] * x_sign).alias("x"), (pc[1] * y_sign).alias("y"))
 
 
 def cluster_summary(clusters: DataFrame, manifest: DataFrame, sample: int = 10, top: int = 5) -> DataFrame:

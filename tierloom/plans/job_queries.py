@@ -37,6 +37,19 @@ def retrain_cycle(b):
     return LE.retrain_cycle(pairings, clips_.select("clip", "frame", "pts")).metrics
 
 
+SUPPORT_SQL = """n - greatest(1, CAST(floor(n * 0.8::DOUBLE) AS BIGINT)) - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS support"""
+
+
+@query("j06_test_supports", f"SELECT 'L' || label AS label, {SUPPORT_SQL} FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
+def test_supports(b):
+    return train_baseline(b).select("label", "support")
+
+
+@query("j07_test_samples", f"SELECT CAST(sum(support) AS BIGINT) AS n_samples FROM (SELECT {SUPPORT_SQL} FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) >= 3))")
+def test_samples(b):
+    return retrain_cycle(b).select("n_samples")
+
+
 FEATURES = "CAST(x AS DOUBLE) / 100, y / 100, conf"
 INFER_SQL = f"""WITH {detect_sql('signal', 'clip', 1.0, 0.5)}, ok AS (SELECT clip FROM (SELECT clip, count(*) * 200 AS bytes FROM signal GROUP BY clip) WHERE bytes >= 13000),
     fr AS (SELECT clip, frame, event_type, x / 100 AS f1, y / 100 AS f2, conf AS f3 FROM signal), cent AS (SELECT event_type AS label, avg(f1) AS c1, avg(f2) AS c2, avg(f3) AS c3 FROM fr GROUP BY 1),

@@ -425,9 +425,30 @@ def kmeans(b):
     return SE.kmeans(vectors(b), 10)
 
 
-@query("j03_pca_2d")
+def _axis_sql(name: str, source: str, squarings: int = 16) -> str:
+    """First axis of a matrix (i, j, c) by squaring it again and again; ``name`` has i and v, signed like the library's."""
+    steps = [f"{name}_0 AS (SELECT i, j, c / (SELECT sum(c) FROM {source} WHERE i = j) AS c FROM {source})"]
+    for k in range(1, squarings + 1):
+        steps.append(f"""{name}_r{k} AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM {name}_{k - 1} a JOIN {name}_{k - 1} b ON a.j = b.i GROUP BY ALL),
+    {name}_{k} AS (SELECT i, j, c / (SELECT sum(c) FROM {name}_r{k} WHERE i = j) AS c FROM {name}_r{k})""")
+    last = f"{name}_{squarings}"
+    steps.append(f"""{name} AS (SELECT i, c / sqrt(sum(c * c) OVER ()) * sign(max_by(c, abs(c)) OVER ()) AS v FROM {last} WHERE j = (SELECT max_by(i, c) FROM {last} WHERE i = j))""")
+    return ",\n    ".join(steps)
+
+
+PCA_SQL = f"""WITH e AS (SELECT vec_id AS id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+    z AS (SELECT id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM e),
+    cov AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS c FROM z a JOIN z b USING (id) GROUP BY ALL),
+    {_axis_sql('first', 'cov')},
+    size_ AS (SELECT sum(f.v * c * g.v) AS l FROM cov JOIN first f ON f.i = cov.i JOIN first g ON g.i = cov.j),
+    rest AS (SELECT cov.i, cov.j, c - l * f.v * g.v AS c FROM cov JOIN first f ON f.i = cov.i JOIN first g ON g.i = cov.j, size_),
+    {_axis_sql('second', 'rest')}
+    SELECT id, round(sum(z.v * f.v), 6) AS x, round(sum(z.v * s.v), 6) AS y FROM z JOIN first f USING (i) JOIN second s USING (i) GROUP BY id"""
+
+
+@query("j03_pca_2d", PCA_SQL)
 def pca_2d(b):
-    return SE.pca_2d(vectors(b))
+    return SE.pca_2d(vectors(b)).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("g18_cluster_summary", """WITH m AS (SELECT p_brand AS cluster_id, p_partkey AS segment_id, p_name AS label, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part),
