@@ -26,8 +26,8 @@ TOKENS = 64
 SHINGLE = 5
 MULTIPLIERS = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) + np.uint64(1 << 40)) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Sets that a node may hold for brute force; larger nodes are settled by a pivot or split.
-SMALL = 1024
+#: Sets that a node may hold for brute force (1 MB of sketches); larger nodes are settled by a pivot or split.
+SMALL = 4096
 #: Splits of a path at most; a node that is still large is then searched in pairs of blocks.
 DEPTH = 4
 #: Runs of a round, and rounds after which a search that has not reached its recall is an error.
