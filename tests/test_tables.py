@@ -334,3 +334,59 @@ def test_beta_quantiles():
     # Against a table of eight times as many entries: what interpolation costs.
     fine = np.array(A.beta_quantiles(steps=8 * A.BETA_STEPS))
     assert np.abs(np.interp(np.arange(len(fine)) / 8, np.arange(len(table)), table) - fine).max() < 1e-3
+
+
+def test_similarity_search_both_ways(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i:03d}", f"L{i % 5}", [float(x) for x in rng.normal(size=6)]) for i in range(120)]
+    rows += [("s000b", "L0", rows[0][2]), ("r000", "L0", rows[0][2])]  # equal vectors: the smallest id wins
+    index = SE.build_index(spark.createDataFrame(rows, "id string, label string, vector array<double>")).repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", rows[i][2]) for i in range(7)], "query_id string, query array<double>")
+    one = sorted(map(tuple, SE.find_similar(index, queries).collect()))
+    monkeypatch.setattr(SE, "SEND_BYTES", 0)
+    assert sorted(map(tuple, SE.find_similar(index, queries).collect())) == one
+    assert next(r for r in one if r[0] == "q0" and r[1] == 1)[2:] == ("L0", "r000", 1.0)
+    unit = {r[0]: np.array(r[2]) / np.linalg.norm(r[2]) for r in rows}
+    for name, query in ((f"q{i}", unit[rows[i][0]]) for i in range(7)):
+        best = {}
+        for key, label, _ in rows:
+            s = round(float(unit[key] @ query), 10)
+            best[label] = min(best.get(label, (9, "")), (-s, key))
+        want = sorted((v[0], label, v[1]) for label, v in best.items())[:5]
+        assert [(r[2], r[3]) for r in one if r[0] == name] == [(label, key) for _, label, key in want]
+
+
+def test_search_without_queries(spark):
+    index = SE.build_index(spark.createDataFrame([("a", "L", [1.0, 0.0])], "id string, label string, vector array<double>"))
+    assert SE.find_similar(index, spark.createDataFrame([], "query_id string, query array<double>")).count() == 0
+
+
+def test_axes_point_one_way(spark):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(60, 4)) * [3, 2, 1, 0.5]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vector array<double>")
+    got = np.array([[r["x"], r["y"]] for r in SE.pca_2d(df).orderBy("id").collect()])
+    centred = data - data.mean(0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    axes = axes[:2] * np.sign(axes[np.arange(2), np.abs(axes[:2]).argmax(1)])[:, None]
+    assert np.allclose(got, centred @ axes.T, atol=1e-8)
+
+
+def test_split_is_one_order_per_label(spark):
+    rows = [(i, f"L{i % 4}") for i in range(203)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = {r["id"]: r["split"] for r in LS.split_stratified(df, "id").collect()}
+    import hashlib
+
+    def exact(n, share, total):
+        base = [x * share // total for x in n]
+        rest = sorted(range(len(n)), key=lambda k: (-(n[k] * share / total - base[k]), k))
+        return [b + (k in rest[:share - sum(base)]) for k, b in enumerate(base)]
+
+    sizes = [sum(r[1] == f"L{k}" for r in rows) for k in range(4)]
+    held = exact(sizes, 61, 203)
+    test = exact(held, 31, 61)
+    for k in range(4):
+        order = sorted((r[0] for r in rows if r[1] == f"L{k}"), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+        n = sizes[k]
+        assert [got[i] for i in order] == ["train"] * (n - held[k]) + ["val"] * (held[k] - test[k]) + ["test"] * test[k]
