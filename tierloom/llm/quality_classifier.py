@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.common import PrefixHash, joined, slices, stored, utf8, word_bounds
+from tierloom.llm.common import PrefixHash, extended, joined, slices, stored, utf8, word_bounds
 from tierloom.llm.quality_rules import SYMBOLS, measure
 
 # Common English words of abuse. A parameter of the abuse labellers.
@@ -138,7 +138,8 @@ def fit_labellers(patterns: dict[str, int], bad_votes: Sequence[tuple[float, flo
     """
     keys = list(patterns)
     if not keys:
-        return prior, np.zeros((2, 0, 3)), {}
+        empty = np.zeros((2, 0, 3))
+        return prior, empty, Posteriors({}, prior, empty)
     n = np.array([patterns[k] for k in keys], dtype=np.float64)
     one_hot = np.eye(3)[np.array([["-01".index(x) for x in k] for k in keys])]
     spoken = one_hot[:, :, 1:]
@@ -157,7 +158,26 @@ def fit_labellers(patterns: dict[str, int], bad_votes: Sequence[tuple[float, flo
         post = fresh
         if moved < 1e-9:
             break
-    return prior, tables, dict(zip(keys, post.tolist()))
+    return prior, tables, Posteriors(dict(zip(keys, post.tolist())), prior, tables)
+
+
+class Posteriors(dict):
+    """Posterior of bad per vote pattern; patterns that were not met are worked out from the fitted tables."""
+
+    def __init__(self, known: dict[str, float], prior: float, tables: np.ndarray):
+        super().__init__(known)
+        self.prior, self.tables = prior, tables
+
+    def __missing__(self, pattern: str) -> float:
+        odds = math.log(self.prior / (1 - self.prior))
+        for good, bad, vote in zip(self.tables[0], self.tables[1], pattern):
+            if vote != "-":
+                odds += math.log(bad["-01".index(vote)] / good["-01".index(vote)])
+        self[pattern] = out = 1 / (1 + math.exp(-min(max(odds, -500.0), 500.0)))
+        return out
+
+    def __reduce__(self):
+        return Posteriors, (dict(self), self.prior, self.tables)
 
 
 class Scorer:
@@ -307,15 +327,15 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, keep: Sequence[st
             slot, offsets = features(given)
             strong = np.array([dense(f) for f in known]).reshape(-1, DENSE)
             score = [1 / (1 + np.exp(-np.clip(m.logits(slot, offsets, strong), -30, 30))) for m in models]
-            post = [np.array([p.get(votes(f, v) + "-", p.get(votes(f, v) + "0", 0.0)) for f in known], dtype=np.float64)
+            post = [np.array([p[votes(f, v) + "-"] for f in known], dtype=np.float64)
                     for p, v in zip(shared.value[2:], (QUALITY_LABELLERS, ABUSE_LABELLERS))]
             gone = np.zeros(len(given), dtype=bool)
             for s, p, alone in zip(score, post, sure):
                 gone |= ((s > cutoff) & (p > cutoff)) | (s > alone)
             columns = [pa.array(c) for c in (*post, *score, ~gone)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + columns, names=[*carried, *added])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *columns], names=["_row", *added])
 
-    given = docs.select(*carried, F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema),
-                        "bad_posterior double, abuse_posterior double, bad_score double, abuse_score double, kept boolean"])
-    return given.mapInArrow(run, schema)
+    # The row is packed, so that no column of the table clashes with one of the job's own.
+    given = docs.select(F.struct(*carried).alias("_row"), F.col(text).alias("_text"))
+    schema = extended(given.select("_row").schema, "bad_posterior double, abuse_posterior double, bad_score double, abuse_score double, kept boolean")
+    return given.mapInArrow(run, schema).select("_row.*", *added)
