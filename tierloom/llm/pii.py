@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.common import slices, stored
+from tierloom.llm.common import extended, slices, stored
 
 # The patterns of the base entities.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -312,21 +312,24 @@ def find(docs: DataFrame, keep: Sequence[str] | None = None, doc_id: str = "doc_
                 rows.append((*counts, hashlib.sha256(told(spans).encode()).hexdigest(), told(every)))
                 fresh.append(replaced(t, every) if cleaned else None)
             columns = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:4]] + [pa.array([r[i] for r in rows], pa.string()) for i in (4, 5)]
-            own = [pa.array(fresh, pa.string()) if c == cleaned else batch.column(c) for c in out]
-            yield pa.RecordBatch.from_arrays(own + columns, names=[*out, *added])
-
-    types = {f.name: f.dataType.simpleString() for f in docs.schema} | ({cleaned: "string"} if cleaned else {})
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in out), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"])
-    given = docs.select(*[c for c in out if c in docs.columns], F.col(text).alias("_text"), F.xxhash64(text).alias("_key"))
+            own = [batch.column("_row")] + ([pa.array(fresh, pa.string())] if cleaned else [])
+            yield pa.RecordBatch.from_arrays(own + columns, names=["_row", *(["_cleaned"] if cleaned else []), *added])
+
+    # The row is packed, so that no column of the table clashes with one of the job's own.
+    rest = [c for c in carried if c != cleaned]
+    given = docs.select(F.struct(*(rest or [F.lit(0)])).alias("_row"), F.col(text).alias("_text"), F.xxhash64(text).alias("_key"))
+    schema = extended(given.select("_row").schema, ("_cleaned string, " if cleaned else "")
+                      + "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    shown = [F.col("_cleaned").alias(cleaned) if c == cleaned else F.col(f"_row.`{c}`").alias(c) for c in out]
     none = F.lit(None).cast("array<string>").alias("_terms")
     if found is None:
-        return given.drop("_key").select("*", none).mapInArrow(run, schema)
+        return given.drop("_key").select("*", none).mapInArrow(run, schema).select(*shown, *added)
     risky, pairs = found
     # Revealing terms of a text: the pairs that it holds. Texts without an entity need no look.
     per_text = pairs.select("_key", "entity", "term").join(risky, ["entity", "term"]).groupBy("_key").agg(F.collect_set("term").alias("_terms"))
     maybe = F.coalesce(F.col("_text").rlike(MAYBE), F.lit(False))
     rows = given.filter(maybe).join(per_text, "_key", "left").drop("_key").unionByName(given.filter(~maybe).drop("_key").select("*", none))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*shown, *added)
 
 
 def _term_spans(text: str, spans: Sequence[Span], terms: set[str]) -> list[Span]:
