@@ -324,3 +324,38 @@ def test_attention_trains_on_all_training_texts(spark):
     share = spark.sparkContext.broadcast
     got = lm_scoring._trained_blocks(rows, share(lm_scoring.Model().flat), share(lm_scoring.Classes(np.ones(end + 1))), lm_scoring.TOKENIZER, lm_scoring.SHARE)
     assert got.agg(F.sum("tokens")).first()[0] == want
+
+
+@pytest.mark.parametrize("mark", ["has-sidebar", "post-comments-enabled", "related-news", "share-ready", "single-post no-sidebar"])
+def test_a_wrapper_with_the_name_of_furniture_keeps_the_article(mark):
+    article = "<h1>Head</h1>" + "".join(f"<p>This is paragraph {i} of the whole article.</p>" for i in range(40))
+    page = f"<html><body><div class='{mark}'><nav><a href=x>menu</a></nav>{article}<div class='share'>share it</div></div><footer>foot</footer></body></html>"
+    pieces, nodes = page_text.parse(page)
+    got = page_text.text_of(pieces, page_text.best_container(pieces, nodes))
+    assert got.split("\n") == ["Head", *[f"This is paragraph {i} of the whole article." for i in range(40)]]
+
+
+def test_long_comments_stay_out_and_deep_pages_are_small():
+    page = "<body><div><h1>H</h1><p>A short article of a few words.</p></div><section class='comments'>" + "<p>reader says a lot</p>" * 200 + "</section></body>"
+    pieces, nodes = page_text.parse(page)
+    assert page_text.text_of(pieces, page_text.best_container(pieces, nodes)) == "H\nA short article of a few words."
+    pieces, nodes = page_text.parse("<div class='a b'>" * 8000 + "<p>deep text</p>" + "</div>" * 8000)
+    node = page_text.best_container(pieces, nodes)
+    assert page_text.text_of(pieces, node) == "deep text" and node.code == page_text.path_code(node.path)
+
+
+def test_posterior_of_a_pattern_that_was_not_met():
+    patterns = {"1-1": 30, "--0": 200, "0-0": 100, "-1-": 5, "---": 400, "01-": 3}
+    prior, tables, post = quality_classifier.fit_labellers(patterns, [(0.05, 0.5)] * 2 + [(0.01, 0.9)])
+    for pattern, known in list(post.items()):
+        again = quality_classifier.Posteriors({}, prior, tables)
+        assert abs(again[pattern] - known) < 1e-6
+    assert post["111"] > post["1-1"] > 0.9 > prior > post["0-0"]
+
+
+def test_clashing_names(spark, docs):
+    given = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("_text", "_key", "_terms", "_id", "_row", "_host", "_html")])
+    for found in (quality_classifier.classify(given), pii.find(given), pii.find(given, cleaned="text")):
+        assert found.count() == given.count() and {"_text", "_key", "_host"} <= set(found.columns)
+    pages = given.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"), "_text", "_host", "_html", "_row")
+    assert page_text.extract(pages).columns == ["page_id", "url", "_text", "_host", "_html", "_row", "text", "n_chars"]

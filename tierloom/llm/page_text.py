@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.common import slices, stored
+from tierloom.llm.common import extended, slices, stored
 from tierloom.llm.url_rules import host_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
@@ -39,22 +40,45 @@ ENDS_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot",
 MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus "
                   "feedback footer form gdpr menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted "
                   "related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words that turn a mark beside them into a statement about the page: "no-sidebar", "comments-enabled".
+STATES = frozenset("no not non has have with without is hide enabled disabled ready open closed on off".split())
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A marked element that holds more than this share of the page's prose is a wrapper, not furniture.
+WRAPPER = 0.8
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Node:
+    """An element. ``step`` is its part of the path and ``code`` a hash of the path to it, so that deep pages do not
+    hold a long path per element; ``marked`` tells a class or name of furniture, ``dropped`` what is left out."""
+
     tag: str
-    path: str
+    step: str
+    code: int
     inside: Node | None
     dropped: bool
+    marked: bool
     linked: bool
     begin: int
     text: int = 0
     links: int = 0
-    paragraphs: int = 0
     end: int = -1
-    open_p: bool = field(default=False)
+    headline: bool = False
+
+    @property
+    def path(self) -> str:
+        steps, up = [], self
+        while up is not None:
+            if up.step:
+                steps.append(up.step)
+            up = up.inside
+        return "".join(f">{s}" for s in reversed(steps))
+
+
+def path_code(path: str, before: int = 0) -> int:
+    """Hash of a path; that of a longer path follows from the hash of its beginning."""
+    data = path.encode("utf-8", "surrogatepass")
+    return zlib.crc32(data, before >> 32) << 32 | zlib.adler32(data, before & 0xFFFFFFFF or 1)
 
 
 @dataclass
@@ -66,21 +90,62 @@ class Piece:
     breaks: bool
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _left_out(tag: str, attributes: str) -> bool:
+    """Elements that never hold the article: furniture by tag, and hidden ones."""
     if tag in FURNITURE:
         return True
     if tag in ("html", "body", "article", "main") or not attributes:
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        low = name.lower()
-        if low in ("class", "id", "role", "aria-label"):
-            if any(w.lower() in MARKS for w in NAMES.findall(a or b or c)):
-                return True
-        elif low == "aria-hidden" and (a or b or c).lower() == "true":
+        if name.lower() == "aria-hidden" and (a or b or c).lower() == "true":
             return True
     return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None
 
 
+def _marked(tag: str, attributes: str) -> bool:
+    """Elements whose class, id, role or label names page furniture; a name that only states something does not count."""
+    if tag in ("html", "body", "article", "main") or not attributes:
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role", "aria-label"):
+            for token in (a or b or c).split():
+                words = {w.lower() for w in NAMES.findall(token)}
+                if words & MARKS and not words & STATES:
+                    return True
+    return False
+
+
+def _unwrap(pieces: list[Piece], nodes: list[Node]) -> None:
+    """Settle ``dropped``: marked elements fall, but for those around nearly all of the page's prose.
+
+    Such a wrapper must hold the page's main headline if there is one, so that long comments below a short
+    article stay out. ``nodes`` are all elements in page order, so one that lies in another comes after it.
+    """
+    prose = dict.fromkeys((n for n in nodes if n.marked), 0)
+    total = 0
+    if prose:
+        for p in pieces:
+            size = len(p.text.strip())
+            if not size or p.node.dropped or p.node.linked:
+                continue
+            total += size
+            up: Node | None = p.node
+            while up is not None:
+                if up.marked:
+                    prose[up] += size
+                up = up.inside
+    headline = any(n.tag == "h1" and not n.dropped for n in nodes)
+    if headline and prose:
+        for n in nodes:
+            up = n if n.tag == "h1" and not n.dropped else None
+            while up is not None:
+                up.headline = True
+                up = up.inside
+    for n in nodes:
+        wrapper = n.marked and prose[n] > WRAPPER * total and (n.headline or not headline)
+        n.dropped = n.dropped or (n.marked and not wrapper) or (n.inside is not None and n.inside.dropped)
+
+
 def _step(tag: str, attributes: str) -> str:
     """A path step: the tag and its classes, digits generalised."""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -92,8 +157,8 @@ def _step(tag: str, attributes: str) -> str:
 
 def parse(page: str) -> tuple[list[Piece], list[Node]]:
     """Text runs in page order and the containers. Unclosed elements end with the element around them."""
-    root = Node("#", "", None, False, False, 0)
-    stack, pieces, nodes = [root], [], [root]
+    root = Node("#", "", path_code(""), None, False, False, False, 0)
+    stack, pieces, nodes, every = [root], [], [root], [root]
     at, breaks, raw = 0, True, ""
     n = len(page)
 
@@ -153,15 +218,18 @@ def parse(page: str) -> tuple[list[Piece], list[Node]]:
                     node.end = len(pieces)
                 del stack[depth:]
         above = stack[-1]
-        path = f"{above.path}>{_step(tag, attributes)}" if tag in BLOCKS else above.path
-        node = Node(tag, path, above, above.dropped or _marked(tag, attributes), above.linked or tag == "a", len(pieces))
+        step = _step(tag, attributes) if tag in BLOCKS else ""
+        node = Node(tag, step, path_code(f">{step}", above.code) if step else above.code, above, above.dropped or _left_out(tag, attributes),
+                    _marked(tag, attributes), above.linked or tag == "a", len(pieces))
         stack.append(node)
+        every.append(node)
         if tag in CONTAINERS:
             nodes.append(node)
     for node in stack:
         if node.end < 0:
             node.end = len(pieces)
     root.end = len(pieces)
+    _unwrap(pieces, every)
     return pieces, nodes
 
 
@@ -252,7 +320,7 @@ def _votes(pages: DataFrame, page: str) -> DataFrame:
 
 def winning_paths(pages: DataFrame, host: Column, page: str = "html") -> DataFrame:
     """``_host`` and its ``_path`` with most pages, then most text, then the smallest path."""
-    counted = _votes(pages.withColumn("_host", host).filter(F.col(page) != ""), page).groupBy("_host", "path").agg(
+    counted = _votes(pages.select(host.alias("_host"), F.col(page).alias("_page")).filter("_page <> ''"), "_page").groupBy("_host", "path").agg(
         F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     return counted.filter("path <> '' and weight > 0").groupBy("_host").agg(
         F.min_by("path", F.struct(-F.col("n"), -F.col("weight"), "path")).alias("_path"))
@@ -274,13 +342,14 @@ def extract(pages: DataFrame, keep: list[str] | None = None, url: str = "url", p
             for source, path in zip(batch.column("_html").to_pylist(), batch.column("_path").to_pylist()):
                 pieces, nodes = parse(source or "")
                 own = best_container(pieces, nodes)
-                named = [x for x in nodes if x.path == path and not x.dropped and x.text]
+                code = path_code(path or "")
+                named = [x for x in nodes if x.code == code and not x.dropped and x.text and x.path == path]
                 chosen = chosen_containers(own, named)
                 out.append("\n".join(t for t in (text_of(pieces, x) for x in chosen if not x.dropped) if t))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in carried] + [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
-                names=[*carried, "text", "n_chars"])
+                [batch.column("_row"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["_row", "text", "n_chars"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*carried).schema), "text string, n_chars long"])
-    rows = pages.select(*carried, F.col(page).alias("_html"), host_of(F.col(url)).alias("_host"))
-    return rows.join(won, "_host", "left").mapInArrow(run, schema)
+    # The row is packed, so that no column of the table clashes with one of the job's own.
+    rows = pages.select(F.struct(*carried).alias("_row"), F.col(page).alias("_html"), host_of(F.col(url)).alias("_host"))
+    schema = extended(rows.select("_row").schema, "text string, n_chars long")
+    return rows.join(won, "_host", "left").mapInArrow(run, schema).select("_row.*", "text", "n_chars")
