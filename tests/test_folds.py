@@ -165,6 +165,27 @@ def test_anchored_windows_with_equal_starts(spark):
     assert {r["group_start"] for r in got} == {0, 5001}
 
 
+@pytest.mark.parametrize("chunk_ms", [3000, 20_000, 100_000])
+def test_anchored_windows_over_many_chunks(spark, chunk_ms):
+    rng = random.Random(9)
+    starts = {f"s{n}": sorted({rng.randrange(0, 700 * n) + 60_000 * (rng.random() < 0.05) for _ in range(n)}) for n in (1, 3, 40, 400)}
+    df = spark.createDataFrame([(k, i, s) for k, ss in starts.items() for i, s in enumerate(ss)], "stem string, item_no bigint, start_ms bigint")
+    got = {(r["stem"], r["item_no"]): (r["group_start"], r["is_head"]) for r in C.anchored_windows(df, chunk_ms=chunk_ms).collect()}
+    for k, ss in starts.items():
+        head = None
+        for i, s in enumerate(ss):
+            first = head is None or s > head + 5000
+            head = s if first else head
+            assert got[(k, i)] == (head, first)
+
+
+def test_anchored_windows_double_over_chunks_only(spark, monkeypatch):
+    calls = counted(monkeypatch)
+    df = spark.range(6000).select(F.lit("v").alias("stem"), F.col("id").alias("item_no"), (F.col("id") * 1000).alias("start_ms"))
+    assert C.anchored_windows(df).filter("is_head").count() == 1000
+    assert len(calls) <= 9  # two chunks of an hour
+
+
 @pytest.mark.parametrize("texts, most", [(["same line"], 9), (["a line here", "a line herE", "wholly different"], 12)])
 def test_long_groups_take_few_passes(spark, monkeypatch, texts, most):
     calls = counted(monkeypatch)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tierloom.functions.blocks import block_heads, by_range, last_before, next_after, orbit
-from tierloom.functions.chunks import FOLD_CHUNK, let, next_rows, rank_in_groups
+from tierloom.functions.blocks import block_heads, last_before, next_after, orbit, some
+from tierloom.functions.chunks import FOLD_CHUNK, chunk_of, let, next_rows, rank_in_groups
 from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import (blank, clean_recognised, positional_similarity, segment_id,
                                      strip, text_changed, tokens)
@@ -327,25 +328,59 @@ def merge_with_next(alignment: DataFrame, merges: DataFrame) -> DataFrame:
                         for c in alignment.columns])
 
 
-def anchored_windows(items: DataFrame, window_ms: int = 5000) -> DataFrame:
+def anchored_windows(items: DataFrame, window_ms: int = 5000, chunk_ms: int = 3_600_000) -> DataFrame:
     """Group items (stem, item_no, start_ms): a group spans ``window_ms`` from its first start.
 
     Adds ``group_start`` and ``is_head``. The window does not slide. The start that follows a group is a function
-    of the group's own start, so the starts of groups are the orbit of the first start of a video under this
-    pointer, found by doubling; the number of rounds grows with the logarithm of the number of groups of a video.
-    Items of equal start are one point here, the head is the one with the smallest number.
+    of the group's own start. The first head in a chunk of time follows a head before the chunk, so it is one of
+    the points in the chunk's first ``window_ms`` or the point after them: each chunk is followed once from all of
+    these, and the true entries are the orbit of the first start of a video over chunk entries only. Items of
+    equal start are one point here, the head is the one with the smallest number, so a chunk has at most
+    ``chunk_ms`` points.
     """
-    points = checkpointed(items.groupBy("stem", "start_ms").agg(F.min("item_no").alias("_first_no")))
-    probes = points.select("stem", (F.col("start_ms") + window_ms).alias("start_ms"), F.col("start_ms").alias("node"))
-    pointers = checkpointed(next_after(points, probes, ["stem"], "start_ms", "to").filter("to is not null").select("stem", "node", "to"))
-    begun = points.groupBy("stem").agg(F.min("start_ms").alias("node"))
-    heads = orbit(pointers, begun, ["stem"]).select("stem", F.col("node").alias("start_ms"), F.lit(True).alias("_head"))
-    dealt = by_range(points.join(heads, ["stem", "start_ms"], "left"), [F.col("stem"), F.col("start_ms")]).withColumnRenamed("_range", "chunk")
-    head_at = F.when(F.col("_head"), F.col("start_ms"))
-    before = last_before(dealt.groupBy("stem", "chunk").agg(F.max(head_at).alias("_earlier")), ["stem"], ["_earlier"])
-    upto = Window.partitionBy("stem", "chunk").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.join(before, ["stem", "chunk"]).select(
-        "stem", "start_ms", "_first_no", F.coalesce(F.max(head_at).over(upto), "_earlier").alias("group_start"))
+    points = checkpointed(items.filter("start_ms is not null").groupBy("stem", "start_ms").agg(F.min("item_no").alias("_first_no"))
+                          .withColumn("chunk", chunk_of("start_ms", chunk_ms)))
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    stem, start = kinds["stem"], kinds["start_ms"]
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts = np.sort(pdf["start_ms"].to_numpy())
+        after = np.searchsorted(starts, starts + window_ms, side="right").tolist()
+        last = list(range(len(starts)))
+        for i in range(len(starts) - 1, -1, -1):
+            if after[i] < len(starts):
+                last[i] = last[after[i]]
+        entries = np.searchsorted(starts, pdf["chunk"].iloc[0] * chunk_ms + window_ms, side="left") + 1
+        ends = starts[last[:entries]]
+        return pd.DataFrame({"stem": pdf["stem"].iloc[0], "chunk": pdf["chunk"].iloc[0], "node": starts[:entries], "last": ends})
+
+    entries = checkpointed(points.groupBy("stem", "chunk").applyInPandas(follow, f"stem {stem}, chunk bigint, node {start}, last {start}"))
+    begun = entries.groupBy("stem").agg(F.min("node").alias("node"))
+    reached = begun
+    if some(entries.groupBy("stem").agg(F.count_distinct("chunk").alias("n")).filter("n > 1")):
+        probes = entries.select("stem", (F.col("last") + window_ms).cast(start).alias("start_ms"), "node")
+        steps = next_after(entries.select("stem", F.col("node").alias("start_ms")), probes, ["stem"], "start_ms", "to")
+        reached = orbit(checkpointed(steps.filter("to is not null").select("stem", "node", "to")), begun, ["stem"])
+    # One row per chunk: where its first head lies, if it has one, and the last head before it.
+    true = entries.join(reached.withColumn("_true", F.lit(True)), ["stem", "node"], "left")
+    chunks = checkpointed(true.groupBy("stem", "chunk").agg(
+        F.min(F.when(F.col("_true"), F.col("node"))).alias("_entry"), F.max(F.when(F.col("_true"), F.col("last"))).alias("_last")))
+    before = last_before(chunks.select("stem", "chunk", F.col("_last").alias("_before")), ["stem"], ["_before"])
+    placed = points.join(chunks.drop("_last").join(before, ["stem", "chunk"]), ["stem", "chunk"])
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start_ms")
+        starts, entry, carried = pdf["start_ms"].to_numpy(), pdf["_entry"].iloc[0], pdf["_before"].iloc[0]
+        heads = [] if pd.isna(carried) else [int(carried)]
+        at = len(starts) if pd.isna(entry) else int(np.searchsorted(starts, int(entry)))
+        while at < len(starts):
+            heads.append(starts[at])
+            at = int(np.searchsorted(starts, starts[at] + window_ms, side="right"))
+        heads = np.array(heads, dtype=starts.dtype)
+        return pdf[["stem", "start_ms", "_first_no"]].assign(group_start=heads[np.searchsorted(heads, starts, side="right") - 1])
+
+    placed = placed.groupBy("stem", "chunk").applyInPandas(
+        place, f"stem {stem}, start_ms {start}, _first_no {kinds['_first_no']}, group_start {start}")
     is_head = (F.col("start_ms") == F.col("group_start")) & (F.col("item_no") == F.col("_first_no"))
     return items.select("stem", "item_no", "start_ms").join(placed, ["stem", "start_ms"]).select(
         "stem", "item_no", "start_ms", "group_start", is_head.alias("is_head"))
