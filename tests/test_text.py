@@ -162,3 +162,25 @@ def test_file_names_of_every_code_point(spark):
     got = {r["i"]: r["n"] for r in df.select("i", T.safe_file_name("name").alias("n")).collect()}
     wrong = [(n, got[i], plain(n)) for i, n in enumerate(names) if got[i] != plain(n)]
     assert not wrong, wrong[:5]
+
+
+def test_strip_html_and_its_sql_read_references_alike(spark):
+    import html
+    import re
+
+    import duckdb
+
+    from tierloom import plans  # noqa: F401
+    from tierloom.functions import text as T
+    from tierloom.plans.registry import ORACLES
+
+    pages = ["der&amp{margin", "&ampp &notit; &notin; &lt;b&gt &quot &quo &copy2", "&#65;&#x41 &#128;&#0;&#xD800;&#1114112;&#99999999999;&#7;&#xFDD0;&#33a;",
+             "&amp;lt; && & &;&#;&#x; &unknown; &acE; &nbsp;", "a<br>b</p>c", "", None]
+    want = {i: None if h is None else "\n".join(t for t in (u.strip() for u in re.split(
+        "[\n\r]", html.unescape(re.sub("<[^>]+>", "", re.sub("<(?:br|/p)[^>]*>", "\n", h))))) if t) for i, h in enumerate(pages)}
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string")
+    assert {r[0]: r[1] for r in rows.select("page_id", T.strip_html("html")).collect()} == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [list(r) for r in enumerate(pages)])
+    assert dict(con.execute(ORACLES["d09_strip_html"]).fetchall()) == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import functions as F
 
@@ -119,8 +119,29 @@ for _name, _char in _ENTITIES.items():
 DECODED = f"replace({DECODED}, '&amp;', '&')"
 
 
-@query("d09_strip_html", rf"""SELECT page_id, array_to_string([t FOR t IN [regexp_replace(l, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g') FOR l IN regexp_split_to_array(d, '[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')] IF t <> ''], chr(10)) AS text
-    FROM (SELECT page_id, {DECODED} AS d FROM pages)""")
+# HTML references as the page rules read them: a name with its semicolon, else the longest old name, which needs
+# none, at the start of what follows an ampersand, else a number; decoded once, from left to right.
+_NAMES = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in html5.items()) + "}"
+_OLD = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+_WINDOWS = "[" + ", ".join(q(bytes([c]).decode("cp1252", "ignore") or chr(c)) for c in range(0x80, 0xA0)) + "]"
+_DIGITS = "regexp_replace(num, '^[xX]?0*', '')"
+_CODE = f"""CASE WHEN regexp_matches(num, '^[xX]') THEN CASE WHEN length({_DIGITS}) > 6 THEN 1114112 ELSE CAST('0x0' || {_DIGITS} AS BIGINT) END
+    ELSE CASE WHEN length({_DIGITS}) > 7 THEN 1114112 ELSE CAST('0' || {_DIGITS} AS BIGINT) END END"""
+STRIPPED = r"regexp_replace(regexp_replace(html, '(?i)<(?:br|/p|/div|/h[1-6]|/li)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+REFERENCES_SQL = rf"""names AS (SELECT {_NAMES} AS names),
+    pieces AS (SELECT page_id, i, pieces[i] AS p FROM (SELECT page_id, string_split({STRIPPED}, '&') AS pieces FROM pages), LATERAL (SELECT unnest(range(1, len(pieces) + 1)) AS i)),
+    refs AS (SELECT *, regexp_extract(p, '^([0-9A-Za-z]{{1,31}};)', 1) AS long_name, regexp_extract(p, '^({_OLD})', 1) AS old_name, regexp_extract(p, '^#([xX][0-9A-Fa-f]+|[0-9]+);?', 1) AS num FROM pieces),
+    coded AS (SELECT *, CASE WHEN num <> '' THEN {_CODE} END AS code, names[long_name] AS long_char, names[old_name] AS old_char FROM refs, names),
+    decoded AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN p
+        WHEN num <> '' THEN CASE WHEN code BETWEEN 128 AND 159 THEN {_WINDOWS}[code - 127] WHEN code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533)
+          WHEN code BETWEEN 1 AND 8 OR code = 11 OR code BETWEEN 14 AND 31 OR code = 127 OR code BETWEEN 64976 AND 65007 OR code % 65536 >= 65534 THEN '' ELSE chr(CAST(code AS INT)) END
+          || regexp_replace(p, '^#([xX][0-9A-Fa-f]+|[0-9]+);?', '')
+        WHEN long_char IS NOT NULL THEN long_char || substr(p, length(long_name) + 1) WHEN old_char IS NOT NULL THEN old_char || substr(p, length(old_name) + 1)
+        ELSE '&' || p END, '' ORDER BY i) AS d FROM coded GROUP BY page_id)"""
+
+
+@query("d09_strip_html", rf"""WITH {REFERENCES_SQL} SELECT page_id, array_to_string([t FOR t IN [regexp_replace(l, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g') FOR l IN regexp_split_to_array(d, '[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')] IF t <> ''], chr(10)) AS text
+    FROM pages LEFT JOIN decoded USING (page_id)""")
 def strip_html(b):
     return b.table("pages").select("page_id", T.strip_html("html").alias("text"))
 
