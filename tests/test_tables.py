@@ -296,6 +296,12 @@ def test_incremental_signs_keep_the_first(spark, folder):
     assert len(feed([(1, 0, "right", "later", 0), (1, 1, "right", "new", 7)])) == 4
 
 
+def test_manual_pairings_of_equal_items_go_by_video(spark):
+    rows = [(s, 7, "right", 1000, 1400, 25.0) for s in ("z", "m", "a")]
+    requests = spark.createDataFrame(rows, "stem string, item_no bigint, hand string, start_ms bigint, end_ms bigint, fps double").coalesce(1)
+    assert sorted(r["pairing_id"] for r in M.manual_pairings(requests).collect()) == [f"{s}_00001000_r_M{n + 1}" for n, s in enumerate("amz")]
+
+
 def test_bulk_import(spark):
     from tierloom.operators import collector as K
 

@@ -355,10 +355,11 @@ def undo(history: DataFrame, key: str = "pairing_id", version: str = "version")
 
 def manual_pairings(requests: DataFrame) -> DataFrame:
     """Signs marked by hand: stem, item_no, hand, start_ms, end_ms, fps. Rows with another hand
-    than right or left have ``error`` set and no id."""
+    than right or left have ``error`` set and no id. They are numbered by item, start, hand, then stem, so that
+    ids do not depend on the order in which equal items of several videos arrive."""
     ok = F.coalesce(F.col("hand").isin("right", "left"), F.lit(False))
     numbered = rank_in_groups(requests.withColumn("_ok", ok), ["_ok"], F.floor(F.col("item_no") / 65_536),
-                              [F.col("item_no"), F.col("start_ms"), F.col("hand")], "_n")
+                              [F.col(c) for c in ("item_no", "start_ms", "hand", "stem", "end_ms", "fps")], "_n")
     tag = F.concat(F.lit("M"), (F.col("_n") + 1).cast("string"))
     return numbered.select(
         F.when(F.col("_ok"), pairing_id("stem", "start_ms", "hand", tag)).alias("pairing_id"), "item_no", "stem", "hand",

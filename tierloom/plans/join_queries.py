@@ -350,7 +350,7 @@ def undo(b):
 
 @query("f13_manual_pairings", """SELECT CASE WHEN ok THEN stem || '_' || lpad(CAST(start_ms AS VARCHAR), 8, '0') || '_' || left(h, 1) || '_M' || n END AS pairing_id, item_no, CAST(floor(start_ms * 25.0 / 1000) AS BIGINT) AS sign_frame_start,
       CASE WHEN NOT ok THEN 'hand must be right or left' END AS error
-    FROM (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY item_no, start_ms, h) AS n FROM (SELECT *, stem * 8 + line_no + partkey * 1000000 AS item_no, CASE flag WHEN 'N' THEN 'both' ELSE hand END AS h, flag <> 'N' AS ok FROM pairings))""")
+    FROM (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY item_no, start_ms, h, stem) AS n FROM (SELECT *, stem * 8 + line_no + partkey * 1000000 AS item_no, CASE flag WHEN 'N' THEN 'both' ELSE hand END AS h, flag <> 'N' AS ok FROM pairings))""")
 def manual_pairings(b):
     hand = F.when(F.col("flag") == "N", "both").otherwise(F.col("hand"))
     requests = b.pairings.select("stem", (F.col("stem") * 8 + F.col("line_no") + F.col("partkey") * 1_000_000).alias("item_no"), hand.alias("hand"), "start_ms", "end_ms", F.lit(25.0).alias("fps"))
