@@ -302,6 +302,21 @@ def test_manual_pairings_of_equal_items_go_by_video(spark):
     assert sorted(r["pairing_id"] for r in M.manual_pairings(requests).collect()) == [f"{s}_00001000_r_M{n + 1}" for n, s in enumerate("amz")]
 
 
+@pytest.mark.parametrize("name", ["f23_sync_with_training"])
+def test_words_without_a_new_one_match_sql(spark, folder, name):
+    import oracle
+    from tierloom import plans  # noqa: F401
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    last = part.agg(F.max("p_partkey")).first()[0]
+    shift = last + 1 if last % 2 == 0 else last + 2
+    # Every gloss id has words of even and of odd number.
+    part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + shift)).write.parquet(f"{folder}/part.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet/*.parquet')")
+    assert oracle.compare(spark, con, name, folder)[0] == "ok"
+
+
 def test_bulk_import(spark):
     from tierloom.operators import collector as K
 

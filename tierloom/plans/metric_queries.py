@@ -608,7 +608,7 @@ def add_themes(b):
 
 @query("f23_sync_with_training", f"""WITH {WORDS_SQL}, w AS (SELECT DISTINCT gloss_id AS g FROM words), l AS (SELECT DISTINCT gloss_id AS g FROM words WHERE word_id % 2 = 0)
     SELECT (SELECT count(*) FROM w) AS words, (SELECT count(*) FROM w WHERE g IN (SELECT g FROM l)) AS with_data, (SELECT count(*) FROM w WHERE g NOT IN (SELECT g FROM l)) AS without_data,
-      (SELECT string_agg(g, ',' ORDER BY g) FROM (SELECT g FROM w WHERE g NOT IN (SELECT g FROM l) ORDER BY g LIMIT 30)) AS new_sample""")
+      coalesce((SELECT string_agg(g, ',' ORDER BY g) FROM (SELECT g FROM w WHERE g NOT IN (SELECT g FROM l) ORDER BY g LIMIT 30)), '') AS new_sample""")
 def sync_with_training(b):
     w = words(b)
     return K.sync_with_training(w, w.filter("word_id % 2 = 0").select(F.col("gloss_id").alias("label")))
