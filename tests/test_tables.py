@@ -302,7 +302,7 @@ def test_manual_pairings_of_equal_items_go_by_video(spark):
     assert sorted(r["pairing_id"] for r in M.manual_pairings(requests).collect()) == [f"{s}_00001000_r_M{n + 1}" for n, s in enumerate("amz")]
 
 
-@pytest.mark.parametrize("name", ["f23_sync_with_training"])
+@pytest.mark.parametrize("name", ["f23_sync_with_training", "k07_new_word_ids"])
 def test_words_without_a_new_one_match_sql(spark, folder, name):
     import oracle
     from tierloom import plans  # noqa: F401

@@ -625,7 +625,7 @@ def add_words(b):
 
 
 @query("k07_new_word_ids", f"""WITH {WORDS_SQL}, w AS (SELECT * FROM words WHERE word_id % 2 = 0), f AS (SELECT DISTINCT gloss_id FROM words WHERE word_id % 2 = 1 AND gloss_id NOT IN (SELECT gloss_id FROM w))
-    SELECT count(*) AS n, count(*) AS n_ids, (SELECT max(word_id) FROM w) + 1 AS first_id, (SELECT max(word_id) FROM w) + count(*) AS last_id FROM f""")
+    SELECT count(*) AS n, count(*) AS n_ids, CASE WHEN count(*) > 0 THEN (SELECT max(word_id) FROM w) + 1 END AS first_id, CASE WHEN count(*) > 0 THEN (SELECT max(word_id) FROM w) + count(*) END AS last_id FROM f""")
 def new_word_ids(b):
     w = words(b)
     even = w.filter("word_id % 2 = 0")
