@@ -4,6 +4,7 @@ import json
 import os
 import re
 import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -317,6 +318,19 @@ def test_words_without_a_new_one_match_sql(spark, folder, name):
     assert oracle.compare(spark, con, name, folder)[0] == "ok"
 
 
+def test_incremental_signs_of_many_keys(spark, folder):
+    schema = "stem bigint, sign_start_ms bigint, hand string, word string, item_no bigint"
+    began = time.time()
+    for wave, keys in enumerate((20_000, 30_000)):
+        rows = spark.range(keys * 2).selectExpr("id div 2 AS stem", "0L AS sign_start_ms", "CAST(NULL AS STRING) AS hand", f"'w{wave}' AS word", "id AS item_no")
+        rows.write.mode("append").parquet(f"{folder}/in")
+        ST.merge_new_signs(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/ckpt").awaitTermination()
+    got = spark.read.schema(schema).parquet(f"{folder}/out")
+    assert got.filter("item_no = stem * 2").groupBy("word").count().orderBy("word").collect() == [("w0", 20_000), ("w1", 10_000)]
+    assert got.count() == 30_000
+    assert time.time() - began < 40
+
+
 def test_bulk_import(spark):
     from tierloom.operators import collector as K
 

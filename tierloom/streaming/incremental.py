@@ -2,20 +2,20 @@
 
 Alignment works on subtitle files and writes one folder per micro-batch, with segments, aligned stems and files
 that still wait together in one job; a row of a manifest then commits the batch. A batch that is run again after
-a failure replaces its own folder, so the table is what a single build over all files gives. The sign merge keeps
-its known keys in the state store, so a batch reads its own rows and the state of its own keys only.
+a failure replaces its own folder, so the table is what a single build over all files gives. The sign merge
+reads its own rows and the key columns of the table, so no state has to fit in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tierloom.operators.cues import build_alignment, pick_subtitles
@@ -31,7 +31,7 @@ BATCH = f"part string, stem string, segment struct<{SEGMENT.replace(' ', ':').re
 MANIFEST = "batch int, stems bigint, segments bigint, waiting bigint"
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The Parquet table of a folder, or no rows while there is no folder."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -111,26 +111,21 @@ def merge_new_signs(signs: DataFrame, table: str, checkpoint: str, order: str =
                     keys: Sequence[str] = SIGN_KEY) -> StreamingQuery:
     """Add signs whose (stem, start, hand) is new; of several in a batch the one of smallest ``order`` is added.
 
-    Keys that have been added are kept in the state store, one flag each, dealt by key: what a batch reads does
-    not grow with the table. The file sink notes the files of every batch, so one that is run again adds nothing.
-    Use the RocksDB provider of state stores where the keys outgrow the memory of the executors.
+    A batch is reduced to one row per key and held against the key columns of the table by a join, so neither a
+    call per key nor a state that must fit in memory is needed. A batch that is run again finds the keys it has
+    added and picks the same rows for the others, so it adds nothing twice. Ties in ``order`` go by the other columns.
     """
     keys = list(keys)
     schema = signs.schema
-    names = schema.names
-
-    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        best = None
-        for part in parts:
-            row = part.nsmallest(1, order) if best is None else pd.concat([best, part]).nsmallest(1, order)
-            best = row
-        state.update((True,))
-        if best is not None:
-            yield best[names]
-
-    added = signs.groupBy(*keys).applyInPandasWithState(
-        first, StructType(schema.fields), "added boolean", "append", GroupStateTimeout.NoTimeout)
-    return (added.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+    others = [c for c in schema.names if c not in keys]
+    ranked = [F.col(order).isNull().alias("_none"), order, *[c for c in others if c != order]]
+
+    def one(batch: DataFrame, number: int) -> None:
+        known = read_or_empty(batch.sparkSession, table, schema).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        first = batch.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("_first"))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        fresh = first.join(known, same, "left_anti").select(*[c if c in keys else F.col(f"_first.{c}").alias(c) for c in schema.names])
+        fresh.write.mode("append").parquet(table)
+
+    return (signs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
