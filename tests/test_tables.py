@@ -318,6 +318,14 @@ def test_words_without_a_new_one_match_sql(spark, folder, name):
     assert oracle.compare(spark, con, name, folder)[0] == "ok"
 
 
+def test_annotations_are_parsed_once(spark):
+    doc = '<ANNOTATION_DOCUMENT><TIME_ORDER><TIME_SLOT TIME_SLOT_ID="s" TIME_VALUE="1"/><TIME_SLOT TIME_SLOT_ID="e" TIME_VALUE="2"/></TIME_ORDER><TIER TIER_ID="T"><ANNOTATION>' \
+          '<ALIGNABLE_ANNOTATION ANNOTATION_ID="a" TIME_SLOT_REF1="s" TIME_SLOT_REF2="e"><ANNOTATION_VALUE>w</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION></TIER></ANNOTATION_DOCUMENT>'
+    rows = AN.annotations_of_text(spark.createDataFrame([("a", doc), ("b", doc[:-9])], "stem string, content string"), "content", ["T"])
+    assert [tuple(r) for r in rows.collect()] == [("a", "T", 1, 2, "w")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+
+
 def test_incremental_signs_of_many_keys(spark, folder):
     schema = "stem bigint, sign_start_ms bigint, hand string, word string, item_no bigint"
     began = time.time()

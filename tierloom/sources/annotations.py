@@ -20,14 +20,15 @@ def annotations_of_text(files: DataFrame, content: str = "content", tiers: Seque
     """
     doc = F.from_xml(F.col(content), S.ANNOTATION_DOCUMENT,
                      {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = files.select("stem", doc.alias("d")).filter(F.col("d._corrupt").isNull())
+    # Broken documents drop out as null arrays: a filter would be pushed down and parse every document twice.
+    rows = files.select("stem", doc.alias("d"))
     rows = rows.withColumn("slots", F.filter("d.TIME_ORDER.TIME_SLOT", lambda s: s["_TIME_SLOT_ID"].isNotNull()))
     ids = F.col("slots._TIME_SLOT_ID")
     # A document that repeats a slot id keeps its last time.
     last = F.filter("slots", lambda s, i: F.size(ids) - F.array_position(F.reverse(ids), s["_TIME_SLOT_ID"]) == i)
     once = F.when(F.size(F.array_distinct(ids)) < F.size(ids), last).otherwise(F.col("slots"))
     slots = F.map_from_entries(F.transform(once, lambda s: F.struct(s["_TIME_SLOT_ID"], s["_TIME_VALUE"])))
-    rows = rows.select("stem", slots.alias("slots"), F.explode("d.TIER").alias("t"))
+    rows = rows.select("stem", slots.alias("slots"), F.explode(F.when(F.col("d._corrupt").isNull(), F.col("d.TIER"))).alias("t"))
     if tiers is not None:
         rows = rows.filter(F.col("t._TIER_ID").isin(list(tiers)))
     rows = rows.select("stem", "slots", F.col("t._TIER_ID").alias("tier"), F.explode("t.ANNOTATION").alias("a"))
