@@ -326,6 +326,18 @@ def test_annotations_are_parsed_once(spark):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
 
 
+def test_sources_of_stems_without_suffix_are_spread(spark):
+    from tierloom.functions import labels as LB
+
+    stems = spark.createDataFrame([("v1",), ("v1_60",), ("v2_90",), ("v2_60_60",), ("20150203_x",), ("zz",), ("v3_60",), (None,)], "stem string")
+    videos = spark.createDataFrame([("v1", "one"), ("v2", "two"), ("v3_60", "three"), ("v3", "other")], "stem string, source string")
+    got = LB.source_of(stems, videos)
+    assert {r["stem"]: r["source"] for r in got.collect()} == {
+        "v1": "one", "v1_60": "one", "v2_90": "two", "v2_60_60": None, "20150203_x": "corpus", "zz": None, "v3_60": "three", None: None}
+    joins = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN RLIKE(stem" not in joins
+
+
 def test_incremental_signs_of_many_keys(spark, folder):
     schema = "stem bigint, sign_start_ms bigint, hand string, word string, item_no bigint"
     began = time.time()

@@ -30,7 +30,8 @@ def source_of(stems: DataFrame, videos: DataFrame) -> DataFrame:
     """Add ``source``: video of that stem, else of the stem without ``_60``/``_90``, else a dated
     corpus stem, else null. ``videos`` has stem, source."""
     index = videos.groupBy("stem").agg(F.max("source").alias("source"))
-    base = F.when(F.col("stem").rlike("_(60|90)$"), F.regexp_replace("stem", "_(60|90)$", ""))
+    # Without a suffix this is the stem itself, which finds what the exact join finds: a null would send all such rows to one task.
+    base = F.regexp_replace("stem", "_(60|90)$", "")
     by_stem = index.select("stem", F.col("source").alias("_exact"))
     by_base = index.select(F.col("stem").alias("_base"), F.col("source").alias("_loose"))
     year = F.substring("stem", 1, 4).try_cast("int")
