@@ -338,6 +338,18 @@ def test_sources_of_stems_without_suffix_are_spread(spark):
     assert "CASE WHEN RLIKE(stem" not in joins
 
 
+def test_cut_units_are_joined_as_one_row(spark):
+    units = spark.createDataFrame([(1, "v", 0, 3000, 0, 3000, [2000, 0, 500], [("right", 0, 2900), ("left", 20, 2920)], 25.0, ""), (2, "v", 0, 10, 0, 10, [], [("right", 0, 10)], 25.0, "")],
+                                  "unit_id bigint, stem string, start_ms bigint, end_ms bigint, unit_start_ms bigint, unit_end_ms bigint, cuts array<bigint>, "
+                                  "preds array<struct<hand:string,start_ms:bigint,end_ms:bigint>>, fps double, compound string")
+    resolved = spark.createDataFrame([(u, p, f"w{p}", "G") for u in (1, 2) for p in (-1, 0, 1, 2, 3)], "unit_id bigint, piece int, word string, gloss_id string")
+    got = M.cut_interval(units, resolved)
+    assert sorted((r["piece"], r["hand"], r["sign_start_ms"], r["sign_end_ms"], r["word"]) for r in got.collect()) == [
+        (n, h, a, b, f"w{n}") for n, (a, b) in enumerate([(0, 500), (500, 2000), (2000, 3000)]) for h in ("left", "right")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Join")
+
+
 def test_incremental_signs_of_many_keys(spark, folder):
     schema = "stem bigint, sign_start_ms bigint, hand string, word string, item_no bigint"
     began = time.time()

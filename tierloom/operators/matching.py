@@ -379,10 +379,11 @@ def cut_interval(units: DataFrame, resolved: DataFrame) -> DataFrame:
     inner = F.array_sort(F.filter("cuts", lambda c: (c > F.col("start_ms")) & (c < F.col("end_ms"))))
     edges = F.concat(F.array("start_ms"), inner, F.array("end_ms"))
     rows = units.withColumn("_edges", edges).filter(F.size("_edges") > 2)
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_edges") - 2), lambda i: F.struct(
-        F.get("_edges", i).alias("s"), F.get("_edges", i + 1).alias("e")))
-    rows = rows.select("*", F.posexplode(pieces).alias("piece", "p"))
-    rows = rows.select("*", F.posexplode("preds").alias("pred_no", "d")).join(resolved, ["unit_id", "piece"])
+    # Pieces and hands are told apart after the join, so a unit is shuffled as one row.
+    rows = rows.join(resolved, "unit_id").filter((F.col("piece") >= 0) & (F.col("piece") < F.size("_edges") - 1))
+    at = F.col("piece").cast("int")
+    rows = rows.withColumn("p", F.struct(F.get("_edges", at).alias("s"), F.get("_edges", at + 1).alias("e")))
+    rows = rows.select("*", F.posexplode("preds").alias("pred_no", "d"))
     first = F.col("piece") == 0
     tag = F.when(first & (F.col("pred_no") == 0), "R").otherwise("C")
     start = F.when(first, F.col("d.start_ms")).otherwise(F.col("p.s"))
