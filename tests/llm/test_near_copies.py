@@ -69,3 +69,15 @@ def test_rows_of_a_search_grow_with_members(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "stored", real)
         sizes.append(sum(count for name, count in made if name == "nodes"))
     assert sizes[1] < 3 * sizes[0]
+
+
+def test_later_rounds_follow_new_links_only(spark, monkeypatch):
+    """A round that finds one new link does not follow the known links of a large group again."""
+    star = [(0, i) for i in range(1, 51)] + [(100, 101)]
+    rounds = [star, [(1, i) for i in range(2, 51)] + [(50, 100), (49, 101), (200, 201)], star]
+    counts, real = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "candidate_edges", lambda reps, threshold, least, first, *more: spark.createDataFrame(rounds[first // 8], "a long, b long"))
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: (counts.append(edges.count()), real(edges))[1])
+    got = {r["v"]: r["label"] for r in jaccard_join.connected(None, 0.8, 0.99).collect()}
+    assert got == {**{i: 0 for i in [*range(51), 100, 101]}, 200: 200, 201: 200}
+    assert counts == [51, 2]

@@ -295,30 +295,46 @@ def candidate_edges(reps: DataFrame, threshold: float, least: float, first_run:
     return out.distinct()
 
 
+def _relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges between components not connected before, one row (a, b) for each pair of components, with ``n``, the edges it stands for.
+
+    A class without a label is a component of its own.
+    """
+    left = labels.select(F.col("v").alias("a"), F.col("label").alias("_a"))
+    right = labels.select(F.col("v").alias("b"), F.col("label").alias("_b"))
+    ends = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
+    return ends.filter("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _merged(labels: DataFrame, joined_labels: DataFrame) -> DataFrame:
+    """Labels after components were joined; ``joined_labels`` tells the new label of a component by its old one."""
+    moved = joined_labels.select(F.col("v").alias("_old"), F.col("label").alias("_new"))
+    kept = labels.join(moved, F.col("label") == F.col("_old"), "left").select("v", F.coalesce("_new", "label").alias("label"))
+    # Classes that had no edge before have no label yet.
+    return stored(kept.unionByName(joined_labels.join(labels.select("v"), "v", "left_anti")), "labels")
+
+
 def connected(reps: DataFrame, threshold: float, recall: float, runs: int = RUNS, rounds: int = ROUNDS,
               small: int = SMALL) -> DataFrame:
     """Candidate components: ``v`` (class) and ``label``, after as many rounds as the recall asks for.
 
     A round is an independent search. The share of its edges that earlier rounds had connected
-    already estimates the recall of those; when it reaches ``recall`` no further round is needed. A search that
+    already estimates the recall of those; when it reaches ``recall`` no further round is needed. Only edges between
+    components that were apart go on, as one edge per pair of components, so the links of a large group are followed once. A search that
     does not get there in ``rounds`` is an error.
     """
     least = max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / TOKENS))
-    edges = labels = None
+    labels = None
     for k in range(rounds):
         fresh = stored(candidate_edges(reps, threshold, least, k * runs, runs, small), "round")
-        if edges is None:
-            edges = fresh
-            labels = components(edges)
+        if labels is None:
+            labels = components(fresh)
             continue
-        left = labels.select(F.col("v").alias("a"), F.col("label").alias("_a"))
-        right = labels.select(F.col("v").alias("b"), F.col("label").alias("_b"))
-        seen = fresh.join(left, "a", "left").join(right, "b", "left").agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("known")).first()
-        edges = edges.union(fresh).distinct()
-        if seen["known"] < seen["n"]:
-            labels = components(edges)
-        if seen["known"] >= recall * seen["n"]:
+        joining = stored(_relabelled(fresh, labels), "joining")
+        n, unknown = fresh.count(), joining.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if unknown:
+            labels = _merged(labels, components(joining))
+        if n - unknown >= recall * n:
             return labels
     raise RuntimeError(f"recall {recall} not reached in {rounds} rounds")
 
