@@ -100,6 +100,8 @@ class Model:
             self.p["cb"][:] = log_class
         self.causal = np.where(np.arange(WINDOW)[:, None] >= np.arange(WINDOW)[None, :], 0, -1e9).astype(np.float32)
         self.away = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
+        # Room for the scores of a batch, used again by the next one.
+        self.scores: np.ndarray | None = None
 
     def tables(self) -> None:
         """Per input row: key and value, and query and skip, so that scoring only looks them up."""
@@ -125,7 +127,9 @@ class Model:
         h = a @ self.p["o"]
         h += asks[:, :, WIDTH:].reshape(-1, HIDDEN)
         np.tanh(h, out=h)
-        z = h @ self.p["c"]
+        if self.scores is None or len(self.scores) != len(h):
+            self.scores = np.empty((len(h), CLASSES), dtype=np.float32)
+        z = np.matmul(h, self.p["c"], out=self.scores)
         z += self.p["cb"]
         own = z.reshape(-1)[np.arange(0, z.size, CLASSES) + target[:, first:].reshape(-1)]
         if not self.tame:
@@ -138,33 +142,52 @@ class Model:
     def gradient(self, x: np.ndarray, target: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Of the mean loss over the positions of the mask."""
         p, n, scale = self.p, len(x), np.float32(WIDTH ** -0.5)
-        e = p["e"][x]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        s = np.matmul(q, k.transpose(0, 2, 1)) * scale + (self.causal + p["near"][self.away])
-        a = np.exp(s - s.max(2, keepdims=True))
+        flat = lambda m: m.reshape(-1, m.shape[-1])
+        e = np.take(p["e"], x, axis=0)
+        # Query, key, value and skip of all positions in one product each way.
+        projections = np.concatenate((p["q"] * scale, p["k"], p["v"], p["skip"]), axis=1)
+        q, k, v, skip = np.split((flat(e) @ projections).reshape(n, WINDOW, -1), (WIDTH, 2 * WIDTH, 3 * WIDTH), axis=2)
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a += self.causal + p["near"][self.away]
+        a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
         a /= a.sum(2, keepdims=True)
         u = np.matmul(a, v)
-        h = np.tanh(e @ p["skip"] + u @ p["o"] + p["b"])
-        z = h @ p["c"] + p["cb"]
-        y = np.exp(z - z.max(2, keepdims=True))
-        y /= y.sum(2, keepdims=True)
-        i, j = np.indices(target.shape)
-        y[i, j, target] -= 1
-        y *= (mask / max(mask.sum(), 1))[:, :, None].astype(np.float32)
+        # The last column of h is one, so the bias of the classes is the last row of their weights.
+        h = np.ones((n * WINDOW, HIDDEN + 1), dtype=np.float32)
+        np.tanh(flat(skip) + flat(u) @ p["o"] + p["b"], out=h[:, :HIDDEN])
+        c = np.concatenate((p["c"], p["cb"][None, :]))
+        if self.scores is None or len(self.scores) != len(h):
+            self.scores = np.empty((len(h), CLASSES), dtype=np.float32)
+        y = np.matmul(h, c, out=self.scores)
+        if np.abs(c).sum(0).max() >= 80:
+            y -= y.max(1, keepdims=True)
+        np.exp(y, out=y)
+        share = (mask.reshape(-1) / max(mask.sum(), 1)).astype(np.float32)
+        y *= (share / (y @ np.ones(CLASSES, dtype=np.float32)))[:, None]
+        y.reshape(-1)[np.arange(0, y.size, CLASSES) + target.reshape(-1)] -= share
         g = {}
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g["c"], g["cb"] = flat(h).T @ flat(y), flat(y).sum(0)
-        dh = (y @ p["c"].T) * (1 - h * h)
-        g["skip"], g["o"], g["b"] = flat(e).T @ flat(dh), flat(u).T @ flat(dh), flat(dh).sum(0)
-        du = dh @ p["o"].T
+        gc = h.T @ y
+        g["c"], g["cb"] = gc[:HIDDEN], gc[HIDDEN]
+        h = h[:, :HIDDEN]
+        dh = y @ p["c"].T
+        dh *= 1 - h * h
+        g["o"], g["b"] = flat(u).T @ dh, dh.sum(0)
+        du = (dh @ p["o"].T).reshape(n, WINDOW, WIDTH)
         da, dv = np.matmul(du, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), du)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        g["near"] = np.bincount(self.away.reshape(-1), weights=np.where(self.causal == 0, ds.sum(0), 0).reshape(-1), minlength=WINDOW).astype(np.float32)
-        dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
-        g["q"], g["k"], g["v"] = flat(e).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = flat(dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T + dh @ p["skip"].T)
+        da -= (da * a).sum(2, keepdims=True)
+        da *= a
+        g["near"] = np.bincount(self.away.reshape(-1), weights=np.where(self.causal == 0, da.sum(0), 0).reshape(-1), minlength=WINDOW).astype(np.float32)
+        back = np.concatenate((flat(np.matmul(da, k)), flat(np.matmul(da.transpose(0, 2, 1), q)), flat(dv), dh), axis=1)
+        g["q"], g["k"], g["v"], g["skip"] = np.split(flat(e).T @ back, (WIDTH, 2 * WIDTH, 3 * WIDTH), axis=1)
+        g["q"] = g["q"] * scale
+        # Rows of one input are added up as runs, in sorted order.
+        de, rows = back @ projections.T, x.reshape(-1)
+        order = np.argsort(rows, kind="stable")
+        ranked = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
         ge = np.zeros_like(p["e"])
-        np.add.at(ge, x.reshape(-1), de)
+        ge[ranked[first]] = np.add.reduceat(de[order], first, axis=0)
         g["e"] = ge
         return np.concatenate([g[name].reshape(-1) for name in self.shapes])
 
@@ -256,7 +279,7 @@ class Stretches:
         return seq.batch(start, end)
 
 
-def score_sequence(model: Model, seq: Sequence, word_start: np.ndarray, classes: Classes, step: int = 256) -> np.ndarray:
+def score_sequence(model: Model, seq: Sequence, word_start: np.ndarray, classes: Classes, step: int = 64) -> np.ndarray:
     """Natural log probability of each word; every subword is scored in exactly one window."""
     start, number, end = windows(seq.lengths)
     each = np.zeros(len(seq.token), dtype=np.float64)
