@@ -258,6 +258,15 @@ def test_incremental_alignment(spark, folder):
     assert log == [(0, 1, 2, 4), (1, 2, 4, 3), (2, 1, 2, 2)]
 
 
+def test_a_batch_reads_the_poses_of_all_videos_once(spark, folder):
+    """What is worked out for a batch hangs on the poses of its own videos only."""
+    spark.createDataFrame([(s, 10, 25.0, 1000) for s in "abcde"], "stem string, bytes bigint, fps double, n_frames bigint").write.parquet(f"{folder}/every_pose")
+    poses = spark.read.parquet(f"{folder}/every_pose")
+    rows = ST._align_batch(spark.createDataFrame([vtt_file("a"), vtt_file("x")], FILES), poses.select("stem"), poses, spark.createDataFrame([], "stem string"))
+    assert not [f for f in rows.inputFiles() if "every_pose" in f]
+    assert sorted(tuple(r) for r in rows.groupBy("part", "stem").count().collect()) == [("segment", "a", 2), ("stem", "a", 1), ("waiting", "x", 1)]
+
+
 @pytest.mark.parametrize("fails", ["rows", "manifest"])
 def test_batch_that_failed_half_way_runs_again(spark, folder, monkeypatch, fails):
     real, state = ST._align_batch, {"left": 1}

@@ -65,13 +65,16 @@ def _align_batch(files: DataFrame, inventory: DataFrame, poses: DataFrame, known
     A file whose video is listed and has a non-empty pose is settled now; the others wait. Files of known
     stems are dropped.
     """
-    ready = inventory.select("stem").distinct().join(poses.filter("bytes > 0").select("stem").distinct(), "stem", "left_semi")
+    stems = files.select("stem").distinct()
+    # The inventory and the poses of all videos are read once per batch; what follows sees the videos of the batch.
+    listed = inventory.select("stem").join(stems, "stem", "left_semi").distinct()
+    ready = checkpointed(poses.filter("bytes > 0").join(stems, "stem", "left_semi").join(listed, "stem", "left_semi"))
     fresh = files.join(known.select("stem").distinct(), "stem", "left_anti")
-    now = fresh.join(ready, "stem", "left_semi")
+    now = fresh.join(ready.select("stem").distinct(), "stem", "left_semi")
     picked = checkpointed(pick_subtitles(now))
     chosen = now.join(picked.select("stem", "path"), ["stem", "path"], "left_semi").dropDuplicates(["stem", "path"])
     cues = cues_of_text(chosen).drop("stem").join(chosen.select("path", "stem"), "path")
-    segments = build_alignment(inventory.select("stem").distinct(), poses, picked, cues, known)
+    segments = build_alignment(ready.select("stem").distinct(), ready, picked, cues, known)
     columns = [c.split()[0] for c in SEGMENT.split(", ")]
     part = segments.select(F.lit("segment").alias("part"), "stem", F.struct(*columns).alias("segment"))
     part = part.unionByName(picked.select(F.lit("stem").alias("part"), "stem"), allowMissingColumns=True)
