@@ -276,3 +276,15 @@ def test_sweep_over_range_borders(spark, seed):
     want = sorted((r[0], r[1], l[1], r[3], min(r[4], l[4]) - max(r[3], l[3])) for r in rows if r[2] == "right" for l in rows
                   if l[2] == "left" and l[0] == r[0] and min(r[4], l[4]) - max(r[3], l[3]) >= 100)
     assert got == want
+
+
+def test_sweep_and_pairing_use_all_partitions_once(spark):
+    rows = [(f"v{i // 20}", i, "right" if i % 2 else "left", i % 20 * 300, i % 20 * 300 + 500) for i in range(4000)]
+    df = spark.createDataFrame(rows, "stem string, item_no bigint, hand string, start_ms bigint, end_ms bigint")
+    assert M.overlap_candidates(df).rdd.getNumPartitions() == 4  # not merged for being small
+    pairs = M.pair_hands(df)
+    assert pairs.rdd.getNumPartitions() == 4
+    # The result is written: its readers do not sweep again.
+    assert not any(step in pairs._jdf.queryExecution().toString() for step in ("MapInArrow", "FlatMapGroupsInPandas"))
+    want = {(k, *p) for k in {r[0] for r in rows} for p in greedy_pairs([r[1:] for r in rows if r[0] == k])}
+    assert {tuple(r) for r in pairs.collect()} == want

@@ -41,6 +41,15 @@ def with_halo(df: DataFrame, keys: Sequence[str], pos: str, size: int, before: C
     return df.withColumn(chunk, F.explode(F.sequence(first, last))).repartition(*keys, chunk)
 
 
+def deal(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
+    """Rows of equal keys together and in order, over all shuffle partitions.
+
+    The number is named, so that few bytes which take much Python work are not merged into a few tasks.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
 def is_home(pos: str, size: int, chunk: str = "chunk") -> Column:
     return F.col(chunk) == chunk_of(pos, size)
 

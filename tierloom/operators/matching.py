@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierloom.fixed_values import AI_CONFIDENCE_TIER, AI_GLOSS_TIERS, HUMAN_GLOSS_TIERS
-from tierloom.functions.blocks import by_range
-from tierloom.functions.chunks import chunk_of, rank_in_groups
+from tierloom.functions.blocks import by_range, some
+from tierloom.functions.chunks import chunk_of, deal, rank_in_groups
 from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import blank, normalise_word, pairing_id, parse_pairing_id, plain_label, strip, tokens
 from tierloom.functions.timecode import ms_to_frame
@@ -188,23 +189,34 @@ def overlap_candidates(predictions: DataFrame, least_ms: int = 100) -> DataFrame
     every = dealt.withColumn("_old", F.lit(False)).unionByName(carried)
     kind = predictions.schema["stem"].dataType.simpleString()
 
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_old", "start_ms", "item_no"], ascending=[False, True, True], kind="stable")
-        active: dict[str, list[tuple[int, int, int]]] = {"right": [], "left": []}
-        out = []
-        for number, hand, start, end, old in zip(*(pdf[c].tolist() for c in ("item_no", "hand", "start_ms", "end_ms", "_old"))):
-            if not old:
-                others = active["left" if hand == "right" else "right"]
-                while others and others[0][0] - start < least_ms:
-                    heappop(others)
-                for until, other, began in others:
-                    right, left, rs = (number, other, start) if hand == "right" else (other, number, began)
-                    out.append((right, left, rs, min(end, until) - start))
-            heappush(active[hand], (end, number, start))
-        found = pd.DataFrame(out, columns=["right_no", "left_no", "rs", "overlap_ms"], dtype="int64")
-        return found.assign(stem=pdf["stem"].iloc[0])
-
-    pairs = every.groupBy("stem", "_range").applyInPandas(sweep, f"right_no bigint, left_no bigint, rs bigint, overlap_ms bigint, stem {kind}")
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, active, found = None, {}, []
+
+        def told(stem_type: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [()] * 5
+            types = [pa.int64()] * 4 + [stem_type]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["right_no", "left_no", "rs", "overlap_ms", "stem"])
+
+        for batch in batches:
+            stem_type = batch.schema.field("stem").type
+            for stem, part, number, hand, start, end, old in zip(*(batch.column(c).to_pylist() for c in ("stem", "_range", "item_no", "hand", "start_ms", "end_ms", "_old"))):
+                if group != (stem, part):
+                    group, active = (stem, part), {"right": [], "left": []}
+                if not old:
+                    others = active["left" if hand == "right" else "right"]
+                    while others and others[0][0] - start < least_ms:
+                        heappop(others)
+                    for until, other, began in others:
+                        right, left, rs = (number, other, start) if hand == "right" else (other, number, began)
+                        found.append((right, left, rs, min(end, until) - start, stem))
+                    if len(found) >= 100_000:
+                        yield told(stem_type)
+                heappush(active[hand], (end, number, start))
+            yield told(stem_type)
+
+    pairs = deal(every, ["stem", "_range"], [F.col("_old").desc(), "start_ms", "item_no"]).mapInArrow(
+        sweep, f"right_no bigint, left_no bigint, rs bigint, overlap_ms bigint, stem {kind}")
     return pairs.select("stem", "right_no", "left_no", "rs", "overlap_ms")
 
 
@@ -212,42 +224,47 @@ def pair_hands(predictions: DataFrame, least_ms: int = 100, chunk_ms: int = 600_
     """Greedy one-to-one pairs: in input order each right prediction takes the free left one
     with the largest overlap (first on ties).
 
-    Right predictions are worked off per ten-minute chunk. Left ones that an earlier
-    chunk took are blocked, and chunks are repeated until the blocked set stands still,
-    which is the result of one pass over the whole video.
+    Right predictions are worked off per ten-minute chunk. Left ones that an earlier chunk took are
+    blocked; chunks whose blocked ones changed are worked off again until none changes, which is
+    the result of one pass over the whole video.
     """
-    edges = overlap_candidates(predictions, least_ms).withColumn("chunk", chunk_of("rs", chunk_ms))
-
-    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rs", "right_no", "overlap_ms", "left_no"], ascending=[True, True, False, True])
-        used = set(pdf.loc[pdf["blocked"], "left_no"])
-        done, taken = set(), []
-        for r in pdf.itertuples(index=False):
-            if r.right_no in done or r.left_no in used:
-                continue
-            done.add(r.right_no)
-            used.add(r.left_no)
-            taken.append((r.stem, r.chunk, r.right_no, r.left_no))
-        return pd.DataFrame(taken, columns=["stem", "chunk", "right_no", "left_no"])
-
+    edges = checkpointed(overlap_candidates(predictions, least_ms).withColumn("chunk", chunk_of("rs", chunk_ms)))
     kind = edges.schema["stem"].dataType.simpleString()
-    schema = f"stem {kind}, chunk bigint, right_no bigint, left_no bigint"
-    run = edges.withColumn("blocked", F.lit(False)).groupBy("stem", "chunk").applyInPandas(per_chunk, schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, done, used = None, set(), set()
+        for batch in batches:
+            taken = []
+            for i, (stem, chunk, right, left) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("stem", "chunk", "right_no", "left_no")))):
+                if group != (stem, chunk):
+                    group, done, used = (stem, chunk), set(), set()
+                if right not in done and left not in used:
+                    done.add(right)
+                    used.add(left)
+                    taken.append(i)
+            yield batch.select(["stem", "chunk", "right_no", "left_no"]).take(pa.array(taken, pa.int64()))
+
+    def taken_of(rows: DataFrame) -> DataFrame:
+        dealt = deal(rows, ["stem", "chunk"], ["rs", "right_no", F.col("overlap_ms").desc(), "left_no"])
+        return dealt.mapInArrow(walk, f"stem {kind}, chunk bigint, right_no bigint, left_no bigint")
+
+    pairs = checkpointed(taken_of(edges))
     # Only a left prediction with candidates in two chunks can be contested.
-    shared = edges.groupBy("stem", "left_no").agg(F.min("chunk").alias("_a"), F.max("chunk").alias("_b")).filter("_a < _b")
-    if not shared.limit(1).count():
-        return run.drop("chunk")
-    edges = checkpointed(edges)
-    pairs = checkpointed(run)
+    shared = edges.groupBy("stem", "left_no").agg(F.min("chunk").alias("_a"), F.max("chunk").alias("_b")).filter("_a < _b").select("stem", "left_no")
+    if not some(shared):
+        return pairs.drop("chunk")
+    place = ["stem", "left_no", "chunk"]
+    contested = checkpointed(edges.select(*place).distinct().join(shared, ["stem", "left_no"], "left_semi"))
+    before = contested.limit(0)
     while True:
         owners = pairs.groupBy("stem", "left_no").agg(F.min("chunk").alias("_owner"))
-        marked = edges.join(owners, ["stem", "left_no"], "left").withColumn(
-            "blocked", F.coalesce(F.col("_owner") < F.col("chunk"), F.lit(False))).drop("_owner")
-        again = checkpointed(marked.groupBy("stem", "chunk").applyInPandas(per_chunk, schema))
-        moved = again.exceptAll(pairs).limit(1).count() or pairs.exceptAll(again).limit(1).count()
-        pairs = again
-        if not moved:
+        blocked = checkpointed(contested.join(owners, ["stem", "left_no"]).filter(F.col("_owner") < F.col("chunk")).select(*place))
+        changed = checkpointed(blocked.exceptAll(before).unionByName(before.exceptAll(blocked)).select("stem", "chunk").distinct())
+        if not some(changed):
             return pairs.drop("chunk")
+        again = taken_of(edges.join(changed, ["stem", "chunk"], "left_semi").join(blocked, place, "left_anti"))
+        pairs = checkpointed(pairs.join(changed, ["stem", "chunk"], "left_anti").unionByName(again))
+        before = blocked
 
 
 def review_units(predictions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -260,8 +277,9 @@ def review_units(predictions: DataFrame, pairs: DataFrame) -> DataFrame:
     left = rows.select("stem", F.col("item_no").alias("left_no"), F.col("start_ms").alias("_ls"),
                        F.col("end_ms").alias("_le"), F.col("review_status").alias("_lst"))
     heads = rows.join(pairs.select("stem", F.col("left_no").alias("item_no")), ["stem", "item_no"], "left_anti")
-    joined = heads.join(pairs.withColumnRenamed("right_no", "item_no"), ["stem", "item_no"], "left").join(
-        left, ["stem", "left_no"], "left")
+    # Left hands meet their pairs first: heads without one would all have the same null key.
+    both = pairs.join(left, ["stem", "left_no"], "left").withColumnRenamed("right_no", "item_no")
+    joined = heads.join(both, ["stem", "item_no"], "left")
     two = F.col("left_no").isNotNull()
     same = (F.col("review_status") == F.col("_lst")) & F.col("review_status").isin("approved", "skipped")
     return joined.select(

@@ -11,6 +11,7 @@ from tierloom.operators import matching as M
 from tierloom.operators.cues import alignment_totals, merge_near_duplicates
 from tierloom.plans.registry import query
 from tierloom.plans.text_queries import FIRST_SQL, NORM_WORD, placed_stems, SOURCES_SQL
+from tierloom.session import checkpointed
 
 # -- label support --------------------------------------------------------------------
 
@@ -288,7 +289,7 @@ UNITS_SQL = f"""WITH RECURSIVE {PREDS_SQL}, cand AS (SELECT r.stem, r.item_no AS
 
 @query("f09_two_hand_units", UNITS_SQL)
 def two_hand_units(b):
-    preds = hand_predictions(b)
+    preds = checkpointed(hand_predictions(b))
     return M.review_units(preds, M.pair_hands(preds))
 
 
