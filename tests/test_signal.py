@@ -163,3 +163,18 @@ def test_normalisation_far_from_zero(spark):
         want = shifted / np.nanstd(shifted)
         got = {r["frame"]: np.array([p[:3] for p in r["pts"]]) for r in L.normalise_by_nose(df).collect()}
         assert all(np.allclose(got[t], want[t], rtol=1e-6, atol=1e-6, equal_nan=True) for t in range(50))
+
+
+def test_poses_are_written_once_and_variants_spread(spark):
+    from tierloom.operators import augment as A
+    from tierloom.plans.registry import QUERIES
+
+    made = QUERIES["c30_augmented_variants"](spark, "/root/testdata/sf0.001")
+    assert "parquet" not in made._jdf.queryExecution().toString()
+    frames = spark.range(2000).select(
+        (F.col("id") % 2).alias("clip"), F.floor(F.col("id") / 2).alias("frame"), F.lit(1).alias("variant"), F.lit(1000).cast("long").alias("t"),
+        F.lit(1000).cast("long").alias("new_t"), F.array(F.struct(*[F.col("id").cast("double").alias(a) for a in "xyzc"])).alias("pts"))
+    same = A.change_speed(frames)
+    assert same.rdd.getNumPartitions() == 4  # not merged for being small
+    sizes = same.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 2000 and max(sizes) < 1500  # two clips are eight chunks

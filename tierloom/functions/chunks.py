@@ -18,6 +18,8 @@ from tierloom.session import checkpointed
 
 # Rows per chunk for frame signals: a few hundred kB per chunk of scalars.
 FRAME_CHUNK = 4096
+# Poses per chunk: a frame is a wide row and takes a hash per landmark.
+POSE_CHUNK = 256
 # Rows per chunk for array folds; bounds the array a single row can hold.
 FOLD_CHUNK = 256
 
@@ -28,17 +30,23 @@ def chunk_of(pos: Column | str, size: int) -> Column:
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], pos: str, size: int, before: Column | int,
-              after: Column | int, chunk: str = "chunk") -> DataFrame:
+              after: Column | int, chunk: str = "chunk", parts: int | None = None) -> DataFrame:
     """Add ``chunk``; rows near a border are also copied into the neighbour chunk.
 
     Chunk ``c`` receives positions ``[c*size - before, (c+1)*size + after)``. Keep
     only rows with ``is_home`` after the ordered step. The copied share is about
     ``(before + after) / size``. The result is partitioned by (keys, chunk) even where the
-    input was partitioned by the keys alone, which would keep a huge group in one task.
+    input was partitioned by the keys alone, which would keep a huge group in one task. ``parts`` names
+    the number of partitions, where small rows that take much work must not be merged into a few tasks.
     """
     first = F.greatest(chunk_of(F.col(pos) - F.lit(after), size), F.lit(0).cast("long"))
     last = chunk_of(F.col(pos) + F.lit(before), size)
-    return df.withColumn(chunk, F.explode(F.sequence(first, last))).repartition(*keys, chunk)
+    copies = df.withColumn(chunk, F.explode(F.sequence(first, last)))
+    return copies.repartition(parts, *keys, chunk) if parts else copies.repartition(*keys, chunk)
+
+
+def shuffle_parts(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def deal(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
@@ -46,8 +54,7 @@ def deal(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = (
 
     The number is named, so that few bytes which take much Python work are not merged into a few tasks.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    return rows.repartition(shuffle_parts(rows), *keys).sortWithinPartitions(*keys, *order)
 
 
 def is_home(pos: str, size: int, chunk: str = "chunk") -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierloom.fixed_values import HAND_BLOCKS
-from tierloom.functions.chunks import FRAME_CHUNK, is_home, join_per_chunk, let, rank_in_groups, with_halo
+from tierloom.functions.chunks import POSE_CHUNK, is_home, join_per_chunk, let, rank_in_groups, shuffle_parts, with_halo
 from tierloom.functions.draws import bucket, fraction, hashed
 
 STEPS = ("crop", "speed", "noise", "scale", "mirror", "rotation", "dropout", "time_mask", "mixup")
@@ -157,7 +157,7 @@ def _partners(rows: DataFrame, clips: DataFrame, weight: Column, seed: int) -> D
 
 def with_parameters(pose: DataFrame, params: DataFrame) -> DataFrame:
     """Frames of every variant with its parameters."""
-    return join_per_chunk(pose, params.withColumn("_last", F.col("t") - 1), ["clip"], "_last")
+    return join_per_chunk(pose, params.withColumn("_last", F.col("t") - 1), ["clip"], "_last", POSE_CHUNK)
 
 
 def _points(fn) -> Column:
@@ -175,15 +175,15 @@ def crop(frames: DataFrame) -> DataFrame:
             .withColumn("frame", F.col("frame") - start).withColumn("t", F.least(length, F.col("t"))))
 
 
-def change_speed(frames: DataFrame, chunk_rows: int = FRAME_CHUNK) -> DataFrame:
+def change_speed(frames: DataFrame, chunk_rows: int = POSE_CHUNK) -> DataFrame:
     """Resample to ``new_t`` frames by linear interpolation between neighbours.
 
     Each frame works out which new frames start from it; with the frame after it (halo of
     one) they are a projection.
     """
     w = Window.partitionBy("clip", "variant", "chunk").orderBy("frame")
-    rows = with_halo(frames, ["clip", "variant"], "frame", chunk_rows, 0, 1).withColumn("_next", F.lead("pts").over(w)).filter(
-        is_home("frame", chunk_rows)).drop("chunk")
+    rows = with_halo(frames, ["clip", "variant"], "frame", chunk_rows, 0, 1, parts=shuffle_parts(frames)).withColumn(
+        "_next", F.lead("pts").over(w)).filter(is_home("frame", chunk_rows)).drop("chunk")
     n, t, f = F.coalesce("new_t", F.col("t")), F.col("t"), F.col("frame")
     ratio = F.when(t > 1, (n - 1) / F.greatest(t - 1, F.lit(1)))
     last = F.greatest(t - 2, F.lit(0).cast("long"))

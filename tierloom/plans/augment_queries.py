@@ -16,6 +16,7 @@ from tierloom.operators import augment as A
 from tierloom.operators import landmarks as L
 from tierloom.plans.landmark_queries import COMPACT, digest, digest_sql
 from tierloom.plans.registry import query
+from tierloom.session import checkpointed
 
 PARAMS = {
     "crop_len": "CASE WHEN variant > 0 THEN greatest(5, t * (3 + variant) DIV 6) END",
@@ -213,7 +214,8 @@ DRAWN_SQL = f"""{COMPACT}, quantiles AS (SELECT {[x for x in A.beta_quantiles()]
 
 @query("c30_augmented_variants", f"WITH {DRAWN_SQL}, {flat_sql().replace('FROM base', 'FROM mixed')}")
 def augmented_variants(b):
-    pose = L.select_landmarks(b.pose).select("clip", "frame", "pts")
+    # Written once: clip sizes, variants of either kind and partners read it.
+    pose = checkpointed(L.select_landmarks(b.pose).select("clip", "frame", "pts"))
     clips = pose.groupBy("clip").agg(F.count(F.lit(1)).alias("t")).withColumn("label", F.col("clip") % 3)
     return flat(A.augment(pose, A.parameters(clips, 3, 96, A.STEPS)))
 
