@@ -127,6 +127,19 @@ def test_recognised_text(spark, chunk_rows):
         assert got.get(k, []) == recognised(fs, len(fs) * 200), k
 
 
+def test_recognised_text_moves_only_chunk_ends(spark):
+    rng = random.Random(8)
+    sets = {f"t{n}": [(i * 90_000, rng.choice(["abcdefghij", "abcdefghiX", "zz", "", " ", "hello"])) for i in range(n)] for n in (1, 7, 40)}
+    df = spark.createDataFrame([(k, ts, t) for k, fs in sets.items() for ts, t in fs], "stem string, ts_ms bigint, text string")
+    ends = spark.createDataFrame([(k, len(fs) * 90_000) for k, fs in sets.items()], "stem string, last_ms bigint")
+    made = C.cues_from_recognised_text(df, ends, chunk_rows=4)  # buckets of six or seven frames, chunks of up to four
+    got = collect(made, "start_ms")
+    for k, fs in sets.items():
+        assert got.get(k, []) == recognised(fs, len(fs) * 90_000), k
+    # Texts of inner cues come from the marked chunks as they lie: nothing groups all frames by cue again.
+    assert "min_by" not in made._jdf.queryExecution().toString()
+
+
 def test_anchored_windows(spark):
     rng = random.Random(5)
     starts = {f"s{n}": sorted(rng.randrange(0, 400 * n) * 10 for _ in range(n)) for n in (1, 2, 30, 77)}

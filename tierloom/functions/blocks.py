@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierloom.functions.chunks import FOLD_CHUNK, chunk_of
+from tierloom.functions.chunks import FOLD_CHUNK, chunk_of, chunks_in_groups
 from tierloom.session import checkpointed
 
 #: Chunks whose marks are summed up in one row before they meet the other chunks of a group.
@@ -89,9 +89,11 @@ def _entries(chunks: DataFrame, keys: list[str], fold: Callable[[DataFrame, Colu
     """
     exits = chunks.select(*keys, "chunk", F.col("_acc.state").alias("state"))
     known, fresh, pointers = exits, exits, None
+    # Only these are entered from another chunk; groups of one chunk need not move.
+    later = chunks.filter("chunk > 0").drop("_acc")
     while True:
         entry = fresh.select(*keys, (F.col("chunk") + 1).alias("chunk"), F.col("state").alias("entry"))
-        run = checkpointed(fold(chunks.drop("_acc").join(entry, [*keys, "chunk"]), F.col("entry")).select(
+        run = checkpointed(fold(later.join(entry, [*keys, "chunk"]), F.col("entry")).select(
             *keys, "chunk", "entry", F.col("_acc.state").alias("state")))
         pointers = run if pointers is None else pointers.unionByName(run)
         fresh = checkpointed(run.select(*keys, "chunk", "state").distinct().join(known, [*keys, "chunk", "state"], "left_anti"))
@@ -108,6 +110,48 @@ def _entries(chunks: DataFrame, keys: list[str], fold: Callable[[DataFrame, Colu
     return known.select(*keys, (F.col("chunk") + 1).alias("chunk"), F.col("state").alias("entry"))
 
 
+def _marked(chunks: DataFrame, keys: list[str], state_type: str, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """Chunks (keys, chunk, items) with the mark of each item as ``_acc.marks``; chunks of a group are numbered 0, 1, 2 ..."""
+    acc_type = f"struct<state:{state_type},marks:array<int>>"
+
+    def fold(source: DataFrame, entry: Column) -> DataFrame:
+        zero = F.struct(entry.cast(state_type).alias("state"), F.array().cast("array<int>").alias("marks"))
+
+        def merge(acc: Column, row: Column) -> Column:
+            return F.get(F.transform(F.array(step(acc["state"], row)), lambda s: F.struct(
+                s["state"].alias("state"), F.concat(acc["marks"], F.array(s["mark"])).alias("marks")).cast(acc_type)), F.lit(0))
+
+        return source.withColumn("_acc", F.aggregate("items", zero, merge))
+
+    marked = checkpointed(fold(chunks, F.lit(None)))
+    later = marked.filter("chunk > 0")
+    if not some(later):
+        return marked
+    entries = _entries(marked, keys, fold)
+    again = checkpointed(fold(later.drop("_acc").join(entries, [*keys, "chunk"], "left"), F.col("entry")).drop("entry"))
+    return marked.filter("chunk = 0").unionByName(again)
+
+
+def block_starts(df: DataFrame, keys: Sequence[str], bucket: Column, pos: str, state_type: str, step: Callable[[Column, Column], Column],
+                 chunk_rows: int = FOLD_CHUNK) -> DataFrame:
+    """Rows that start a block, with the position of the next start in the group as ``_next`` (null after the last).
+
+    ``step`` is that of ``block_heads``. Positions order the rows of a group and need not be dense; ``bucket`` must not
+    fall along them. Rows are shuffled once; afterwards only the last start of a chunk meets other chunks.
+    """
+    keys = list(keys)
+    chunks = chunks_in_groups(df, keys, bucket, [F.col(pos)], chunk_rows)
+    found = F.filter(F.arrays_zip("items", F.col("_acc.marks").alias("marks")), lambda z: z["marks"] >= 1)["items"]
+    starts = _marked(chunks, keys, state_type, step).select(*keys, "chunk", found.alias("_starts")).filter(F.size("_starts") > 0)
+    following = F.slice(F.col("_starts")[pos], F.lit(2), F.size("_starts"))
+    rows = starts.select(*keys, "chunk", F.explode(F.arrays_zip("_starts", following.alias("_next"))).alias("z")).select(
+        *keys, "chunk", *[F.col(f"z._starts.{c}").alias(c) for c in df.columns if c not in keys], "z._next")
+    ahead = starts.select(*keys, "chunk", F.lead(F.get("_starts", F.lit(0))[pos]).over(Window.partitionBy(*keys).orderBy("chunk")).alias("_ahead"))
+    last = rows.filter("_next is null").join(ahead, [*keys, "chunk"]).withColumn("_next", F.col("_ahead"))
+    columns = [*df.columns, "_next"]
+    return rows.filter("_next is not null").select(*columns).unionByName(last.select(*columns))
+
+
 def block_heads(df: DataFrame, keys: Sequence[str], pos: str, state_type: str, step: Callable[[Column, Column], Column],
                 levels: Sequence[str] = ("head",), chunk_rows: int = FOLD_CHUNK) -> DataFrame:
     """Add the position of the first row of each row's block, for groups numbered 0, 1, 2 ... by ``pos``.
@@ -121,21 +165,7 @@ def block_heads(df: DataFrame, keys: Sequence[str], pos: str, state_type: str, s
     others = [c for c in df.columns if c not in (*keys, pos)]
     chunks = (df.withColumn("chunk", chunk_of(pos, chunk_rows)).groupBy(*keys, "chunk")
               .agg(F.sort_array(F.collect_list(F.struct(pos, *others))).alias("items")))
-    acc_type = f"struct<state:{state_type},marks:array<int>>"
-
-    def fold(source: DataFrame, entry: Column) -> DataFrame:
-        zero = F.struct(entry.cast(state_type).alias("state"), F.array().cast("array<int>").alias("marks"))
-
-        def merge(acc: Column, row: Column) -> Column:
-            return F.get(F.transform(F.array(step(acc["state"], row)), lambda s: F.struct(
-                s["state"].alias("state"), F.concat(acc["marks"], F.array(s["mark"])).alias("marks")).cast(acc_type)), F.lit(0))
-
-        return source.withColumn("_acc", F.aggregate("items", zero, merge))
-
-    marked = checkpointed(fold(chunks, F.lit(None)))
-    if some(marked.filter("chunk > 0")):
-        entries = _entries(marked, keys, fold)
-        marked = checkpointed(fold(marked.drop("_acc").join(entries, [*keys, "chunk"], "left"), F.col("entry")).drop("entry"))
+    marked = _marked(chunks, keys, state_type, step)
 
     def last(level: int) -> Column:
         return F.array_max(F.transform(F.arrays_zip("items", "_acc.marks"), lambda z: F.when(z["marks"] >= level, z["items"][pos])))

@@ -112,6 +112,24 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], bucket: Column, order: Se
     )
 
 
+def chunks_in_groups(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], size: int = FOLD_CHUNK) -> DataFrame:
+    """Chunks (keys, chunk, items) of up to ``size`` rows in order, numbered 0, 1, 2 ... per group.
+
+    ``bucket`` as in ``rank_in_groups``. A chunk does not cross a bucket, so that numbering and chunks need one shuffle
+    of the rows. Items hold the other columns behind ``_n``, the place in the bucket.
+    """
+    keys = list(keys)
+    tagged = df.withColumn("_bucket", bucket)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy(*keys, "_bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("_chunks")).select(
+        *keys, "_bucket", F.coalesce(F.sum("_chunks").over(earlier), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    numbered = tagged.join(offsets, [*keys, "_bucket"]).withColumn("_n", F.row_number().over(inside))
+    others = [c for c in df.columns if c not in keys]
+    return (numbered.withColumn("chunk", F.col("_first") + chunk_of(F.col("_n") - 1, size)).groupBy(*keys, "_bucket", "chunk")
+            .agg(F.sort_array(F.collect_list(F.struct("_n", *others))).alias("items")).drop("_bucket"))
+
+
 def rank_by_range(df: DataFrame, order: Sequence[Column], out: str = "pos") -> DataFrame:
     """``row_number() - 1`` over a whole table without sorting it in one task.
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.functions.blocks import block_heads, last_before, next_after, orbit, some
+from tierloom.functions.blocks import block_heads, block_starts, last_before, next_after, orbit, some
 from tierloom.functions.chunks import FOLD_CHUNK, chunk_of, let, next_rows, rank_in_groups
 from tierloom.functions.single_row import side_by_side
 from tierloom.functions.text import (blank, clean_recognised, positional_similarity, segment_id,
@@ -116,19 +116,14 @@ def cues_from_recognised_text(frames: DataFrame, ends: DataFrame, keys: Sequence
     starts or the video ends. Frames before the first text belong to no cue.
     """
     keys = list(keys)
-    rows = rank_in_groups(frames.select(*keys, "ts_ms", "text"), keys, F.floor(F.col("ts_ms") / BUCKET_MS), [F.col("ts_ms")], "pos")
-
     def step(state: Column, x: Column) -> Column:
         text = F.coalesce(state["text"], F.lit(""))
         return let(F.coalesce(text_changed(text, x["text"], threshold), F.lit(False)), lambda change: F.struct(
             F.struct(F.when(change, x["text"]).otherwise(text).alias("text")).alias("state"),
             F.when(change, 1).otherwise(0).alias("mark")))
 
-    marked = block_heads(rows, keys, "pos", "struct<text:string>", step, chunk_rows=chunk_rows).filter("head is not null")
-    made = marked.groupBy(*keys, "head").agg(
-        F.min_by("ts_ms", "pos").alias("start_ms"), F.min_by("text", "pos").alias("text"), (F.max("pos") + 1).alias("_next"))
-    follow = made.select(*keys, F.col("head").alias("_next"), F.col("start_ms").alias("_until"))
-    made = made.join(follow, [*keys, "_next"], "left")
+    made = block_starts(frames.select(*keys, "ts_ms", "text"), keys, F.floor(F.col("ts_ms") / BUCKET_MS), "ts_ms", "struct<text:string>", step, chunk_rows)
+    made = made.withColumnsRenamed({"ts_ms": "start_ms", "_next": "_until"})
     # Only the last cue of a video has no next one, so this join has one row per video.
     last = made.filter("_until is null").join(ends, keys).withColumn("_until", F.col("last_ms").cast("long"))
     columns = [*keys, "start_ms", F.col("_until").alias("end_ms"), "text"]
