@@ -326,6 +326,21 @@ def test_attention_trains_on_all_training_texts(spark):
     assert got.agg(F.sum("tokens")).first()[0] == want
 
 
+def test_training_has_every_subword_as_target_once():
+    rng = random.Random(6)
+    texts = [sentence(rng, n).encode() for n in (0, 1, 63, 64, 65, 300)]
+    own = lm_scoring.Stretches(lm_scoring.TOKENIZER, lm_scoring.SHARE)
+    for t in texts:
+        own.add(t)
+    tokens, lengths, opens = own.taken()
+    assert [i for t in texts for w in t.lower().split() for i in own.numbers.coder.encode_ordinary(" " + w.decode())] == [i for i in tokens if i != own.numbers.end]
+    seq = lm_scoring.Sequence(tokens, lengths, lm_scoring.Classes(np.ones(own.numbers.end + 1)), opens)
+    start, end = lm_scoring.pieces(lengths)
+    x, target, mask = seq.batch(start, end)
+    assert len(lengths) == len(texts) and mask.sum() == len(tokens) and x.size < len(tokens) + lm_scoring.WINDOW * len(texts)
+    assert (target[mask] == seq.target).all() and (x[mask] == seq.before).all()
+
+
 @pytest.mark.parametrize("mark", ["has-sidebar", "post-comments-enabled", "related-news", "share-ready", "single-post no-sidebar"])
 def test_a_wrapper_with_the_name_of_furniture_keeps_the_article(mark):
     article = "<h1>Head</h1>" + "".join(f"<p>This is paragraph {i} of the whole article.</p>" for i in range(40))

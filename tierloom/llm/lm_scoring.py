@@ -14,6 +14,7 @@ import base64
 import functools
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -100,8 +101,15 @@ class Model:
             self.p["cb"][:] = log_class
         self.causal = np.where(np.arange(WINDOW)[:, None] >= np.arange(WINDOW)[None, :], 0, -1e9).astype(np.float32)
         self.away = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
-        # Room for the scores of a batch, used again by the next one.
-        self.scores: np.ndarray | None = None
+        # Room for a batch, used again by the next one: hidden values, with a last column of ones that takes the bias of the
+        # classes as one more row of their weights, and scores.
+        self.hidden = np.ones((0, HIDDEN + 1), dtype=np.float32)
+        self.scores = np.empty((0, CLASSES), dtype=np.float32)
+
+    def room(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.hidden) < n:
+            self.hidden, self.scores = np.ones((n, HIDDEN + 1), dtype=np.float32), np.empty((n, CLASSES), dtype=np.float32)
+        return self.hidden[:n], self.scores[:n]
 
     def tables(self) -> None:
         """Per input row: key and value, and query and skip, so that scoring only looks them up."""
@@ -110,6 +118,7 @@ class Model:
         self.seen = np.ascontiguousarray(np.concatenate((k, e @ p["v"]), axis=1))
         self.asks = np.ascontiguousarray(np.concatenate((q, e @ p["skip"] + p["b"]), axis=1))
         self.bias = self.causal + p["near"][self.away]
+        self.ends = np.concatenate((p["c"], p["cb"][None, :]))
         # Exponents stay far from overflow if these bounds do; else they are cut.
         steep = np.sqrt((q * q).sum(1).max() * (k * k).sum(1).max()) + np.abs(p["near"]).max()
         self.tame = bool(steep < 60 and (np.abs(p["c"]).sum(0) + np.abs(p["cb"])).max() < 80)
@@ -123,14 +132,12 @@ class Model:
             np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         a = np.matmul(s, seen[:, :, WIDTH:]).reshape(-1, WIDTH)
-        a /= s.reshape(-1, WINDOW).sum(1, keepdims=True)
-        h = a @ self.p["o"]
-        h += asks[:, :, WIDTH:].reshape(-1, HIDDEN)
-        np.tanh(h, out=h)
-        if self.scores is None or len(self.scores) != len(h):
-            self.scores = np.empty((len(h), CLASSES), dtype=np.float32)
-        z = np.matmul(h, self.p["c"], out=self.scores)
-        z += self.p["cb"]
+        a /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype=np.float32))[:, None]
+        h, z = self.room(len(a))
+        u = a @ self.p["o"]
+        u += asks[:, :, WIDTH:].reshape(-1, HIDDEN)
+        np.tanh(u, out=h[:, :HIDDEN])
+        np.matmul(h, self.ends, out=z)
         own = z.reshape(-1)[np.arange(0, z.size, CLASSES) + target[:, first:].reshape(-1)]
         if not self.tame:
             np.minimum(z, 80, out=z)
@@ -148,30 +155,33 @@ class Model:
         projections = np.concatenate((p["q"] * scale, p["k"], p["v"], p["skip"]), axis=1)
         q, k, v, skip = np.split((flat(e) @ projections).reshape(n, WINDOW, -1), (WIDTH, 2 * WIDTH, 3 * WIDTH), axis=2)
         a = np.matmul(q, k.transpose(0, 2, 1))
+        steep = max(a.max(), -a.min()) + np.abs(p["near"]).max()
         a += self.causal + p["near"][self.away]
-        a -= a.max(2, keepdims=True)
+        if steep >= 60:
+            a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
+        a /= (flat(a) @ np.ones(WINDOW, dtype=np.float32)).reshape(n, WINDOW, 1)
         u = np.matmul(a, v)
-        # The last column of h is one, so the bias of the classes is the last row of their weights.
-        h = np.ones((n * WINDOW, HIDDEN + 1), dtype=np.float32)
-        np.tanh(flat(skip) + flat(u) @ p["o"] + p["b"], out=h[:, :HIDDEN])
+        h, y = self.room(n * WINDOW)
+        t = flat(u) @ p["o"]
+        t += flat(skip)
+        t += p["b"]
+        np.tanh(t, out=h[:, :HIDDEN])
         c = np.concatenate((p["c"], p["cb"][None, :]))
-        if self.scores is None or len(self.scores) != len(h):
-            self.scores = np.empty((len(h), CLASSES), dtype=np.float32)
-        y = np.matmul(h, c, out=self.scores)
+        np.matmul(h, c, out=y)
         if np.abs(c).sum(0).max() >= 80:
             y -= y.max(1, keepdims=True)
         np.exp(y, out=y)
-        share = (mask.reshape(-1) / max(mask.sum(), 1)).astype(np.float32)
-        y *= (share / (y @ np.ones(CLASSES, dtype=np.float32)))[:, None]
-        y.reshape(-1)[np.arange(0, y.size, CLASSES) + target.reshape(-1)] -= share
+        # Rows of y are left as they are; what belongs to a row as a whole is multiplied into the narrow factors.
+        total = y @ np.ones(CLASSES, dtype=np.float32)
+        y.reshape(-1)[np.arange(0, y.size, CLASSES) + target.reshape(-1)] -= total
+        share = ((mask.reshape(-1) / max(mask.sum(), 1)).astype(np.float32) / total)[:, None]
         g = {}
-        gc = h.T @ y
+        gc = (h * share).T @ y
         g["c"], g["cb"] = gc[:HIDDEN], gc[HIDDEN]
         h = h[:, :HIDDEN]
         dh = y @ p["c"].T
-        dh *= 1 - h * h
+        dh *= (1 - h * h) * share
         g["o"], g["b"] = flat(u).T @ dh, dh.sum(0)
         du = (dh @ p["o"].T).reshape(n, WINDOW, WIDTH)
         da, dv = np.matmul(du, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), du)
@@ -181,28 +191,32 @@ class Model:
         back = np.concatenate((flat(np.matmul(da, k)), flat(np.matmul(da.transpose(0, 2, 1), q)), flat(dv), dh), axis=1)
         g["q"], g["k"], g["v"], g["skip"] = np.split(flat(e).T @ back, (WIDTH, 2 * WIDTH, 3 * WIDTH), axis=1)
         g["q"] = g["q"] * scale
-        # Rows of one input are added up as runs, in sorted order.
-        de, rows = back @ projections.T, x.reshape(-1)
-        order = np.argsort(rows, kind="stable")
-        ranked = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        ge = np.zeros_like(p["e"])
-        ge[ranked[first]] = np.add.reduceat(de[order], first, axis=0)
-        g["e"] = ge
+        at = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["e"] = np.bincount(at.reshape(-1), weights=(back @ projections.T).reshape(-1), minlength=p["e"].size).astype(np.float32)
         return np.concatenate([g[name].reshape(-1) for name in self.shapes])
 
     def train(self, x: np.ndarray, target: np.ndarray, mask: np.ndarray, rate: float, epochs: int = 1) -> Model:
         """Adam over batches of windows, in the given order."""
         m, s, t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        w = np.empty_like(self.flat)
         steps = max(1, epochs * -(-len(x) // BATCH))
         for _ in range(epochs):
             for a in range(0, len(x), BATCH):
                 g = self.gradient(x[a:a + BATCH], target[a:a + BATCH], mask[a:a + BATCH])
                 t += 1
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                lr = rate * (1 - 0.9 * t / steps)
-                self.flat -= (lr * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-6)).astype(np.float32)
+                np.multiply(g, g, out=w)
+                w -= s
+                w *= 0.01
+                s += w
+                g -= m
+                g *= 0.1
+                m += g
+                np.divide(s, 1 - 0.99 ** t, out=w)
+                np.sqrt(w, out=w)
+                w += 1e-6
+                np.divide(m, w, out=w)
+                w *= rate * (1 - 0.9 * t / steps) / (1 - 0.9 ** t)
+                self.flat -= w
         return self
 
 
@@ -214,6 +228,14 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(ends - lengths, n) + number * STRIDE, number, np.repeat(ends, n)
 
 
+def pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of windows side by side, for training: every token is the target of exactly one."""
+    n = -(-lengths // WINDOW)
+    ends = np.cumsum(lengths)
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(ends - lengths, n) + number * WINDOW, np.repeat(ends, n)
+
+
 class Sequence:
     """Texts, or stretches of them, as one sequence of subwords. ``opens`` tells which begin a text."""
 
@@ -236,47 +258,78 @@ class Sequence:
         return self.before[at], self.target[at], inside & self.known[at]
 
 
-def of_words(words: np.ndarray, per_text: np.ndarray, ids: np.ndarray, offsets: np.ndarray, classes: Classes) -> tuple[Sequence, np.ndarray]:
-    """The sequence of texts given as word numbers, and where each word begins in it."""
+def spread(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the subwords of words stand, one after the other, and where each word ends among them."""
     n = (offsets[1:] - offsets[:-1])[words]
     ends = np.cumsum(n)
-    at = np.repeat(offsets[words] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-    lengths = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))])
-    return Sequence(ids[at], lengths, classes), ends - n
+    return np.repeat(offsets[words] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0), ends
+
+
+def lengths_of(ends: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))])
+
+
+def of_words(words: np.ndarray, per_text: np.ndarray, ids: np.ndarray, offsets: np.ndarray, classes: Classes) -> tuple[Sequence, np.ndarray]:
+    """The sequence of texts given as word numbers, and where each word begins in it."""
+    at, ends = spread(words, offsets)
+    return Sequence(ids[at], lengths_of(ends, per_text), classes), np.concatenate(([0], ends))[:len(words)]
+
+
+class Numbers(dict):
+    """Numbers of words in order of appearance, and the subwords of each word, one after the other."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.coder, self.end = subwords(path)
+        self.ids, self.ends = array("i"), array("q", [0])
+
+    def __missing__(self, word: bytes) -> int:
+        self.ids.extend(self.coder.encode_ordinary(" " + word.decode("utf-8", "replace")) if word else [self.end])
+        self.ends.append(len(self.ids))
+        self[word] = number = len(self.ends) - 2
+        return number
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, int]:
+        """Numbers of words, and how many subwords they have."""
+        some = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        ends = np.frombuffer(self.ends, dtype=np.int64)  # let go on return, as the array grows
+        return some, int((ends[some + 1] - ends[some]).sum())
 
 
 class Stretches:
-    """Collects the subwords of stretches of words, one stretch in ``share`` in turn."""
+    """Collects the subwords of stretches of words, one stretch in ``share`` in turn; with all of them a text is one stretch."""
 
     def __init__(self, path: str, share: int):
-        self.coder, self.end = subwords(path)
-        self.share, self.turn, self.cache = share, 0, {}
-        self.tokens: list[int] = []
-        self.lengths: list[int] = []
-        self.opens: list[bool] = []
+        self.path, self.share, self.turn = path, share, 0
+        self.numbers = Numbers(path)
+        self.held, self.words, self.per, self.opens = 0, [], [], []
 
     def add(self, text: bytes, most: int | None = None) -> None:
         words = text.lower().split()
-        n = len(words) // STRETCH + 1
-        for s in range(-self.turn % self.share, n if most is None else min(n, most), self.share):
-            before = len(self.tokens)
-            for w in words[s * STRETCH:(s + 1) * STRETCH]:
-                ids = self.cache.get(w)
-                if ids is None:
-                    if len(self.cache) > 200_000:
-                        self.cache.clear()
-                    ids = self.cache[w] = self.coder.encode_ordinary(" " + w.decode("utf-8", "replace"))
-                self.tokens += ids
-            if s == n - 1:
-                self.tokens.append(self.end)
-            self.lengths.append(len(self.tokens) - before)
-            self.opens.append(s == 0)
+        words.append(END_WORD)
+        n = -(-len(words) // STRETCH)
+        if self.share == 1 and most is None:
+            parts = [(0, len(words))]
+        else:
+            parts = [(s * STRETCH, (s + 1) * STRETCH) for s in range(-self.turn % self.share, n if most is None else min(n, most), self.share)]
+        for a, b in parts:
+            some, n_subwords = self.numbers.read(words[a:b])
+            self.held += n_subwords
+            self.words.append(some)
+            self.per.append(len(some))
+            self.opens.append(a == 0)
         self.turn += n
 
-    def windows(self, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        seq = Sequence(np.array(self.tokens, dtype=np.int32), np.array(self.lengths, dtype=np.int64), classes, np.array(self.opens, dtype=bool))
-        start, _, end = windows(seq.lengths)
-        return seq.batch(start, end)
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Subwords, lengths of the stretches and which open a text; starts anew."""
+        words = np.concatenate(self.words) if self.words else np.empty(0, dtype=np.int64)
+        per, opens = np.array(self.per, dtype=np.int64), np.array(self.opens, dtype=bool)
+        at, ends = spread(words, np.array(self.numbers.ends))
+        tokens = np.array(self.numbers.ids)[at]
+        if len(self.numbers) > 200_000:
+            self.numbers = Numbers(self.path)
+        self.held, self.words, self.per, self.opens = 0, [], [], []
+        return tokens, lengths_of(ends, per), opens
 
 
 def score_sequence(model: Model, seq: Sequence, word_start: np.ndarray, classes: Classes, step: int = 64) -> np.ndarray:
@@ -460,13 +513,13 @@ def _warm_start(rows: DataFrame, classes: Classes, path: str, texts: int) -> Mod
     some = rows.filter(~F.col("held_out") & (F.xxhash64(F.lit(11), "_id", "_text") <= F.lit(below)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Stretches(path, 1)
         for batch in batches:
             for t in utf8(batch.column("_text")):
-                own = Stretches(path, 1)
                 own.add(t, WARM_EACH)
-                yield pa.RecordBatch.from_arrays([pa.array([np.array(own.tokens, dtype=np.int32)], pa.list_(pa.int32())),
-                                                  pa.array([own.lengths], pa.list_(pa.int64())), pa.array([own.opens], pa.list_(pa.bool_()))],
-                                                 names=["tokens", "lengths", "opens"])
+                tokens, lengths, opens = own.taken()
+                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int64())),
+                                                  pa.array([opens], pa.list_(pa.bool_()))], names=["tokens", "lengths", "opens"])
 
     got = sorted(some.select("_text").mapInArrow(run, "tokens array<int>, lengths array<long>, opens array<boolean>").collect(),
                  key=lambda r: zlib.crc32(np.array(r["tokens"], dtype=np.int32).tobytes()))
@@ -491,11 +544,11 @@ def _trained_blocks(rows: DataFrame, start, classes, path: str, share: int) -> D
         block, own, model, n = None, None, None, 0
 
         def trained() -> int:
-            held = len(own.tokens)
-            if held:
-                model.train(*own.windows(classes.value), 0.01)
-            own.tokens, own.lengths, own.opens = [], [], []
-            return held
+            tokens, lengths, opens = own.taken()
+            if len(tokens):
+                seq = Sequence(tokens, lengths, classes.value, opens)
+                model.train(*seq.batch(*pieces(seq.lengths)), 0.01)
+            return len(tokens)
 
         def told() -> Iterator[pa.RecordBatch]:
             if n:
@@ -510,7 +563,7 @@ def _trained_blocks(rows: DataFrame, start, classes, path: str, share: int) -> D
                         yield from told()
                     block, own, model, n = b, Stretches(path, share), Model(start.value), 0
                 own.add(t)
-                if len(own.tokens) >= PIECE:
+                if own.held >= PIECE:
                     n += trained()
         if own is not None:
             n += trained()
