@@ -177,9 +177,8 @@ class Model:
         y.reshape(-1)[np.arange(0, y.size, CLASSES) + target.reshape(-1)] -= total
         share = ((mask.reshape(-1) / max(mask.sum(), 1)).astype(np.float32) / total)[:, None]
         g = {}
-        gc = (h * share).T @ y
-        g["c"], g["cb"] = gc[:HIDDEN], gc[HIDDEN]
         h = h[:, :HIDDEN]
+        g["c"], g["cb"] = (y.T @ (h * share)).T, share[:, 0] @ y
         dh = y @ p["c"].T
         dh *= (1 - h * h) * share
         g["o"], g["b"] = flat(u).T @ dh, dh.sum(0)
