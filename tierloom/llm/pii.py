@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.llm.common import extended, slices, stored
@@ -33,15 +33,15 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&"
 
-#: Any text with an entity matches; for the filter before the patterns.
-MAYBE = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}"
+#: Any text with an address of a network or a card number matches; for the filter before the patterns.
+NUMBERS = r"[0-9](?:\.[0-9]+\.[0-9]+\.[0-9]|(?:[ -]?[0-9]){13})"
 
 #: Words on either side of a mention that make up its surroundings.
 NEAR = 4
 #: Leading digits that numbers of one issuer or area share.
 PREFIX = 6
-#: Bits of the filter of words that can matter (4 MB); a multiple of 32,768.
-FILTER_BITS = 1 << 25
+#: Keys of copied texts that are broadcast at most (some 64 MB).
+MOST_COPIED = 2_000_000
 
 Span = tuple[int, int, str]
 
@@ -99,152 +99,98 @@ def _term(word: str) -> str:
     return word.strip(EDGE).lower()
 
 
-def _free_words(text: str, spans: Sequence[Span]) -> Iterator[tuple[int, int, str]]:
-    """Begin, end and term of the words that touch no span; spans are in order of their starts."""
-    i, reach = 0, 0
-    for m in WORD.finditer(text):
-        while i < len(spans) and spans[i][0] < m.end():
-            reach = max(reach, spans[i][1])
-            i += 1
-        term = _term(m.group())
-        if term and reach <= m.start():
-            core = m.group().strip(EDGE)
-            a = m.start() + m.group().index(core)
-            yield a, a + len(core), term
+def _around(words: Sequence[str], before: int, after: int) -> int:
+    """A hash of the NEAR words on either side of a mention: the first ``before`` words precede it, those from ``after`` follow."""
+    near = [*words[max(0, before - NEAR):before], "", *words[after:after + NEAR]]
+    return int.from_bytes(hashlib.blake2b(" ".join(near).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _around(words: Sequence[Span], starts: Sequence[int], ends: Sequence[int], span: Span) -> int:
-    """A hash of the NEAR words on either side of a mention."""
-    before, after = bisect_right(ends, span[0]), bisect_left(starts, span[1])
-    near = [*(w for *_, w in words[max(0, before - NEAR):before]), "", *(w for *_, w in words[after:after + NEAR])]
-    return int.from_bytes(hashlib.blake2b(" ".join(near).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _maybe(text: str) -> Column:
+    """Whether a text can hold an entity: true for each that does, never null. Plain searches go before the patterns."""
+    t = F.col(text)
+    return F.coalesce(t.contains("@") | (t.contains("+") & t.rlike(r"\+[0-9]")) | t.rlike(NUMBERS), F.lit(False))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
 
 
-def _entity_texts(docs: DataFrame, text: str) -> DataFrame:
-    """Distinct texts that mention an entity: ``_key``, each entity with its surroundings, and all terms."""
+def _one_of_each(texts: DataFrame, copied: DataFrame, n_copied: int) -> DataFrame:
+    """Each distinct text once. ``copied`` has the keys that stand in several rows: only their texts are shuffled,
+    all others stay where they are read."""
+    if n_copied > MOST_COPIED:
+        return texts.dropDuplicates(["_key"])
+    keys = F.broadcast(copied)
+    return texts.join(keys, "_key", "left_anti").unionByName(texts.join(keys, "_key", "left_semi").dropDuplicates(["_key"]))
+
+
+def _entity_texts(texts: DataFrame) -> DataFrame:
+    """Texts that mention an entity: ``_key``, each entity with its surroundings, and all terms outside of mentions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in slices(batches, "_text"):
             keys, entities, terms = [], [], []
             for key, t in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist()):
-                if key in seen:
-                    continue
-                seen.add(key)
                 spans = base_spans(t)
                 if not spans:
                     continue
-                words = [(m.start(), m.end(), _term(m.group())) for m in WORD.finditer(t)]
-                starts, ends = [w[0] for w in words], [w[1] for w in words]
+                words = [_term(w) for w in WORD.findall(t)]
+                starts, ends = zip(*(m.span() for m in WORD.finditer(t)))
                 own: dict[str, set[int]] = {}
-                for span in spans:
-                    around = _around(words, starts, ends, span)
-                    for entity in general(span[2], t[span[0]:span[1]]):
+                free: set[str] = set()
+                reach = 0
+                for a, b, kind in spans:
+                    before, after = bisect_right(ends, a), bisect_left(starts, b)
+                    around = _around(words, before, after)
+                    for entity in general(kind, t[a:b]):
                         own.setdefault(entity, set()).add(around)
+                    free.update(words[reach:before])
+                    reach = max(reach, after)
+                free.update(words[reach:])
+                free.discard("")
                 keys.append(key)
                 entities.append([{"entity": e, "arounds": sorted(x)} for e, x in own.items()])
-                terms.append(list(dict.fromkeys(x for *_, x in _free_words(t, spans))))
+                terms.append(list(free))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(entities, pa.list_(pa.struct([("entity", pa.string()), ("arounds", pa.list_(pa.int64()))]))),
                  pa.array(terms, pa.list_(pa.string()))], names=["_key", "entities", "terms"])
 
-    return _keyed(docs.filter(F.col(text).rlike(MAYBE)), text).mapInArrow(
-        run, "_key long, entities array<struct<entity: string, arounds: array<long>>>, terms array<string>").dropDuplicates(["_key"])
+    return texts.mapInArrow(run, "_key long, entities array<struct<entity: string, arounds: array<long>>>, terms array<string>")
 
 
-def _word_filter(words: DataFrame) -> bytes:
-    """A bit per hash value of the words of a table (``term``): FILTER_BITS in all, however many words there are."""
-    place = F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    rows = words.select(place.alias("n")).groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
-    out = bytearray(FILTER_BITS // 8)
-    for row in rows.collect():  # at most FILTER_BITS / 32,768 rows
-        at = (row["bucket"] - 1) * len(row["bits"])
-        out[at:at + len(row["bits"])] = row["bits"]
-    return bytes(out)
+def _terms(words: pa.Array) -> pa.Array:
+    """``_term`` of every word."""
+    cores = pc.utf8_trim(words, EDGE)
+    other = pc.invert(pc.string_is_ascii(cores))
+    lowered = pa.array([x.lower() for x in cores.filter(other).to_pylist()], cores.type)
+    return pc.replace_with_mask(pc.ascii_lower(cores), other, lowered)
 
 
-def _texts_per_term(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
-    """``term`` and ``of_term``, the number of distinct texts that hold it, over every document, for at least
-    the terms of ``words``.
+def _texts_per_term(texts: DataFrame) -> DataFrame:
+    """``term`` and ``of_term``, the number of the given texts that hold it."""
 
-    A filter of fixed size with the hashes of these terms goes to the tasks; a term that only shares a hash is counted
-    as well, none is missed. Counts are whole.
-
-    Tasks count their own distinct texts and tell each once. A text told by several tasks is
-    counted too often, so what is too much is taken off again from one copy of it.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 8 << 20):
+            split = pc.ascii_split_whitespace(batch.column("_text"))
+            words = split.flatten().dictionary_encode()
+            terms = _terms(words.dictionary).dictionary_encode()  # words that differ in case or punctuation are one term
+            term = terms.indices.to_numpy()[words.indices.to_numpy()]
+            # Sorted by text and term, a term counts where it differs from the one before.
+            held = np.sort(pc.list_parent_indices(split).to_numpy().astype(np.int64) << 32 | term)
+            first = np.diff(held, prepend=-1) != 0
+            n = np.bincount(held[first] & 0xFFFFFFFF, minlength=len(terms.dictionary))
+            yield pa.RecordBatch.from_arrays([terms.dictionary, pa.array(n, pa.int64())], names=["term", "n"])
 
-    wanted = docs.sparkSession.sparkContext.broadcast(_word_filter(words))
-
-    def asked(found: set[str], known: dict[str, bool]) -> list[str]:
-        out = []
-        for x in found:
-            hit = known.get(x)
-            if hit is None:
-                place = zlib.crc32(x.encode("utf-8", "surrogatepass")) & (FILTER_BITS - 1)
-                if len(known) > 200_000:
-                    known.clear()
-                known[x] = hit = bool(wanted.value[place >> 3] >> (place & 7) & 1)
-            if hit:
-                out.append(x)
-        return out
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        known: dict[str, bool] = {}
-        seen: set[int] = set()
-
-        def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.nulls(len(counts), pa.int64()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                                             names=["_key", "term", "n"])
-            counts.clear()
-            return out
-
-        for batch in slices(batches, "_text", 1 << 20):
-            fresh = []
-            for key, t in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist()):
-                if key not in seen:
-                    seen.add(key)
-                    fresh.append(key)
-                    counts.update(asked(_terms(t), known))
-            yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.nulls(len(fresh), pa.string()), pa.array([1] * len(fresh), pa.int64())],
-                                             names=["_key", "term", "n"])
-            if len(counts) > 200_000:
-                yield told()
-        yield told()
-
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        known: dict[str, bool] = {}
-        for batch in slices(batches, "_text", 1 << 20):
-            rows = []
-            for key, n, t in zip(*(batch.column(c).to_pylist() for c in ("_key", "n", "_text"))):
-                if key not in seen:
-                    seen.add(key)
-                    rows.append((key, n, asked(_terms(t), known)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                                              pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["_key", "n", "terms"])
-
-    told_rows = stored(_keyed(docs, text).mapInArrow(count, "_key long, term string, n long"), "words")
-    again = told_rows.filter("_key is not null").groupBy("_key").agg(F.sum("n").alias("n")).filter("n > 1")
-    over = _keyed(docs, text).join(again, "_key").mapInArrow(terms, "_key long, n long, terms array<string>").dropDuplicates(["_key"])
-    parts_of = told_rows.filter("term is not null").select("term", "n").unionByName(over.select(F.explode("terms").alias("term"), (1 - F.col("n")).alias("n")))
-    return parts_of.groupBy("term").agg(F.sum("n").alias("of_term"))
-
-
-def _terms(text: str | None) -> set[str]:
-    return {x for x in map(_term, set(WORD.findall(text or ""))) if x}
+    return texts.select("_text").mapInArrow(run, "term string, n long").filter("term <> ''").groupBy("term").agg(F.sum("n").alias("of_term"))
 
 
 def _risky(docs: DataFrame, bits: float, chance: float, contexts: int, text: str) -> tuple[DataFrame, DataFrame] | None:
     """The pairs above the thresholds, and every (text, entity, term) that can be one; nothing if no entity is rare enough."""
-    held = stored(_entity_texts(docs, text), "mentions")
-    n = docs.select(F.xxhash64(text).alias("_key")).distinct().count()
+    rows_of = stored(docs.groupBy(F.xxhash64(text).alias("_key")).agg(F.count(F.lit(1)).alias("rows")), "keys")
+    copied = rows_of.filter("rows > 1").select("_key")
+    n, n_copied = rows_of.agg(F.count(F.lit(1)), F.count_if(F.col("rows") > 1)).first()
+    texts = _one_of_each(_keyed(docs, text), copied, n_copied)
+    held = stored(_entity_texts(_one_of_each(_keyed(docs.filter(_maybe(text)), text), copied, n_copied)), "mentions")
     per_text = held.select("_key", F.explode("entities").alias("e")).select("_key", "e.*")
     of_entity = per_text.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     # A chance is at most one, so entities of more texts cannot reach the bits.
@@ -255,8 +201,7 @@ def _risky(docs: DataFrame, bits: float, chance: float, contexts: int, text: str
     surroundings = per_text.select("entity", F.explode("arounds").alias("around")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_around"))
     named = per_text.join(entities.join(surroundings, "entity"), "entity")
     # A term of more texts than an entity has, over the chance, cannot reach the chance for it.
-    told_of = held.select(F.explode("terms").alias("term"))
-    rare = stored(_texts_per_term(docs, text, told_of).filter(F.col("of_term") * chance <= most * (1 + 1e-9)), "terms")
+    rare = _texts_per_term(texts).filter(F.col("of_term") * chance <= most * (1 + 1e-9))
     terms = held.select("_key", F.explode("terms").alias("term")).join(rare, "term")
     pairs = stored(terms.join(named, "_key").filter(F.col("of_term") * chance <= F.col("of_entity") * (1 + 1e-9)), "pairs")
     p = F.count(F.lit(1)) / F.first("of_term")
@@ -316,24 +261,40 @@ def find(docs: DataFrame, keep: Sequence[str] | None = None, doc_id: str = "doc_
             yield pa.RecordBatch.from_arrays(own + columns, names=["_row", *(["_cleaned"] if cleaned else []), *added])
 
     # The row is packed, so that no column of the table clashes with one of the job's own.
-    rest = [c for c in carried if c != cleaned]
-    given = docs.select(F.struct(*(rest or [F.lit(0)])).alias("_row"), F.col(text).alias("_text"), F.xxhash64(text).alias("_key"))
+    kept = [c for c in carried if c != cleaned]
+    given = docs.select(F.struct(*(kept or [F.lit(0)])).alias("_row"), F.col(text).alias("_text"), F.xxhash64(text).alias("_key"))
     schema = extended(given.select("_row").schema, ("_cleaned string, " if cleaned else "")
                       + "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     shown = [F.col("_cleaned").alias(cleaned) if c == cleaned else F.col(f"_row.`{c}`").alias(c) for c in out]
-    none = F.lit(None).cast("array<string>").alias("_terms")
+    maybe, rest = given.filter(_maybe("_text")), given.filter(~_maybe("_text"))
     if found is None:
-        return given.drop("_key").select("*", none).mapInArrow(run, schema).select(*shown, *added)
-    risky, pairs = found
-    # Revealing terms of a text: the pairs that it holds. Texts without an entity need no look.
-    per_text = pairs.select("_key", "entity", "term").join(risky, ["entity", "term"]).groupBy("_key").agg(F.collect_set("term").alias("_terms"))
-    maybe = F.coalesce(F.col("_text").rlike(MAYBE), F.lit(False))
-    rows = given.filter(maybe).join(per_text, "_key", "left").drop("_key").unionByName(given.filter(~maybe).drop("_key").select("*", none))
-    return rows.mapInArrow(run, schema).select(*shown, *added)
+        maybe = maybe.withColumn("_terms", F.lit(None).cast("array<string>"))
+    else:
+        risky, pairs = found
+        # Revealing terms of a text: the pairs that it holds.
+        per_text = pairs.select("_key", "entity", "term").join(risky, ["entity", "term"]).groupBy("_key").agg(F.collect_set("term").alias("_terms"))
+        maybe = maybe.join(per_text, "_key", "left")
+    # Texts without an entity need no look: they have no spans and stay as they are.
+    plain = rest.select("_row", *([F.col("_text").alias("_cleaned")] if cleaned else []), *(F.lit(0).cast("long").alias(c) for c in added[:4]),
+                        F.lit(hashlib.sha256(b"").hexdigest()).alias("base_sha256"), F.lit("").alias("spans"))
+    return maybe.drop("_key").mapInArrow(run, schema).unionByName(plain).select(*shown, *added)
 
 
 def _term_spans(text: str, spans: Sequence[Span], terms: set[str]) -> list[Span]:
-    return [(a, b, "term") for a, b, x in _free_words(text, spans) if x in terms] if terms else []
+    """The given terms where they touch no span; spans are in order of their starts."""
+    found: list[Span] = []
+    i, reach = 0, 0
+    for m in WORD.finditer(text) if terms else ():
+        if _term(m.group()) not in terms:
+            continue
+        while i < len(spans) and spans[i][0] < m.end():
+            reach = max(reach, spans[i][1])
+            i += 1
+        if reach <= m.start():
+            core = m.group().strip(EDGE)
+            a = m.start() + m.group().index(core)
+            found.append((a, a + len(core), "term"))
+    return found
 
 
 def replaced(text: str | None, spans: Sequence[Span]) -> str | None:
