@@ -3,7 +3,6 @@
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from tierloom.llm import pii
 
@@ -27,12 +26,23 @@ def test_texts_without_an_entity_do_not_reach_python(spark):
 
 def test_only_copies_are_shuffled(spark):
     rows = [f"text {k}" for k in range(50)] + ["copy a", "copy b", None] * 4
-    texts = pii._keyed(spark.createDataFrame([(t,) for t in rows], "text string").repartition(5), "text")
-    copied = texts.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key")
-    for n_copied in (3, pii.MOST_COPIED + 1):
-        assert Counter(r["_text"] for r in pii._one_of_each(texts, copied, n_copied).collect()) == Counter(set(rows))
-    stayed, shuffled = plan_of(pii._one_of_each(texts, copied, 3), "optimizedPlan").split("Aggregate [_key", 1)
-    assert "LeftAnti" in stayed and "LeftSemi" in shuffled and "LeftAnti" not in shuffled
+    docs = spark.createDataFrame([(t,) for t in rows], "text string").repartition(5)
+    keys, texts = pii._keys(docs, "text"), pii._keyed(docs, "text")
+    assert (keys.n, keys.copied.count()) == (len(set(rows)), 3)
+    for copied in (keys.copied, None):
+        assert Counter(r["_text"] for r in pii._one_of_each(texts, copied).collect()) == Counter(set(rows))
+    plan = plan_of(pii._one_of_each(texts, keys.copied), "optimizedPlan")
+    assert "LeftAnti" in plan and "Aggregate" not in plan  # the copies, put together before, are read
+
+
+def test_patterns_are_looked_for_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(ENTITIES * 2)], "doc_id long, text string")
+    found = pii.find(docs, bits=0.0)
+    assert "RLIKE" not in plan_of(found, "optimizedPlan")
+    want = Counter(found.collect())
+    monkeypatch.setattr(pii, "MOST_KEYS", 1)
+    many = pii.find(docs, bits=0.0)
+    assert "RLIKE" in plan_of(many, "optimizedPlan") and Counter(many.collect()) == want
 
 
 def test_texts_per_term(spark):

@@ -14,6 +14,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ NUMBERS = r"[0-9](?:\.[0-9]+\.[0-9]+\.[0-9]|(?:[ -]?[0-9]){13})"
 NEAR = 4
 #: Leading digits that numbers of one issuer or area share.
 PREFIX = 6
-#: Keys of copied texts that are broadcast at most (some 64 MB).
-MOST_COPIED = 2_000_000
+#: Keys of texts that are broadcast at most (some 64 MB).
+MOST_KEYS = 2_000_000
 
 Span = tuple[int, int, str]
 
@@ -115,13 +116,33 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
 
 
-def _one_of_each(texts: DataFrame, copied: DataFrame, n_copied: int) -> DataFrame:
-    """Each distinct text once. ``copied`` has the keys that stand in several rows: only their texts are shuffled,
-    all others stay where they are read."""
-    if n_copied > MOST_COPIED:
-        return texts.dropDuplicates(["_key"])
-    keys = F.broadcast(copied)
-    return texts.join(keys, "_key", "left_anti").unionByName(texts.join(keys, "_key", "left_semi").dropDuplicates(["_key"]))
+class Keys(NamedTuple):
+    """Of the distinct texts: their number, the keys that stand in several rows (``copied``), and those of texts
+    that can hold an entity (``maybe``). None stands for more than MOST_KEYS."""
+
+    n: int
+    copied: DataFrame | None
+    maybe: DataFrame | None
+
+
+def _keys(docs: DataFrame, text: str) -> Keys:
+    keys = stored(_keyed(docs, text).groupBy("_key").agg((F.count(F.lit(1)) > 1).alias("copied"), F.max(_maybe("_text")).alias("maybe")), "keys")
+    n, *counts = keys.agg(F.count(F.lit(1)), F.count_if("copied"), F.count_if("maybe")).first()
+    return Keys(n, *(F.broadcast(keys.filter(c).select("_key")) if k <= MOST_KEYS else None for c, k in zip(("copied", "maybe"), counts)))
+
+
+def _one_of_each(texts: DataFrame, copied: DataFrame | None) -> DataFrame:
+    """Each distinct text once. Only texts that stand in several rows are shuffled, all others stay where they are read."""
+    if copied is None:
+        return stored(texts.dropDuplicates(["_key"]), "texts")
+    return texts.join(copied, "_key", "left_anti").unionByName(stored(texts.join(copied, "_key", "left_semi").dropDuplicates(["_key"]), "copies"))
+
+
+def _apart(texts: DataFrame, maybe: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose text can hold an entity, and all others."""
+    if maybe is None:
+        return texts.filter(_maybe("_text")), texts.filter(~_maybe("_text"))
+    return texts.join(maybe, "_key", "left_semi"), texts.join(maybe, "_key", "left_anti")
 
 
 def _entity_texts(texts: DataFrame) -> DataFrame:
@@ -184,13 +205,11 @@ def _texts_per_term(texts: DataFrame) -> DataFrame:
     return texts.select("_text").mapInArrow(run, "term string, n long").filter("term <> ''").groupBy("term").agg(F.sum("n").alias("of_term"))
 
 
-def _risky(docs: DataFrame, bits: float, chance: float, contexts: int, text: str) -> tuple[DataFrame, DataFrame] | None:
+def _risky(docs: DataFrame, keys: Keys, bits: float, chance: float, contexts: int, text: str) -> tuple[DataFrame, DataFrame] | None:
     """The pairs above the thresholds, and every (text, entity, term) that can be one; nothing if no entity is rare enough."""
-    rows_of = stored(docs.groupBy(F.xxhash64(text).alias("_key")).agg(F.count(F.lit(1)).alias("rows")), "keys")
-    copied = rows_of.filter("rows > 1").select("_key")
-    n, n_copied = rows_of.agg(F.count(F.lit(1)), F.count_if(F.col("rows") > 1)).first()
-    texts = _one_of_each(_keyed(docs, text), copied, n_copied)
-    held = stored(_entity_texts(_one_of_each(_keyed(docs.filter(_maybe(text)), text), copied, n_copied)), "mentions")
+    n = keys.n
+    texts = _one_of_each(_keyed(docs, text), keys.copied)
+    held = stored(_entity_texts(_apart(texts, keys.maybe)[0]), "mentions")
     per_text = held.select("_key", F.explode("entities").alias("e")).select("_key", "e.*")
     of_entity = per_text.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     # A chance is at most one, so entities of more texts cannot reach the bits.
@@ -226,7 +245,7 @@ def disclosures(docs: DataFrame, bits: float = 6.0, chance: float = 0.5, context
     A term of an entity that stands in ``contexts`` different surroundings or more needs as many of them;
     an entity with fewer sets no such bar.
     """
-    found = _risky(docs, bits, chance, contexts, text)
+    found = _risky(docs, _keys(docs, text), bits, chance, contexts, text)
     if found is None:
         return docs.sparkSession.createDataFrame([], "entity string, term string, chance double, bits double")
     return found[0]
@@ -239,11 +258,13 @@ def find(docs: DataFrame, keep: Sequence[str] | None = None, doc_id: str = "doc_
 
     Offsets are code points, end exclusive. A null text counts as empty and stays null when cleaned.
     Texts without an entity are never changed. Repeated rows are treated alike and an empty table
-    stays empty; columns named like the added ones are replaced.
+    stays empty; columns named like the added ones are replaced. The table is read several times and has to be
+    the same each time.
     """
     added = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     carried = [c for c in (keep or docs.columns) if c not in added]
-    found = _risky(docs, bits, chance, contexts, text)
+    keys = _keys(docs, text)
+    found = _risky(docs, keys, bits, chance, contexts, text)
     out = [c for c in carried if c != cleaned] + ([cleaned] if cleaned else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +287,7 @@ def find(docs: DataFrame, keep: Sequence[str] | None = None, doc_id: str = "doc_
     schema = extended(given.select("_row").schema, ("_cleaned string, " if cleaned else "")
                       + "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     shown = [F.col("_cleaned").alias(cleaned) if c == cleaned else F.col(f"_row.`{c}`").alias(c) for c in out]
-    maybe, rest = given.filter(_maybe("_text")), given.filter(~_maybe("_text"))
+    maybe, rest = _apart(given, keys.maybe)
     if found is None:
         maybe = maybe.withColumn("_terms", F.lit(None).cast("array<string>"))
     else:
